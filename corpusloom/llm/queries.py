@@ -6,19 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import simhash
+from corpusloom.llm import bpe, decontaminate, secrets, simhash, token_orc
+from corpusloom.llm.shared import new_path
+
+
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer file; the package that has them is installed on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens-orc")
+    token_orc.write_tokens(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_orc.digest(token_orc.read_tokens(spark, path))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": op2_decontaminate,
+    "op3_secrets": op3_secrets,
     "op5_simhash": op5_simhash,
+    "op6_token_orc": op6_token_orc,
+    "op9_bpe": op9_bpe,
 }
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
