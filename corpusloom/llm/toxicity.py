@@ -88,7 +88,7 @@ class Chain:
         bounds = np.searchsorted(row, np.arange(n + 1))
         earlier, out = np.zeros((n, 0)), []
         for w in self.weights:
-            p = _apply(at, bounds, earlier, w)
+            p = np.where(np.diff(bounds) > 0, _apply(at, bounds, earlier, w), 0.0)
             out.append(p)
             earlier = np.column_stack([earlier, _odds(p)])
         return np.column_stack(out)
@@ -96,7 +96,7 @@ class Chain:
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, most: int = linear.FIT_ROWS) -> Chain:
     """Class counts come from all labelled rows; the linear models are fitted on at most ``most`` of them. Without
-    labelled rows every probability is 0.5."""
+    labelled rows there are no features, so every probability is 0."""
     marks = list(categories)
     if "low_quality" in marks and "low_quality" not in labels.columns:
         labels = labels.withColumn("low_quality", 1 - F.col("quality"))
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
 def score(docs: DataFrame, chain: Chain, categories: tuple[str, ...] = CATEGORIES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, p_<category>..., is_toxic) for every row of ``docs``; is_toxic by the last category's probability.
 
-    A null or blank text gets the chain's probabilities of a text without features. Repeated rows stay repeated;
+    A text without any known feature (a null or blank one too) has probability 0 in all categories. Repeated rows stay repeated;
     other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
