@@ -16,7 +16,7 @@ def tables(spark, tmp_path):
     rows += [(100 + i, f"{text(20)} idiot scum idiot {text(20)} scum", "en", "s", 0) for i in range(30)]
     rows += [(200, rows[0][1], "en", "s", 0), (201, rows[0][1].upper(), "en", "s", 0)]
     rows += [(300, f"{text(10)} {item} {text(10)}", "en", "s", 0), (301, f"{text(30)} token = 0123456789abcdef01 {text(5)}", "en", "s", 0)]
-    rows += [(400, None, None, None, None), (401, "", "en", "s", 0), (402, " ", "en", "s", 0), (None, "no id", "en", "s", 5), (301, rows[-1][1], "en", "s", 0)]
+    rows += [(400, None, None, None, None), (401, "", "en", "s", 0), (402, " ", "en", "s", 0), (None, text(40), "en", "s", 5), (301, rows[-1][1], "en", "s", 0)]
     path = str(tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i >= 100)) for i in [*range(60), *range(100, 130)]], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
