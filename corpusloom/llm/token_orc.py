@@ -8,7 +8,6 @@ partitions, so file order is doc_id order and every file can be read (and lost,
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,15 +20,20 @@ from corpusloom.llm.arrow_text import column
 
 STRIPE_BYTES = 8 << 20
 INDEX_STRIDE = 1000
-#: Distinct words that a task remembers; beyond that it starts anew.
+#: Distinct words that a Python worker remembers: between so many and twice as many.
 REMEMBERED = 200_000
 
 
+#: White space other than single spaces and line ends, special-token marks and the separator used below.
+HARD = ("  ", " \n", "\n ", "\n\n", "<|", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
+
+
 class WordMemo:
     """Encodes whole texts with a vocabulary of the ``tokenizers`` library, each distinct word only once.
 
-    The byte-level pattern starts a new piece at every single space, so a text without two adjacent white-space
-    characters is encoded word by word; any other text goes to the library whole.
+    The byte-level pattern starts a new piece at every single space and at every line end before a
+    non-blank, so a text without two adjacent white-space characters is encoded word by word; any other text goes
+    to the library whole. New words go to the library as one text, a word a line.
     """
 
     def __init__(self, path: str):
@@ -39,56 +43,75 @@ class WordMemo:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        self.line = self.lib.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
-        self.hard = re.compile(r"\s\s|<\|")
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def words(self, new: list[str]) -> list[bytes]:
+        """Ids of pieces of text that hold no line end."""
+        ids = np.array(self.lib.encode("\n".join(new) + "\n", add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(ids == self.line[0])
+        if len(self.line) != 1 or len(ends) != len(new):
+            return self.whole(new)
+        return [ids[a:b].tobytes() for a, b in zip([0, *(ends[:-1] + 1)], ends, strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
-        hard, easy, missing = [], [], {}
-        known = self.known
-        if len(known) >= REMEMBERED:
-            known.clear()
+        hard, easy = [], []
         for i, t in enumerate(texts):
-            if self.hard.search(t) or not t:
+            if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in HARD):
                 hard.append(i)
-                continue
-            first, *rest = t.split(" ")
-            parts = [first, *[" " + w for w in rest]]
-            easy.append((i, parts))
-            missing |= dict.fromkeys([p for p in parts if p not in known])
-        fresh = list(missing)
-        for k in range(0, len(fresh), 20_000):
-            known.update(zip(fresh[k : k + 20_000], self.whole(fresh[k : k + 20_000]), strict=True))
+            else:  # a word keeps the space before it; a line end is a word of its own
+                easy.append((i, t.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0")))
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        missing = set().union(*(parts for _, parts in easy)).difference(known, ["\n"])
+        again = missing.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        new = list(missing.difference(again))
+        for k in range(0, len(new), 20_000):
+            known.update(zip(new[k : k + 20_000], self.words(new[k : k + 20_000]), strict=True))
+        known["\n"] = np.array(self.line, "<u4").tobytes()
         for i, parts in easy:
-            out[i] = b"".join([known[p] for p in parts])
+            out[i] = b"".join(map(known.__getitem__, parts))
+        for p in [p for p in new if len(p) >= 64]:
+            del known[p]
         for i, raw in zip(hard, self.whole([texts[i] for i in hard]), strict=True):
             out[i] = raw
         return out
 
 
+#: One memo for each vocabulary in a Python worker; it serves all tasks that the worker runs.
+_MEMOS: dict[str, WordMemo] = {}
+
+
+def memo(path: str) -> WordMemo:
+    if path not in _MEMOS:
+        _MEMOS[path] = WordMemo(path)
+    return _MEMOS[path]
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> None:
     """Writes (doc_id, n_tokens, ids, ids_crc32 of the write, part) to ORC files under ``path``.
 
     ``end_id`` follows each document's ids. A null text has only that id. Rows with equal doc_id stay together in
     the order of their texts; a null doc_id comes first. An empty table writes an empty file set.
     """
-    made: list[WordMemo] = []
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(WordMemo(vocabulary))
+        words = memo(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             keys, texts = column(batch, "doc_id"), column(batch, "text")
-            for k in range(0, len(texts), 512):
-                raw = [r + end for r in made[0].encode([t or "" for t in texts.slice(k, 512).to_pylist()])]
+            for k in range(0, len(texts), 2048):
+                raw = [r + end for r in words.encode([t or "" for t in texts.slice(k, 2048).to_pylist()])]
                 n = np.array([len(r) // 4 for r in raw], np.int64)
                 values = pa.array(np.frombuffer(b"".join(raw), "<u4").view(np.int32))
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([keys.slice(k, 512), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([keys.slice(k, 2048), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
