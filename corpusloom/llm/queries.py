@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, decontaminate, quality, secrets, simhash, token_orc, toxicity, vector_search
+from corpusloom.llm import bpe, decontaminate, ngram_trie, quality, secrets, simhash, token_orc, toxicity, vector_search
 from corpusloom.llm.shared import new_path
 
 
@@ -48,6 +48,10 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.digest(token_orc.read_tokens(spark, path))
 
 
+def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
     "op6_token_orc": op6_token_orc,
+    "op7_ngram_trie": op7_ngram_trie,
     "op9_bpe": op9_bpe,
     "op10_vector_search": op10_vector_search,
 }
