@@ -256,18 +256,24 @@ class ByteDecoder:
         return out
 
 
+#: One tokenizer for each vocabulary in a Python worker; it serves all tasks that the worker runs.
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def tokenizer(path: str) -> WordTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", decoded: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids binary) for every row.
 
     A null or blank text has no tokens and the digests of no bytes. Repeated rows stay repeated; other columns
     of ``docs`` are not read. ``path`` must be readable on every executor.
     """
-    made: list[WordTokenizer] = []
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(WordTokenizer(path))
-        tok = made[0]
+        tok = tokenizer(path)
         for batch in batches:
             keys, texts = column(batch, "doc_id"), column(batch, "text")
             for k in range(0, len(texts), 256):
