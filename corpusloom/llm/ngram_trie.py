@@ -165,14 +165,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Chunk:
     """The distinct unigrams and context-successor pairs of one chunk, by shard, and its documents in their terms."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, train: np.ndarray, n_shards: int, order: int):
+    def __init__(self, nth: int, data: np.ndarray, offsets: np.ndarray, train: np.ndarray, n_shards: int, order: int):
         w, row = tokens(data, offsets)
         in_train = train[row]
         first = np.ones(len(row), bool)
         first[1:] = row[1:] != row[:-1]
         key = mix(w) & _KEY
         self.row, self.n = row, len(offsets) - 1
-        self.name = chunk_name(w, offsets)
+        self.name = chunk_name(nth, w, offsets)
         shard = (key % U64(n_shards)).astype(np.int64)
         self.unigram, self.of_unigram, self.unigram_count, self.unigram_bounds = self._distinct(shard, key, np.zeros(len(key), U64), in_train, n_shards)
         self.pairs = []
@@ -277,11 +277,8 @@ def _finish(table: pa.Table, n_shards: int, order: int) -> pa.Table:
     shard, blob = table.column("shard").to_numpy(), table.column("blob").to_pylist()
     own = [unpack(blob[i]) for i in np.flatnonzero(shard < 0)]
     got = [unpack(blob[i]) for i in sorted(np.flatnonzero(shard >= 0), key=lambda i: shard[i])]
-    if not own or len(got) % n_shards or len(got) // n_shards != len(own):
+    if len(own) != 1 or len(got) != n_shards:
         raise ValueError("the passes over the documents were cut differently")
-    repeats = len(own)  # chunks of equal content share a name and their answers
-    # answers of equal chunks are equal: take every repeats-th
-    got = got[::repeats]
     total, kinds = sum(int(g[0][0]) for g in got), sum(int(g[0][1]) for g in got)
     c = np.concatenate([g[1] for g in got]).astype(float)
     base = (c + 0.1) / (total + 0.1 * (kinds + 1))
@@ -318,22 +315,22 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, n_sha
     n_shards = n_shards or shards(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out(F.col("doc_id")).alias("held"))
 
-    def chunks(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
-        held, keys = np.asarray(column(batch, "held").to_numpy(zero_copy_only=False), bool), column(batch, "doc_id")
-        missing, ids = keys.is_null().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy()
-        for a, b, offsets, data in pieces(column(batch, "text"), chunk_bytes):
-            yield Chunk(data, offsets, ~held[a:b], n_shards, order), ids[a:b], np.where(missing[a:b], 2, held[a:b]).astype(np.int8)
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
+        nth = 0
+        for batch in batches:
+            held, keys = np.asarray(column(batch, "held").to_numpy(zero_copy_only=False), bool), column(batch, "doc_id")
+            missing, ids = keys.is_null().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy()
+            for a, b, offsets, data in pieces(column(batch, "text"), chunk_bytes):
+                yield Chunk(nth, data, offsets, ~held[a:b], n_shards, order), ids[a:b], np.where(missing[a:b], 2, held[a:b]).astype(np.int8)
+                nth += 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, ids, _ in chunks(batch):
-                name = chunk.name ^ int(ids[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, name)), pa.array([chunk.message(s) for s in range(n_shards)], pa.binary())], names=["key", "chunk", "blob"])
+        for chunk, _, _ in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, chunk.name)), pa.array([chunk.message(s) for s in range(n_shards)], pa.binary())], names=["key", "chunk", "blob"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, ids, held in chunks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array([chunk.name ^ int(ids[0])]), pa.array([-1], pa.int64()), pa.array([chunk.structure(ids, held)], pa.binary())], names=["chunk", "shard", "blob"])
+        for chunk, ids, held in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk.name]), pa.array([-1], pa.int64()), pa.array([chunk.structure(ids, held)], pa.binary())], names=["chunk", "shard", "blob"])
 
     schema = "chunk long, shard long, blob binary"
     answers = rows.mapInArrow(ask, "key long, chunk long, blob binary").groupBy("key").applyInArrow(lambda t: _answers(t, order, strength), schema)

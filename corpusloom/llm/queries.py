@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, decontaminate, ngram_trie, quality, secrets, simhash, token_orc, toxicity, vector_search
+from corpusloom.llm import bpe, decontaminate, ngram_trie, quality, secrets, simhash, suffix_dedup, token_orc, toxicity, vector_search
 from corpusloom.llm.shared import new_path
 
 
@@ -52,6 +52,10 @@ def op7_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_token_orc": op6_token_orc,
     "op7_ngram_trie": op7_ngram_trie,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_bpe": op9_bpe,
     "op10_vector_search": op10_vector_search,
 }
