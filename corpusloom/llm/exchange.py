@@ -48,16 +48,14 @@ def widen(x: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def chunk_name(nth: int, *parts: np.ndarray) -> int:
-    """A chunk's id from its task's partition, its place there and its content. Two passes over the same scan name it
-    alike; a pass that cut its input otherwise would name it otherwise, so that can't go unnoticed."""
+def chunk_name(part: int, nth: int, *parts: np.ndarray) -> int:
+    """A chunk's id from its scan partition (``spark_partition_id`` of the rows), its place there and its content. Two
+    passes over the same scan name it alike; a pass that cut its input otherwise would name it otherwise, so that
+    can't go unnoticed."""
     import zlib
 
-    from pyspark import TaskContext
-
-    task = TaskContext.get()
     a = b = 0
-    for p in (np.array([task.partitionId() if task else 0, nth]), *parts):
+    for p in (np.array([part, nth], np.int64), *parts):
         raw = np.ascontiguousarray(p).tobytes()
         a, b = zlib.crc32(raw, a), zlib.adler32(raw, b)
     return (a << 31) ^ b

@@ -165,14 +165,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 class Chunk:
     """The distinct unigrams and context-successor pairs of one chunk, by shard, and its documents in their terms."""
 
-    def __init__(self, nth: int, data: np.ndarray, offsets: np.ndarray, train: np.ndarray, n_shards: int, order: int):
+    def __init__(self, place: tuple[int, int], data: np.ndarray, offsets: np.ndarray, train: np.ndarray, n_shards: int, order: int):
         w, row = tokens(data, offsets)
         in_train = train[row]
         first = np.ones(len(row), bool)
         first[1:] = row[1:] != row[:-1]
         key = mix(w) & _KEY
         self.row, self.n = row, len(offsets) - 1
-        self.name = chunk_name(nth, w, offsets)
+        self.name = chunk_name(*place, w, offsets)
         shard = (key % U64(n_shards)).astype(np.int64)
         self.unigram, self.of_unigram, self.unigram_count, self.unigram_bounds = self._distinct(shard, key, np.zeros(len(key), U64), in_train, n_shards)
         self.pairs = []
@@ -313,7 +313,7 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, n_sha
     doc_id is in training. An empty table gives no rows. Other columns are not read.
     """
     n_shards = n_shards or shards(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out(F.col("doc_id")).alias("held"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out(F.col("doc_id")).alias("held"), F.spark_partition_id().alias("part"))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
         nth = 0
@@ -321,7 +321,7 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, n_sha
             held, keys = np.asarray(column(batch, "held").to_numpy(zero_copy_only=False), bool), column(batch, "doc_id")
             missing, ids = keys.is_null().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy()
             for a, b, offsets, data in pieces(column(batch, "text"), chunk_bytes):
-                yield Chunk(nth, data, offsets, ~held[a:b], n_shards, order), ids[a:b], np.where(missing[a:b], 2, held[a:b]).astype(np.int8)
+                yield Chunk((column(batch, "part")[0].as_py(), nth), data, offsets, ~held[a:b], n_shards, order), ids[a:b], np.where(missing[a:b], 2, held[a:b]).astype(np.int8)
                 nth += 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

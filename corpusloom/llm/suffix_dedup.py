@@ -369,14 +369,14 @@ def deduplicate(docs: DataFrame, n_shards: int | None = None, chunk_bytes: int =
     """
     n_shards = n_shards or shards(docs, each=SHARD_BYTES)
     last = np.iinfo(np.int64).max
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc_id"), F.col("text").alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("doc_id"), F.col("text").alias("text"), F.spark_partition_id().alias("part"))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         nth = 0
         for batch in batches:
             ids = column(batch, "doc_id").to_numpy()
             for a, b, offsets, data in pieces(column(batch, "text"), chunk_bytes):
-                yield chunk_name(nth, ids[a:b], offsets, data), ids[a:b], data, offsets
+                yield chunk_name(column(batch, "part")[0].as_py(), nth, ids[a:b], offsets, data), ids[a:b], data, offsets
                 nth += 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
