@@ -108,7 +108,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - k] = rank[k:] + 1
         key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
         fresh = np.cumsum(new)
         rank = np.empty(n, np.int64)
@@ -123,6 +123,8 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     n = len(t)
     if n == 1:
         return np.zeros(1, np.int32)
+    if size <= 1 << 16:
+        t = t.astype(np.uint16, copy=False)  # numpy sorts 16-bit symbols by counting
     smaller = _next_different(t)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
     end = np.cumsum(np.bincount(t, minlength=size))
@@ -204,6 +206,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, h[first]
 
 
+def shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
+    """Shards as equal ranges of 48-bit keys, so sorted keys are sorted by shard."""
+    return ((keys >> U64(16)) * U64(n_shards) >> U64(32)).astype(np.int64)
+
+
 class Chunk:
     """Anchors and contexts of one chunk of documents."""
 
@@ -211,14 +218,14 @@ class Chunk:
         self.ids, self.data, self.offsets, self.n_shards = ids, data, offsets, n_shards
         at, h = anchors(data, offsets)
         row = np.searchsorted(offsets, at, "right") - 1
-        order = np.lexsort((h, h % U64(n_shards)))
+        order = np.argsort(h)
         self.at, self.row, h = at[order], row[order], h[order]
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         self.starts = np.flatnonzero(new)
         self.of = np.cumsum(new) - 1
         self.keys = h[new]
-        self.bounds = np.searchsorted(self.keys % U64(n_shards), np.arange(n_shards + 1)) if len(h) else np.zeros(n_shards + 1, np.int64)
+        self.bounds = np.searchsorted(shard_of(self.keys, n_shards), np.arange(n_shards + 1))
 
     def question(self, s: int) -> bytes:
         """Anchor hashes for shard ``s`` and whether two documents of the chunk have them."""
@@ -239,12 +246,13 @@ class Chunk:
         lo = np.maximum(at - (LENGTH - ANCHOR), self.offsets[row])
         hi = np.minimum(at + LENGTH, self.offsets[row + 1])
         h = span_hash(prefix_sums(self.data), lo, hi)
-        shard = (key % U64(self.n_shards)).astype(np.int64)
+        shard = shard_of(key, self.n_shards)
         doc = self.ids[row]
-        order = np.lexsort((doc, h, shard))
-        self.lo, self.size, self.doc, h, shard, self.owner = lo[order], (hi - lo)[order], doc[order], h[order], shard[order], row[order]
+        h = (shard.astype(U64) << U64(44)) | (h >> U64(20))
+        order = np.lexsort((doc, h))
+        self.lo, self.size, self.doc, h, shard = lo[order], (hi - lo)[order], doc[order], h[order], shard[order]
         new = np.ones(len(order), bool)
-        new[1:] = (h[1:] != h[:-1]) | (shard[1:] != shard[:-1])
+        new[1:] = (h[1:] != h[:-1]) | (self.size[1:] != self.size[:-1])
         self.first, self.which = np.flatnonzero(new), np.cumsum(new) - 1
         self.shares = np.searchsorted(shard[self.first], np.arange(self.n_shards + 1)) if len(order) else np.zeros(self.n_shards + 1, np.int64)
 
@@ -315,12 +323,12 @@ def _earlier(table: pa.Table) -> pa.Table:
         own = size[first]
         # text: contexts (bytes + 2) each followed by 1, then 0
         start = np.cumsum(own + 1) - (own + 1)
-        text = np.ones(int((own + 1).sum()) + 1, np.int64)
+        text = np.ones(int((own + 1).sum()) + 1, np.uint16)
         text[-1] = 0
         inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
         raw = np.zeros(len(text) + LENGTH + 8, np.uint8)
         raw[np.repeat(start, own) + inner] = data[np.repeat(bounds[:-1][first], own) + inner]
-        text[np.repeat(start, own) + inner] = data[np.repeat(bounds[:-1][first], own) + inner].astype(np.int64) + 2
+        text[np.repeat(start, own) + inner] = data[np.repeat(bounds[:-1][first], own) + inner].astype(np.uint16) + 2
         sa = suffix_array(text, 258)
         del text
         context = np.repeat(np.arange(len(own)), own + 1)
