@@ -1,4 +1,7 @@
 """All registered queries and their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from corpusloom.plans import ingest, retrieval
+
+_MODULES = (ingest, retrieval)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
