@@ -17,23 +17,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_text import column
+from corpusloom.llm.bpe import byte_symbols
 
 STRIPE_BYTES = 8 << 20
 INDEX_STRIDE = 1000
 #: Distinct words that a Python worker remembers: between so many and twice as many.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 
 
 #: White space other than single spaces and line ends, special-token marks and the separator used below.
 HARD = ("  ", " \n", "\n ", "\n\n", "<|", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
 
 
+#: ASCII punctuation without the apostrophe, which starts contractions.
+PUNCTUATION = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
+
+
 class WordMemo:
     """Encodes whole texts with a vocabulary of the ``tokenizers`` library, each distinct word only once.
 
     The byte-level pattern starts a new piece at every single space and at every line end before a
     non-blank, so a text without two adjacent white-space characters is encoded word by word; any other text goes
-    to the library whole. New words go to the library as one text, a word a line.
+    to the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,17 +51,41 @@ class WordMemo:
         self.line = self.lib.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.symbols = byte_symbols()
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def words(self, new: list[str]) -> list[bytes]:
-        """Ids of pieces of text that hold no line end."""
-        ids = np.array(self.lib.encode("\n".join(new) + "\n", add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(ids == self.line[0])
-        if len(self.line) != 1 or len(ends) != len(new):
-            return self.whole(new)
-        return [ids[a:b].tobytes() for a, b in zip([0, *(ends[:-1] + 1)], ends, strict=True)]
+        """Ids of words. Letters with ASCII punctuation behind them are two pieces, which go to the library's model
+        directly (it is a byte-level BPE); anything else is encoded by the whole tokenizer."""
+        known, tails, out, rest = self.known, self.tails, [], []
+        for w in new:
+            core = w.rstrip(PUNCTUATION)
+            tail = w[len(core) :]
+            if not (core[1:] if core[:1] == " " else core).isalpha():
+                rest.append(len(out))
+                out.append(b"")
+                continue
+            raw = known.get(core)
+            if raw is None:
+                raw = known[core] = self.piece(core)
+            if tail:
+                if tail not in tails:
+                    tails[tail] = self.piece(tail)
+                raw += tails[tail]
+            out.append(raw)
+        for i, raw in zip(rest, self.whole([new[i] for i in rest]), strict=True):
+            out[i] = raw
+        return out
+
+    def piece(self, text: str) -> bytes:
+        if text.isascii() and text.isprintable():  # printable ASCII stands for itself, a space has a symbol of its own
+            symbols = text.replace(" ", self.symbols[32])
+        else:
+            symbols = "".join(map(self.symbols.__getitem__, text.encode()))
+        return np.array([t.id for t in self.lib.model.tokenize(symbols)], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -73,8 +102,7 @@ class WordMemo:
         again = missing.intersection(older)
         known.update(zip(again, map(older.__getitem__, again), strict=True))
         new = list(missing.difference(again))
-        for k in range(0, len(new), 20_000):
-            known.update(zip(new[k : k + 20_000], self.words(new[k : k + 20_000]), strict=True))
+        known.update(zip(new, self.words(new), strict=True))
         known["\n"] = np.array(self.line, "<u4").tobytes()
         for i, parts in easy:
             out[i] = b"".join(map(known.__getitem__, parts))
