@@ -40,7 +40,8 @@ with np.errstate(over="ignore"):
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse, at least ``n + 1`` of each."""
     if len(_POWERS.get("up", ())) < n + 1:
         size = max(n + 1, 1 << 20)
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
@@ -52,14 +53,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Polynomial prefix hashes modulo 2**64; ``span_hash`` reads any substring's hash from them."""
-    up, _ = _powers(len(data))
+    up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
     return out
 
 
 def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, down = _powers(len(sums) - 1)
+    _, down = powers(len(sums) - 1)
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow_text import U64, column, pieces, prefix_sums, span_hash
+from corpusloom.llm.arrow_text import U64, column, mix, pieces, powers, prefix_sums, span_hash
 from corpusloom.llm.exchange import chunk_name, narrow, pack, shards, unpack, widen
 from corpusloom.llm.shared import written
 
@@ -101,21 +101,39 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, begin: np.ndarr
 
 
 def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks."""
-    rank, k = names.astype(np.int64), 1
-    n = len(rank)
+    """Suffix array by doubling ranks: only what still ties with a neighbour is sorted again, inside its own slots."""
+    n = len(names)
+    order = np.argsort(names)
+    slots = np.arange(n)
+    rank = np.empty(n, np.int64)
+    first = np.concatenate([[True], names[order][1:] != names[order][:-1]])
+    rank[order] = np.maximum.accumulate(np.where(first, slots, 0))
+    k = 1
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + second
-        order = np.argsort(key)
-        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-        fresh = np.cumsum(new)
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        k *= 2
-        if fresh[-1] == n - 1 or k >= n:
+        tied = ~first
+        tied[:-1] |= ~first[1:]
+        slot = np.flatnonzero(tied)
+        if not len(slot):
             return order.astype(np.int32)
+        item = order[slot]
+        after = item + k
+        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[item] * (n + 2) + second
+        by = np.argsort(key)
+        item, key = item[by], key[by]
+        order[slot] = item
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first[slot] |= new
+        rank[item] = np.maximum.accumulate(np.where(new, slot, 0))
+        k *= 2
+
+
+def _same_spans(t: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether two spans of symbols are equal: by length and 64-bit polynomial hash."""
+    up, down = powers(len(t))
+    sums = np.zeros(len(t) + 1, U64)
+    np.cumsum(mix(np.arange(int(t.max()) + 1, dtype=U64) + U64(1))[t] * up[: len(t)], out=sums[1:])
+    return (a_end - a == b_end - b) & ((sums[a_end] - sums[a]) * down[a] == (sums[b_end] - sums[b]) * down[b])
 
 
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
@@ -137,15 +155,7 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     stop = np.empty(n, np.int64)
     stop[lms] = np.append(lms[1:], n - 1)
     a, b = ordered[:-1], ordered[1:]
-    same = stop[a] - a == stop[b] - b
-    i = np.flatnonzero(same)
-    k = 0
-    while len(i):  # compare symbol by symbol, only what is still equal
-        differ = t[a[i] + k] != t[b[i] + k]
-        same[i[differ]] = False
-        i = i[~differ]
-        k += 1
-        i = i[stop[a[i]] - a[i] >= k]
+    same = _same_spans(t, a, stop[a] + 1, b, stop[b] + 1)
     rank = np.concatenate([[0], np.cumsum(~same)])
     name = np.empty(n, np.int64)
     name[ordered] = rank
@@ -183,17 +193,16 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray, limit: int = LENGTH) ->
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes): of every L-byte string inside one row, its leftmost least K-byte substring."""
     window, found, hashes = LENGTH - ANCHOR + 1, [], []
+    room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data)) >= LENGTH
     for s in range(0, max(len(data) - LENGTH + 1, 0), _SEGMENT):
         part = data[s : s + _SEGMENT + LENGTH - 1]
         sums = prefix_sums(part)
-        i = np.arange(len(part) - ANCHOR + 1)
-        h = span_hash(sums, i, i + ANCHOR)
-        m = (h & ~U64((1 << 22) - 1)) | i.astype(U64)
+        h = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * powers(len(part))[1][: len(part) - ANCHOR + 1])
+        m = (h & ~U64((1 << 22) - 1)) | np.arange(len(h), dtype=U64)
         for step in (1, 2, 4, 8):
             m = np.minimum(m[:-step], m[step:])
         m = np.minimum(m[: len(m) - (window - 16)], m[window - 16 :])
-        start = np.arange(s, s + len(m))
-        inside = offsets[np.searchsorted(offsets, start, "right")] - start >= LENGTH
+        inside = room[s : s + len(m)]
         mark = np.zeros(len(part), bool)
         mark[(m[inside] & U64((1 << 22) - 1)).astype(np.int64)] = True
         at = np.flatnonzero(mark)
