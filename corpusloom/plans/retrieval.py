@@ -14,7 +14,8 @@ NOW = 1704067200 + 3600 * 948
 
 
 def _chunks(spark, d):
-    return r.eligible(v.chunks(spark, d), v.files(spark, d))
+    """The chunk table of searchable files. All routes read it, so it is kept; in production it is a stored table."""
+    return r.eligible(v.chunks(spark, d), v.files(spark, d)).persist()
 
 
 def _vectors(spark, d):

@@ -31,8 +31,12 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_segments(table(spark, sf_dir, "documents"))
+
+
+def cut_segments(documents: DataFrame) -> DataFrame:
     """Three lines a page, cut inside the document's row; docx files have no pages."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.split("text", "\n").alias("l"))
+    docs = documents.select(F.col("doc_id").alias("file_id"), F.split("text", "\n").alias("l"))
     starts = F.transform(F.sequence(F.lit(0), F.floor((F.size("l") - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(F.col("l"), i * 3 + 1, F.lit(3)), "\n"))
     page = F.when(F.col("file_id") % 4 != 1, F.col("seg_no") + 1)
     return docs.select("file_id", F.posexplode(starts).alias("seg_no", "text")).select("file_id", "seg_no", "text", page.alias("page_start"), page.alias("page_end"), F.lit("text").alias("source_type"))

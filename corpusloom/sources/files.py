@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,15 @@ def stream_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     return _described(spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(path))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_by_bucket(rows: DataFrame, path: str, key: str = "file_id", buckets: int = 16) -> None:
     """Replaces the rows of every incoming key in a table partitioned by key bucket: only the touched buckets are
     read and rewritten, each through a table of its own first, so a failed job leaves the old rows."""
