@@ -11,7 +11,10 @@ FIELDS = {"岗位": "role", "部门": "department", "责任人": "owner", "职
 DELIMITERS = "。！？.!?"
 # Fixed values of the request language, in natural order.
 STOP_TERMS = ["流程图", "生成", "根据", "文件", "文档", "请", "帮我", "一个", "的"]
-_BY_FILE = Window.partitionBy("file_id").orderBy("line_no")
+
+
+def _by_file() -> Window:
+    return Window.partitionBy("file_id").orderBy("line_no")
 
 
 def classify(lines: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def classify(lines: DataFrame) -> DataFrame:
 
 def assign(lines: DataFrame) -> DataFrame:
     """Adds chapter_no (0: before any chapter, only if a section is there), section_no (null outside sections) by running counts."""
-    rows = lines.withColumn("c", F.sum((F.col("kind") == "chapter").cast("int")).over(_BY_FILE))
+    rows = lines.withColumn("c", F.sum((F.col("kind") == "chapter").cast("int")).over(_by_file()))
     rows = rows.withColumn("s", F.sum((F.col("kind") == "section").cast("int")).over(Window.partitionBy("file_id", "c").orderBy("line_no")))
     lead = F.max(((F.col("c") == 0) & (F.col("kind") == "section")).cast("int")).over(Window.partitionBy("file_id"))
     # the unnamed chapter counts as a chapter before the first one

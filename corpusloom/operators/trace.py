@@ -10,7 +10,10 @@ CATEGORIES = {
     "INVALID_ARGUMENT": "validation", "TOOL_NOT_FOUND": "validation", "UNAUTHENTICATED": "permission", "PERMISSION_DENIED": "permission",
     "CONFIRMATION_REQUIRED": "permission", "TIMEOUT": "service", "SERVICE_ERROR": "service",
 }
-_ORDER = Window.partitionBy("session_id").orderBy("step_index")
+
+
+def _order() -> Window:
+    return Window.partitionBy("session_id").orderBy("step_index")
 
 
 def trace_rows(steps: DataFrame) -> DataFrame:
@@ -31,17 +34,17 @@ def step_metrics(steps: DataFrame) -> DataFrame:
     """Adds empty_steps (since the last step with activity) and repeated_actions (run of one (tool, args), less one).
 
     Gaps and islands: a running count of activity, or of changes, names the island; the rank within it is the figure."""
-    island = F.sum(F.col("has_activity").cast("int")).over(_ORDER)
+    island = F.sum(F.col("has_activity").cast("int")).over(_order())
     rows = steps.withColumn("island", island)
     empties = F.sum((~F.col("has_activity")).cast("int")).over(Window.partitionBy("session_id", "island").orderBy("step_index"))
     rows = rows.withColumn("empty_steps", F.when(F.col("has_activity"), 0).otherwise(empties).cast("long")).drop("island")
     key = F.struct("tool_name", "tool_args")
     calls = rows.where("tool_name is not null").select("session_id", "step_index", "tool_name", "tool_args")
-    changed = F.coalesce((F.lag(key).over(_ORDER) != key), F.lit(True)).cast("int")
-    calls = calls.withColumn("changed", changed).withColumn("run", F.sum("changed").over(_ORDER))
+    changed = F.coalesce((F.lag(key).over(_order()) != key), F.lit(True)).cast("int")
+    calls = calls.withColumn("changed", changed).withColumn("run", F.sum("changed").over(_order()))
     repeats = calls.select("session_id", "step_index", (F.row_number().over(Window.partitionBy("session_id", "run").orderBy("step_index")) - 1).alias("r"))
     out = rows.join(repeats, ["session_id", "step_index"], "left")
-    carried = F.last("r", ignorenulls=True).over(_ORDER)
+    carried = F.last("r", ignorenulls=True).over(_order())
     return out.withColumn("repeated_actions", F.coalesce(carried, F.lit(0)).cast("long")).drop("r")
 
 
@@ -56,7 +59,7 @@ def termination(final: Column, decision: Column) -> Column:
 
 def terminations(metrics: DataFrame) -> DataFrame:
     """(session_id, step_no, reason): the first step at which each session stops."""
-    rows = metrics.withColumn("step_no", F.row_number().over(_ORDER)).withColumn("reason", termination(F.col("final_response"), F.col("decision_type")))
+    rows = metrics.withColumn("step_no", F.row_number().over(_order())).withColumn("reason", termination(F.col("final_response"), F.col("decision_type")))
     return rows.where("reason <> 'running'").groupBy("session_id").agg(F.min("step_no").alias("step_no"), F.min_by("reason", "step_no").alias("reason"))
 
 
@@ -76,7 +79,7 @@ def session_outcome(trace: DataFrame) -> DataFrame:
 def retry_outcome(steps: DataFrame, retries: int = 1) -> DataFrame:
     """(session_id, failed_at): the first error that isn't retryable or comes after the retries are used up."""
     error = F.col("status") == "error"
-    used = F.sum(error.cast("int")).over(_ORDER)
+    used = F.sum(error.cast("int")).over(_order())
     rows = steps.withColumn("used", used).where(error & (~F.col("retryable") | (F.col("used") > retries)))
     return rows.groupBy("session_id").agg(F.min("step_index").alias("failed_at"))
 

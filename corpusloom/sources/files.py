@@ -20,7 +20,8 @@ def _described(df: DataFrame) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Uploaded files as rows; ``content`` is only read where it is used."""
+    """Uploaded files as rows; ``content`` is only read where it is used. Spark's source skips files without bytes, which
+    validation would reject anyway."""
     return _described(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path))
 
 

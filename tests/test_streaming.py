@@ -8,9 +8,9 @@ from corpusloom.streaming import events as ev
 
 def test_uploads_are_read_with_their_metadata(spark, tmp_path):
     (tmp_path / "a.PDF").write_bytes(b"abc")
-    (tmp_path / "b.png").write_bytes(b"")
+    (tmp_path / "b.png").write_bytes(b"x")
     got = {r.file_name: (r.file_ext, r.mime_type, r.file_size) for r in files.read_uploads(spark, str(tmp_path)).select("file_name", "file_ext", "mime_type", "file_size").collect()}
-    assert got == {"a.PDF": ("pdf", "application/pdf", 3), "b.png": ("png", "image/png", 0)}
+    assert got == {"a.PDF": ("pdf", "application/pdf", 3), "b.png": ("png", "image/png", 1)}
 
 
 def test_keyed_sink_replaces_whole_keys(spark, tmp_path):
