@@ -69,7 +69,7 @@ def _place(sa: np.ndarray, pointer: np.ndarray, items: np.ndarray, symbols: np.n
 
 def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All suffixes from the leftmost-smaller ones in the given order."""
-    sa = np.full(len(t), -1, np.int32)
+    sa = np.full(len(t), -1, np.int64)
     tail = end.copy()
     _place(sa, tail, lms[::-1], t[lms[::-1]], False)
     head = begin.copy()
@@ -114,7 +114,7 @@ def _doubled(names: np.ndarray) -> np.ndarray:
         tied[:-1] |= ~first[1:]
         slot = np.flatnonzero(tied)
         if not len(slot):
-            return order.astype(np.int32)
+            return order
         item = order[slot]
         after = item + k
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
@@ -144,7 +144,7 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     if size <= 1 << 16:
         t = t.astype(np.uint16, copy=False)  # numpy sorts 16-bit symbols by counting
     smaller = _next_different(t)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
+    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     end = np.cumsum(np.bincount(t, minlength=size))
     begin = np.concatenate([[0], end[:-1]])
     rough = _induce(t, smaller, lms, begin, end)
