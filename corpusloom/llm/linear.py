@@ -135,7 +135,10 @@ def fit_in_task(rows: DataFrame, columns: list[str], space: Space, fit: Callable
                 yield pa.RecordBatch.from_arrays([column(batch, "order").slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds), pa.array(at.astype(np.int32))), *(column(batch, c).slice(a, b - a) for c in columns)], names=["order", "at", *columns])
 
     marks = ", ".join(f"{c} int" for c in columns)
-    indexed = rows.withColumn("order", F.xxhash64("doc_id")).select("order", "text", *columns).mapInArrow(index, f"order long, at array<int>, {marks}")
+    hashed = rows.withColumn("order", F.xxhash64("doc_id"))
+    if (n := rows.count()) > most:  # only about as many rows as are wanted go on to the exact cut
+        hashed = hashed.where(F.col("order") <= min(2**63 - 1, int(-(2**63) + 2**64 * (1.1 * most / n + 300 / n))))
+    indexed = hashed.select("order", "text", *columns).mapInArrow(index, f"order long, at array<int>, {marks}")
 
     def one(group: pa.Table) -> pa.Table:
         frame = group.to_pandas().sort_values("order", kind="stable")

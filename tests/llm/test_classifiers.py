@@ -81,3 +81,11 @@ def test_features_do_not_cross_documents():
 
     together = of(["a b c", "", "d E 1!"])
     assert together == [of(["a b c"])[0], [], of(["d E 1!"])[0]]
+
+
+def test_fitting_sample_is_bounded(spark):
+    docs, labels, truth = corpus(1200, seed=11)
+    frame, marks = frames(spark, docs, labels)
+    for most in (50, 470):  # far fewer than the labelled rows, and nearly all of them
+        got = quality.score(frame, marks, most=most).collect()
+        assert np.mean([r.predicted == truth[r.doc_id][0] for r in got]) > 0.9
