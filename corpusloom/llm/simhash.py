@@ -204,14 +204,3 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     parts = connected_components(hamming_links(classes.where("rep is not null"), radius, leaves))
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the least doc_id; columns stay.
-
-    Rows with one doc_id count as one document and one of them stays. Rows without a doc_id aren't compared.
-    """
-    found = near_duplicates(docs.where("doc_id is not null"), radius, shingle)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
