@@ -95,13 +95,21 @@ class Index:
 
 
 def best_segment(same: np.ndarray) -> tuple[int, int, int]:
-    """(first, end, equal) of the segment with the best score: 1 for an equal token, -4 for a replaced one, so that
-    the equal share of any prefix or suffix stays at 0.8 or more."""
+    """(first, end, equal) of the segment with most equal tokens among all whose equal share is 0.8 or more.
+
+    Scores are 1 for an equal token and -4 for a replaced one, so a segment has the share if its sum isn't negative.
+    The longest such segment from each new minimum of the prefix sums holds all others. Ends are equal tokens.
+    """
     sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
     low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low))
-    first = int(np.argmax(sums[: end + 1] == low[end]))
-    return first, end, int(same[first:end].sum())
+    starts = np.flatnonzero(np.concatenate([[True], low[1:] < low[:-1]]))
+    # the greatest sum from here on falls, so the last place that reaches a start's sum is found by bisection
+    high = np.maximum.accumulate(sums[::-1])
+    ends = len(sums) - 1 - np.searchsorted(high, sums[starts], "left")
+    count = np.concatenate([[0], np.cumsum(same)])
+    k = int(np.argmax(count[ends] - count[starts]))
+    at = np.flatnonzero(same[starts[k] : ends[k]]) + starts[k]
+    return (int(at[0]), int(at[-1]) + 1, len(at)) if len(at) else (0, 0, 0)
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS, key: str = "item_id", text: str = "text") -> Iterator[Index]:

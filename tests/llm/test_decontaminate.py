@@ -58,3 +58,47 @@ def test_empty_tables_and_repeats(spark):
     rows = spark.createDataFrame([(5, "x A b. C d e f g h i j k l m n y")] * 3, "doc_id long, text string")
     got = d.find_leaks(rows, bench).collect()
     assert [(r.doc_id, r.item_id, r.token_start, r.n_tokens, r.n_equal) for r in got] == [(5, 1, 1, 14, 14)] * 3
+
+
+def check_equals_brute_force(spark, docs, items):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    got = d.find_leaks(frame, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert all(r.n_equal >= 0.8 * r.n_tokens for r in got)
+    assert {r.doc_id for r in d.drop_leaks(frame, bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+    return want
+
+
+def test_evenly_replaced_tokens(spark):
+    items = [(n, " ".join(f"i{n}t{k}" for k in range(n))) for n in (5, 8, 10, 11, 13, 15, 25, 60, 100)]
+    docs = []
+    for n, text in items:
+        for every in (4, 5, 6):
+            for first in range(every):
+                w = [f"r{k}" if k % every == first else t for k, t in enumerate(text.split())]
+                docs.append((len(docs), " ".join(["before"] * (first * 7) + w + ["after"] * 9)))
+    want = check_equals_brute_force(spark, docs, items)
+    hundred = [(i, k) for i, k in want if k == 100]
+    assert len(hundred) >= 10
+
+
+def test_short_run_does_not_hide_a_longer_overlap(spark):
+    # 9 equal tokens score best; the 12 of 14 after them are the leak
+    text = [f"t{k}" for k in range(60)]
+    w = list(text)
+    for k in [*range(9, 30), 34, 39, *range(44, 60)]:
+        w[k] = f"r{k}"
+    assert check_equals_brute_force(spark, [(1, " ".join(w)), (2, " ".join(w[:30]))], [(7, " ".join(text))]) == {(1, 7)}
+
+
+def test_random_overlaps(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(f"i{k}t{j}" for j in range(rng.choice([5, 7, 10, 12, 20, 45])))) for k in range(40)]
+    docs = []
+    for i in range(300):
+        text, share = items[i % 40][1].split(), rng.choice([0.1, 0.15, 0.2, 0.25, 0.3])
+        w = [f"r{rng.randrange(9999)}" if rng.random() < share else t for t in text]
+        docs.append((i, " ".join(["x"] * rng.randrange(4) + w + ["y"] * rng.randrange(4))))
+    assert len(check_equals_brute_force(spark, docs, items)) > 50
