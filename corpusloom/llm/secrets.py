@@ -3,9 +3,11 @@
 Positions come without a Python loop: ``split`` by a pattern gives the text between its matches and
 ``regexp_extract_all`` the matches, so running sums of their lengths (in code points) are the spans.
 
-The Markov stage scores every other long token by the log-likelihood ratio of two character-bigram models, one of
-random strings and one of ordinary identifiers. Both are counted over labelled samples: the values inside the
-base matches are random strings; long words of letters are ordinary identifiers.
+The Markov stage scores every other token of twelve characters or more by the log-likelihood ratio of two
+character-bigram models, one of random strings and one of ordinary identifiers. Both are counted over labelled samples:
+the values inside the base matches are random strings, mixed with uniform ones since most of them are digits or hex;
+words of twelve letters or more are ordinary identifiers. A fifth of the distinct samples is held out and sets the
+threshold of each length.
 """
 
 from __future__ import annotations
@@ -23,14 +25,19 @@ ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Tokens the Markov models look at, and the least length of an ordinary identifier in training.
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Tokens the Markov models look at and the least length of a sample; lengths from LONG on share a threshold.
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 IDENTIFIER = 12
+LONG = 20
 #: Characters of the models, in natural order; any other counts as the last.
 ALPHABET = "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
-#: Least mean log-likelihood ratio (nats a bigram) of a token that is reported.
+#: Least mean log-likelihood ratio (nats a bigram) of a reported token of a length with fewer than HELD_OUT held-out words.
 THRESHOLD = 0.5
 SMOOTHING = 0.5
+#: Weight of uniform strings in the random model, and the share of a length's held-out words that may be reported.
+UNIFORM = 0.5
+FALSE_SHARE = 0.001
+HELD_OUT = 100
 
 Span = "array<struct<start:int,end:int,hit:string>>"
 
@@ -68,18 +75,27 @@ def _bigram(token: Column, i: Column) -> Column:
     return _instr(F.substring(token, i, F.lit(1))) * n + _instr(F.substring(token, i + 1, F.lit(1)))
 
 
-def train(hits: DataFrame) -> list[float]:
-    """Log-likelihood ratios (random against ordinary) of all character bigrams, as one flat table.
+def _score(token: Column, model: Column) -> Column:
+    """Mean log-likelihood ratio of the bigrams of ``token``."""
+    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda a, i: a + F.get(model, _bigram(token, i)))
+    return total / (F.length(token) - 1)
+
+
+def train(hits: DataFrame, threshold: float = THRESHOLD) -> tuple[list[float], list[float]]:
+    """Log-likelihood ratios (random against ordinary) of all character bigrams, as one flat table, and the least
+    score of a reported token by its length from IDENTIFIER to LONG.
 
     The samples are all base values (random) and all tokens of letters outside them (ordinary) of ``hits``. The
     counts are combined before the shuffle; the result has a fixed size, whatever the input. Without samples of a
-    class its model is uniform.
+    class its model is uniform. A length's least score leaves FALSE_SHARE of its held-out ordinary samples above it
+    and is never below even odds (0); without HELD_OUT such samples it is ``threshold``.
     """
     n = len(ALPHABET) + 1
     base = F.flatten(F.array(*[F.transform(F.col(k), lambda x: F.regexp_replace(x["hit"], ASSIGN_HEAD, "")) for k in KINDS[:3]]))
-    plain = F.transform(F.filter("tokens", lambda x: x["hit"].rlike("^[A-Za-z_]+$")), lambda x: x["hit"])
+    plain = F.transform(F.filter("tokens", lambda x: x["hit"].rlike("^[A-Za-z_]+$") & _free(x)), lambda x: x["hit"])
     samples = hits.select(F.explode(F.concat(F.transform(base, lambda v: F.struct(v.alias("v"), F.lit(1).alias("random"))), F.transform(plain, lambda v: F.struct(v.alias("v"), F.lit(0).alias("random"))))).alias("s")).select("s.v", "s.random").where(F.length("v") >= IDENTIFIER)
-    cells = samples.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("v") - 1), lambda i: _bigram(F.col("v"), i))).alias("cell"))
+    samples = samples.withColumn("held", F.pmod(F.xxhash64("v"), F.lit(5)) == 0)
+    cells = samples.where("not held").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("v") - 1), lambda i: _bigram(F.col("v"), i))).alias("cell"))
     counts = {(r["random"], r["cell"]): r["count"] for r in cells.groupBy("random", "cell").count().collect()}
     table = []
     sums = {(c, a): sum(counts.get((c, a * n + b), 0) for b in range(n)) for c in (0, 1) for a in range(n)}
@@ -88,16 +104,23 @@ def train(hits: DataFrame) -> list[float]:
     for a in range(n):
         for b in range(n):
             p, q = ((counts.get((c, a * n + b), 0) + SMOOTHING) / (sums[c, a] + SMOOTHING * n) for c in (1, 0))
-            table.append(log(p / q))
-    return table
+            table.append(log((UNIFORM / n + (1 - UNIFORM) * p) / q))
+    scored = samples.where("held and random = 0").select(F.least(F.length("v"), F.lit(LONG)).alias("size"), _score(F.col("v"), F.lit(table)).alias("score"))
+    ends = scored.groupBy("size").agg(F.count("*").alias("n"), F.percentile_approx("score", 1 - FALSE_SHARE, 10_000).alias("high")).collect()
+    high = {r["size"]: max(0.0, r["high"]) for r in ends if r["n"] >= HELD_OUT}
+    return table, [high.get(k, threshold) for k in range(IDENTIFIER, LONG + 1)]
+
+
+def _free(x: Column) -> Column:
+    """Whether a span touches no base span."""
+    return reduce(lambda a, b: a & b, [~F.exists(F.col(k), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])) for k in KINDS[:3]])
 
 
-def with_markov(hits: DataFrame, table: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """Adds ``markov``: the token spans outside every base span whose mean log-likelihood ratio reaches ``threshold``."""
-    model = F.lit(table)
-    score = lambda x: F.aggregate(F.sequence(F.lit(1), F.length(x["hit"]) - 1), F.lit(0.0), lambda a, i: a + F.get(model, _bigram(x["hit"], i))) / (F.length(x["hit"]) - 1)
-    free = lambda x: reduce(lambda a, b: a & b, [~F.exists(F.col(k), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])) for k in KINDS[:3]])
-    return hits.withColumn("markov", F.filter("tokens", lambda x: free(x) & (score(x) >= threshold)))
+def with_markov(hits: DataFrame, table: list[float], limits: list[float]) -> DataFrame:
+    """Adds ``markov``: the token spans outside every base span whose mean log-likelihood ratio reaches their length's limit."""
+    model, least = F.lit(table), F.lit(limits)
+    limit = lambda x: F.get(least, F.least(F.length(x["hit"]), F.lit(LONG)) - IDENTIFIER)
+    return hits.withColumn("markov", F.filter("tokens", lambda x: _free(x) & (_score(x["hit"], model) >= limit(x))))
 
 
 def _tags(kind: str) -> Column:
@@ -116,7 +139,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", key:
     come from the same texts; an empty table gives an empty result.
     """
     hits = written(found(docs, text, key), "secret-spans")
-    return with_markov(hits, train(hits), threshold)
+    return with_markov(hits, *train(hits, threshold))
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -135,7 +158,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD
     value = lambda x: F.length(x["hit"]) - F.length(F.regexp_extract(x["hit"], ASSIGN_HEAD, 0)) >= 12
     hits = written(hits.withColumn("__assign", F.filter("__assign", value)), "secret-rows")
     named = hits.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), *[F.col(f"__{k}").alias(k) for k in ("assign", "access", "hex", "tokens")])
-    named = with_markov(named, train(named), threshold)
+    named = with_markov(named, *train(named, threshold))
     every = F.array_sort(F.concat(*[F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS]))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("row.text")

@@ -49,6 +49,29 @@ def test_markov_models_find_random_strings_and_leave_words(spark):
     assert not any("markov" in got[i] for i in range(150))
 
 
+def test_tokens_of_12_to_19_characters(spark):
+    rng = random.Random(9)
+    parts = ["re", "tri", "val", "doc", "ment", "thres", "hold", "lan", "guage", "ter", "nal", "or", "der", "ing", "par", "ti", "tion", "gen", "era", "Get", "User", "Name", "In", "_"]
+    ident = lambda: "".join(rng.choice(parts) for _ in range(12))[: rng.randrange(12, 20)]
+    rows = [(i, f"{' '.join(ident() for _ in range(20))} token = {sample(rng, 40)}") for i in range(400)]
+    secret = {1000 + i: sample(rng, 12 + i % 8) for i in range(160)}
+    rows += [(i, f"note {v} end") for i, v in secret.items()] + [(2000 + i, f"note {ident()} end") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.report(secrets.scan(docs)).collect()}
+    found = [i for i, v in secret.items() if got[i] == f"markov:5:{5 + len(v)}"]
+    false = [i for i in range(2000, 2160) if got[i]]
+    assert len(found) >= 0.85 * len(secret) and len(false) <= 2
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(clean[i] == "note [SECRET] end" for i in found)
+
+
+def test_ordinary_model_is_trained_on_words_of_12_letters(spark):
+    rows = [(i, f"{w}ification password={'0123456789ab'}") for i, w in enumerate(["class", "ident", "spec", "just", "modif", "qual"] * 5)]
+    table, limits = secrets.train(secrets.found(spark.createDataFrame(rows, "doc_id long, text string")))
+    cell = lambda a, b: table[(secrets.ALPHABET.index(a) + 1) * (len(secrets.ALPHABET) + 1) + secrets.ALPHABET.index(b) + 1]
+    assert cell("f", "i") < -1 < cell("f", "q") and len(limits) == secrets.LONG - secrets.IDENTIFIER + 1
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     key = "0123456789abcdef0123"
     rows = [(1, f"a token = {key} b", "s", 30), (None, "plain", None, None), (1, None, "s", 0), (2, f"{key}{key}", "s", 40)]
