@@ -87,7 +87,7 @@ def utf8(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def pieces(values: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(values: pa.Array, most: int = 256 << 10) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about ``most`` bytes: (first row, end row, offsets from 0, bytes)."""
     offsets, data = utf8(values)
     row, n = 0, len(values)

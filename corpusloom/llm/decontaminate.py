@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -164,13 +164,20 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TOKENS)
     for index in blocks(benchmark, most):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for a, b, offsets, data in pieces(column(batch, "text")):
-                    tokens, row = token_hashes(data, offsets)
-                    clean[[a + leak[0] for leak in shared.value.leaks(tokens, row, b - a)]] = False
-                yield batch if clean.all() else pa.RecordBatch.from_arrays([pc.filter(c, pa.array(clean)) for c in batch.columns], schema=batch.schema)
-
-        out = out.mapInArrow(run, docs.schema)
+        out = out.where(_without(shared)(F.col("text")))
     return out
+
+
+def _without(shared: Broadcast):
+    """A column function: whether a text holds no passage of the shared index."""
+
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in texts:
+            free = np.ones(len(values), bool)
+            for a, b, offsets, data in pieces(values):
+                tokens, row = token_hashes(data, offsets)
+                free[[a + leak[0] for leak in shared.value.leaks(tokens, row, b - a)]] = False
+            yield pa.array(free)
+
+    return clean

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_text import LOWER, NOT_WORD, U64, column, combine, pieces, prefix_sums, span_hash, words
+from corpusloom.llm.shared import written
 
 #: Features of a model at most, and the labelled documents that a feature must occur in at least.
 FEATURES = 60_000
@@ -25,6 +26,8 @@ LEAST_DOCUMENTS = 4
 FIT_ROWS = 8_000
 #: Rows of a label table up to which it is broadcast (16 bytes each); a larger one is joined by shuffling.
 BROADCAST_ROWS = 2_000_000
+#: Feature counts that a task holds before it sums and sends them.
+MERGED = 1 << 19
 
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91], _SHAPE[97:123], _SHAPE[48:58], _SHAPE[128:] = ord("A"), ord("a"), ord("9"), ord("a")
@@ -62,33 +65,72 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One (keys, sums) of several, equal keys added up."""
+    key, sums = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held], axis=1)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[starts], np.add.reduceat(sums[:, order], starts, axis=1)
+
+
 def class_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(h, n, n_<column>...): documents that hold each feature, all and those labelled 1, plus one row with h = 0 that
-    counts the documents themselves. Counts are summed within a batch before they are shuffled."""
+    counts the documents themselves. Counts of a few megabytes of text are summed before they are shuffled."""
     schema = "h long, n long, " + ", ".join(f"n_{c} long" for c in columns)
+    names = ["h", "n", *(f"n_{c}" for c in columns)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             marks = [column(batch, c).to_numpy() for c in columns]
             for a, b, offsets, data in pieces(column(batch, "text")):
                 h, row = features(data, offsets)
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = h[new], row[new]
-                key, at = np.unique(h, return_inverse=True)
+                first = np.ones(len(h), bool)
+                first[1:] = h[1:] != h[:-1]
+                new = first.copy()
+                new[1:] |= row[1:] != row[:-1]
+                at = np.cumsum(first)[new] - 1
+                key, row = h[first], row[new]
                 sums = [np.bincount(at, minlength=len(key)), *(np.bincount(at, weights=m[a:b][row], minlength=len(key)) for m in marks)]
                 head = [b - a, *(m[a:b].sum() for m in marks)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[0], key.view(np.int64)])), *(pa.array(np.concatenate([[x], s]).astype(np.int64)) for x, s in zip(head, sums, strict=True))], names=["h", "n", *(f"n_{c}" for c in columns)])
+                yield np.concatenate([[0], key.view(np.int64)]), np.stack([np.concatenate([[x], s]) for x, s in zip(head, sums, strict=True)]).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in counted(batches):
+            held.append(part)
+            size += len(part[0])
+            if size >= MERGED:
+                key, sums = _merged(held)
+                held, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums.astype(np.int64))], names=names)
+        if held:
+            key, sums = _merged(held)
+            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, sums.astype(np.int64))], names=names)
 
     summed = rows.select("text", *columns).mapInArrow(run, schema)
     return summed.groupBy("h").agg(F.sum("n").alias("n"), *[F.sum(f"n_{c}").alias(f"n_{c}") for c in columns])
 
 
+def _cut(counts: list[tuple[int, int]], most: int) -> tuple[int | None, int]:
+    """(key, room): of (key, count) pairs in order of preference, the key at which ``most`` are reached and how many of
+    its own still fit; None if all fit."""
+    for key, n in counts:
+        if n >= most:
+            return key, most
+        most -= n
+    return None, most
+
+
 def pick(counts: DataFrame, columns: list[str], most: int = FEATURES, least: int = LEAST_DOCUMENTS) -> pd.DataFrame:
-    """The features that tell most about the labels: h, and each column's log-count ratio r_<column>. At most
-    ``most`` rows reach the driver."""
+    """The ``most`` features that tell most about the labels: h, and each column's log-count ratio r_<column>.
+
+    Worth is compared in steps of 1/1024, equal steps by h. Two histograms (of worth, and of h in the step that is
+    cut) find the limit, so no more rows than wanted, and one bin, reach the driver.
+    """
+    counts = written(counts.where((F.col("h") == 0) | (F.col("n") >= least)), "feature-counts")
     total = counts.where("h = 0").first()
     if total is None:
         return pd.DataFrame({"h": np.zeros(0, np.int64), **{f"r_{c}": np.zeros(0) for c in columns}})
@@ -100,7 +142,14 @@ def pick(counts: DataFrame, columns: list[str], most: int = FEATURES, least: int
         ratios.append(ratio.alias(f"r_{c}"))
         worth.append(F.abs(ratio) * F.sqrt(F.least(pos / p, F.lit(1.0)) + F.least(neg / q, F.lit(1.0))))
     best = F.greatest(*worth) if len(worth) > 1 else worth[0]
-    return counts.where((F.col("h") != 0) & (F.col("n") >= least)).select("h", *ratios, best.alias("worth")).sort(F.desc("worth"), "h").limit(most).drop("worth").toPandas()
+    rated = counts.where((F.col("h") != 0) & (F.col("n") >= least)).select("h", *ratios, F.floor(best * 1024).alias("step"), F.shiftrightunsigned("h", 52).alias("bin"))
+    step, room = _cut(sorted(((r[0], r[1]) for r in rated.groupBy("step").count().collect()), reverse=True), most)
+    if step is not None:
+        last, _ = _cut(sorted((r[0], r[1]) for r in rated.where(F.col("step") == step).groupBy("bin").count().collect()), room)
+        rated = rated.where((F.col("step") > step) | ((F.col("step") == step) & (F.col("bin") <= last)))
+    found = rated.drop("bin").toPandas()
+    order = np.lexsort((found["h"].to_numpy(np.int64).view(np.uint64), -found["step"].to_numpy(np.int64)))[:most]
+    return found.iloc[order].drop(columns="step").reset_index(drop=True)
 
 
 class Space:

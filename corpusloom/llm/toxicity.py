@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,9 +137,10 @@ def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> D
     """``docs`` without the rows that the chain finds toxic; all columns and other rows stay."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.concatenate([shared.value.probabilities(data, offsets)[:, -1] < threshold for _, _, offsets, data in pieces(column(batch, "text"))] or [np.zeros(0, bool)])
-            yield pa.RecordBatch.from_arrays([pc.filter(c, pa.array(keep)) for c in batch.columns], schema=batch.schema)
+    @F.arrow_udf("boolean")
+    def clean(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in texts:
+            found = [shared.value.probabilities(data, offsets)[:, -1] < threshold for _, _, offsets, data in pieces(values)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(clean(F.col("text")))
