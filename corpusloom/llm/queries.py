@@ -57,7 +57,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")).drop("ids")
+    return bpe.encode_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), ids=False)
 
 
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
