@@ -16,30 +16,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow_text import column
-from corpusloom.llm.bpe import byte_symbols
+from corpusloom.llm.arrow_text import column, pieces
+from corpusloom.llm.bpe import byte_symbols, gathered
 
 STRIPE_BYTES = 8 << 20
 INDEX_STRIDE = 1000
-#: Distinct words that a Python worker remembers: between so many and twice as many.
+#: Distinct parts of text that a Python worker remembers: between so many and twice as many.
 REMEMBERED = 250_000
-
-
-#: White space other than single spaces and line ends, special-token marks and the separator used below.
-HARD = ("  ", " \n", "\n ", "\n\n", "<|", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B)))
-
-
-#: ASCII punctuation without the apostrophe, which starts contractions.
-PUNCTUATION = """!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"""
-
-
-class WordMemo:
-    """Encodes whole texts with a vocabulary of the ``tokenizers`` library, each distinct word only once.
-
-    The byte-level pattern starts a new piece at every single space and at every line end before a
-    non-blank, so a text without two adjacent white-space characters is encoded word by word; any other text goes
-    to the library whole.
-    """
+#: Bytes of text whose distinct parts are looked up together.
+BLOCK = 2 << 20
+
+#: Classes of ASCII between which the byte-level pattern always starts a new piece: letters, digits, punctuation.
+#: Apostrophes (contractions) and the characters of special-token marks belong to none.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[[ord(c) for c in "'<|>"]] = 0
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[33:127] = True
+
+
+def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks of places between which the byte-level pattern can be applied alone.
+
+    A space belongs to the visible character behind it, and begins a run of blanks behind a visible one; a single line
+    end between visible characters stands alone; letters, digits and punctuation part from each other."""
+    n = len(data)
+    mark = np.zeros(n + 1, bool)
+    if n:
+        seen, kind = _VISIBLE[data], _CLASS[data]
+        seen_before, seen_behind = np.append(False, seen[:-1]), np.append(seen[1:], False)
+        mark[:-1] = (data == 32) & (seen_before | seen_behind)
+        line = (data == 10) & seen_before & seen_behind
+        mark[:-1] |= line
+        mark[1:] |= line
+        mark[1:-1] |= (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    mark[offsets] = True
+    return mark
+
+
+class PartMemo:
+    """Encodes whole texts with a vocabulary of the ``tokenizers`` library, each distinct part of a block only once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,140 +66,108 @@ class WordMemo:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.line = self.lib.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.symbols = byte_symbols()
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
-
-    def words(self, new: list[str]) -> list[bytes]:
-        """Ids of words. Letters with ASCII punctuation behind them are two pieces, which go to the library's model
-        directly (it is a byte-level BPE); anything else is encoded by the whole tokenizer."""
-        known, tails, out, rest = self.known, self.tails, [], []
-        for w in new:
-            core = w.rstrip(PUNCTUATION)
-            tail = w[len(core) :]
-            if not (core[1:] if core[:1] == " " else core).isalpha():
-                rest.append(len(out))
-                out.append(b"")
-                continue
-            raw = known.get(core)
-            if raw is None:
-                raw = known[core] = self.piece(core)
-            if tail:
-                if tail not in tails:
-                    tails[tail] = self.piece(tail)
-                raw += tails[tail]
-            out.append(raw)
-        for i, raw in zip(rest, self.whole([new[i] for i in rest]), strict=True):
-            out[i] = raw
-        return out
-
-    def piece(self, text: str) -> bytes:
-        if text.isascii() and text.isprintable():  # printable ASCII stands for itself, a space has a symbol of its own
-            symbols = text.replace(" ", self.symbols[32])
-        else:
-            symbols = "".join(map(self.symbols.__getitem__, text.encode()))
-        return np.array([t.id for t in self.lib.model.tokenize(symbols)], "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        hard, easy = [], []
-        for i, t in enumerate(texts):
-            if not t or t[0] in " \n" or t[-1] in " \n" or any(x in t for x in HARD):
-                hard.append(i)
-            else:  # a word keeps the space before it; a line end is a word of its own
-                easy.append((i, t.replace("\n", " \n ").replace(" ", "\0 ").replace("\0 \n\0 ", "\0\n\0").split("\0")))
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.space = byte_symbols()[32]
+
+    def parts(self, raw: list[bytes]) -> list[bytes]:
+        """Ids of parts, as little-endian 32-bit integers. Letters go to the library's model directly (it is a byte-level
+        BPE, and they are one piece); anything else is encoded by the whole tokenizer."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        missing = set().union(*(parts for _, parts in easy)).difference(known, ["\n"])
-        again = missing.intersection(older)
-        known.update(zip(again, map(older.__getitem__, again), strict=True))
-        new = list(missing.difference(again))
-        known.update(zip(new, self.words(new), strict=True))
-        known["\n"] = np.array(self.line, "<u4").tobytes()
-        for i, parts in easy:
-            out[i] = b"".join(map(known.__getitem__, parts))
-        for p in [p for p in new if len(p) >= 64]:
-            del known[p]
-        for i, raw in zip(hard, self.whole([texts[i] for i in hard]), strict=True):
-            out[i] = raw
-        return out
+        known, older, tokenize = self.known, self.older, self.lib.model.tokenize
+        found: list = [known.get(w) for w in raw]
+        rest = []
+        for k in [k for k, x in enumerate(found) if x is None]:
+            w = raw[k]
+            ids = older.get(w)
+            if ids is None:
+                if w.isascii() and (w[1:] if w[0] == 32 else w).isalpha():
+                    text = w.decode()
+                    ids = np.array([t.id for t in tokenize(self.space + text[1:] if w[0] == 32 else text)], "<u4").tobytes()
+                else:
+                    rest.append(k)
+                    continue
+            found[k] = ids
+            if len(w) < 64:
+                known[w] = ids
+        for k, e in zip(rest, self.lib.encode_batch_fast([raw[k].decode() for k in rest], add_special_tokens=False) if rest else [], strict=True):
+            found[k] = np.array(e.ids, "<u4").tobytes()
+            if len(raw[k]) < 64:
+                known[raw[k]] = found[k]
+        return found
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, bounds): each text's ids and the end."""
+        mark = cuts(data, offsets)
+        at = np.flatnonzero(mark).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        values = [*self.parts(parts.dictionary.to_pylist()), np.array([end_id], "<u4").tobytes()]
+        bounds = np.searchsorted(at, offsets)
+        index = np.insert(parts.indices.to_numpy(), bounds[1:], len(values) - 1)
+        held, ends = gathered(pa.array(values, pa.large_binary()), pa.array(index), bounds + np.arange(len(bounds)))
+        return np.frombuffer(held, "<u4")[: ends[-1] // 4], ends // 4
 
 
 #: One memo for each vocabulary in a Python worker; it serves all tasks that the worker runs.
-_MEMOS: dict[str, WordMemo] = {}
+_MEMOS: dict[str, PartMemo] = {}
 
 
-def memo(path: str) -> WordMemo:
+def memo(path: str) -> PartMemo:
     if path not in _MEMOS:
-        _MEMOS[path] = WordMemo(path)
+        _MEMOS[path] = PartMemo(path)
     return _MEMOS[path]
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, text: str = "text", key: str = "doc_id", partitions: int | None = None) -> None:
-    """Writes (doc_id, n_tokens, ids, ids_crc32 of the write, part) to ORC files under ``path``.
+    """Writes (doc_id, offset, n_tokens, ids, part) to ORC files under ``path``; offset counts the ids before a document in
+    its file, ``part``.
 
-    ``end_id`` follows each document's ids. A null text has only that id. Rows with equal doc_id stay together in
-    the order of their texts; a null doc_id comes first. An empty table writes an empty file set.
+    ``end_id`` follows each document's ids. A null text has only that id. A null doc_id comes first. Rows with equal
+    doc_id are in the order of a hash of their texts, by which they may also be parted, so one id may hold any share
+    of the rows. An empty table writes an empty file set.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = memo(vocabulary)
-        end = np.array([end_id], "<u4").tobytes()
+        parts, before = memo(vocabulary), 0
         for batch in batches:
-            keys, texts = column(batch, "doc_id"), column(batch, "text")
-            for k in range(0, len(texts), 2048):
-                raw = [r + end for r in words.encode([t or "" for t in texts.slice(k, 2048).to_pylist()])]
-                n = np.array([len(r) // 4 for r in raw], np.int64)
-                values = pa.array(np.frombuffer(b"".join(raw), "<u4").view(np.int32))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), values)
-                yield pa.RecordBatch.from_arrays([keys.slice(k, 2048), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
-
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
+            for a, b, offsets, data in pieces(column(batch, "text"), BLOCK):
+                ids, bounds = parts.encode(data, offsets, end_id)
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(a, b - a), pa.array(bounds[:-1] + before), pa.array(np.diff(bounds)), lists], names=["doc_id", "offset", "n_tokens", "ids"])
+                before += int(bounds[-1])
+
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("mark"))
+    rows = rows.repartitionByRange(partitions, "doc_id", "mark") if partitions else rows.repartitionByRange("doc_id", "mark")
     (
-        rows.sortWithinPartitions("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
-        .withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id())
+        rows.sortWithinPartitions("doc_id", "mark").select("doc_id", "text").mapInArrow(run, "doc_id long, offset long, n_tokens long, ids array<int>")
+        .withColumn("part", F.spark_partition_id())
         .write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(INDEX_STRIDE))
         .option("orc.stripe.size", str(STRIPE_BYTES)).option("compression", "zstd").orc(path)
     )
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, part, pos) of written files; filters on doc_id prune by min-max and Bloom filter."""
-    return spark.read.schema("doc_id long, n_tokens long, ids array<int>, part int, pos long").orc(path)
-
+    """(doc_id, offset, n_tokens, ids, part) of written files; filters on doc_id prune by min-max and Bloom filter."""
+    return spark.read.schema("doc_id long, offset long, n_tokens long, ids array<int>, part int").orc(path)
 
-def starts(tokens: DataFrame) -> DataFrame:
-    """Each document's offset: ids of all documents before it. Only lengths are read.
 
-    A file's total is one row, so the running sum over files handles as many rows as there are files; within a
-    file the sum is a window over that file.
-    """
-    lengths = tokens.select("doc_id", "n_tokens", "part", "pos")
+def file_starts(tokens: DataFrame) -> DataFrame:
+    """(part, base): ids in all files before each file. One row a file; only lengths are read."""
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = lengths.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", before.alias("base"))
-    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return lengths.withColumn("within", within).join(files, "part").select("pos", "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens")
+    return tokens.groupBy("part").agg(F.sum("n_tokens").alias("total")).select("part", before.alias("base"))
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """(pos, ids_crc32): unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
+def digest(tokens: DataFrame) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of written files, in one pass over the ids; ids_crc32 is of the ids as
+    little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = column(batch, "ids")
             raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)).astype("<u4", copy=False)).cast("B")
             at = ids.offsets.to_numpy()
-            yield pa.RecordBatch.from_arrays([column(batch, "pos"), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())], names=["pos", "ids_crc32"])
+            sums = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "offset"), pa.array(np.diff(at).astype(np.int64)), column(batch, "part"), sums], names=["doc_id", "offset", "n_tokens", "part", "ids_crc32"])
 
-    return tokens.select("pos", "ids").mapInArrow(run, "pos long, ids_crc32 long")
-
-
-def digest(tokens: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of written files."""
-    return starts(tokens).join(checksums(tokens), "pos").drop("pos")
+    found = tokens.select("doc_id", "offset", "ids", "part").mapInArrow(run, "doc_id long, offset long, n_tokens long, part int, ids_crc32 long")
+    return found.join(file_starts(tokens), "part").select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
