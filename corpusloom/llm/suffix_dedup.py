@@ -30,10 +30,10 @@ from corpusloom.llm.shared import written
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text for which there is one shard, and in a chunk.
 SHARD_BYTES, CHUNK_BYTES = 6 << 20, 3 << 20
-#: Names up to which the reduced string is sorted by another level of induction; above, by doubling ranks.
-NAMES = 2048
+#: Positions for each kind of symbol below which suffixes are placed one by one, above by stretches of a bucket.
+FEW = 40
 _KEY = U64((1 << 48) - 1)
-_SEGMENT = 3 << 20
+_SEGMENT = 128 << 10
 
 
 # ------------------------------------------------------------------------------------------------ suffix arrays
@@ -69,6 +69,8 @@ def _place(sa: np.ndarray, pointer: np.ndarray, items: np.ndarray, symbols: np.n
 
 def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """All suffixes from the leftmost-smaller ones in the given order."""
+    if np.count_nonzero(end > begin) * FEW > len(t):
+        return _induce_singly(t, smaller, lms, begin, end)
     sa = np.full(len(t), -1, np.int64)
     tail = end.copy()
     _place(sa, tail, lms[::-1], t[lms[::-1]], False)
@@ -100,32 +102,29 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, begin: np.ndarr
     return sa
 
 
-def _doubled(names: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling ranks: only what still ties with a neighbour is sorted again, inside its own slots."""
-    n = len(names)
-    order = np.argsort(names)
-    slots = np.arange(n)
-    rank = np.empty(n, np.int64)
-    first = np.concatenate([[True], names[order][1:] != names[order][:-1]])
-    rank[order] = np.maximum.accumulate(np.where(first, slots, 0))
-    k = 1
-    while True:
-        tied = ~first
-        tied[:-1] |= ~first[1:]
-        slot = np.flatnonzero(tied)
-        if not len(slot):
-            return order
-        item = order[slot]
-        after = item + k
-        second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = rank[item] * (n + 2) + second
-        by = np.argsort(key)
-        item, key = item[by], key[by]
-        order[slot] = item
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        first[slot] |= new
-        rank[item] = np.maximum.accumulate(np.where(new, slot, 0))
-        k *= 2
+def _induce_singly(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """``_induce`` for large alphabets, whose buckets hold few suffixes each."""
+    n, text, small = len(t), t.tolist(), smaller.tolist()
+    sa, tail, head = [-1] * n, end.tolist(), begin.tolist()
+    for p in lms[::-1].tolist():
+        c = text[p]
+        tail[c] -= 1
+        sa[tail[c]] = p
+    for i in range(n):
+        p = sa[i] - 1
+        if p >= 0 and not small[p]:
+            c = text[p]
+            sa[head[c]] = p
+            head[c] += 1
+    tail = end.tolist()
+    for i in range(n - 1, -1, -1):
+        p = sa[i] - 1
+        if p >= 0 and small[p]:
+            c = text[p]
+            tail[c] -= 1
+            sa[tail[c]] = p
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
 
 
 def _same_spans(t: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
@@ -164,13 +163,23 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     if kinds == len(lms):
         order = np.empty(kinds, np.int64)
         order[reduced] = np.arange(kinds)
-    elif kinds <= NAMES:
-        order = suffix_array(reduced, kinds)
     else:
-        order = _doubled(reduced)
+        order = suffix_array(reduced, kinds)
     return _induce(t, smaller, lms[order], begin, end)
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` bytes from ``a`` and from ``b`` are equal; ``data`` has 8 bytes beyond every span."""
+    words, same = np.lib.stride_tricks.sliding_window_view(data, 8), np.ones(len(a), bool)
+    at = np.arange(len(a))
+    for o in range(0, int(size.max()) if len(size) else 0, 8):
+        at = at[same[at] & (size[at] > o)]
+        x = np.ascontiguousarray(words[a[at] + o]).view("<u8").ravel() ^ np.ascontiguousarray(words[b[at] + o]).view("<u8").ravel()
+        beyond = np.maximum(0, 8 - (size[at] - o)).astype(U64) * U64(8)
+        same[at] = (x << beyond) == 0
+    return same
+
+
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, limit: int = LENGTH) -> np.ndarray:
     """For each text position, the common prefix of its suffix with the one before it in ``sa``, capped at ``limit``; in
     text order. Positions that aren't in ``sa`` get 0. ``text`` has at least ``limit`` + 8 bytes beyond every position."""
@@ -236,21 +245,19 @@ class Chunk:
         self.keys = h[new]
         self.bounds = np.searchsorted(shard_of(self.keys, n_shards), np.arange(n_shards + 1))
 
-    def question(self, s: int) -> bytes:
-        """Anchor hashes for shard ``s`` and whether two documents of the chunk have them."""
-        a, b = self.bounds[s], self.bounds[s + 1]
-        return pack(narrow(self.keys[a:b], 6), np.packbits(self.several[a:b]))
-
-    @property
-    def several(self) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(0, bool)
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        """For each shard that has some, anchor hashes and whether two documents of the chunk have them."""
         doc = self.ids[self.row]
-        return np.minimum.reduceat(doc, self.starts) != np.maximum.reduceat(doc, self.starts)
+        several = np.minimum.reduceat(doc, self.starts) != np.maximum.reduceat(doc, self.starts) if len(doc) else np.zeros(0, bool)
+        for s in np.flatnonzero(np.diff(self.bounds)).tolist():
+            a, b = self.bounds[s], self.bounds[s + 1]
+            yield s, pack(narrow(self.keys[a:b], 6), np.packbits(several[a:b]))
 
     def contexts(self, common: np.ndarray) -> None:
         """Keeps the anchors that several documents share, as distinct contexts by shard: all L-byte strings that an
         anchor can own lie in its context."""
+        if len(common) != len(self.keys):
+            raise ValueError("the passes over the documents were cut differently")
         at, row, key = self.at[common[self.of]], self.row[common[self.of]], self.keys[self.of[common[self.of]]]
         lo = np.maximum(at - (LENGTH - ANCHOR), self.offsets[row])
         hi = np.minimum(at + LENGTH, self.offsets[row + 1])
@@ -260,21 +267,26 @@ class Chunk:
         h = (shard.astype(U64) << U64(44)) | (h >> U64(20))
         order = np.lexsort((doc, h))
         self.lo, self.size, self.doc, h, shard = lo[order], (hi - lo)[order], doc[order], h[order], shard[order]
+        self.off = at[order] - self.lo
         new = np.ones(len(order), bool)
         new[1:] = (h[1:] != h[:-1]) | (self.size[1:] != self.size[:-1])
+        equal = np.flatnonzero(~new)
+        new[equal] = ~same_bytes(np.append(self.data, np.zeros(8, np.uint8)), self.lo[equal - 1], self.lo[equal], self.size[equal])
         self.first, self.which = np.flatnonzero(new), np.cumsum(new) - 1
         self.shares = np.searchsorted(shard[self.first], np.arange(self.n_shards + 1)) if len(order) else np.zeros(self.n_shards + 1, np.int64)
 
     def message(self, s: int) -> bytes:
-        """Distinct contexts of shard ``s``: lengths, bytes, least doc_id."""
+        """Distinct contexts of shard ``s``: lengths, bytes, least doc_id, where the anchor is."""
         f = self.first[self.shares[s] : self.shares[s + 1]]
         size = self.size[f]
         at = np.repeat(self.lo[f], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        return pack(size.astype(np.uint8), self.data[at], self.doc[f])
+        return pack(size.astype(np.uint8), self.data[at], self.doc[f], self.off[f].astype(np.uint8))
 
     def results(self, earlier: np.ndarray) -> Iterator[tuple]:
         """Rows from ``earlier``: for each distinct context, bits of the L-byte strings that start in a document before
         the chunk's least one with that context."""
+        if len(earlier) != len(self.first):
+            raise ValueError("the passes over the documents were cut differently")
         bits = np.unpackbits(earlier.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, ::-1].view(bool) if len(earlier) else np.zeros((0, 32), bool)
         hit = bits[self.which] if len(self.which) else bits
         later = self.doc > self.doc[self.first][self.which] if len(self.which) else np.zeros(0, bool)
@@ -316,6 +328,44 @@ def _common(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": names, "shard": table.column("key"), "blob": pa.array(out, pa.binary())})
 
 
+def _distinct(data: np.ndarray, bounds: np.ndarray, size: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first of each, which of these each is) of the spans between ``bounds``; equal hashes are told apart by the bytes."""
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    at = bounds[:-1]
+    if ((size == size[first][which]) & same_bytes(data, at, at[first][which], size)).all():
+        return first, which
+    seen: dict[bytes, int] = {}
+    which = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    return np.unique(which, return_index=True)[1], which
+
+
+def _classes(data: np.ndarray, at: np.ndarray, own: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each context (position, length, least doc_id) and each of its L-byte strings the least doc_id of the string's
+    class, by the suffix array of all contexts."""
+    # text: contexts (bytes + 2) each followed by 1, then 0
+    start = np.cumsum(own + 1) - (own + 1)
+    text = np.ones(int((own + 1).sum()) + 1, np.uint16)
+    text[-1] = 0
+    inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+    place, source = np.repeat(start, own) + inner, np.repeat(at, own) + inner
+    del inner
+    raw = np.zeros(len(text) + LENGTH + 8, np.uint8)
+    raw[place] = data[source]
+    text[place] = data[source].astype(np.uint16) + 2
+    del place, source
+    sa = suffix_array(text, 258)
+    del text
+    context = np.repeat(np.arange(len(own)), own + 1)
+    room = np.append((start + own)[context] - np.arange(len(context)) >= LENGTH, False)
+    sa = sa[room[sa]]
+    lcp = permuted_prefixes(raw, sa)
+    starts = np.flatnonzero(lcp[sa] < LENGTH)
+    group = np.minimum.reduceat(least[context[sa]], starts) if len(starts) else least[:0]
+    out = np.full((len(own), 32), np.iinfo(np.int64).max)
+    out[context[sa], sa - start[context[sa]]] = np.repeat(group, np.diff(np.append(starts, len(sa))))
+    return out
+
+
 def _earlier(table: pa.Table) -> pa.Table:
     """Second question: which L-byte strings of each context start in an earlier document? By the shard's suffix array."""
     names, blob = table.column("chunk").to_numpy(), table.column("blob").to_pylist()
@@ -325,30 +375,18 @@ def _earlier(table: pa.Table) -> pa.Table:
     out = np.zeros(len(size), np.uint32)
     if len(size):
         bounds = np.concatenate([[0], np.cumsum(size)])
-        h = span_hash(prefix_sums(data), bounds[:-1], bounds[1:])
-        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        sums = prefix_sums(data)
+        first, which = _distinct(np.append(data, np.zeros(8, np.uint8)), bounds, size, span_hash(sums, bounds[:-1], bounds[1:]))
         least = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
-        own = size[first]
-        # text: contexts (bytes + 2) each followed by 1, then 0
-        start = np.cumsum(own + 1) - (own + 1)
-        text = np.ones(int((own + 1).sum()) + 1, np.uint16)
-        text[-1] = 0
-        inner = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-        raw = np.zeros(len(text) + LENGTH + 8, np.uint8)
-        raw[np.repeat(start, own) + inner] = data[np.repeat(bounds[:-1][first], own) + inner]
-        text[np.repeat(start, own) + inner] = data[np.repeat(bounds[:-1][first], own) + inner].astype(np.uint16) + 2
-        sa = suffix_array(text, 258)
-        del text
-        context = np.repeat(np.arange(len(own)), own + 1)
-        room = (start + own)[context] - np.arange(len(context)) >= LENGTH
-        room = np.append(room, False)
-        sa = sa[room[sa]]
-        lcp = permuted_prefixes(raw, sa)
-        starts = np.flatnonzero(lcp[sa] < LENGTH)
-        group = np.minimum.reduceat(least[context[sa]], starts) if len(starts) else least[:0]
-        before = np.full((len(own), 32), np.iinfo(np.int64).max)
-        before[context[sa], sa - start[context[sa]]] = np.repeat(group, np.diff(np.append(starts, len(sa))))
+        # only strings of one anchor can be equal: a context that is alone with its anchor meets no other
+        at = bounds[:-1][first] + np.concatenate([m[3] for m in asked])[first]
+        _, anchor, times = np.unique(span_hash(sums, at, at + ANCHOR), return_inverse=True, return_counts=True)
+        del sums
+        before = np.repeat(least[:, None], 32, axis=1)
+        several = np.flatnonzero(times[anchor] > 1)
+        if len(several):
+            before[several] = _classes(data, bounds[:-1][first[several]], size[first[several]], least[several])
         for a in range(0, len(size), 1 << 16):
             b = a + (1 << 16)
             hit = before[which[a:b]] < doc[a:b, None]
@@ -369,7 +407,7 @@ def _gathered(table: pa.Table, n_shards: int) -> tuple[list[Chunk], np.ndarray,
     own = [unpack(b) for k, b in zip(kind, blob, strict=True) if k == 0]
     first = sorted((s, b) for k, s, b in zip(kind, shard, blob, strict=True) if k == 1)
     second = sorted((s, b) for k, s, b in zip(kind, shard, blob, strict=True) if k == 2)
-    if len(own) != 1 or len(first) != n_shards or len(second) not in (0, n_shards):
+    if len(own) != 1:
         raise ValueError("the passes over the documents were cut differently")
     common = [np.unpackbits(bits, count=int(n[0])).view(bool) for bits, n in (unpack(b) for _, b in first)]
     chunks = [Chunk(ids, data, offsets, n_shards) for ids, data, offsets in own]
@@ -399,7 +437,8 @@ def deduplicate(docs: DataFrame, n_shards: int | None = None, chunk_bytes: int =
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, ids, data, offsets in parts(batches):
             chunk = Chunk(ids, data, offsets, n_shards)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_shards)), pa.array(np.full(n_shards, name)), pa.array([chunk.question(s) for s in range(n_shards)], pa.binary())], names=["key", "chunk", "blob"])
+            asked = list(chunk.questions())
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in asked], pa.int64()), pa.array(np.full(len(asked), name)), pa.array([b for _, b in asked], pa.binary())], names=["key", "chunk", "blob"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, *own in parts(batches):
@@ -408,12 +447,13 @@ def deduplicate(docs: DataFrame, n_shards: int | None = None, chunk_bytes: int =
     def send(table: pa.Table) -> pa.Table:
         (chunk,), _, _ = _gathered(table, n_shards)
         name = table.column("chunk")[0].as_py()
-        return pa.table({"key": pa.array(np.arange(n_shards)), "chunk": pa.array(np.full(n_shards, name)), "blob": pa.array([chunk.message(s) for s in range(n_shards)], pa.binary())})
+        some = np.flatnonzero(np.diff(chunk.shares))
+        return pa.table({"key": pa.array(some), "chunk": pa.array(np.full(len(some), name)), "blob": pa.array([chunk.message(s) for s in some.tolist()], pa.binary())})
 
     def finish(table: pa.Table) -> pa.Table:
         (chunk,), _, second = _gathered(table, n_shards)
         earlier = [unpack(b)[0] for b in second]
-        out = list(chunk.results(np.concatenate(earlier)))
+        out = list(chunk.results(np.concatenate([np.zeros(0, np.uint32), *earlier])))
         ids = np.array([r[0] for r in out], np.int64)
         kept = [r[4].tobytes() for r in out]
         return pa.table({"doc_id": pa.array(ids, mask=ids == last), **{n: pa.array([r[i] for r in out], pa.int64()) for i, n in enumerate(("n_bytes", "n_removed", "n_spans"), 1)}, "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), "kept": pa.array(kept, pa.binary())})

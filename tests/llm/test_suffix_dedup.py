@@ -32,11 +32,25 @@ def test_suffix_array(seed):
     t[500:900] = t[1500:1900]
     t = np.append(t, 0)
     raw = [tuple(t[i:].tolist()) for i in range(len(t))]
-    for names in (1, 5000):
-        sd.NAMES = names
+    few = sd.FEW
+    for sd.FEW in (0, 10**9, few):  # by stretches, one by one, as in production
         assert sd.suffix_array(t, 258).tolist() == sorted(range(len(t)), key=raw.__getitem__)
 
 
+def test_suffix_array_of_a_long_text_with_many_names():
+    rng = np.random.default_rng(3)
+    t = np.append(rng.integers(1, 27, 60_000), 0)
+    t[20_000:26_000] = t[40_000:46_000]
+    data = bytes(t.astype(np.uint8))
+    assert sd.suffix_array(t, 258).tolist() == sorted(range(len(t)), key=lambda i: data[i : i + 8000])
+
+
+def test_same_bytes():
+    data = np.frombuffer(b"abcdefghijklmnop-abcdefghijklmnoq-abc" + bytes(8), np.uint8)
+    got = sd.same_bytes(data, np.array([0, 0, 0, 3]), np.array([17, 17, 34, 20]), np.array([15, 16, 3, 0]))
+    assert got.tolist() == [True, False, True, True]
+
+
 def test_permuted_prefixes():
     rng = np.random.default_rng(1)
     t = rng.integers(97, 99, 2000).astype(np.uint8)
