@@ -28,8 +28,10 @@ from corpusloom.llm.exchange import CHUNK_BYTES, chunk_name, narrow, pack, shard
 
 ORDER = 2
 STRENGTH = 4.0
-#: Kept bits of a key: of a unigram or context (of 64), and of a successor within its context.
-KEY_BYTES, NEXT_BYTES = 6, 5
+#: Bytes of a word's key (its whole 64-bit hash: base counts are exact), of a context's, and of a successor's within it.
+WORD_BYTES, KEY_BYTES, NEXT_BYTES = 8, 6, 5
+#: Bytes of text for which there is one shard.
+SHARD_BYTES = 12 << 20
 _KEY, _NEXT = U64((1 << 48) - 1), U64((1 << 40) - 1)
 #: Quantisation steps for one decade of probability.
 STEPS = 6000
@@ -170,7 +172,7 @@ class Chunk:
         in_train = train[row]
         first = np.ones(len(row), bool)
         first[1:] = row[1:] != row[:-1]
-        key = mix(w) & _KEY
+        key = mix(w)
         self.row, self.n = row, len(offsets) - 1
         self.name = chunk_name(*place, w, offsets)
         shard = (key % U64(n_shards)).astype(np.int64)
@@ -205,7 +207,7 @@ class Chunk:
     def message(self, s: int) -> bytes:
         """What shard ``s`` needs: unigrams and counts; for each order contexts, successors of each, and counts."""
         a, b = self.unigram_bounds[s], self.unigram_bounds[s + 1]
-        parts = [narrow(self.unigram[0][a:b], KEY_BYTES), self.unigram_count[a:b].astype(np.uint32)]
+        parts = [narrow(self.unigram[0][a:b], WORD_BYTES), self.unigram_count[a:b].astype(np.uint32)]
         for (context, successor), _, count, bounds in self.pairs:
             a, b = bounds[s], bounds[s + 1]
             c = context[a:b]
@@ -239,28 +241,18 @@ def held_out(key: Column) -> Column:
 def _answers(table: pa.Table, order: int, strength: float) -> pa.Table:
     """A shard's work: adds the chunks' counts up, builds the trie of each order, and answers every chunk."""
     names, shard = table.column("chunk").to_numpy(), table.column("key")[0].as_py()
-    asked = [unpack(b) for b in table.column("blob").to_pylist()]
-    keys, counts = np.concatenate([widen(m[0]) for m in asked]), np.concatenate([m[1] for m in asked]).astype(np.int64)
-    trained = counts > 0
-    vocab, at = np.unique(keys[trained], return_inverse=True)
-    vocab_count = np.bincount(at, counts[trained], len(vocab)).astype(np.int64)
-    level = EliasFano(vocab, 1 << 48).open()
-    tries = []
-    for k in range(order - 1):
-        rows = [(np.repeat(widen(m[2 + 4 * k]), m[3 + 4 * k]), widen(m[4 + 4 * k]), m[5 + 4 * k].astype(np.int64)) for m in asked]
-        context, successor, count = (np.concatenate([r[i][r[2] > 0] for r in rows]) for i in range(3))
-        order_ = np.lexsort((successor, context))
-        context, successor, count = context[order_], successor[order_], count[order_]
-        new = np.ones(len(context), bool)
-        new[1:] = (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])
-        starts = np.flatnonzero(new)
-        count = np.add.reduceat(count, starts) if len(starts) else count
-        contexts, rank = np.unique(context[new], return_inverse=True)
-        tries.append(Trie(contexts, rank, successor[new], count, strength))
+    blobs = table.column("blob")
+    # a message is unpacked when it is needed, so that a shard holds its sums and one message
+    counted = [(widen(m[0])[m[1] > 0], m[1][m[1] > 0]) for m in map(unpack, (b.as_py() for b in blobs))]
+    vocab, at = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+    vocab_count = np.bincount(at, np.concatenate([c for _, c in counted]), len(vocab)).astype(np.int64)
+    del counted, at
+    tries = [Trie(*_summed(blobs, k), strength) for k in range(order - 1)]
     out = []
-    for m in asked:
+    for m in map(unpack, (b.as_py() for b in blobs)):
         q = widen(m[0])
-        pos, hit = level.find(q)
+        pos = np.minimum(np.searchsorted(vocab, q), max(len(vocab) - 1, 0))
+        hit = vocab[pos] == q if len(vocab) else np.zeros(len(q), bool)
         c = np.zeros(len(q), np.uint32)
         c[hit] = vocab_count[pos[hit]]
         parts = [np.array([vocab_count.sum(), len(vocab)], np.int64), c]
@@ -272,6 +264,26 @@ def _answers(table: pa.Table, order: int, strength: float) -> pa.Table:
     return pa.table({"chunk": names, "shard": np.full(len(names), shard, np.int64), "blob": pa.array(out, pa.binary())})
 
 
+def _summed(blobs: pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, rank, successor, count) of a shard's n-grams of one order, the chunks' training counts added up."""
+    rows = []
+    for b in blobs:
+        m = unpack(b.as_py())
+        kept = m[5 + 4 * k] > 0
+        rows.append((np.repeat(widen(m[2 + 4 * k]), m[3 + 4 * k])[kept], widen(m[4 + 4 * k])[kept], m[5 + 4 * k][kept]))
+    context, successor, count = (np.concatenate(x) for x in zip(*rows, strict=True))
+    del rows
+    order = np.lexsort((successor, context))
+    context, successor, count = context[order], successor[order], count[order].astype(np.int64)
+    del order
+    new = np.ones(len(context), bool)
+    new[1:] = (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])
+    starts = np.flatnonzero(new)
+    count = np.add.reduceat(count, starts) if len(starts) else count
+    contexts, rank = np.unique(context[starts], return_inverse=True)
+    return contexts, rank, successor[starts], count
+
+
 def _finish(table: pa.Table, n_shards: int, order: int) -> pa.Table:
     """A chunk's work: the scores of its documents from all shards' answers."""
     shard, blob = table.column("shard").to_numpy(), table.column("blob").to_pylist()
@@ -312,7 +324,7 @@ def score(docs: DataFrame, order: int = ORDER, strength: float = STRENGTH, n_sha
     A null or blank text is its end alone. Repeated rows stay repeated and count as often in training. A null
     doc_id is in training. An empty table gives no rows. Other columns are not read.
     """
-    n_shards = n_shards or shards(docs)
+    n_shards = n_shards or shards(docs, each=SHARD_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), held_out(F.col("doc_id")).alias("held"), F.spark_partition_id().alias("part"))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
