@@ -54,12 +54,12 @@ def content_fallback(messages: DataFrame) -> DataFrame:
 
 
 def prompt_rows(messages: DataFrame, queries: DataFrame, memory: DataFrame, system: str, n: int = 4) -> DataFrame:
-    """(query_id, pos, role, content): system rules, a memory line if there is one, the last ``n`` messages without blank
-    ones (dropped after the cut), then the query."""
+    """(query_id, pos, role, content): system rules, a memory line if there is one, the last ``n`` messages, trimmed, without blank
+    ones (dropped after the cut; any role but assistant is user), then the query."""
     sys_rows = queries.select("query_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.lit(system).alias("content"))
-    mem = queries.join(memory, "conversation_id").select("query_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.col("summary").alias("content"))
+    mem = queries.join(memory, "conversation_id").select("query_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.concat(F.lit("记住："), "summary").alias("content")).where("content <> '记住：'")
     past = recent_messages(messages, n).where("trim(content) <> ''")
-    hist = queries.select("query_id", "conversation_id").join(past, "conversation_id").select("query_id", F.lit(2).alias("part"), F.col("pos").cast("long").alias("at"), "role", "content")
+    hist = queries.select("query_id", "conversation_id").join(past, "conversation_id").select("query_id", F.lit(2).alias("part"), F.col("pos").cast("long").alias("at"), F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), F.trim("content").alias("content"))
     ask = queries.select("query_id", F.lit(3).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("user").alias("role"), F.col("text").alias("content"))
     every = sys_rows.unionByName(mem).unionByName(hist).unionByName(ask)
     return every.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("part", "at")).alias("pos"), "role", "content")

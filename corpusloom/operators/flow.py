@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHAPTER = r"^(?:\d+\.\s*)?(第\S*章\s+.+)$"
+CHAPTER = r"^(?:\d+\.\s*)?(第[一二三四五六七八九十百千]+章\s+.+)$"
 SECTION = r"^(\d+\.\d+)\s+(.+)$"
 FIELDS = {"岗位": "role", "部门": "department", "责任人": "owner", "职责": "duty"}
 DELIMITERS = "。！？.!?"
 # Fixed values of the request language, in natural order.
-STOP_TERMS = ["流程图", "生成", "根据", "文件", "文档", "请", "帮我", "一个", "的"]
+STOP_TERMS = ["根据", "文件", "文档", "生成", "流程图", "请", "帮我", "从", "用"]
 
 
 def _by_file() -> Window:
@@ -19,7 +19,7 @@ def _by_file() -> Window:
 
 def classify(lines: DataFrame) -> DataFrame:
     """Adds kind (chapter, section, text), title and section_code; blank lines go."""
-    t = F.trim("line")
+    t = F.trim(F.regexp_replace("line", r"(?U)\s+", " "))
     rows = lines.withColumn("line", t).where(t != "")
     chapter, code = F.regexp_extract("line", CHAPTER, 1), F.regexp_extract("line", SECTION, 1)
     return rows.withColumn("kind", F.when(chapter != "", "chapter").when(code != "", "section").otherwise("text")).withColumn("title", F.when(chapter != "", chapter).when(code != "", F.regexp_extract("line", SECTION, 2))).withColumn("section_code", F.nullif(code, F.lit("")))
@@ -41,9 +41,11 @@ def document_title(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def summary(text: Column) -> Column:
-    """Up to the first delimiter, by delimiter priority; else 80 characters."""
-    cuts = [F.when(F.instr(text, d) > 1, F.trim(F.split_part(text, F.lit(d), F.lit(1)))) for d in DELIMITERS]
-    return F.coalesce(*[F.nullif(c, F.lit("")) for c in cuts], F.substring(text, 1, 80))
+    """The first sentence with its delimiter, by delimiter priority; else 80 characters."""
+    text = F.trim(text)
+    first = lambda d: F.trim(F.split_part(text, F.lit(d), F.lit(1)))
+    cuts = [F.when((F.instr(text, d) > 1) & (first(d) != ""), F.concat(first(d), F.lit(d))) for d in DELIMITERS]
+    return F.coalesce(*cuts, F.substring(text, 1, 80))
 
 
 def sections(lines: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def sections(lines: DataFrame) -> DataFrame:
     value = F.trim(F.expr("substring(line, instr(line, '：') + 1)"))
     rows = body.withColumn("key", key).withColumn("value", value)
     pick = lambda k: F.nullif(F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("line_no"))), F.lit(""))
-    plain = (F.col("kind") == "text") & (F.col("key").isNull() | ~F.col("key").isin(*FIELDS))
+    plain = (F.col("kind") == "text") & (F.col("key").isNull() | ~F.col("key").isin(*FIELDS)) & ~((F.col("key") == "内容") & (F.col("value") == "")).eqNullSafe(True)
     ordered = lambda keep, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("line_no", what.alias("t"))))), lambda x: x["t"]), "\n")
     content = F.when(F.col("key") == "内容", F.col("value")).otherwise(F.col("line"))
     out = rows.groupBy("file_id", "chapter_no", "section_no").agg(
@@ -65,7 +67,7 @@ def sections(lines: DataFrame) -> DataFrame:
     )
     out = out.withColumn("content", F.when(F.col("content") == "", F.col("raw")).otherwise(F.col("content"))).drop("raw")
     out = out.withColumn("responsibilities", F.filter(F.transform(F.split(F.coalesce("duty", F.lit("")), "[；;]"), lambda x: F.trim(x)), lambda x: x != "")).drop("duty")
-    out = out.withColumn("section_id", F.concat_ws("-", F.lit("section"), F.col("chapter_no").cast("string"), F.col("section_no").cast("string"))).withColumn("chapter_id", F.concat(F.lit("chapter-"), F.col("chapter_no").cast("string")))
+    out = out.withColumn("section_id", F.col("section_code")).withColumn("chapter_id", F.concat(F.lit("chapter-"), F.col("chapter_no").cast("string")))
     order = Window.partitionBy("file_id", "chapter_no").orderBy("section_no")
     return out.withColumn("summary", summary(F.col("content"))).withColumn("next_id", F.lead("section_id").over(order))
 
@@ -96,14 +98,19 @@ def flow_requests(queries: DataFrame) -> DataFrame:
 
 
 def match_terms(queries: DataFrame) -> DataFrame:
-    """Adds terms: the named document, and what is left without stop terms."""
+    """Adds terms, without repeats: what is left of the text without stop terms (longest first) and other signs, the named
+    document, and the text's tokens, all of two characters or more but stop terms (the named one may be shorter)."""
     t = F.lower(F.trim("text"))
-    named = F.trim(F.regexp_extract(t, "根据(.+?)(文件|文档)", 1))
-    rest = t
+    focus = F.col("text")
     for w in sorted(STOP_TERMS, key=len, reverse=True):
-        rest = F.replace(rest, F.lit(w), F.lit(" "))
-    found = F.concat(F.array(named), F.regexp_extract_all(rest, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    return queries.withColumn("terms", F.array_distinct(F.filter(found, lambda x: F.length(x) >= 2)))
+        focus = F.replace(focus, F.lit(w), F.lit(""))
+    focus = F.lower(F.regexp_replace(focus, r"[^0-9a-zA-Z\u4e00-\u9fff]+", ""))
+    named = F.trim(F.regexp_extract("text", "根据(.+?)(文件|文档)", 1))
+    long = lambda x: F.length(x) >= 2
+    other = lambda x: ~x.isin(*STOP_TERMS)
+    tokens = F.filter(F.regexp_extract_all(t, F.lit(r"[0-9a-zA-Z\u4e00-\u9fff]+"), F.lit(0)), lambda x: long(x) & other(x))
+    found = F.concat(F.filter(F.array(focus), long), F.filter(F.array(named), lambda x: (x != "") & other(x)), tokens)
+    return queries.withColumn("terms", F.array_distinct(found))
 
 
 def candidates(queries: DataFrame, files: DataFrame, k: int = 5, newest: int = 200) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_STEPS, MAX_REPEATS, MAX_EMPTY = 6, 3, 2
+# Categories of error codes; any other code is a service error.
 CATEGORIES = {
-    "INVALID_ARGUMENT": "validation", "TOOL_NOT_FOUND": "validation", "UNAUTHENTICATED": "permission", "PERMISSION_DENIED": "permission",
-    "CONFIRMATION_REQUIRED": "permission", "TIMEOUT": "service", "SERVICE_ERROR": "service",
+    "INVALID_ARGUMENT": "validation", "PERMISSION_DENIED": "permission", "MISSING_USER_CONTEXT": "permission", "MISSING_SESSION_CONTEXT": "permission",
+    "UNKNOWN_TOOL": "unknown",
 }
 
 
@@ -52,8 +53,8 @@ def termination(final: Column, decision: Column) -> Column:
     """Why a step ends its session, the first that holds; else running."""
     step = F.col("step_no")
     return (
-        F.when(final.isNotNull() & (F.trim(final) != ""), "final_response").when(decision == "waiting_input", "waiting_input").when(decision == "final_answer", "final_answer")
-        .when(step >= MAX_STEPS, "max_steps").when(F.col("repeated_actions") >= MAX_REPEATS, "repeated_action").when(F.col("empty_steps") >= MAX_EMPTY, "no_progress").otherwise("running")
+        F.when(final.isNotNull(), "completed").when(decision == "waiting_input", "waiting_input").when(decision == "final_answer", "final_answer")
+        .when(step >= MAX_STEPS, "max_steps").when(F.col("repeated_actions") >= MAX_REPEATS, "repeated_action").when(F.col("empty_steps") >= MAX_EMPTY, "empty_steps").otherwise("running")
     )
 
 
@@ -96,25 +97,25 @@ def guardrails(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Adds verdict for (user_id, tool_name, args map, confirmed): the first problem, or ok. Tools are a small table."""
     rows = calls.join(F.broadcast(tools), "tool_name", "left")
     missing = F.array_except("required", F.coalesce(F.map_keys("args"), F.array().cast("array<string>")))
-    verdict = F.when(F.col("user_id").isNull(), "UNAUTHENTICATED").when(F.col("params").isNull(), "TOOL_NOT_FOUND").when(F.size(missing) > 0, "INVALID_ARGUMENT").when(F.col("confirm") & ~F.col("confirmed"), "CONFIRMATION_REQUIRED").otherwise("ok")
+    verdict = F.when(F.col("user_id").isNull(), "UNAUTHENTICATED").when(F.col("params").isNull(), "TOOL_MISMATCH").when(F.size(missing) > 0, "MISSING_ARGUMENTS").when(F.col("confirm") & ~F.col("confirmed"), "CONFIRMATION_REQUIRED").otherwise("ok")
     return rows.withColumn("verdict", verdict).drop("params", "required", "confirm", "retryable")
 
 
 def check_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
-    """(call_id, problem): the first argument that breaks its parameter's rule (missing, unexpected, null, type, minimum, enum).
+    """(call_id, problem): a missing required argument, else the first given one that breaks its parameter's rule (unexpected,
+    null where required, type, minimum, enum). A null of an optional parameter is fine.
 
-    ``parameters``: tool_name, param, pos, kind, required, minimum, allowed."""
-    given = calls.select("call_id", "tool_name", F.explode_outer("args").alias("param", "value"))
-    p = F.broadcast(parameters)
-    known = given.where("param is not null").join(p, ["tool_name", "param"], "left")
-    number = F.col("value").try_cast("double")
+    ``parameters``: tool_name, param, pos, kind, required, minimum, allowed; few rows a tool."""
+    given = calls.select("call_id", "tool_name", F.posexplode("args").alias("at", "param", "value"))
+    known = given.join(parameters, ["tool_name", "param"], "left")
+    value, whole = F.col("value"), F.col("value").rlike(r"^[+-]?\d+$")
     bad = (
-        F.when(F.col("pos").isNull(), "unexpected").when(F.col("value").isNull(), "null").when((F.col("kind") == "number") & number.isNull(), "type")
-        .when((F.col("kind") == "number") & (number < F.col("minimum")), "minimum").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("value")), "enum")
+        F.when(F.col("pos").isNull(), "unexpected").when(value.isNull(), F.when(F.col("required"), "null")).when((F.col("kind") == "integer") & ~whole, "type")
+        .when((F.col("kind") == "integer") & (value.try_cast("double") < F.col("minimum")), "minimum").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", value), "enum")
     )
-    wrong = known.withColumn("bad", bad).where("bad is not null").select("call_id", F.coalesce("pos", F.lit(1 << 20)).alias("pos"), "param", "bad")
-    need = calls.join(p.where("required"), "tool_name").where(~F.coalesce(F.map_contains_key("args", F.col("param")), F.lit(False))).select("call_id", F.col("pos") - 1000, "param", F.lit("missing").alias("bad"))
-    first = wrong.union(need).groupBy("call_id").agg(F.min_by(F.concat_ws(":", "param", "bad"), F.struct("pos", "param")).alias("problem"))
+    wrong = known.withColumn("bad", bad).where("bad is not null").select("call_id", F.lit(1).alias("part"), "at", "param", "bad")
+    need = calls.join(parameters.where("required"), "tool_name").where(~F.coalesce(F.map_contains_key("args", F.col("param")), F.lit(False))).select("call_id", F.lit(0).alias("part"), F.col("pos").alias("at"), "param", F.lit("missing").alias("bad"))
+    first = wrong.unionByName(need).groupBy("call_id").agg(F.min_by(F.concat_ws(":", "param", "bad"), F.struct("part", "at", "param")).alias("problem"))
     return calls.select("call_id").join(first, "call_id", "left")
 
 
@@ -122,7 +123,7 @@ def error_category(code: Column) -> Column:
     out = F.when(code.isNull(), None)
     for name, kind in CATEGORIES.items():
         out = out.when(code == name, kind)
-    return out.otherwise("unknown")
+    return out.otherwise("service")
 
 
 def call_metrics(calls: DataFrame, by: list[str]) -> DataFrame:
@@ -160,20 +161,25 @@ def tool_calls(completions: DataFrame) -> DataFrame:
 
 
 def decisions(texts: DataFrame) -> DataFrame:
-    """(message_id, thought, action, args, final_answer, decision_type) of the Thought / Action / Final Answer protocol."""
-    t = F.col("text")
-    line = lambda name: F.nullif(F.trim(F.regexp_extract(t, rf"(?mi)^\s*{name}\s*:\s*(.+)$", 1)), F.lit(""))
-    action = line("Action")
-    name, args = F.trim(F.regexp_extract(action, r"^([^{\s]+)", 1)), F.regexp_extract(action, r"(\{.*\})", 1)
-    final = F.nullif(F.trim(F.regexp_extract(t, r"(?si)^.*?Final Answer\s*:\s*(.+)$", 1)), F.lit(""))
-    bad = action.isNotNull() & (args != "") & F.try_parse_json(args).isNull()
-    kind = F.when(bad, "argument_error").when(action.isNotNull(), "tool_call").when(final.isNotNull(), "final_answer").when(F.trim(t) != "", "raw_text").otherwise("empty")
-    return texts.select("message_id", line("Thought").alias("thought"), F.when(action.isNotNull(), name).alias("action"), F.when(action.isNotNull(), F.when(args == "", "{}").otherwise(args)).alias("args"), final.alias("final_answer"), kind.alias("decision_type"))
+    """(message_id, thought, action, args, final_answer, decision_type) of the text protocol, the first line of each kind:
+    ``Thought: ...``, ``Action: {"tool_name": ..., "tool_args": {...}}`` and ``Final Answer: ...``. An action that isn't such an
+    object is none; a text without an action or a final answer is itself the final answer."""
+    t = F.trim("text")
+    line = lambda name, what: F.nullif(F.trim(F.regexp_extract(t, rf"(?mi)^\s*{name}:\s*({what})\s*$", 1)), F.lit(""))
+    action, final = line("Action", r"\{.*\}"), line("Final Answer", ".+?")
+    name, args = F.trim(F.get_json_object(action, "$.tool_name")), F.get_json_object(action, "$.tool_args")
+    call = F.coalesce(F.try_parse_json(action).isNotNull() & (name != "") & args.startswith("{"), F.lit(False))
+    return texts.select("message_id", line("Thought", ".+?").alias("thought"), F.when(call, name).alias("action"), F.when(call, args).alias("args"), F.when(~call, F.coalesce(final, t)).alias("final_answer"), F.when(call, "tool_call").otherwise("final_answer").alias("decision_type"))
 
 
 def observation_summary(obs: DataFrame) -> DataFrame:
-    """Adds summary (160 characters of success or failure) and short (result cut at 255 and '...' when over 256)."""
-    body = F.coalesce("result", F.lit(""))
-    text = F.when(F.col("status") == "ok", F.concat(F.col("tool_name"), F.lit(" succeeded: "), body)).otherwise(F.concat(F.col("tool_name"), F.lit(" failed: "), F.coalesce("error_message", F.lit("unknown"))))
+    """Adds summary (success, or failure with code and message cut at 157 characters; never the payload) and short (result
+    cut at 255 and '...' when over 256)."""
+    name = F.coalesce(F.nullif(F.trim("tool_name"), F.lit("")), F.lit("unknown_tool"))
+    message = F.trim(F.coalesce("error_message", F.lit("")))
+    message = F.when(F.length(message) > 160, F.concat(F.substring(message, 1, 157), F.lit("..."))).otherwise(message)
+    code = F.coalesce(F.nullif("error_code", F.lit("")), F.lit("ERROR"))
+    failed = F.concat(F.lit("工具 "), name, F.lit(" 调用失败: "), code, F.when(message != "", F.concat(F.lit(" ("), message, F.lit(")"))).otherwise(""))
+    body = F.trim(F.coalesce("result", F.lit("")))
     short = F.when(F.length(body) > 256, F.concat(F.rtrim(F.substring(body, 1, 255)), F.lit("..."))).otherwise(body)
-    return obs.withColumn("summary", F.substring(text, 1, 160)).withColumn("short", short)
+    return obs.withColumn("summary", F.when(F.col("status") == "ok", F.concat(F.lit("工具 "), name, F.lit(" 调用成功"))).otherwise(failed)).withColumn("short", short)

@@ -17,10 +17,10 @@ def _lines(spark, d):
     block = F.expr("line_no div 6").cast("string")
     word = F.regexp_extract("line", r"([A-Za-z]+)", 1)
     line = (
-        F.when(k == 0, F.concat(F.lit("第一章 "), word)).when(k.isin(1, 3), F.concat(block, F.lit("."), k.cast("string"), F.lit(" s"), word)).when(k == 2, F.concat(F.lit("岗位："), word))
+        F.when((n == 0) & (F.col("file_id") % 3 == 0), F.concat(F.lit("t "), "line")).when(k == 0, F.concat(F.lit("第一章 "), word)).when(k.isin(1, 3), F.concat(block, F.lit("."), k.cast("string"), F.lit(" s"), word)).when(k == 2, F.concat(F.lit("岗位："), word))
         .when(k == 4, F.concat(F.lit("职责：a"), n.cast("string"), F.lit("；b"))).otherwise(F.concat(F.lit("t "), F.col("line")))
     )
-    rows = v.lines(spark, d).where("file_id % 3 <> 0 or line_no > 0").withColumn("line", line)
+    rows = v.lines(spark, d).withColumn("line", line)
     return flow.assign(flow.classify(rows))
 
 
@@ -44,7 +44,7 @@ def flow_titles(spark, d):
 
 def flow_candidates(spark, d):
     files = v.files(spark, d)
-    q = files.where("file_id % 10 = 1").select(F.col("file_id").alias("query_id"), "user_id", F.concat(F.lit("请根据"), F.when(F.col("file_id") % 4 == 1, F.concat(F.regexp_extract("file_name", "^([a-z]+)_", 1), F.lit("_"), "user_id")).otherwise("没有的"), F.lit("文件生成流程图")).alias("text"))
+    q = files.select(F.col("file_id").alias("query_id"), "user_id", F.concat(F.lit("请根据"), F.when(F.col("file_id") % 4 == 1, F.concat(F.regexp_extract("file_name", "^([a-z]+)_", 1), F.lit("_"), "user_id")).otherwise("没有的"), F.lit("文件生成流程图")).alias("text"))
     return flow.candidates(flow.match_terms(flow.flow_requests(q).where("wants_flow")), files)
 
 
@@ -58,7 +58,7 @@ def import_graph(spark, d):
 def import_edges(spark, d):
     s = flow.sections(_lines(spark, d))
     nodes = flow.import_ids(s.select("file_id", F.col("section_id").alias("raw_id"), (F.col("chapter_no") * 1000 + F.col("section_no")).alias("pos")), "ai-node-")
-    return flow.import_edges(flow.edges(s).where("target not like '%-2'"), nodes)
+    return flow.import_edges(flow.edges(s), nodes)
 
 
 def node_info(spark, d):
@@ -146,17 +146,17 @@ QUERIES = {f.__name__: f for f in (flow_sections, flow_edges, flow_graph, flow_t
 
 _W = "regexp_extract(line, '([A-Za-z]+)', 1)"
 _FLOW = {
-    "raw": f"""SELECT file_id, line_no, trim(CASE line_no % 6 WHEN 0 THEN '第一章 ' || {_W} WHEN 1 THEN (line_no // 6) || '.1 s' || {_W} WHEN 3 THEN (line_no // 6) || '.3 s' || {_W} WHEN 2 THEN '岗位：' || {_W} WHEN 4 THEN '职责：a' || line_no || '；b' ELSE 't ' || line END) AS line FROM lines WHERE file_id % 3 <> 0 OR line_no > 0""",
-    "kinds": r"SELECT *, CASE WHEN regexp_matches(line, '^(\d+\.\s*)?第\S*章\s+.+$') THEN 'chapter' WHEN regexp_matches(line, '^\d+\.\d+\s+.+$') THEN 'section' ELSE 'text' END AS kind FROM raw WHERE line <> ''",
+    "raw": f"""SELECT file_id, line_no, trim(regexp_replace(CASE WHEN line_no = 0 AND file_id % 3 = 0 THEN 't ' || line ELSE CASE line_no % 6 WHEN 0 THEN '第一章 ' || {_W} WHEN 1 THEN (line_no // 6) || '.1 s' || {_W} WHEN 3 THEN (line_no // 6) || '.3 s' || {_W} WHEN 2 THEN '岗位：' || {_W} WHEN 4 THEN '职责：a' || line_no || '；b' ELSE 't ' || line END END, '\\s+', ' ', 'g')) AS line FROM lines""",
+    "kinds": r"SELECT *, CASE WHEN regexp_matches(line, '^(\d+\.\s*)?第[一二三四五六七八九十百千]+章\s+.+$') THEN 'chapter' WHEN regexp_matches(line, '^\d+\.\d+\s+.+$') THEN 'section' ELSE 'text' END AS kind FROM raw WHERE line <> ''",
     "c1": "SELECT *, sum(CASE WHEN kind = 'chapter' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_no) AS c FROM kinds",
     "c2": "SELECT *, sum(CASE WHEN kind = 'section' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, c ORDER BY line_no) AS s, max(CASE WHEN c = 0 AND kind = 'section' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id) AS lead0 FROM c1",
-    "al": r"SELECT *, c + CASE WHEN c > 0 THEN lead0 ELSE 0 END AS chapter_no, CASE kind WHEN 'chapter' THEN regexp_extract(line, '^(?:\d+\.\s*)?(第\S*章\s+.+)$', 1) WHEN 'section' THEN regexp_extract(line, '^(\d+\.\d+)\s+(.+)$', 2) END AS title, CASE WHEN kind = 'section' THEN regexp_extract(line, '^(\d+\.\d+)\s+', 1) END AS code FROM c2",
+    "al": r"SELECT *, c + CASE WHEN c > 0 THEN lead0 ELSE 0 END AS chapter_no, CASE kind WHEN 'chapter' THEN regexp_extract(line, '^(?:\d+\.\s*)?(第[一二三四五六七八九十百千]+章\s+.+)$', 1) WHEN 'section' THEN regexp_extract(line, '^(\d+\.\d+)\s+(.+)$', 2) END AS title, CASE WHEN kind = 'section' THEN regexp_extract(line, '^(\d+\.\d+)\s+', 1) END AS code FROM c2",
     "sec0": """SELECT file_id, chapter_no, s AS section_no, max(code) AS section_code, max(title) AS title, nullif(max(CASE WHEN starts_with(line, '岗位：') THEN substring(line, 4) END), '') AS role, max(CASE WHEN starts_with(line, '职责：') THEN substring(line, 4) END) AS duty,
         string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE kind = 'text' AND NOT starts_with(line, '岗位：') AND NOT starts_with(line, '职责：')) AS content, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE kind = 'text') AS rawtext FROM al WHERE s > 0 GROUP BY ALL""",
-    "sec": """SELECT *, 'section-' || chapter_no || '-' || section_no AS section_id, coalesce(content, rawtext, '') AS body, lead('section-' || chapter_no || '-' || section_no) OVER (PARTITION BY file_id, chapter_no ORDER BY section_no) AS next_id FROM sec0""",
+    "sec": """SELECT *, section_code AS section_id, coalesce(content, rawtext, '') AS body, lead(section_code) OVER (PARTITION BY file_id, chapter_no ORDER BY section_no) AS next_id FROM sec0""",
     "chap": "SELECT file_id, chapter_no, title FROM al WHERE kind = 'chapter' UNION ALL SELECT DISTINCT file_id, chapter_no, '未分章内容' FROM al WHERE c = 0 AND kind = 'section'",
 }
-_CUT = "coalesce(" + ", ".join(f"CASE WHEN strpos(body, '{c}') > 1 THEN nullif(trim(split_part(body, '{c}', 1)), '') END" for c in flow.DELIMITERS) + ", left(body, 80))"
+_CUT = "coalesce(" + ", ".join(f"CASE WHEN strpos(body, '{c}') > 1 AND trim(split_part(body, '{c}', 1)) <> '' THEN trim(split_part(body, '{c}', 1)) || '{c}' END" for c in flow.DELIMITERS) + ", left(body, 80))"
 _SLUG = "CASE WHEN trim(regexp_replace(lower(trim(x)), '[^a-z0-9一-鿿]+', '-', 'g'), '-') = '' THEN 'item' ELSE trim(regexp_replace(lower(trim(x)), '[^a-z0-9一-鿿]+', '-', 'g'), '-') END"
 _DELTAS = "SELECT stream_id, CAST(k AS INTEGER) AS seq, substring(text, CAST(k * 20 + 1 AS BIGINT), 20) AS delta FROM (SELECT conv_id || ':' || turn AS stream_id, text FROM conversations WHERE text <> ''), LATERAL (SELECT unnest(range(CAST(floor((length(text) - 1) / 20) AS BIGINT) + 1)) AS k)"
 
@@ -174,9 +174,9 @@ ORACLES = {
     "flow_titles": _f("SELECT f.file_id, md5(coalesce(t, file_name)) AS title_md5 FROM files f LEFT JOIN (SELECT file_id, arg_min(line, line_no) AS t FROM al WHERE kind = 'text' AND s = 0 GROUP BY file_id) x ON f.file_id = x.file_id"),
     "flow_candidates": sql("""SELECT query_id, file_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_epoch DESC, file_id DESC) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM
         (SELECT q.query_id, f.file_id, f.created_epoch, CAST(list_sum(list_transform(q.terms, lambda t: CASE WHEN contains(lower(f.file_name), t) THEN length(t) ELSE 0 END + CASE WHEN contains(regexp_replace(lower(f.file_name), '\\.docx$', ''), t) THEN length(t) ELSE 0 END)) AS INTEGER) AS score FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_epoch DESC, file_id DESC) AS n FROM files WHERE file_ext = 'docx') f ON q.user_id = f.user_id AND n <= 200))
-        WHERE score > 0 OR best = 0) WHERE rank <= 5""", "files", q="SELECT file_id AS query_id, user_id, CASE WHEN file_id % 4 = 1 THEN list_distinct([regexp_extract(file_name, '^([a-z]+)_', 1) || '_' || user_id, regexp_extract(file_name, '^([a-z]+)_', 1), user_id]) ELSE ['没有的', '没有'] END AS terms FROM files WHERE file_id % 10 = 1"),
+        WHERE score > 0 OR best = 0) WHERE rank <= 5""", "files", q="SELECT file_id AS query_id, user_id, CASE WHEN file_id % 4 = 1 THEN list_distinct([regexp_extract(file_name, '^([a-z]+)_', 1) || '_' || user_id, regexp_extract(file_name, '^([a-z]+)_', 1) || user_id, '请根据' || regexp_extract(file_name, '^([a-z]+)_', 1), user_id || '文件生成流程图']) ELSE ['没有的', '请根据没有的文件生成流程图'] END AS terms FROM files"),
     "import_graph": _f(f"SELECT file_id, x AS raw_id, pos, CASE WHEN n = 1 THEN g ELSE g || '-' || n END AS canvas_id FROM (SELECT *, row_number() OVER (PARTITION BY file_id, g ORDER BY pos) AS n FROM (SELECT file_id, title AS x, CAST(chapter_no * 1000 + section_no AS BIGINT) AS pos, 'ai-node-' || {_SLUG.replace('(x)', '(title)')} AS g FROM sec))"),
-    "import_edges": _f("SELECT file_id, 'ai-edge-edge-' || section_id || '-' || next_id AS edge_id, 'ai-node-' || section_id AS source_id, 'ai-node-' || next_id AS target_id FROM sec WHERE next_id IS NOT NULL AND next_id NOT LIKE '%-2'"),
+    "import_edges": _f("SELECT file_id, 'ai-edge-edge-' || replace(section_id, '.', '-') || '-' || replace(next_id, '.', '-') AS edge_id, 'ai-node-' || replace(section_id, '.', '-') AS source_id, 'ai-node-' || replace(next_id, '.', '-') AS target_id FROM sec WHERE next_id IS NOT NULL"),
     "node_info": _f("SELECT file_id, 'lane' AS kind, count(*) AS n, CAST(sum(length(title)) AS BIGINT) AS title_chars, 0::BIGINT AS duty_chars, 0::BIGINT AS with_role FROM chap GROUP BY file_id UNION ALL SELECT file_id, 'node', count(*), CAST(sum(length(title)) AS BIGINT), CAST(sum(coalesce(length(duty), 0)) AS BIGINT), count(role) FROM sec GROUP BY file_id"),
     "last_n_events": _LAST("true", 50),
     "short_memory": _LAST("event_type <> 'view'", 5),

@@ -222,13 +222,13 @@ def guardrails(spark, d):
 
 def check_arguments(spark, d):
     e = _trace(spark, d).where("tool_name is not null").select(F.col("event_id").alias("call_id"), F.lit("search").alias("tool_name"), F.col("event_id").alias("i"))
-    args = F.map_filter(F.create_map(F.lit("query"), F.when(F.col("i") % 7 == 0, F.lit(None)).otherwise(F.lit("q")), F.lit("top_k"), F.when(F.col("i") % 5 == 0, F.lit("many")).otherwise((F.col("i") % 4).cast("string")), F.lit("mode"), F.when(F.col("i") % 3 == 0, F.lit("fast")).otherwise(F.lit("odd")), F.lit("extra"), F.lit("1")), lambda k, _: ~(((k == "query") & (F.col("i") % 11 == 0)) | ((k == "extra") & (F.col("i") % 2 == 0)) | ((k == "mode") & (F.col("i") % 9 == 4))))
-    rules = spark.createDataFrame([("search", "query", 1, "string", True, None, None), ("search", "top_k", 2, "number", True, 1.0, None), ("search", "mode", 3, "string", False, None, ["fast", "slow"])], "tool_name string, param string, pos int, kind string, required boolean, minimum double, allowed array<string>")
+    args = F.map_filter(F.create_map(F.lit("query"), F.when(F.col("i") % 7 == 0, F.lit(None)).otherwise(F.lit("q")), F.lit("top_k"), F.when(F.col("i") % 5 == 0, F.lit("many")).otherwise((F.col("i") % 4).cast("string")), F.lit("mode"), F.when(F.col("i") % 8 == 1, F.lit(None)).when(F.col("i") % 3 == 0, F.lit("fast")).otherwise(F.lit("odd")), F.lit("extra"), F.lit("1")), lambda k, _: ~(((k == "query") & (F.col("i") % 11 == 0)) | ((k == "extra") & (F.col("i") % 2 == 0)) | ((k == "mode") & (F.col("i") % 9 == 4))))
+    rules = spark.createDataFrame([("search", "query", 1, "string", True, None, None), ("search", "top_k", 2, "integer", True, 1.0, None), ("search", "mode", 3, "string", False, None, ["fast", "slow"])], "tool_name string, param string, pos int, kind string, required boolean, minimum double, allowed array<string>")
     return tr.check_arguments(e.withColumn("args", args), rules)
 
 
 def error_category(spark, d):
-    code = F.when(F.col("event_id") % 4 == 0, "TIMEOUT").when(F.col("event_id") % 4 == 1, "INVALID_ARGUMENT").when(F.col("event_id") % 4 == 2, "UNAUTHENTICATED").otherwise("ODD")
+    code = F.when(F.col("event_id") % 4 == 0, "TIMEOUT").when(F.col("event_id") % 4 == 1, "INVALID_ARGUMENT").when(F.col("event_id") % 4 == 2, "MISSING_USER_CONTEXT").otherwise("UNKNOWN_TOOL")
     rows = _trace(spark, d).where("status = 'error'").withColumn("category", tr.error_category(code))
     return rows.groupBy("category").agg(F.count("*").alias("n"))
 
@@ -250,12 +250,12 @@ def tool_calls(spark, d):
 def decisions(spark, d):
     m = _messages(spark, d)
     k = F.col("created_at") % 4
-    text = F.when(k == 0, F.concat(F.lit("Thought: look\nAction: search {\"q\": \""), "role", F.lit("\"}\n"))).when(k == 1, "Thought: end\nFinal Answer: done").when(k == 2, "Action: search {bad").otherwise("plain words")
+    text = F.when(k == 0, F.concat(F.lit('Thought: look\naction: {"tool_name": "search", "tool_args": {"q": "'), "role", F.lit('"}}\n'))).when(k == 1, "Thought: end\nFinal Answer: done \nmore").when(k == 2, "Action: {bad}").otherwise("plain words")
     return tr.decisions(m.select("message_id", text.alias("text")))
 
 
 def observation_summary(spark, d):
-    m = _messages(spark, d).select("message_id", F.col("role").alias("tool_name"), F.when(F.col("created_at") % 2 == 0, "ok").otherwise("error").alias("status"), F.col("content").alias("result"), F.when(F.col("created_at") % 3 == 0, "timeout").alias("error_message"))
+    m = _messages(spark, d).select("message_id", F.col("role").alias("tool_name"), F.when(F.col("created_at") % 2 == 0, "ok").otherwise("error").alias("status"), F.col("content").alias("result"), F.when(F.col("created_at") % 3 == 0, F.concat(F.lit(" "), "content")).alias("error_message"), F.when(F.col("created_at") % 5 != 0, "TIMEOUT").alias("error_code"))
     return tr.observation_summary(m).select("message_id", F.md5("summary").alias("summary_md5"), F.md5("short").alias("short_md5"))
 
 
@@ -321,8 +321,8 @@ ORACLES = {
     "prompt_rows": sql(
         f"SELECT query_id, {_POS('PARTITION BY query_id ORDER BY part, o')} AS pos, role, md5(content) AS content_md5 FROM parts", m=_MSG, mem=_MEM(2),
         parts="""SELECT DISTINCT conversation_id AS query_id, 0 AS part, 0 AS o, 'system' AS role, 'rules' AS content FROM m
-            UNION ALL SELECT session_id, 1, 0, 'system', string_agg(content, ' | ' ORDER BY pos) FROM mem WHERE session_id % 2 = 0 GROUP BY session_id
-            UNION ALL SELECT conversation_id, 2, created_at, role, content FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC) AS b FROM m) WHERE b <= 4 AND created_at % 4 <> 2 AND trim(content) <> ''
+            UNION ALL SELECT session_id, 1, 0, 'system', '记住：' || string_agg(content, ' | ' ORDER BY pos) FROM mem WHERE session_id % 2 = 0 GROUP BY session_id
+            UNION ALL SELECT conversation_id, 2, created_at, CASE role WHEN 'assistant' THEN 'assistant' ELSE 'user' END, trim(content) FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC) AS b FROM m) WHERE b <= 4 AND created_at % 4 <> 2 AND trim(content) <> ''
             UNION ALL SELECT DISTINCT conversation_id, 3, 0, 'user', 'ask ' || conversation_id FROM m""",
     ),
     "memory_read": sql("SELECT session_id, pos, at_ AS at FROM mem", mem=_MEM(3)),
@@ -330,17 +330,17 @@ ORACLES = {
     "trace_step_metrics": sql("SELECT session_id, CAST(step_index AS INTEGER) AS step_index, empty_steps, repeated_actions FROM met", **_METRICS),
     "terminations": sql(
         "SELECT session_id, CAST(min(step_index) AS INTEGER) AS step_no, arg_min(reason, step_index) AS reason FROM why WHERE reason <> 'running' GROUP BY session_id", **_METRICS,
-        why="SELECT *, CASE WHEN event_id % 97 = 0 THEN 'final_response' WHEN event_id % 41 = 0 THEN 'waiting_input' WHEN event_id % 43 = 0 THEN 'final_answer' WHEN step_index >= 6 THEN 'max_steps' WHEN repeated_actions >= 3 THEN 'repeated_action' WHEN empty_steps >= 2 THEN 'no_progress' ELSE 'running' END AS reason FROM met",
+        why="SELECT *, CASE WHEN event_id % 97 = 0 THEN 'completed' WHEN event_id % 41 = 0 THEN 'waiting_input' WHEN event_id % 43 = 0 THEN 'final_answer' WHEN step_index >= 6 THEN 'max_steps' WHEN repeated_actions >= 3 THEN 'repeated_action' WHEN empty_steps >= 2 THEN 'empty_steps' ELSE 'running' END AS reason FROM met",
     ),
     "tool_reuse": sql("SELECT session_id, CAST(step_index AS INTEGER) AS step_index, coalesce(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, tool, event_id % 3 ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS reused FROM tr WHERE tool IS NOT NULL", tr=_TRACE),
     "session_outcome": sql("SELECT session_id, arg_max(status, step_index) AS final_status, count(tool) AS n_calls, md5(coalesce(string_agg(tool || ':' || status, ',' ORDER BY step_index) FILTER (WHERE tool IS NOT NULL), '')) AS trace_md5 FROM tr GROUP BY session_id", tr=_TRACE),
     "retry_outcome": sql("SELECT session_id, CAST(min(step_index) AS INTEGER) AS failed_at FROM (SELECT *, sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY step_index) AS used FROM tr) WHERE status = 'error' AND (event_id % 4 = 0 OR used > 1) GROUP BY session_id", tr=_TRACE),
-    "guardrails": sql("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'UNAUTHENTICATED' WHEN tool NOT IN ('click', 'purchase', 'signup', 'search', 'error') THEN 'TOOL_NOT_FOUND' WHEN event_id % 5 = 0 OR tool IN ('search', 'error') THEN 'INVALID_ARGUMENT' WHEN tool = 'purchase' AND event_id % 2 = 1 THEN 'CONFIRMATION_REQUIRED' ELSE 'ok' END AS verdict FROM tr WHERE tool IS NOT NULL", tr=_TRACE),
-    "check_arguments": sql("""SELECT i AS call_id, CASE WHEN i % 11 = 0 THEN 'query:missing' WHEN i % 7 = 0 THEN 'query:null' WHEN i % 5 = 0 THEN 'top_k:type' WHEN i % 4 < 1 THEN 'top_k:minimum' WHEN i % 9 <> 4 AND i % 3 <> 0 THEN 'mode:enum' WHEN i % 2 <> 0 THEN 'extra:unexpected' END AS problem FROM (SELECT event_id AS i FROM tr WHERE tool IS NOT NULL)""", tr=_TRACE),
+    "guardrails": sql("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'UNAUTHENTICATED' WHEN tool NOT IN ('click', 'purchase', 'signup', 'search', 'error') THEN 'TOOL_MISMATCH' WHEN event_id % 5 = 0 OR tool IN ('search', 'error') THEN 'MISSING_ARGUMENTS' WHEN tool = 'purchase' AND event_id % 2 = 1 THEN 'CONFIRMATION_REQUIRED' ELSE 'ok' END AS verdict FROM tr WHERE tool IS NOT NULL", tr=_TRACE),
+    "check_arguments": sql("""SELECT i AS call_id, CASE WHEN i % 11 = 0 THEN 'query:missing' WHEN i % 7 = 0 THEN 'query:null' WHEN i % 5 = 0 THEN 'top_k:type' WHEN i % 4 < 1 THEN 'top_k:minimum' WHEN i % 9 <> 4 AND i % 8 <> 1 AND i % 3 <> 0 THEN 'mode:enum' WHEN i % 2 <> 0 THEN 'extra:unexpected' END AS problem FROM (SELECT event_id AS i FROM tr WHERE tool IS NOT NULL)""", tr=_TRACE),
     "error_category": sql("SELECT CASE event_id % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'validation' WHEN 2 THEN 'permission' ELSE 'unknown' END AS category, count(*) AS n FROM tr WHERE status = 'error' GROUP BY 1", tr=_TRACE),
     "call_metrics": "SELECT event_type AS endpoint, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) FILTER (WHERE event_id % 3 <> 0) AS hits, round(count(*) FILTER (WHERE event_id % 3 <> 0)::DOUBLE / count(*), 6) AS hit_rate, round(avg(value), 4) AS avg_elapsed_ms FROM events GROUP BY event_type",
     "tool_calls": sql("""SELECT message_id, 0 AS call_no, CASE WHEN created_at % 4 <> 0 THEN role END AS tool_name, CASE created_at % 4 WHEN 0 THEN NULL WHEN 1 THEN '{}' ELSE '{"k":1}' END AS args, CASE WHEN created_at % 4 = 0 THEN 'invalid arguments' END AS error FROM m UNION ALL SELECT message_id, 2, 'two', '{}', NULL FROM m WHERE created_at % 4 <> 0""", m=_MSG),
-    "decisions": sql("""SELECT message_id, CASE created_at % 4 WHEN 0 THEN 'look' WHEN 1 THEN 'end' END AS thought, CASE WHEN created_at % 4 IN (0, 2) THEN 'search' END AS action, CASE created_at % 4 WHEN 0 THEN '{"q": "' || role || '"}' WHEN 2 THEN '{}' END AS args, CASE WHEN created_at % 4 = 1 THEN 'done' END AS final_answer, CASE created_at % 4 WHEN 0 THEN 'tool_call' WHEN 1 THEN 'final_answer' WHEN 2 THEN 'tool_call' ELSE 'raw_text' END AS decision_type FROM m""", m=_MSG),
-    "observation_summary": sql("SELECT message_id, md5(left(CASE WHEN created_at % 2 = 0 THEN role || ' succeeded: ' || content ELSE role || ' failed: ' || CASE WHEN created_at % 3 = 0 THEN 'timeout' ELSE 'unknown' END END, 160)) AS summary_md5, md5(CASE WHEN length(content) > 256 THEN rtrim(left(content, 255)) || '...' ELSE content END) AS short_md5 FROM m", m=_MSG),
+    "decisions": sql("""SELECT message_id, CASE created_at % 4 WHEN 0 THEN 'look' WHEN 1 THEN 'end' END AS thought, CASE WHEN created_at % 4 = 0 THEN 'search' END AS action, CASE created_at % 4 WHEN 0 THEN '{"q":"' || role || '"}' END AS args, CASE created_at % 4 WHEN 1 THEN 'done' WHEN 2 THEN 'Action: {bad}' WHEN 3 THEN 'plain words' END AS final_answer, CASE created_at % 4 WHEN 0 THEN 'tool_call' ELSE 'final_answer' END AS decision_type FROM m""", m=_MSG),
+    "observation_summary": sql("SELECT message_id, md5(CASE WHEN created_at % 2 = 0 THEN '工具 ' || role || ' 调用成功' ELSE '工具 ' || role || ' 调用失败: ' || CASE WHEN created_at % 5 <> 0 THEN 'TIMEOUT' ELSE 'ERROR' END || CASE WHEN created_at % 3 = 0 AND trim(content) <> '' THEN ' (' || CASE WHEN length(trim(content)) > 160 THEN left(trim(content), 157) || '...' ELSE trim(content) END || ')' ELSE '' END END) AS summary_md5, md5(CASE WHEN length(trim(content)) > 256 THEN rtrim(left(trim(content), 255)) || '...' ELSE trim(content) END) AS short_md5 FROM m", m=_MSG),
     "content_text": sql("SELECT message_id, CASE created_at % 3 WHEN 0 THEN 'plain ' || role WHEN 1 THEN 'a ' || role || ' c' ELSE 'quoted ' || role END AS text FROM m", m=_MSG),
 }

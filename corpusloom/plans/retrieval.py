@@ -84,7 +84,7 @@ def answers(spark, d):
 def context_blocks(spark, d):
     q, ranked = _ranked(spark, d)
     s = r.snippets(ranked)
-    history = v.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), F.col("text").alias("content")).join(q.select("query_id"), "query_id", "left_semi").where("query_id % 2 = 0")
+    history = v.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content")).join(q.select("query_id"), "query_id", "left_semi")
     return r.context_blocks(q, s, r.related_files(s), history).select("query_id", "n_blocks", F.md5("context").alias("context_md5"))
 
 
@@ -153,7 +153,7 @@ def _sql(body: str, *names: str) -> str:
 
 
 _BLOCKS = """SELECT query_id, part, ord, block FROM h UNION ALL SELECT query_id, 1, ord, block FROM s WHERE nth <= greatest(1, 4 - nh)
-    UNION ALL SELECT r.query_id, 2, r.rank, r.file_name FROM related r LEFT JOIN nh USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS ns FROM s WHERE nth <= greatest(1, 4 - nh) GROUP BY query_id) USING (query_id) WHERE r.rank <= 4 - coalesce(nh, 0) - coalesce(ns, 0)"""
+    UNION ALL SELECT r.query_id, 2, r.rank, '[文件] ' || r.file_name FROM related r LEFT JOIN nh USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS ns FROM s WHERE nth <= greatest(1, 4 - nh) GROUP BY query_id) USING (query_id) WHERE r.rank <= 4 - coalesce(nh, 0) - coalesce(ns, 0)"""
 ORACLES = {
     "vector_topk": _sql("""SELECT query_id, file_id, small_chunk_index, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance, round(greatest(0, least(1, 1 - distance)), 6) AS vector_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, file_id, small_chunk_index) AS rank FROM
         (SELECT query_id, c.file_id, small_chunk_index, 1 - list_cosine_similarity(embedding, query_vector) AS distance FROM vq q JOIN okv c ON q.user_id = c.user_id)) WHERE rank <= 18""", "okv").replace("WITH ", "WITH vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector, d.source AS user_id FROM embeddings e JOIN documents d ON e.vec_id // 5 = d.doc_id WHERE vec_id % 50 = 0),\n", 1),
@@ -170,11 +170,11 @@ ORACLES = {
         UNION ALL SELECT query_id, 1, rank, 'file', file_id, file_name, NULL, NULL, NULL, NULL, '/api/uploads/' || file_id || '/download' FROM related)""", "related"),
     "answers": _sql("SELECT query_id, coalesce(n, 0) AS n_snippets, CASE WHEN n IS NULL THEN '未检索到相关资料。' END AS message FROM text_queries LEFT JOIN (SELECT query_id, count(*) AS n FROM snips GROUP BY query_id) USING (query_id)", "snips"),
     "context_blocks": sql(
-        "SELECT query_id, count(*) AS n_blocks, md5(string_agg('[' || no || '] ' || block, chr(10) ORDER BY no)) AS context_md5 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, ord) AS no FROM blocks) GROUP BY query_id",
+        "SELECT query_id, coalesce(n, 0) AS n_blocks, md5(coalesce(context, '（无可用上下文）')) AS context_md5 FROM text_queries LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(no || '. ' || block, chr(10) ORDER BY no) AS context FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY part, ord) AS no FROM blocks) GROUP BY query_id) USING (query_id)",
         "chunks", "chunk_vectors", "text_queries", **_EXPR,
-        h="SELECT query_id, 0 AS part, pos AS ord, block FROM (SELECT conv_id AS query_id, turn AS pos, text AS block, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE conv_id % 2 = 0 AND conv_id IN (SELECT query_id FROM text_queries)) WHERE n <= 2",
+        h="SELECT query_id, 0 AS part, pos AS ord, '[历史' || role || '] ' || block AS block FROM (SELECT conv_id AS query_id, turn AS pos, role, trim(text) AS block, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WHERE conv_id IN (SELECT query_id FROM text_queries)) WHERE n <= 2 AND block <> ''",
         nh="SELECT query_id, count(*) AS nh FROM h GROUP BY query_id",
-        s="SELECT query_id, block, ord, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS nth, coalesce(nh, 0) AS nh FROM (SELECT query_id, small_chunk_text AS block, min(rank) AS ord FROM snips GROUP BY ALL) LEFT JOIN nh USING (query_id)",
+        s="SELECT query_id, '[片段] ' || file_name || ': ' || t AS block, ord, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS nth, coalesce(nh, 0) AS nh FROM (SELECT query_id, trim(small_chunk_text) AS t, min(rank) AS ord, arg_min(file_name, rank) AS file_name FROM snips GROUP BY query_id, trim(small_chunk_text)) LEFT JOIN nh USING (query_id)",
         blocks=_BLOCKS,
     ),
 }

@@ -56,7 +56,7 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("text"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("user_id"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("user_id"))
 
 
 #: DuckDB twins, in an order in which each may use those before it.
@@ -82,7 +82,7 @@ CTE = {
         FROM small s JOIN files f ON s.file_id = f.file_id""",
     "chunk_vectors": "SELECT vec_id // 5 AS file_id, CAST(vec_id % 5 AS INTEGER) AS small_chunk_index, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings",
     "vector_queries": "SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector, f.user_id FROM embeddings e JOIN files f ON e.vec_id // 5 = f.file_id WHERE vec_id % 50 = 0",
-    "text_queries": "SELECT item_id AS query_id, substring(text, 1, 60) AS text, 'src' || (item_id % 20) AS user_id FROM benchmark",
+    "text_queries": "SELECT item_id AS query_id, text, 'src' || (item_id % 20) AS user_id FROM benchmark",
 }
 _NEEDS = {"segments": ["lines"], "normal": ["segments"], "headers": ["normal"], "footers": ["normal"], "trimmed": ["normal", "headers", "footers"], "cleaned": ["trimmed"], "small": ["cleaned"], "chunks": ["small", "files"], "vector_queries": ["files"]}
 

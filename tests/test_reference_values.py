@@ -115,6 +115,50 @@ def test_sections_before_any_chapter(spark):
     lines = [(1, 0, "标题"), (1, 1, "1.1 甲"), (1, 2, "岗位：理赔员"), (1, 3, "职责：a；b"), (1, 4, "正文。后面"), (1, 5, "第一章 总则"), (1, 6, "1.2 乙"), (1, 7, "  ")]
     rows = flow.assign(flow.classify(spark.createDataFrame(lines, "file_id int, line_no int, line string")))
     s = {r.title: r for r in flow.sections(rows).collect()}
-    assert s["甲"].chapter_no == 0 and s["甲"].role == "理赔员" and s["甲"].responsibilities == ["a", "b"] and s["甲"].summary == "正文"
+    assert s["甲"].chapter_no == 0 and s["甲"].role == "理赔员" and s["甲"].responsibilities == ["a", "b"] and s["甲"].summary == "正文。"
     assert s["乙"].chapter_no == 2 and s["乙"].content == ""
     assert {(r.chapter_id, r.title) for r in flow.chapters(rows).collect()} == {("chapter-0", "未分章内容"), ("chapter-2", "第一章 总则")}
+
+
+def test_match_terms(spark):
+    q = spark.createDataFrame([(1, "请根据 理赔手册 文件生成流程图"), (2, "请生成流程图"), (3, "从Claims_Guide用文档")], "query_id long, text string")
+    got = {r.query_id: r.terms for r in flow.match_terms(q).collect()}
+    assert got[1] == ["理赔手册", "请根据", "文件生成流程图"]
+    assert got[2] == ["请生成流程图"]
+    assert got[3] == ["claimsguide", "从claims", "guide用文档"]
+
+
+def test_chapter_pattern_and_summary(spark):
+    df = spark.createDataFrame([(1, 0, "1. 第十二章 总则"), (1, 1, "第X章 不是"), (1, 2, "1.1 甲"), (1, 3, "  先做。 后做！"), (1, 4, "内容：")], "file_id long, line_no int, line string")
+    rows = flow.assign(flow.classify(df))
+    assert [(r.kind, r.title) for r in rows.sort("line_no").collect()][:3] == [("chapter", "第十二章 总则"), ("text", None), ("section", "甲")]
+    got = flow.sections(rows).first()
+    assert (got.section_id, got.summary, got.content) == ("1.1", "先做。", "先做。 后做！")
+    texts = spark.createDataFrame([("a. b",), ("。x! y",), ("",), ("z" * 90,)], "t string")
+    assert [r[0] for r in texts.select(flow.summary(F.col("t"))).collect()] == ["a.", "。x!", "", "z" * 80]
+
+
+def test_error_categories_and_observation_summaries(spark):
+    codes = spark.createDataFrame([(c,) for c in ("INVALID_ARGUMENT", "PERMISSION_DENIED", "MISSING_SESSION_CONTEXT", "UNKNOWN_TOOL", "TIMEOUT", "TOOL_NOT_FOUND")], "code string")
+    assert [r[0] for r in codes.select(trace.error_category(F.col("code"))).collect()] == ["validation", "permission", "permission", "unknown", "service", "service"]
+    obs = spark.createDataFrame([("t", "ok", "secret payload", None, None), (" ", "error", " r ", "X", None), ("t", "error", "q" * 300, None, "m" * 161)], "tool_name string, status string, result string, error_message string, error_code string")
+    obs = obs.withColumns({"error_message": F.col("error_code"), "error_code": F.when(F.col("error_message").isNotNull(), F.col("error_message"))})
+    got = trace.observation_summary(obs).collect()
+    assert [r.summary for r in got] == ["工具 t 调用成功", "工具 unknown_tool 调用失败: X", "工具 t 调用失败: ERROR (" + "m" * 157 + "...)"]
+    assert [r.short for r in got] == ["secret payload", "r", "q" * 255 + "..."]
+
+
+def test_text_protocol(spark):
+    texts = ["Thought: t\nAction: {\"tool_name\": \"rag\", \"tool_args\": {\"query\": \"x\"}}", "Action: rag {\"query\": 1}\nFinal Answer: done\nmore", "Action: {\"tool_name\": \"rag\", \"tool_args\": 1}", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "message_id long, text string")
+    got = trace.decisions(df).sort("message_id").collect()
+    assert [(r.decision_type, r.action, r.final_answer) for r in got] == [("tool_call", "rag", None), ("final_answer", None, "done"), ("final_answer", None, texts[2]), ("final_answer", None, "plain")]
+    assert got[0].thought == "t" and got[0].args == '{"query":"x"}'
+
+
+def test_file_kinds(spark):
+    rows = [("a.png", None), ("b.gif", None), ("c", "application/msword"), ("d", "text/word"), (" E.PDF ", None), ("f.xlsx", None), ("g", "image/gif")]
+    df = spark.createDataFrame(rows, "file_name string, mime_type string")
+    kinds = retrieve.file_kind()
+    got = df.select(*[k.alias(n) for n, k in kinds.items()]).collect()
+    assert [[n for n in kinds if r[n]] for r in got] == [["image"], [], ["document"], [], ["pdf", "document"], ["document"], ["image"]]
