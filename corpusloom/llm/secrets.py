@@ -148,16 +148,17 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` (doc_id, text, ..., n_chars) with every found span replaced by ``mark``; all rows and columns stay.
+    """``docs`` (doc_id, text, ..., n_chars) with every found span replaced by ``mark``; all rows and columns stay,
+    whatever their names.
 
     Spans are cut out of the row's own text, so a repeated or null doc_id does no harm. n_chars, if there is one,
     is counted anew where something was replaced.
     """
     row = docs.columns
-    hits = docs.select(*[F.col(f"`{c}`") for c in row], *[spans(F.coalesce(F.col("text"), F.lit("")), p).alias(f"__{n}") for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("tokens", TOKEN))])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hits = docs.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), *[spans(text, p).alias(n) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("tokens", TOKEN))])
     value = lambda x: F.length(x["hit"]) - F.length(F.regexp_extract(x["hit"], ASSIGN_HEAD, 0)) >= 12
-    hits = written(hits.withColumn("__assign", F.filter("__assign", value)), "secret-rows")
-    named = hits.select(F.struct(*[F.col(f"`{c}`") for c in row]).alias("row"), *[F.col(f"__{k}").alias(k) for k in ("assign", "access", "hex", "tokens")])
+    named = written(hits.withColumn("assign", F.filter("assign", value)), "secret-rows")
     named = with_markov(named, *train(named, threshold))
     every = F.array_sort(F.concat(*[F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS]))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

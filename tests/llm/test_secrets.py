@@ -85,3 +85,9 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.report(secrets.scan(empty)).count() == 0
+
+
+def test_redact_keeps_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "password = abcdefghijkl123", 9, "x", None), (2, None, 0, "y", "z")], "doc_id long, text string, assign int, __hex string, row string")
+    got = sorted(tuple(r) for r in secrets.redact(df).collect())
+    assert got == [(1, "[SECRET]", 9, "x", None), (2, None, 0, "y", "z")]
