@@ -3,7 +3,8 @@
 A seed mask looks at some of the tokens of a window and ignores the others, so a window whose ignored tokens were
 replaced still hashes alike. All windows of the benchmark are hashed under all masks; a document's windows are
 looked up in these hashes; a hit fixes a diagonal (document position minus benchmark position), and the whole
-diagonal is then compared token by token, counting replaced tokens.
+diagonal is then compared token by token, counting replaced tokens. Items shorter than every mask can't be missed by a
+replaced token, since all their tokens must be equal: they are looked up whole.
 
 The benchmark side is taken in blocks of a bounded number of tokens. Each block is one broadcast whose size doesn't
 depend on the documents, and one pass over the documents, without a shuffle.
@@ -11,6 +12,7 @@ depend on the documents, and one pass over the documents, without a shuffle.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,10 @@ BLOCK_TOKENS = 400_000
 #: A leak has this many equal tokens (or all of a shorter passage) at this share of its length.
 LEAST_TOKENS = 10
 LEAST_SHARE = 0.8
+#: Items of fewer tokens than the shortest mask.
+SHORT = range(1, min(map(len, MASKS)))
 _BITS = 22
+_WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,10 +56,10 @@ def seeds(tokens: np.ndarray, owner: np.ndarray, mask: str, salt: int) -> tuple[
 class Index:
     """Spaced-seed index of one block of benchmark texts."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         values = pa.array(texts, pa.string())
         parts = [(token_hashes(data, offsets), a) for a, _, offsets, data in pieces(values)]
-        self.ids = np.array(ids, np.int64)
+        self.ids = pa.array(ids, pa.int64())
         self.tokens = np.concatenate([h for (h, _), _ in parts]) if parts else np.zeros(0, U64)
         self.owner = np.concatenate([r + a for (_, r), a in parts]) if parts else np.zeros(0, np.int64)
         self.bounds = np.searchsorted(self.owner, np.arange(len(ids) + 1))
@@ -64,6 +69,30 @@ class Index:
         self.key, self.at = key[order], at[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.key >> U64(64 - _BITS)).astype(np.int64)] = True
+        self.short = {}
+        for n in SHORT:
+            items = np.flatnonzero(np.diff(self.bounds) == n)
+            if len(items):
+                first = self.bounds[items]
+                key = combine(np.full(len(items), len(MASKS) + n, U64), *(self.tokens[first + i] for i in range(n)))
+                order = np.argsort(key, kind="stable")
+                self.short[n] = key[order], items[order]
+
+    def whole(self, tokens: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(token position, item) of the first place in each row of every item of ``n`` tokens, ``n`` in SHORT."""
+        key, items = self.short[n]
+        start, seen = seeds(tokens, row, "1" * n, len(MASKS) + n - 1)
+        lo, hi = np.searchsorted(key, seen, "left"), np.searchsorted(key, seen, "right")
+        size = hi - lo
+        hit = np.repeat(np.arange(len(seen)), size)
+        item = items[lo[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(size) - size, size)]
+        at = start[hit]
+        same = np.ones(len(at), bool)
+        for i in range(n):
+            same &= tokens[at + i] == self.tokens[self.bounds[item] + i]
+        at, item = at[same], item[same]
+        _, one = np.unique(row[at] * len(self.ids) + item, return_index=True)
+        return at[one], item[one]
 
     def leaks(self, tokens: np.ndarray, row: np.ndarray, n_rows: int) -> list[tuple[int, int, int, int, int]]:
         """(row, item, first token, length, equal tokens): the best verified overlap of each row and item."""
@@ -78,11 +107,12 @@ class Index:
             if len(hit):
                 pos = self.at[lo[hit] + np.arange(len(hit)) - np.repeat(np.cumsum(size) - size, size)]
                 lookup.append(np.stack([row[start[hit]], self.owner[pos], start[hit] - pos], axis=1))
-        if not lookup:
-            return []
         bounds = np.searchsorted(row, np.arange(n_rows + 1))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for r, item, diagonal in np.unique(np.concatenate(lookup), axis=0).tolist():
+        for n in self.short:
+            at, item = self.whole(tokens, row, n)
+            best |= {(r, i): (n, b - a, n) for r, i, a, b in zip(row[at].tolist(), item.tolist(), at.tolist(), bounds[row[at]].tolist(), strict=True)}
+        for r, item, diagonal in np.unique(np.concatenate(lookup), axis=0).tolist() if lookup else ():
             a, b = self.bounds[item], self.bounds[item + 1]
             lo, hi = max(a, bounds[r] - diagonal), min(b, bounds[r + 1] - diagonal)
             same = tokens[lo + diagonal : hi + diagonal] == self.tokens[lo:hi]
@@ -114,13 +144,13 @@ def best_segment(same: np.ndarray) -> tuple[int, int, int]:
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS, key: str = "item_id", text: str = "text") -> Iterator[Index]:
     """The benchmark, block by block: at most ``most`` tokens (or one text) are held at a time."""
-    ids: list[int] = []
+    ids: list[int | None] = []
     texts: list[str] = []
     size = 0
-    for r in benchmark.select(F.col(key).cast("long"), F.col(text)).where(F.col(text).isNotNull() & F.col(key).isNotNull()).distinct().sort(key).toLocalIterator():
+    for r in benchmark.select(F.col(key).cast("long"), F.col(text)).where(F.col(text).isNotNull()).distinct().sort(key).toLocalIterator():
         ids.append(r[0])
         texts.append(r[1])
-        size += r[1].count(" ") + 1
+        size += sum(1 for _ in _WORD.finditer(r[1]))
         if size >= most:
             yield Index(ids, texts)
             ids, texts, size = [], [], 0
@@ -133,8 +163,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TOKENS)
 
     One row for each document row and item, with its best overlap: at least LEAST_TOKENS equal tokens (all of them
     for a shorter item) at a share of LEAST_SHARE or more. Words are lower-cased runs of letters and digits. Null and
-    blank texts leak nothing; items of fewer than five words have no seed and are not looked for. Repeated
-    document rows repeat their result. Other columns are not read.
+    blank texts leak nothing, nor do items without a word; an item of fewer than five words is found where all its words
+    follow each other. An item without an id is looked for, its item_id is null. Repeated document rows repeat their
+    result. Other columns are not read.
     """
     found = None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
@@ -149,9 +180,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, most: int = BLOCK_TOKENS)
                 out = []
                 for a, b, offsets, data in pieces(column(batch, "text")):
                     tokens, row = token_hashes(data, offsets)
-                    out += [(a + r, int(index.ids[item]), *rest) for r, item, *rest in index.leaks(tokens, row, b - a)]
-                cols = list(zip(*out, strict=True)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "item_id", "token_start", "n_tokens", "n_equal"])
+                    out += [(a + r, *rest) for r, *rest in index.leaks(tokens, row, b - a)]
+                doc, item, *cols = (pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5))
+                yield pa.RecordBatch.from_arrays([keys.take(doc), index.ids.take(item), *cols], names=["doc_id", "item_id", "token_start", "n_tokens", "n_equal"])
 
         part = rows.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)

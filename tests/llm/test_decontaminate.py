@@ -84,6 +84,15 @@ def test_evenly_replaced_tokens(spark):
     assert len(hundred) >= 10
 
 
+def test_short_items_and_items_without_an_id(spark):
+    items = [(1, "Alpha beta, gamma delta"), (2, "epsilon"), (3, "beta gamma"), (4, "beta GAMMA"), (5, "..."), (None, "one two three four five six"), (None, "zeta eta")]
+    docs = [(0, "x alpha BETA gamma; delta y beta gamma"), (1, "alpha beta gamma x delta"), (2, "epsilon " * 500), (3, "delta epsilo beta"), (4, "beta"), (5, "gamma"), (6, "say one two three four five six"), (7, "zeta eta"), (8, None), (9, "")]
+    want = check_equals_brute_force(spark, docs, items)
+    assert want == {(0, 1), (0, 3), (0, 4), (1, 3), (1, 4), (2, 2), (6, None), (7, None)}
+    got = d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.item_id, r.token_start, r.n_tokens) for r in got.where("doc_id = 0").collect()) == [(1, 1, 4), (3, 2, 2), (4, 2, 2)]
+
+
 def test_short_run_does_not_hide_a_longer_overlap(spark):
     # 9 equal tokens score best; the 12 of 14 after them are the leak
     text = [f"t{k}" for k in range(60)]
