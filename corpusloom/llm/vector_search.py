@@ -108,19 +108,30 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, vector_block: int =
     """(query_id, rank, vec_id, score): for each row with an id divisible by ``every`` its ``k`` nearest other rows.
 
     Nearness is the inner product in double precision, ties to the smaller vec_id; with fewer candidates all are
-    given. Equal vectors are one candidate that holds its k + 1 smallest ids, which is exact. All vectors must have
-    one dimension; those that ``usable`` leaves out take no part. An empty table gives no rows; a repeated vec_id
-    with equal vectors counts once.
+    given. Equal vectors are one candidate that holds its k + 1 smallest ids, which is exact. A query meets vectors
+    of its own length, since there is no other inner product; each length of a table has its codes. Vectors that
+    ``usable`` leaves out take no part. An empty table gives no rows; a repeated vec_id with equal vectors counts once.
     """
-    spark = vectors.sparkSession
     rows = written(usable(vectors), "vectors")
-    n = rows.count()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], empty)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
-    largest = rows.agg(F.max(norm)).first()[0]
-    sample = np.array([r[0] for r in rows.sort(F.xxhash64("vec_id", "v")).select("v").limit(SAMPLE).collect()])
+    found = None
+    for size, n, largest in rows.groupBy(F.size("v").alias("size")).agg(F.count("*"), F.max(norm)).sort("size").collect():
+        part = _of_one_length(rows.where(F.size("v") == size), n, largest, every, k, vector_block, query_block)
+        found = part if found is None else found.unionByName(part)
+    return found if found is not None else vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def sampled(rows: DataFrame, n: int, most: int) -> np.ndarray:
+    """At most ``most`` of ``n`` vectors, the first by hash; about twice as many reach the driver whatever the size."""
+    span = 1 << 40
+    few = rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(span)) < F.lit(min(span, span * 2 * most // n)))
+    taken = few.sort(F.xxhash64("vec_id", "v")).select("v").limit(most).collect()
+    return np.array([r[0] for r in taken or rows.select("v").limit(most).collect()])
+
+
+def _of_one_length(rows: DataFrame, n: int, largest: float, every: int, k: int, vector_block: int, query_block: int) -> DataFrame:
+    spark = rows.sparkSession
+    sample = sampled(rows, n, SAMPLE)
     codes = Codes(sample, largest, k)
     shared = spark.sparkContext.broadcast(codes)
 

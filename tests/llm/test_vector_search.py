@@ -54,3 +54,19 @@ def test_few_and_no_rows(spark):
     assert [(v, s) for v, s in collected(vs.search(few))[0]] == [(2, 6.0), (1, 4.0)]
     assert vs.search(few.where("false")).count() == 0
     assert vs.search(few.where("vec_id = 0")).count() == 0
+
+
+def test_vectors_of_different_lengths(spark):
+    rng = np.random.default_rng(3)
+    long, short = rng.normal(size=(90, 8)), rng.normal(size=(90, 3))
+    rows = [(i, (long if i % 2 else short)[i // 2].tolist()) for i in range(180)] + [(200, [0.5]), (201, [])]
+    got = collected(vs.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert set(got) == set(range(0, 180, 20))
+    assert all(len(v) == 20 and all(i % 2 == 0 for i, _ in v) for v in got.values())
+
+
+def test_sample_is_bounded_and_never_empty(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(2000)], "vec_id long, v array<double>")
+    assert vs.sampled(rows, 2000, 50).shape == (50, 2)
+    one = spark.createDataFrame([(7, [1.0, 2.0])] * 500, "vec_id long, v array<double>")
+    assert 1 <= len(vs.sampled(one, 500, 5)) <= 5
