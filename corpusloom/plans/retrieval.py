@@ -36,10 +36,15 @@ def query_features(spark, d):
     return out.select("query_id", "normalized", F.array_join("tokens", " ").alias("tokens"), F.array_join("keywords", " ").alias("keywords"), F.array_join("identifiers", " ").alias("identifiers"), F.array_join("rule_tokens", " ").alias("rule_tokens"), "wants_recent", "wants_pdf", "wants_document", "wants_image")
 
 
+def _rewrites(q):
+    """A rewriting model's replies: a third of them fenced JSON, a third no JSON, a third an empty list."""
+    reply = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.concat(F.lit("more "), F.col("text")), F.concat(F.lit(" "), F.col("text")), F.col("text")).alias("queries"))), F.lit("\n```"))).when(F.col("query_id") % 3 == 1, "not json").otherwise('{"queries": []}')
+    return r.parse_rewrites(q.withColumn("reply", reply))
+
+
 def parse_rewrites(spark, d):
     q = v.text_queries(spark, d)
-    reply = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.concat(F.lit("more "), F.col("text")), F.concat(F.lit(" "), F.col("text")), F.col("text")).alias("queries"))), F.lit("\n```"))).when(F.col("query_id") % 3 == 1, "not json").otherwise('{"queries": []}')
-    return r.fan_out(q, r.parse_rewrites(q.withColumn("reply", reply))).select("query_id", F.col("rewrite_no").cast("long").alias("rewrite_no"), "text")
+    return r.fan_out(q, _rewrites(q)).select("query_id", F.col("rewrite_no").cast("long").alias("rewrite_no"), "text")
 
 
 def bm25_topk(spark, d):
@@ -48,8 +53,12 @@ def bm25_topk(spark, d):
 
 
 def fulltext_match(spark, d):
-    q = v.text_queries(spark, d).withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 3), " "))
-    return r.fulltext_topk(q, _chunks(spark, d), k=1000).select("query_id", "file_id", "small_chunk_index")
+    """Every three words of every benchmark text, one after the other, are a query: a whole text's words are in no chunk."""
+    words = F.split("text", " ")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 3).cast("int")), lambda i: F.array_join(F.slice(words, i * 3 + 1, F.lit(3)), " "))
+    q = v.text_queries(spark, d).select("user_id", "query_id", F.posexplode(parts).alias("part", "text"))
+    found = r.fulltext_topk(q.withColumn("query_id", F.struct("query_id", "part")).drop("part"), _chunks(spark, d), k=1000)
+    return found.select("query_id.query_id", F.col("query_id.part").cast("long").alias("part"), "file_id", "small_chunk_index")
 
 
 def rule_topk(spark, d):
@@ -89,15 +98,23 @@ def context_blocks(spark, d):
 
 
 def hybrid_retrieve(spark, d):
-    """The flagship: all three routes, with hashed embeddings as the vector model."""
+    """The flagship: all three routes for every rewrite, with hashed embeddings as the vector model."""
     chunks = _chunks(spark, d)
     q = v.text_queries(spark, d)
-    near = embed.embed(q, "text", embed.hashed, 64, to="query_vector"), embed.embed(chunks.select("user_id", "file_id", "small_chunk_index", "small_chunk_text"), "small_chunk_text", embed.hashed, 64)
-    out = r.retrieve(q, chunks, NOW, near)
+    rewrites = _rewrites(q)
+    near = embed.embed(r.fan_out(q, rewrites), "text", embed.hashed, 64, to="query_vector"), embed.embed(chunks.select("user_id", "file_id", "small_chunk_index", "small_chunk_text"), "small_chunk_text", embed.hashed, 64)
+    out = r.retrieve(q, chunks, NOW, near, rewrites=rewrites)
     return out.select("query_id", "rank", "file_id", "small_chunk_index", "file_name", "page_start", F.round("vector_score", 6).alias("vector_score"), F.round("bm25_score", 6).alias("bm25_score"), "rule_score", F.round("final_score", 6).alias("final_score"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieve, vector_topk, ivf_topk, query_features, parse_rewrites, bm25_topk, fulltext_match, rule_topk, rerank, related_files, references, answers, context_blocks)}
+def hybrid_rewrites(spark, d):
+    """``hybrid_retrieve`` without the vector route."""
+    q = v.text_queries(spark, d)
+    out = r.retrieve(q, _chunks(spark, d), NOW, rewrites=_rewrites(q))
+    return out.select("query_id", "rank", "file_id", "small_chunk_index", "file_name", "page_start", F.round("bm25_score", 5).alias("bm25_score"), "rule_score", F.round("final_score", 5).alias("final_score"))
+
+
+QUERIES = {f.__name__: f for f in (hybrid_retrieve, hybrid_rewrites, vector_topk, ivf_topk, query_features, parse_rewrites, bm25_topk, fulltext_match, rule_topk, rerank, related_files, references, answers, context_blocks)}
 
 _RECENT = "(" + " OR ".join(f"contains(normalized, '{w}')" for w in tx.RECENT_WORDS) + ")"
 
@@ -152,15 +169,33 @@ def _sql(body: str, *names: str) -> str:
     return sql(body, "chunks", "chunk_vectors", "text_queries", **dict(list(_EXPR.items())[: last + 1]))
 
 
+def _over_rewrites() -> dict[str, str]:
+    """The expressions with routes that run on ``asked`` (query_id * 10 + rewrite_no) and candidates by query."""
+    out = dict(_EXPR) | {
+        "asked": f"SELECT query_id * 10 + k AS query_id, user_id, l[k + 1] AS text FROM (SELECT query_id, user_id, {_REWRITES} AS l FROM text_queries), LATERAL (SELECT unnest(range(len(l))) AS k)",
+        "a0": _EXPR["f0"].replace("text_queries", "asked"),
+        "a1": _EXPR["f1"].replace("FROM f0", "FROM a0"),
+        "asked_features": _EXPR["features"].replace("FROM f1", "FROM a1"),
+        "terms": _EXPR["terms"].replace("text_queries", "asked"),
+        "rule": _EXPR["rule"].replace("FROM features", "FROM asked_features"),
+        "cands": _EXPR["cands"].replace("SELECT query_id, file_id, small_chunk_index, bm25_score", "SELECT query_id // 10 AS query_id, file_id, small_chunk_index, bm25_score").replace("ALL SELECT query_id,", "ALL SELECT query_id // 10,"),
+    }
+    first = ("ok", "f0", "f1", "features", "asked", "a0", "a1", "asked_features")
+    return {k: out[k] for k in (*first, *(k for k in _EXPR if k not in first))}
+
+
+_REWRITES = "CASE WHEN query_id % 3 = 0 THEN ['more ' || rtrim(text), trim(text)] ELSE [text] END"
 _BLOCKS = """SELECT query_id, part, ord, block FROM h UNION ALL SELECT query_id, 1, ord, block FROM s WHERE nth <= greatest(1, 4 - nh)
     UNION ALL SELECT r.query_id, 2, r.rank, '[文件] ' || r.file_name FROM related r LEFT JOIN nh USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS ns FROM s WHERE nth <= greatest(1, 4 - nh) GROUP BY query_id) USING (query_id) WHERE r.rank <= 4 - coalesce(nh, 0) - coalesce(ns, 0)"""
 ORACLES = {
     "vector_topk": _sql("""SELECT query_id, file_id, small_chunk_index, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance, round(greatest(0, least(1, 1 - distance)), 6) AS vector_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, file_id, small_chunk_index) AS rank FROM
         (SELECT query_id, c.file_id, small_chunk_index, 1 - list_cosine_similarity(embedding, query_vector) AS distance FROM vq q JOIN okv c ON q.user_id = c.user_id)) WHERE rank <= 18""", "okv").replace("WITH ", "WITH vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector, d.source AS user_id FROM embeddings e JOIN documents d ON e.vec_id // 5 = d.doc_id WHERE vec_id % 50 = 0),\n", 1),
     "query_features": _sql("SELECT query_id, normalized, array_to_string(tokens, ' ') AS tokens, array_to_string(keywords, ' ') AS keywords, array_to_string(identifiers, ' ') AS identifiers, array_to_string(rule_tokens, ' ') AS rule_tokens, wants_recent, wants_pdf, wants_document, wants_image FROM features", "features"),
-    "parse_rewrites": sql("""SELECT query_id, CAST(k AS BIGINT) AS rewrite_no, l[k + 1] AS text FROM (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN ['more ' || rtrim(text), trim(text)] ELSE [text] END AS l FROM text_queries), LATERAL (SELECT unnest(range(len(l))) AS k)""", "text_queries"),
+    "parse_rewrites": sql(f"""SELECT query_id, CAST(k AS BIGINT) AS rewrite_no, l[k + 1] AS text FROM (SELECT query_id, {_REWRITES} AS l FROM text_queries), LATERAL (SELECT unnest(range(len(l))) AS k)""", "text_queries"),
+    "hybrid_rewrites": sql("SELECT query_id, rank, file_id, small_chunk_index, file_name, page_start, CAST(round(b, 5) AS DOUBLE) AS bm25_score, CAST(r AS DOUBLE) AS rule_score, round(final_score, 5) AS final_score FROM snips", "chunks", "chunk_vectors", "text_queries", **_over_rewrites()),
     "bm25_topk": _sql("SELECT query_id, file_id, small_chunk_index, rank, round(bm25_raw, 5) AS bm25_raw, round(bm25_score, 5) AS bm25_score FROM bm", "bm"),
-    "fulltext_match": _sql("""SELECT query_id, file_id, small_chunk_index FROM (SELECT query_id, user_id, list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:3], ' ')), '[\\p{L}\\p{N}_]+')) AS must FROM text_queries) q
+    "fulltext_match": _sql("""SELECT query_id, part, file_id, small_chunk_index FROM (SELECT query_id, part, user_id, list_distinct(regexp_extract_all(lower(array_to_string(w[part * 3 + 1 : part * 3 + 3], ' ')), '[\\p{L}\\p{N}_]+')) AS must
+        FROM (SELECT query_id, user_id, string_split(text, ' ') AS w FROM text_queries), LATERAL (SELECT unnest(range((len(w) + 2) // 3)) AS part)) q
         JOIN (SELECT file_id, small_chunk_index, user_id, list_concat(regexp_extract_all(lower(small_chunk_text), '[\\p{L}\\p{N}_]+'), regexp_extract_all(lower(file_name), '[\\p{L}\\p{N}_]+')) AS ws FROM ok) c ON q.user_id = c.user_id WHERE len(must) > 0 AND list_has_all(ws, must)""", "ok"),
     "rule_topk": _sql("SELECT query_id, file_id, small_chunk_index, rank FROM rule", "rule"),
     "rerank": _sql("SELECT query_id, file_id, small_chunk_index, rank, CAST(round(bonus, 6) AS DOUBLE) AS bonus, round(final_score, 5) AS final_score FROM ranked", "ranked"),
