@@ -191,6 +191,17 @@ def _trace(spark, d):
     return e.select(F.col("user_id").alias("session_id"), "event_id", w.alias("step_index"), (F.col("event_type") != "view").alias("has_activity"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("tool_name"), F.when(F.col("event_type") != "view", F.col("props")).alias("tool_args"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.col("value").alias("value"))
 
 
+def trace_rows(spark, d):
+    """Every event as an agent's step; users divisible by 10 have no conversation, so their steps leave no row."""
+    status = F.when(F.col("tool_name") == "purchase", "completed").when(F.col("tool_name") == "error", "failed").otherwise("running")
+    steps = _trace(spark, d).withColumn("status", status).withColumns({
+        "conversation_id": F.when(F.col("session_id") % 10 != 0, F.concat(F.lit("c"), F.col("session_id").cast("string"))),
+        "args": F.create_map(F.lit("event_id"), F.col("event_id").cast("string")), "reason": F.concat(F.lit("step "), F.col("step_index").cast("string")),
+        "observation": F.when(F.col("event_id") % 3 != 0, F.col("tool_name")), "created_at": F.col("event_id"),
+    })
+    return tr.trace_rows(steps).drop("created_at").withColumn("step_index", F.col("step_index").cast("long"))
+
+
 def trace_step_metrics(spark, d):
     rows = _trace(spark, d).withColumn("tool_args", F.lit("{}"))
     return tr.step_metrics(rows).select("session_id", "step_index", "empty_steps", "repeated_actions")
@@ -270,7 +281,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_uploads, object_keys, aggregate_status, initial_channels, apply_ingest_result, recent_uploads, file_lookup, list_by_user, replace_by_key, upsert, cascade_delete, conform_schema, tree_nodes, next_sort_order,
-        ensure_roots, canvas_lookup, route_tenants, latest_conversation, messages_of, recent_messages, nested_refs, payload_parts, content_fallback, prompt_rows, memory_read, memory_summary, trace_step_metrics, terminations,
+        ensure_roots, canvas_lookup, route_tenants, latest_conversation, messages_of, recent_messages, nested_refs, payload_parts, content_fallback, prompt_rows, memory_read, memory_summary, trace_rows, trace_step_metrics, terminations,
         tool_reuse, session_outcome, retry_outcome, guardrails, check_arguments, error_category, call_metrics, tool_calls, decisions, observation_summary, content_text,
     )
 }
@@ -327,6 +338,11 @@ ORACLES = {
     ),
     "memory_read": sql("SELECT session_id, pos, at_ AS at FROM mem", mem=_MEM(3)),
     "memory_summary": sql("SELECT session_id, count(*) AS n_items, md5(string_agg(content, ' | ' ORDER BY pos)) AS summary_md5 FROM mem GROUP BY session_id", mem=_MEM(3)),
+    "trace_rows": sql("""SELECT conversation_id, session_id, step_index, 'reason' AS phase, NULL AS tool_name, NULL AS tool_args_json, NULL AS observation_json, 'step ' || step_index AS reason_summary, st AS status FROM steps
+        UNION ALL SELECT conversation_id, session_id, step_index, 'action', tool, '{"event_id":"' || event_id || '"}', NULL, NULL, st FROM steps WHERE tool IS NOT NULL
+        UNION ALL SELECT conversation_id, session_id, step_index, 'observation', tool, NULL, '{"observation":"' || tool || '"}', NULL, st FROM steps WHERE tool IS NOT NULL AND event_id % 3 <> 0
+        UNION ALL SELECT conversation_id, session_id, step_index, 'termination', NULL, NULL, NULL, NULL, st FROM steps WHERE st <> 'running'""",
+        tr=_TRACE, steps="SELECT *, 'c' || session_id AS conversation_id, CASE tool WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS st FROM tr WHERE session_id % 10 <> 0"),
     "trace_step_metrics": sql("SELECT session_id, CAST(step_index AS INTEGER) AS step_index, empty_steps, repeated_actions FROM met", **_METRICS),
     "terminations": sql(
         "SELECT session_id, CAST(min(step_index) AS INTEGER) AS step_no, arg_min(reason, step_index) AS reason FROM why WHERE reason <> 'running' GROUP BY session_id", **_METRICS,
