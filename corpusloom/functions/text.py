@@ -21,7 +21,8 @@ WORD = r"[\p{L}\p{N}_-]+"
 
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Runs of white space as one space, none at the ends. Single spaces don't match, so plain text isn't rebuilt."""
+    return F.trim(F.regexp_replace(text, r"(?U) \s+|[^\S ]\s*", " "))
 
 
 def strip_html(text: Column) -> Column:

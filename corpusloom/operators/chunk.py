@@ -20,31 +20,33 @@ def small_chunks(segments: DataFrame, size: int = 700, overlap: int = 120) -> Da
 
 
 def greedy_groups(lengths: Column, limit: int) -> Column:
-    """Group number of each length: a group takes the next one while its sum stays within ``limit``."""
-    start = F.struct(F.lit(-1).alias("g"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<int>").alias("out"))
+    """Group number of each length: a group takes the next one while its sum stays within ``limit``. The fold keeps the
+    sizes of closed groups and the open one's size and sum."""
+    start = F.struct(F.array().cast("array<int>").alias("closed"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("sum"))
 
     def add(acc: Column, n: Column) -> Column:
-        new = (acc["g"] < 0) | (acc["sum"] + n > limit)
-        g = F.when(new, acc["g"] + 1).otherwise(acc["g"])
-        return F.struct(g.alias("g"), F.when(new, n.cast("long")).otherwise(acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(g)).alias("out"))
+        new = (acc["n"] > 0) & (acc["sum"] + n > limit)
+        closed = F.when(new, F.concat(acc["closed"], F.array(acc["n"]))).otherwise(acc["closed"])
+        return F.struct(closed.alias("closed"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, n.cast("long")).otherwise(acc["sum"] + n).alias("sum"))
 
-    return F.aggregate(lengths, start, add, lambda a: a["out"])
+    sizes = F.aggregate(lengths, start, add, lambda a: F.concat(a["closed"], F.array(a["n"])))
+    return F.flatten(F.transform(sizes, lambda n, g: F.array_repeat(g, n)))
 
 
 def large_groups(chunks: DataFrame, large: int = 2100) -> DataFrame:
-    """(file_id, small_chunk_index, large_no). A file's fold holds its chunk lengths, never its text."""
+    """Adds large_no. A file's fold holds its chunk lengths, never its text; all steps share one placement by file."""
     item = F.struct("small_chunk_index", F.length("small_chunk_text").alias("n"))
     files = chunks.groupBy("file_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    files = files.withColumn("groups", greedy_groups(F.transform("items", lambda x: x["n"]), large))
-    zipped = files.select("file_id", F.explode(F.arrays_zip("items", "groups")).alias("z"))
-    return zipped.select("file_id", F.col("z.items.small_chunk_index").alias("small_chunk_index"), F.col("z.groups").alias("large_no"))
+    files = files.select("file_id", greedy_groups(F.transform("items", lambda x: x["n"]), large).alias("groups"))
+    at = F.row_number().over(Window.partitionBy("file_id").orderBy("small_chunk_index")) - 1
+    return chunks.withColumn("at", at).join(files, "file_id").withColumn("large_no", F.get("groups", F.col("at"))).drop("at", "groups")
 
 
 def pack_large(chunks: DataFrame, large: int = 2100) -> DataFrame:
     """Adds large_chunk_id and large_chunk_text (the group's texts one after the other, overlaps included)."""
-    rows = chunks.join(large_groups(chunks, large), ["file_id", "small_chunk_index"])
-    texts = rows.groupBy("file_id", "large_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("small_chunk_index", "small_chunk_text"))), lambda x: x["small_chunk_text"]), "").alias("large_chunk_text"))
-    return rows.join(texts, ["file_id", "large_no"]).withColumn("large_chunk_id", F.concat(F.lit("large-"), F.col("large_no").cast("string"))).drop("large_no")
+    group = F.collect_list("small_chunk_text").over(Window.partitionBy("file_id", "large_no").orderBy("small_chunk_index").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = large_groups(chunks, large).withColumn("large_chunk_text", F.array_join(group, ""))
+    return rows.withColumn("large_chunk_id", F.concat(F.lit("large-"), F.col("large_no").cast("string"))).drop("large_no")
 
 
 def chunk_rows(chunks: DataFrame, files: DataFrame) -> DataFrame:

@@ -30,8 +30,8 @@ def table_rows_to_segments(cells: DataFrame) -> DataFrame:
 
 
 def normalize(segments: DataFrame) -> DataFrame:
-    """Adds ``lines`` and drops segments without any."""
-    return segments.withColumn("lines", lines_of(F.col("text"))).where(F.size("lines") > 0)
+    """Adds ``lines`` and drops segments without any. The generator keeps the filter from splitting every text again."""
+    return segments.select("*", F.explode(F.array(lines_of(F.col("text")))).alias("lines")).where(F.size("lines") > 0)
 
 
 def drop_repeated_edges(segments: DataFrame) -> DataFrame:
@@ -41,14 +41,15 @@ def drop_repeated_edges(segments: DataFrame) -> DataFrame:
     repeated lines are joined back as two small sets, so no file's text is gathered.
     """
     first, last = F.element_at("lines", 1), F.element_at("lines", -1)
-    paged = segments.where("page_start is not null")
-    header = paged.groupBy("file_id", first.alias("h")).count().where("count >= 2").select("file_id", "h", F.lit(True).alias("is_h"))
-    footer = paged.groupBy("file_id", last.alias("f")).count().where("count >= 2").select("file_id", "f", F.lit(True).alias("is_f"))
-    out = segments.withColumn("h", first).join(header, ["file_id", "h"], "left")
-    out = out.withColumn("kept", F.when(F.col("is_h"), F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))")).otherwise(F.col("lines")))
-    out = out.withColumn("f", F.when(F.size("kept") > 0, F.element_at("kept", -1))).join(footer, ["file_id", "f"], "left")
-    out = out.withColumn("kept", F.when(F.col("is_f"), F.expr("slice(kept, 1, greatest(size(kept) - 1, 0))")).otherwise(F.col("kept")))
-    return out.withColumn("lines", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("lines"))).drop("h", "f", "is_h", "is_f", "kept")
+    ends = F.array(F.struct(F.lit(True).alias("top"), first.alias("line")), F.struct(F.lit(False).alias("top"), last.alias("line")))
+    paged = segments.where("page_start is not null").select("file_id", F.inline(ends))
+    repeated = paged.groupBy("file_id", "top", "line").count().where("count >= 2")
+    sets = repeated.groupBy("file_id").agg(F.collect_list(F.when(F.col("top"), F.col("line"))).alias("headers"), F.collect_list(F.when(~F.col("top"), F.col("line"))).alias("footers"))
+    out = segments.join(sets, "file_id", "left")
+    out = out.withColumn("kept", F.when(F.array_contains("headers", first), F.expr("slice(lines, 2, greatest(size(lines) - 1, 0))")).otherwise(F.col("lines")))
+    end = F.when(F.size("kept") > 0, F.element_at("kept", -1))
+    out = out.withColumn("kept", F.when(F.array_contains("footers", end), F.expr("slice(kept, 1, greatest(size(kept) - 1, 0))")).otherwise(F.col("kept")))
+    return out.withColumn("lines", F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("lines"))).drop("headers", "footers", "kept")
 
 
 def flatten(segments: DataFrame) -> DataFrame:
@@ -57,6 +58,8 @@ def flatten(segments: DataFrame) -> DataFrame:
 
 
 def clean_segments(segments: DataFrame) -> DataFrame:
-    return flatten(drop_repeated_edges(normalize(segments)))
+    """Normalised segments without repeated edges, as texts. Segments are placed by file once; the repeated lines, their join
+    and a later numbering within files use that placement. A file is an upload of bounded size."""
+    return flatten(drop_repeated_edges(normalize(segments.repartition("file_id"))))
 
 
