@@ -44,15 +44,24 @@ def call(model: Embedder, texts: list[str], retries: int = 2, backoff: float = 0
     return out
 
 
-def embed(df: DataFrame, text: str, model: Embedder, dim: int, batch: int = 16, to: str = "embedding") -> DataFrame:
-    """Adds unit vectors of at most ``dim`` components from ``model``, called with ``batch`` texts at a time in the tasks."""
-
+def _batched(df: DataFrame, inputs: Callable[[pd.DataFrame], list], model: Callable, dim: int, batch: int, to: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out: list[list[float]] = []
             for k in range(0, len(frame), batch):
-                out += call(model, frame[text].iloc[k : k + batch].fillna("").tolist())
+                out += call(model, inputs(frame.iloc[k : k + batch]))
             yield frame.assign(**{to: [list(map(float, v[:dim])) for v in out]})
 
     schema = T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.DoubleType()))])
     return df.mapInPandas(run, schema).withColumn(to, vec.l2_normalize(F.col(to)))
+
+
+def embed(df: DataFrame, text: str, model: Embedder, dim: int, batch: int = 16, to: str = "embedding") -> DataFrame:
+    """Adds unit vectors of at most ``dim`` components from ``model``, called with ``batch`` texts at a time in the tasks."""
+    return _batched(df, lambda part: part[text].fillna("").tolist(), model, dim, batch, to)
+
+
+def embed_images(df: DataFrame, prompt: str, image: str, model: Callable[[list[tuple[str, str]]], list[list[float]]], dim: int, to: str = "embedding") -> DataFrame:
+    """Adds unit vectors of at most ``dim`` components for (prompt, image URL) columns; the model takes one pair a call.
+    A missing image is an error of the model's, a missing prompt is empty."""
+    return _batched(df, lambda part: list(zip(part[prompt].fillna(""), part[image], strict=True)), model, dim, 1, to)

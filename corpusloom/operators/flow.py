@@ -150,9 +150,14 @@ def import_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def node_info(found_chapters: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each lane and each node: (file_id, raw_id, kind, title, content, role, department, owner, duty)."""
+    """One row for each lane and each node: (file_id, raw_id, kind, title, content, role, department, owner, duty, tags,
+    metrics as (label, value))."""
     none = F.lit("").alias
-    lanes = found_chapters.select("file_id", F.col("chapter_id").alias("raw_id"), F.lit("lane").alias("kind"), "title", none("content"), none("role"), none("department"), none("owner"), none("duty"))
+    tags = lambda kind: F.array(F.lit(kind), F.lit("AI 导入")).alias("tags")
+    metric = lambda label, value: F.array(F.struct(F.lit(label).alias("label"), value.alias("value")))
+    lanes = found_chapters.select("file_id", F.col("chapter_id").alias("raw_id"), F.lit("lane").alias("kind"), "title", none("content"), none("role"), none("department"), none("owner"), none("duty"), tags("泳道"), metric("章节序号", F.col("chapter_no").cast("string")).alias("metrics"))
     blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    nodes = found.select("file_id", F.col("section_id").alias("raw_id"), F.lit("node").alias("kind"), "title", F.col("summary").alias("content"), blank("role"), blank("department"), blank("owner"), F.array_join("responsibilities", "；").alias("duty"))
+    duty = F.array_join("responsibilities", "；")
+    duties = F.when(duty != "", metric("职责", duty)).otherwise(F.array().cast("array<struct<label:string,value:string>>")).alias("metrics")
+    nodes = found.select("file_id", F.col("section_id").alias("raw_id"), F.lit("node").alias("kind"), "title", F.col("summary").alias("content"), blank("role"), blank("department"), blank("owner"), duty.alias("duty"), tags("活动"), duties)
     return lanes.unionByName(nodes)

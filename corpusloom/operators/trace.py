@@ -85,12 +85,26 @@ def retry_outcome(steps: DataFrame, retries: int = 1) -> DataFrame:
     return rows.groupBy("session_id").agg(F.min("step_index").alias("failed_at"))
 
 
+# Tools with scopes, whether errors are retried and how often, and their parameters (name, kind, required, minimum, allowed values).
+TOOLS = [
+    ("query_users", ["workspace:read_users"], True, 2, []),
+    ("list_recent_files", ["uploads:list"], True, 2, [("limit", "integer", False, 1.0, None), ("file_type", "string", False, None, ["pdf", "image", "document"])]),
+    ("get_file_detail", ["uploads:read"], True, 1, [("upload_id", "integer", True, None, None)]),
+    ("search_knowledge_base", ["rag:search"], True, 2, [("query", "string", True, None, None), ("top_k", "integer", False, 1.0, None)]),
+]
+
+
 def tool_table(spark, rows: list[tuple] | None = None) -> DataFrame:
-    """Tools as a table: name, parameter names, required ones, whether confirmation is needed, whether errors are retried."""
-    known = rows or [
-        ("click", ["k"], ["k"], False, True), ("purchase", ["k"], ["k"], True, False), ("signup", ["k"], ["k"], False, True), ("search", ["query", "top_k"], ["query"], False, True), ("error", ["k"], ["k", "code"], False, False),
-    ]
-    return spark.createDataFrame(known, "tool_name string, params array<string>, required array<string>, confirm boolean, retryable boolean")
+    """Tools as a table: name, parameter names, required ones, whether confirmation is needed, whether errors are retried,
+    attempts, scopes. ``rows`` replaces the known tools."""
+    known = [(name, [p[0] for p in params], [p[0] for p in params if p[2]], False, retryable, attempts, scopes) for name, scopes, retryable, attempts, params in TOOLS]
+    return spark.createDataFrame(known if rows is None else rows, "tool_name string, params array<string>, required array<string>, confirm boolean, retryable boolean, max_attempts int, scopes array<string>")
+
+
+def tool_parameters(spark) -> DataFrame:
+    """The known tools' parameters, one row each, as ``check_arguments`` takes them."""
+    rows = [(name, p, k, kind, required, least, allowed) for name, _, _, _, params in TOOLS for k, (p, kind, required, least, allowed) in enumerate(params, 1)]
+    return spark.createDataFrame(rows, "tool_name string, param string, pos int, kind string, required boolean, minimum double, allowed array<string>")
 
 
 def guardrails(calls: DataFrame, tools: DataFrame) -> DataFrame:
@@ -98,7 +112,7 @@ def guardrails(calls: DataFrame, tools: DataFrame) -> DataFrame:
     rows = calls.join(F.broadcast(tools), "tool_name", "left")
     missing = F.array_except("required", F.coalesce(F.map_keys("args"), F.array().cast("array<string>")))
     verdict = F.when(F.col("user_id").isNull(), "UNAUTHENTICATED").when(F.col("params").isNull(), "TOOL_MISMATCH").when(F.size(missing) > 0, "MISSING_ARGUMENTS").when(F.col("confirm") & ~F.col("confirmed"), "CONFIRMATION_REQUIRED").otherwise("ok")
-    return rows.withColumn("verdict", verdict).drop("params", "required", "confirm", "retryable")
+    return rows.withColumn("verdict", verdict).drop("params", "required", "confirm", "retryable", "max_attempts", "scopes")
 
 
 def check_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:

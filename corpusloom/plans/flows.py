@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import chunk, clean, flow
 from corpusloom.plans import views as v
+from corpusloom.plans.records import _METRICS
 from corpusloom.plans.views import sql
 from corpusloom.sources.files import new_folder, write_by_bucket
 from corpusloom.streaming import events as ev
@@ -64,7 +65,8 @@ def import_edges(spark, d):
 def node_info(spark, d):
     rows = _lines(spark, d)
     out = flow.node_info(flow.chapters(rows), flow.sections(rows))
-    return out.groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("title")).alias("title_chars"), F.sum(F.length("duty")).alias("duty_chars"), F.sum((F.col("role") != "").cast("int")).alias("with_role"))
+    one = F.get("metrics", F.lit(0))
+    return out.select("file_id", "raw_id", "kind", "title", F.md5("content").alias("content_md5"), "role", "duty", F.array_join("tags", ",").alias("tags"), F.concat(one["label"], F.lit("="), one["value"]).alias("metric"))
 
 
 # ----------------------------------------------------------------------------------------------------------- streams
@@ -124,6 +126,25 @@ def _stream(spark, d, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(f"{d}/")
 
 
+def trace_metrics_stream(spark, d):
+    """Every event of the file stream as a step of its user's session; the metrics are written batch by batch and read back."""
+    sink, checkpoint = new_folder(spark, "trace-metrics"), new_folder(spark, "trace-checkpoint")
+    act = F.col("event_type") != "view"
+    steps = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("seq"), act.alias("has_activity"), F.when(act, F.col("event_type")).alias("tool_name"), F.lit("{}").alias("tool_args"))
+    out = ev.trace_metrics_stream(steps, ttl_ms=None).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    _finished(out)
+    return spark.read.schema("session_id string, seq long, empty_steps long, repeated_actions long").parquet(sink)
+
+
+def last_n_stream(spark, d):
+    """The newest 50 events of every user by the stateful operator; the last list of each user is what stays in the table."""
+    sink, checkpoint = new_folder(spark, "last-n"), new_folder(spark, "last-n-checkpoint")
+    rows = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
+    out = ev.last_n_stream(rows, ttl_ms=None).writeStream.foreachBatch(lambda batch, _: write_by_bucket(batch, sink, "key")).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    _finished(out)
+    return spark.read.parquet(sink).select("key", "pos", "seq", "value")
+
+
 def _finished(query):
     query.awaitTermination()
     return query
@@ -142,7 +163,7 @@ def ingest_stream(spark, d):
     return spark.read.parquet(sink).select("file_id", "small_chunk_index", "small_chunk_text", "page_start")
 
 
-QUERIES = {f.__name__: f for f in (flow_sections, flow_edges, flow_graph, flow_titles, flow_candidates, import_graph, import_edges, node_info, last_n_events, short_memory, assemble_deltas, assemble_calls, visible_deltas, parse_sse, check_events, ingest_stream)}
+QUERIES = {f.__name__: f for f in (flow_sections, flow_edges, flow_graph, flow_titles, flow_candidates, import_graph, import_edges, node_info, last_n_events, short_memory, assemble_deltas, assemble_calls, visible_deltas, parse_sse, check_events, ingest_stream, trace_metrics_stream, last_n_stream)}
 
 _W = "regexp_extract(line, '([A-Za-z]+)', 1)"
 _FLOW = {
@@ -177,8 +198,11 @@ ORACLES = {
         WHERE score > 0 OR best = 0) WHERE rank <= 5""", "files", q="SELECT file_id AS query_id, user_id, CASE WHEN file_id % 4 = 1 THEN list_distinct([regexp_extract(file_name, '^([a-z]+)_', 1) || '_' || user_id, regexp_extract(file_name, '^([a-z]+)_', 1) || user_id, '请根据' || regexp_extract(file_name, '^([a-z]+)_', 1), user_id || '文件生成流程图']) ELSE ['没有的', '请根据没有的文件生成流程图'] END AS terms FROM files"),
     "import_graph": _f(f"SELECT file_id, x AS raw_id, pos, CASE WHEN n = 1 THEN g ELSE g || '-' || n END AS canvas_id FROM (SELECT *, row_number() OVER (PARTITION BY file_id, g ORDER BY pos) AS n FROM (SELECT file_id, title AS x, CAST(chapter_no * 1000 + section_no AS BIGINT) AS pos, 'ai-node-' || {_SLUG.replace('(x)', '(title)')} AS g FROM sec))"),
     "import_edges": _f("SELECT file_id, 'ai-edge-edge-' || replace(section_id, '.', '-') || '-' || replace(next_id, '.', '-') AS edge_id, 'ai-node-' || replace(section_id, '.', '-') AS source_id, 'ai-node-' || replace(next_id, '.', '-') AS target_id FROM sec WHERE next_id IS NOT NULL"),
-    "node_info": _f("SELECT file_id, 'lane' AS kind, count(*) AS n, CAST(sum(length(title)) AS BIGINT) AS title_chars, 0::BIGINT AS duty_chars, 0::BIGINT AS with_role FROM chap GROUP BY file_id UNION ALL SELECT file_id, 'node', count(*), CAST(sum(length(title)) AS BIGINT), CAST(sum(coalesce(length(duty), 0)) AS BIGINT), count(role) FROM sec GROUP BY file_id"),
+    "node_info": _f(f"""SELECT file_id, 'chapter-' || chapter_no AS raw_id, 'lane' AS kind, title, md5('') AS content_md5, '' AS role, '' AS duty, '泳道,AI 导入' AS tags, '章节序号=' || chapter_no AS metric FROM chap
+        UNION ALL SELECT file_id, section_id, 'node', title, md5({_CUT}), coalesce(role, ''), coalesce(duty, ''), '活动,AI 导入', CASE WHEN duty <> '' THEN '职责=' || duty END FROM sec"""),
     "last_n_events": _LAST("true", 50),
+    "trace_metrics_stream": sql("SELECT CAST(met.session_id AS VARCHAR) AS session_id, epoch_us(e.ts) AS seq, empty_steps, repeated_actions FROM met JOIN events e ON met.event_id = e.event_id", **_METRICS),
+    "last_n_stream": f"SELECT CAST(l.user_id AS VARCHAR) AS key, l.pos, l.event_id AS seq, e.event_type AS value FROM ({_LAST('true', 50)}) l JOIN events e ON l.event_id = e.event_id",
     "short_memory": _LAST("event_type <> 'view'", 5),
     "assemble_deltas": sql("SELECT stream_id, count(*) AS n_deltas, md5(string_agg(delta, '' ORDER BY seq)) AS text_md5 FROM dl GROUP BY stream_id", dl=_DELTAS),
     "assemble_calls": sql("SELECT stream_id, CAST(i AS INTEGER) AS index, arg_max(id, seq) FILTER (WHERE id IS NOT NULL) AS id, string_agg(CASE WHEN seq < 3 THEN 'f' ELSE '' END, '' ORDER BY seq) AS name, md5(string_agg(left(delta, 2), '' ORDER BY seq)) AS arguments_md5 FROM (SELECT *, CASE WHEN seq % 3 = 2 THEN 0 ELSE seq % 3 END AS i, CASE WHEN seq % 2 = 0 THEN 'id' || seq END AS id FROM dl) GROUP BY stream_id, i", dl=_DELTAS),

@@ -112,6 +112,13 @@ def canvas_lookup(spark, d):
     return cat.canvas_lookup(v.files(spark, d).select("user_id", F.col("file_id").alias("node_id")), canvases)
 
 
+def list_tenants(spark, d):
+    """Nations as tenants of a region's switch; every fourth has no readable configuration."""
+    config = F.when(F.col("n_nationkey") % 4 == 0, "{bad").otherwise(F.concat(F.lit('{"name":"'), "n_name", F.lit('"}')))
+    tenants = v.table(spark, d, "nation").select(F.col("n_name").alias("tenant_id"), (F.col("n_regionkey") != 4).alias("enabled"), (F.col("n_nationkey") % 7).alias("created_epoch"), config.alias("config_json"))
+    return cat.list_tenants(tenants).select("tenant_id", "enabled", "pos", F.col("config")["name"].alias("name"))
+
+
 def route_tenants(spark, d):
     tenants = v.table(spark, d, "region").select(F.col("r_name").alias("tenant_id"), (F.col("r_regionkey") != 4).alias("enabled"))
     requests = v.table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "default", "NOWHERE"])), (F.col("c_custkey") % 7 + 1).cast("int")).alias("tenant_id"))
@@ -228,7 +235,8 @@ def retry_outcome(spark, d):
 
 def guardrails(spark, d):
     calls = _trace(spark, d).where("tool_name is not null").select("event_id", F.when(F.col("event_id") % 13 != 0, F.col("session_id")).alias("user_id"), "tool_name", F.when(F.col("event_id") % 5 != 0, F.create_map(F.lit("k"), F.lit("1"))).otherwise(F.create_map(F.lit("z"), F.lit("1"))).alias("args"), (F.col("event_id") % 2 == 0).alias("confirmed"))
-    return tr.guardrails(calls, tr.tool_table(spark)).select("event_id", "verdict")
+    tools = [("click", ["k"], ["k"], False, True, 2, []), ("purchase", ["k"], ["k"], True, False, 1, []), ("signup", ["k"], ["k"], False, True, 2, []), ("search", ["query", "top_k"], ["query"], False, True, 2, []), ("error", ["k"], ["k", "code"], False, False, 1, [])]
+    return tr.guardrails(calls, tr.tool_table(spark, tools)).select("event_id", "verdict")
 
 
 def check_arguments(spark, d):
@@ -281,7 +289,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         validate_uploads, object_keys, aggregate_status, initial_channels, apply_ingest_result, recent_uploads, file_lookup, list_by_user, replace_by_key, upsert, cascade_delete, conform_schema, tree_nodes, next_sort_order,
-        ensure_roots, canvas_lookup, route_tenants, latest_conversation, messages_of, recent_messages, nested_refs, payload_parts, content_fallback, prompt_rows, memory_read, memory_summary, trace_rows, trace_step_metrics, terminations,
+        ensure_roots, canvas_lookup, list_tenants, route_tenants, latest_conversation, messages_of, recent_messages, nested_refs, payload_parts, content_fallback, prompt_rows, memory_read, memory_summary, trace_rows, trace_step_metrics, terminations,
         tool_reuse, session_outcome, retry_outcome, guardrails, check_arguments, error_category, call_metrics, tool_calls, decisions, observation_summary, content_text,
     )
 }
@@ -322,6 +330,7 @@ ORACLES = {
     "next_sort_order": sql("SELECT 'u' AS user_id, p.parent_id, coalesce(m, 0) AS next FROM (SELECT node_id AS parent_id FROM nodes UNION ALL SELECT NULL) p LEFT JOIN (SELECT parent_id, max(sort_order) + 1 AS m FROM nodes GROUP BY parent_id) t ON p.parent_id IS NOT DISTINCT FROM t.parent_id", nodes=_NODES),
     "ensure_roots": sql("SELECT DISTINCT user_id, 'n' || user_id AS node_id, 'x' AS name FROM files WHERE user_id < 'src15' UNION ALL SELECT u.user_id, coalesce(CAST(m AS VARCHAR), 'root-' || u.user_id), '默认节点' FROM (SELECT DISTINCT user_id FROM files WHERE user_id >= 'src15') u LEFT JOIN (SELECT user_id, max(file_id) AS m FROM files WHERE file_id % 2 = 0 GROUP BY user_id) c USING (user_id)", "files"),
     "canvas_lookup": sql("SELECT user_id, file_id AS node_id, file_id % 3 = 0 AS exists, CASE WHEN file_id % 3 = 0 THEN file_name ELSE '' END AS name, CASE WHEN file_id % 3 = 0 THEN '<x>' || file_ext ELSE '' END AS xml_content FROM files", "files"),
+    "list_tenants": "SELECT n_name AS tenant_id, n_regionkey <> 4 AS enabled, CAST(row_number() OVER (PARTITION BY n_regionkey <> 4 ORDER BY n_nationkey % 7 DESC, n_name) AS INTEGER) AS pos, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS name FROM nation",
     "route_tenants": "SELECT tenant_id, routed, CASE WHEN NOT routed THEN CASE WHEN tenant_id = 'NOWHERE' THEN 'unknown' ELSE 'disabled' END END AS reject_reason, count(*) AS n FROM (SELECT t.tenant_id, t.tenant_id = 'default' OR coalesce(r.r_regionkey <> 4, false) AS routed FROM (SELECT ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST', 'default', 'NOWHERE'][CAST(c_custkey % 7 + 1 AS INTEGER)] AS tenant_id FROM customer) t LEFT JOIN region r ON r.r_name = t.tenant_id) GROUP BY ALL",
     "latest_conversation": "SELECT user_id, conversation_id, last_message_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC, conversation_id DESC) AS n FROM (SELECT conv_id % 20 AS user_id, conv_id AS conversation_id, max(turn) AS last_message_at FROM conversations GROUP BY conv_id)) WHERE n = 1",
     "messages_of": sql(f"SELECT conversation_id, message_id, {_POS('PARTITION BY conversation_id ORDER BY created_at, message_id')} AS pos FROM m WHERE conversation_id % 3 <> 0", m=_MSG),

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MARKS = ["Thought:", "Action:", "Final Answer:"]
 REQUIRED = {"assistant_delta": ["delta"], "assistant_done": ["message"], "error": ["message"], "reasoning": ["text"], "debug": ["text"]}
@@ -24,59 +24,57 @@ def last_n_batch(events: DataFrame, key: str, order: list[str], n: int = 50) ->
     return rows.withColumn("pos", F.row_number().over(w.orderBy(*order))).drop("back")
 
 
-class LastN(StatefulProcessor):
-    """Keeps the newest ``n`` (at, seq, value) of a key; idle keys go after ``ttl_ms``."""
+def _timeout(ttl_ms: int | None) -> str:
+    """A time limit keeps batches coming to look for idle keys, so a run over what is there now only ends without one."""
+    return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
 
-    def __init__(self, n: int, ttl_ms: int):
-        self.n, self.ttl_ms = n, ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "at timestamp, seq long, value string", ttlDurationMs=self.ttl_ms)
+def last_n_stream(events: DataFrame, n: int = 50, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
+    """The current list of each touched (key, at, seq, value) key, in update mode: (key, pos, seq, value), oldest first. A
+    key that is idle for ``ttl_ms`` is forgotten."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = list(self.kept.get())
-        new = [tuple(r) for frame in rows for r in frame[["at", "seq", "value"]].itertuples(index=False)]
-        kept = sorted([*old, *new], key=lambda r: (pd.Timestamp(r[0]), r[1]))[-self.n :]
-        self.kept.put([(pd.Timestamp(a).to_pydatetime(), int(s), v) for a, s, v in kept])
-        yield pd.DataFrame({"key": [key[0]] * len(kept), "pos": range(1, len(kept) + 1), "seq": [int(r[1]) for r in kept], "value": [r[2] for r in kept]})
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        old = list(zip(*state.get, strict=True)) if state.exists else []
+        new = [r for f in frames for r in zip(f["at"], f["seq"], f["value"], strict=True)]
+        kept = sorted([*old, *new], key=lambda r: (r[0], r[1]))[-n:]
+        at, seq, value = (list(x) for x in zip(*kept, strict=True))
+        state.update(([int(x) for x in at], [int(x) for x in seq], value))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"key": [key[0]] * len(kept), "pos": range(1, len(kept) + 1), "seq": seq, "value": value})
 
-    def close(self) -> None:
-        pass
+    rows = events.withColumn("at", F.unix_micros(F.col("at").cast("timestamp")))
+    return rows.groupBy("key").applyInPandasWithState(run, "key string, pos int, seq long, value string", "at array<long>, seq array<long>, value array<string>", "update", _timeout(ttl_ms))
 
 
-def last_n_stream(events: DataFrame, n: int = 50, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """The current list of each touched (key, at, seq, value) key, in update mode: (key, pos, seq, value)."""
-    return events.groupBy("key").transformWithStateInPandas(LastN(n, ttl_ms), "key string, pos int, seq long, value string", "Update", "ProcessingTime")
+def trace_metrics_stream(trace: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
+    """(session_id, seq, empty_steps, repeated_actions) for each new step of (session_id, seq, has_activity, tool_name, tool_args).
 
+    Running empty steps and repeats of (tool, args), kept step by step; within a batch steps are taken in order of ``seq``,
+    and batches must follow it. A session that is idle for ``ttl_ms`` starts anew."""
 
-class StepRuns(StatefulProcessor):
-    """Trace metrics kept step by step: running empty steps and repeats of (tool, args). Steps come in order of ``seq``."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("runs", "empty long, tool string, args string, repeats long", ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        empty, tool, args, repeats = self.state.get() if self.state.exists() else (0, None, None, 0)
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        empty, tool, args, repeats = state.get if state.exists else (0, None, None, 0)
+        rows = pd.concat(list(frames)).sort_values("seq")
         out = []
-        for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            empty = 0 if r.has_activity else empty + 1
-            if r.tool_name is not None:
-                repeats = repeats + 1 if (r.tool_name, r.tool_args) == (tool, args) else 0
-                tool, args = r.tool_name, r.tool_args
-            out.append((key[0], r.seq, empty, repeats))
-        self.state.update((int(empty), tool, args, int(repeats)))
+        for seq, active, name, given in zip(rows["seq"], rows["has_activity"], rows["tool_name"], rows["tool_args"], strict=True):
+            empty = 0 if active else empty + 1
+            if name is not None:
+                repeats = repeats + 1 if (name, given) == (tool, args) else 0
+                tool, args = name, given
+            out.append((key[0], seq, empty, repeats))
+        state.update((int(empty), tool, args, int(repeats)))
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["session_id", "seq", "empty_steps", "repeated_actions"])
 
-    def close(self) -> None:
-        pass
-
-
-def trace_metrics_stream(trace: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
-    """(session_id, seq, empty_steps, repeated_actions) for each new step of (session_id, seq, has_activity, tool_name, tool_args)."""
-    return trace.groupBy("session_id").transformWithStateInPandas(StepRuns(ttl_ms), "session_id string, seq long, empty_steps long, repeated_actions long", "Append", "ProcessingTime")
+    return trace.groupBy("session_id").applyInPandasWithState(run, "session_id string, seq long, empty_steps long, repeated_actions long", "empty long, tool string, args string, repeats long", "append", _timeout(ttl_ms))
 
 
 def visible(delta: Column) -> Column:

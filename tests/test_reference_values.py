@@ -162,3 +162,49 @@ def test_file_kinds(spark):
     kinds = retrieve.file_kind()
     got = df.select(*[k.alias(n) for n, k in kinds.items()]).collect()
     assert [[n for n in kinds if r[n]] for r in got] == [["image"], [], ["document"], [], ["pdf", "document"], ["document"], ["image"]]
+
+
+def test_known_tools_and_their_parameters(spark):
+    tools = {r.tool_name: (r.params, r.required, r.scopes, r.max_attempts) for r in trace.tool_table(spark).collect()}
+    assert tools["get_file_detail"] == (["upload_id"], ["upload_id"], ["uploads:read"], 1)
+    assert tools["query_users"] == ([], [], ["workspace:read_users"], 2)
+    calls = spark.createDataFrame(
+        [(1, "list_recent_files", {"limit": "0"}), (2, "list_recent_files", {"file_type": "video"}), (3, "list_recent_files", {"limit": "3", "file_type": "pdf"}), (4, "search_knowledge_base", {"top_k": "2"}), (5, "get_file_detail", {"upload_id": "x"})],
+        "call_id long, tool_name string, args map<string,string>",
+    )
+    got = {r.call_id: r.problem for r in trace.check_arguments(calls, trace.tool_parameters(spark)).collect()}
+    assert got == {1: "limit:minimum", 2: "file_type:enum", 3: None, 4: "query:missing", 5: "upload_id:type"}
+
+
+def test_images_are_embedded_with_their_prompt(spark):
+    df = spark.createDataFrame([(1, "a", "data:x"), (2, None, "data:yy")], "id long, prompt string, url string")
+    model = lambda pairs: [[3.0 * len(p), 4.0 * len(u), 9.0] for p, u in pairs]
+    got = {r.id: [round(x, 6) for x in r.embedding] for r in embed.embed_images(df, "prompt", "url", model, 2).collect()}
+    assert got == {1: [round(3 / 585**0.5, 6), round(24 / 585**0.5, 6)], 2: [0.0, 1.0]}
+
+
+def test_names_are_found_as_by_like(spark):
+    names = ["en_src1_12.pdf", "a.b", "x", "", "报告一.docx", "EN-src1.png", None]
+    files = spark.createDataFrame([("u", k, n, k) for k, n in enumerate(names)] + [("v", 99, "en_src1_12.pdf", 1)], "user_id string, file_id long, file_name string, created_epoch long")
+    asked = ["en", "en_src", "e_", "_", "__", "a_b", "报告", "src1_12", "pdf", "x", "n-s", "zz", "a%b"]
+    got = {(r.token, r.file_id) for r in retrieve.name_hits(spark.createDataFrame([("u", t) for t in asked * 2], "user_id string, token string"), files).collect()}
+    rows = spark.createDataFrame([(t,) for t in asked], "token string").crossJoin(files.where("user_id = 'u'")).where("lower(file_name) LIKE concat('%', token, '%')")
+    assert got == {(r.token, r.file_id) for r in rows.collect()} and ("a_b", 1) in got
+
+
+@pytest.mark.parametrize("limit", [1, 5, 7, 100])
+def test_packing_is_greedy(spark, limit):
+    lengths = [3, 2, 2, 9, 1, 1, 5, 7, 4, 4]
+    want, total = [], 0
+    for n in lengths:
+        new = not want or total + n > limit
+        want.append((want[-1] if want else -1) + new)
+        total = n if new else total + n
+    got = spark.range(1).select(chunk.greedy_groups(F.array(*map(F.lit, lengths)), limit).alias("g")).first().g
+    assert got == want
+
+
+def test_white_space_is_collapsed(spark):
+    texts = ["a b", " a  b ", "a\t b", "a \tb", "\u3000a\u3000\u3000b\n", "  ", ""]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "s string").select(tx.collapse(F.col("s")).alias("t")).collect()]
+    assert got == [" ".join(t.split()) for t in texts]

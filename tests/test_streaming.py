@@ -29,3 +29,26 @@ def test_incremental_ingest_runs_each_file_once(spark, tmp_path):
     spark.createDataFrame([(2, "c")], "file_id long, t string").write.mode("append").parquet(src)
     run()
     assert sorted((r.file_id, r.t) for r in spark.read.parquet(sink).collect()) == [(1, "A"), (2, "C")]
+
+
+def test_trace_metrics_go_on_over_batches(spark, tmp_path):
+    src = str(tmp_path / "steps")
+    schema = "session_id string, seq long, has_activity boolean, tool_name string, tool_args string"
+    rows = [("s", 1, True, "a", "{}"), ("s", 2, True, "a", "{}"), ("t", 1, False, None, None), ("s", 3, False, None, None), ("s", 4, False, None, None), ("s", 5, True, "a", "{}"), ("s", 6, True, "b", "{}"), ("t", 2, True, None, None)]
+    got = {}
+    for k, part in enumerate((rows[:4], rows[4:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        out = ev.trace_metrics_stream(spark.readStream.schema(schema).parquet(src), ttl_ms=None).writeStream.foreachBatch(lambda b, _: got.update({(r.session_id, r.seq): (r.empty_steps, r.repeated_actions) for r in b.collect()}))
+        out.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        assert len(got) == (4, 8)[k]
+    assert got == {("s", 1): (0, 0), ("s", 2): (0, 1), ("s", 3): (1, 1), ("s", 4): (2, 1), ("s", 5): (0, 2), ("s", 6): (0, 0), ("t", 1): (1, 0), ("t", 2): (0, 0)}
+
+
+def test_last_n_keeps_the_newest_over_batches(spark, tmp_path):
+    src, got = str(tmp_path / "events"), {}
+    for part in (range(0, 4), range(4, 7)):
+        spark.createDataFrame([("k", i, str(i)) for i in part], "key string, seq long, value string").withColumn("at", F.timestamp_seconds("seq")).coalesce(1).write.mode("append").parquet(src)
+        rows = spark.readStream.schema("key string, seq long, value string, at timestamp").parquet(src)
+        out = ev.last_n_stream(rows, n=3, ttl_ms=None).writeStream.foreachBatch(lambda b, _: got.update({r.pos: (r.seq, r.value) for r in b.collect()}))
+        out.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert got == {1: (4, "4"), 2: (5, "5"), 3: (6, "6")}
