@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, decontaminate, ngram_trie, quality, secrets, simhash, suffix_dedup, token_orc, toxicity, vector_search
+from corpusloom.llm import bpe, decontaminate, ngram_trie, oracles, quality, quality_rules, secrets, simhash, suffix_dedup, token_orc, toxicity, vector_search
 from corpusloom.llm.shared import new_path
 
 
@@ -64,6 +64,10 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontaminate": op2_decontaminate,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_bpe": op9_bpe,
     "op10_vector_search": op10_vector_search,
+    "op11_quality_rules": op11_quality_rules,
 }
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_quality_rules": oracles.QUALITY_RULES}
