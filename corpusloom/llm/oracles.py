@@ -14,8 +14,8 @@ _STOPS = ", ".join(f"'{w}'" for s in STOP_WORDS for w in (s, s.capitalize(), s.u
 QUALITY_RULES = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 parts AS (
-  SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), w -> w <> '') AS words,
-    list_filter(string_split(text, chr(10)), s -> regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines
+  SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines
   FROM docs),
 windows AS (
   SELECT r, i, array_to_string(words[i:i + 4], ' ') AS w
@@ -23,11 +23,11 @@ windows AS (
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS k FROM windows) WHERE k > 1),
 repeats AS (SELECT r, count(DISTINCT pos) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM twice) GROUP BY r),
 counts AS (
-  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, w -> length(w))), 0)::BIGINT AS word_chars,
+  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-    length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations, len(list_filter(words, w -> w IN ({_STOPS}))) AS n_stop_words, len(lines) AS n_lines,
-    len(list_filter(lines, s -> regexp_matches(s, '^[\x20\x09-\x0D]*[-•*]'))) AS n_bullet_lines,
-    len(list_filter(lines, s -> regexp_matches(s, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_unfinished_lines
+    length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations, len(list_filter(words, lambda w: w IN ({_STOPS}))) AS n_stop_words, len(lines) AS n_lines,
+    len(list_filter(lines, lambda s: regexp_matches(s, '^[\x20\x09-\x0D]*[-•*]'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda s: regexp_matches(s, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_unfinished_lines
   FROM parts LEFT JOIN repeats USING (r)),
 judged AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',', {", ".join(_failed(r) for r in RULES)}) AS failed

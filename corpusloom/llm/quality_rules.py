@@ -45,7 +45,7 @@ class Rule(NamedTuple):
 
 #: The table. Limits are thousandths of ``per`` (``one`` is the number 1).
 RULES = [
-    Rule("length", "n_words", "one", least=LEAST_WORDS * 1000, most=200_000_000, words=0),
+    Rule("length", "n_words", "one", least=LEAST_WORDS * 1000, most=2_000_000_000, words=0),
     Rule("word_length", "word_chars", "n_words", least=2_000, most=12_000),
     Rule("symbols", "n_symbols", "n_words", most=100),
     Rule("exclamations", "n_exclamations", "n_words", most=300),
