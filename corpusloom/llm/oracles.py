@@ -34,3 +34,26 @@ judged AS (
   FROM counts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM judged
 """
+
+PHRASES = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 6) t(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+candidates AS (SELECT * FROM f WHERE k > 1),
+inside AS (
+  SELECT lang, p[i:i + m - 1] AS p, max(f) AS longer
+  FROM (SELECT lang, p, f, m, unnest(range(1, k - m + 2)) AS i FROM candidates, range(2, 5) t(m) WHERE m < k) GROUP BY ALL),
+kept AS (SELECT c.* FROM candidates c LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer < 100 * f),
+cuts AS (
+  SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, n.n, cut, 1000::HUGEINT * c.f * n.n // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:cut] JOIN f y ON y.lang = c.lang AND y.p = c.p[cut + 1:k]),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+named AS (SELECT *, array_to_string(p, ' ') AS phrase FROM weakest)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM named QUALIFY rank <= 2000
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bpe, decontaminate, ngram_trie, oracles, quality, quality_rules, secrets, simhash, suffix_dedup, token_orc, toxicity, va_clusters, vector_search
+from corpusloom.llm import bpe, decontaminate, ngram_trie, oracles, phrases, quality, quality_rules, secrets, simhash, suffix_dedup, token_orc, toxicity, va_clusters, vector_search
 from corpusloom.llm.shared import new_path
 
 
@@ -68,6 +68,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_va_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_clusters.cluster(_table(spark, sf_dir, "embeddings"))
 
@@ -84,7 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_vector_search": op10_vector_search,
     "op11_quality_rules": op11_quality_rules,
+    "op12_phrases": op12_phrases,
     "op13_va_clusters": op13_va_clusters,
 }
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op11_quality_rules": oracles.QUALITY_RULES}
+ORACLES: dict[str, str] = {"op11_quality_rules": oracles.QUALITY_RULES, "op12_phrases": oracles.PHRASES}
