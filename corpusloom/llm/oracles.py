@@ -50,8 +50,8 @@ inside AS (
 kept AS (SELECT c.* FROM candidates c LEFT JOIN inside USING (lang, p) WHERE longer IS NULL OR 100 * longer < 100 * f),
 cuts AS (
   SELECT c.lang, c.p, c.f AS a, x.f AS l, y.f AS r, n.n, cut, 1000::HUGEINT * c.f * n.n // (x.f::HUGEINT * y.f) AS score
-  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c JOIN n USING (lang)
-  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:cut] JOIN f y ON y.lang = c.lang AND y.p = c.p[cut + 1:k]),
+  FROM (SELECT lang, p, f, k AS size, unnest(range(1, k)) AS cut FROM kept) c JOIN n USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:cut] JOIN f y ON y.lang = c.lang AND y.p = c.p[cut + 1:size]),
 weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
 named AS (SELECT *, array_to_string(p, ' ') AS phrase FROM weakest)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
