@@ -61,6 +61,15 @@ def fulltext_match(spark, d):
     return found.select("query_id.query_id", F.col("query_id.part").cast("long").alias("part"), "file_id", "small_chunk_index")
 
 
+def fulltext_topk(spark, d):
+    """Every two words of every benchmark text are a query; the first eighteen chunks of each with their cover density."""
+    words = F.split("text", " ")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / 2).cast("int")), lambda i: F.array_join(F.slice(words, i * 2 + 1, F.lit(2)), " "))
+    q = v.text_queries(spark, d).select("user_id", "query_id", F.posexplode(parts).alias("part", "text"))
+    found = r.fulltext_topk(q.withColumn("query_id", F.struct("query_id", "part")).drop("part"), _chunks(spark, d))
+    return found.select("query_id.query_id", F.col("query_id.part").cast("long").alias("part"), "file_id", "small_chunk_index", "rank", F.round("fts_rank", 6).alias("fts_rank"))
+
+
 def rule_topk(spark, d):
     return r.rule_topk(tx.query_features(v.text_queries(spark, d)), _chunks(spark, d)).select("query_id", "file_id", "small_chunk_index", "rank")
 
@@ -114,7 +123,7 @@ def hybrid_rewrites(spark, d):
     return out.select("query_id", "rank", "file_id", "small_chunk_index", "file_name", "page_start", F.round("bm25_score", 5).alias("bm25_score"), "rule_score", F.round("final_score", 5).alias("final_score"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieve, hybrid_rewrites, vector_topk, ivf_topk, query_features, parse_rewrites, bm25_topk, fulltext_match, rule_topk, rerank, related_files, references, answers, context_blocks)}
+QUERIES = {f.__name__: f for f in (hybrid_retrieve, hybrid_rewrites, vector_topk, ivf_topk, query_features, parse_rewrites, bm25_topk, fulltext_match, fulltext_topk, rule_topk, rerank, related_files, references, answers, context_blocks)}
 
 _RECENT = "(" + " OR ".join(f"contains(normalized, '{w}')" for w in tx.RECENT_WORDS) + ")"
 
@@ -197,6 +206,14 @@ ORACLES = {
     "fulltext_match": _sql("""SELECT query_id, part, file_id, small_chunk_index FROM (SELECT query_id, part, user_id, list_distinct(regexp_extract_all(lower(array_to_string(w[part * 3 + 1 : part * 3 + 3], ' ')), '[\\p{L}\\p{N}_]+')) AS must
         FROM (SELECT query_id, user_id, string_split(text, ' ') AS w FROM text_queries), LATERAL (SELECT unnest(range((len(w) + 2) // 3)) AS part)) q
         JOIN (SELECT file_id, small_chunk_index, user_id, list_concat(regexp_extract_all(lower(small_chunk_text), '[\\p{L}\\p{N}_]+'), regexp_extract_all(lower(file_name), '[\\p{L}\\p{N}_]+')) AS ws FROM ok) c ON q.user_id = c.user_id WHERE len(must) > 0 AND list_has_all(ws, must)""", "ok"),
+    "fulltext_topk": _sql(r"""SELECT * FROM (SELECT query_id, part, file_id, small_chunk_index, CAST(row_number() OVER (PARTITION BY query_id, part ORDER BY round(s, 9) DESC, file_id DESC, small_chunk_index) AS INTEGER) AS rank, round(s, 6) AS fts_rank
+        FROM (SELECT query_id, part, file_id, small_chunk_index, sum((j - i + 1) / list_sum(list_transform(e[i:j], lambda p: CASE WHEN p <= n THEN 1.0 ELSE 2.5 END)) / (1 + (e[j] - e[i]) - (j - i))) AS s
+        FROM runs WHERE list_has_all(ws[e[i]:e[j]], must) AND NOT list_has_all(ws[e[i] + 1:e[j]], must) AND NOT list_has_all(ws[e[i]:e[j] - 1], must) GROUP BY ALL)) WHERE rank <= 18""", "ok").replace("SELECT * FROM (SELECT query_id, part, file_id", r""", asked AS (SELECT query_id, part, user_id, list_distinct(regexp_extract_all(lower(array_to_string(w[part * 2 + 1 : part * 2 + 2], ' ')), '[\p{L}\p{N}_]+')) AS must
+        FROM (SELECT query_id, user_id, string_split(text, ' ') AS w FROM text_queries), LATERAL (SELECT unnest(range((len(w) + 1) // 2)) AS part)),
+        held AS (SELECT file_id, small_chunk_index, user_id, len(nw) AS n, list_concat(nw, tw) AS ws FROM (SELECT *, regexp_extract_all(lower(file_name), '[\p{L}\p{N}_]+') AS nw, regexp_extract_all(lower(small_chunk_text), '[\p{L}\p{N}_]+') AS tw FROM ok)),
+        hits AS (SELECT query_id, part, must, file_id, small_chunk_index, n, ws, list_filter(range(1, len(ws) + 1), lambda p: list_contains(must, ws[p])) AS e FROM asked q JOIN held c ON q.user_id = c.user_id WHERE len(must) > 0 AND list_has_all(ws, must)),
+        runs AS (SELECT *, unnest(range(i, len(e) + 1)) AS j FROM (SELECT *, unnest(range(1, len(e) + 1)) AS i FROM hits))
+        SELECT * FROM (SELECT query_id, part, file_id""", 1),
     "rule_topk": _sql("SELECT query_id, file_id, small_chunk_index, rank FROM rule", "rule"),
     "rerank": _sql("SELECT query_id, file_id, small_chunk_index, rank, CAST(round(bonus, 6) AS DOUBLE) AS bonus, round(final_score, 5) AS final_score FROM ranked", "ranked"),
     "related_files": _sql("SELECT query_id, file_id, file_name, rank, round(score, 5) AS score, '/api/uploads/' || file_id || '/download' AS download_url FROM related", "related"),
