@@ -2,43 +2,42 @@
 
 The corpus is dealt into shards that are scanned in a cycle. A phrase of k + 1 words becomes active as soon as both of
 its phrases of k words have reached the threshold, is counted from the next shard on, and is done after one full cycle;
-lengths interleave, so several are counted in one scan. A shard's count of a phrase is the same whenever it is taken,
-so counts are facts (phrase, shard); the last cycle's facts decide what reaches the threshold next.
+lengths interleave, so several are counted in one scan.
 
-Tasks learn what is active from two bitmaps of bounded size. A bit set by another phrase only makes a task count
-something that isn't needed: counts are kept by the words themselves, never by a hash.
+The scans read shards of 64-bit word hashes and count phrase hashes, so a count is never too small and no phrase is lost; what is
+active is told to tasks by two bitmaps of bounded size. A last scan counts the phrases found by their words: a
+hash or a bit that two phrases share costs work, never a wrong count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_text import LOWER, U64, column, mix, utf8
-from corpusloom.llm.shared import new_path
+from corpusloom.llm.shared import new_path, written
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 #: Shards of a cycle.
-SHARDS = 4
+SHARDS = 2
 #: Bits of a bitmap for each phrase that has reached the threshold, at least, and at most (16 MB).
 FILL, LEAST_BITS, MOST_BITS = 32, 1 << 15, 1 << 27
-#: Bytes that a task looks at together, and rows of counts that it holds before it sums and sends them.
-BLOCK, HELD = 1 << 20, 1 << 19
+#: Bytes that a task looks at together, and counts that it holds before it sums and sends them.
+BLOCK, HELD = 1 << 20, 1 << 21
 #: Groups that a language's phrases are ranked in before the groups' best are ranked together.
 RANKS = 64
 #: Fixed values of the contract: characters that part pieces, and those that part words.
 PIECE = np.isin(np.arange(256), [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D])
 BETWEEN = PIECE | np.isin(np.arange(256), [0x20, 0x09])
-COUNTS = "lang string, phrase string, k int, h long, c long"
+COUNTS = "k int, h long, c long"
 _STEP = U64(0x9FB21C651E98DF25)
 
 
@@ -76,89 +75,148 @@ class Bits:
         return (self.bytes[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _word_hashes(words: pa.DictionaryArray) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.dictionary.to_pylist()), U64, len(words.dictionary))[words.indices.to_numpy()]
+class Words:
+    """The words of a block: a dictionary of their bytes, hashes that tell languages apart, and which go on a piece."""
 
+    def __init__(self, lang: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray):
+        low = starts[0]
+        part = data[low : ends[-1]]
+        used = np.zeros(len(part) + 1, np.int8)
+        used[starts - low] += 1
+        used[ends - low] -= 1
+        lengths = np.concatenate([[0], np.cumsum(ends - starts)])
+        text = part[np.cumsum(used[:-1], dtype=np.int8) > 0]
+        self.words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(text)]).dictionary_encode()
+        self.code = self.words.indices.to_numpy()
+        known = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words.dictionary.to_pylist()), U64, len(self.words.dictionary))
+        self.hash = mix(known[self.code] + lang[row])
+        marks = np.concatenate([[0], np.cumsum(PIECE[part])])
+        self.joined = (row[1:] == row[:-1]) & (marks[starts[1:] - low] == marks[ends[:-1] - low])
 
-def count_block(lang: pa.Array, data: np.ndarray, fresh: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray, words_too: bool, reached: Bits | None, recent: Bits | None) -> Iterator[pa.Table]:
-    """Counts of the active phrases that end in a fresh word, as (lang, phrase, k, h, c)."""
-    low, high = starts[0], ends[-1]
-    part = data[low:high]
-    used = np.zeros(len(part) + 1, np.int64)
-    np.add.at(used, starts - low, 1)
-    np.add.at(used, ends - low, -1)
-    text = part[np.cumsum(used[:-1]) > 0]
-    lengths = np.concatenate([[0], np.cumsum(ends - starts)])
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(text)]).dictionary_encode()
-    word = _word_hashes(words)
-    marks = np.concatenate([[0], np.cumsum(PIECE[part])])
-    joined = (row[1:] == row[:-1]) & (marks[starts[1:] - low] == marks[ends[:-1] - low])  # the word goes on the piece of the one before
-    plain = words.dictionary_decode()
 
-    def table(at: np.ndarray, k: int, h: np.ndarray) -> pa.Table:
-        spans = [plain.take(pa.array(at + i)) for i in range(k)]
-        phrase = pc.binary_join_element_wise(*spans, pa.scalar(b" ", pa.large_binary())) if k > 1 else spans[0]
-        found = pa.table({"lang": lang.take(pa.array(row[at])), "phrase": phrase, "h": pa.array(h[at].view(np.int64)), "c": pa.array(np.ones(len(at), np.int64))})
-        return summed(found.append_column("k", pa.array(np.full(len(at), k, np.int32))))
+def _lang_hashes(lang: pa.Array) -> np.ndarray:
+    coded = lang.dictionary_encode()
+    return np.array([xxhash.xxh64_intdigest(x.encode(), seed=1) for x in coded.dictionary.to_pylist()], U64)[coded.indices.to_numpy()]
 
+
+def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    offsets, data = utf8(column(batch, "text"))
+    return offsets - offsets[0], LOWER[data[offsets[0] : offsets[-1]]]
+
+
+def encode(text: DataFrame) -> DataFrame:
+    """(words, joined, old): blocks of word hashes, bits for the words that go on a piece, and how many words repeat the block before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = _texts(batch)
+            lang = _lang_hashes(column(batch, "lang"))
+            out = []
+            for fresh, starts, ends, row in blocks(offsets, data):
+                w = Words(lang, data, starts, ends, row)
+                out.append((w.hash.tobytes(), np.packbits(w.joined).tobytes(), int((~fresh).sum())))
+            yield pa.RecordBatch.from_pylist([dict(zip(("words", "joined", "old"), r, strict=True)) for r in out], pa.schema([("words", pa.binary()), ("joined", pa.binary()), ("old", pa.int32())]))
+
+    return text.mapInArrow(run, "words binary, joined binary, old int")
+
+
+def windows(word: np.ndarray, joined: np.ndarray, old: int, k: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all runs of k words, which of them lie in a piece and end in a new word), from the hashes for k - 1."""
+    n = len(whole) - 1
+    fits = np.logical_and.reduce([joined[i : i + n] for i in range(k - 1)])
+    fits[: max(0, old - k + 1)] = False
+    return mix(whole[:-1] * _STEP + word[k - 1 :]), fits
+
+
+def active(word: np.ndarray, joined: np.ndarray, old: int, words_too: bool, reached: Bits | None, recent: Bits | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, hashes of the occurrences of active phrases): both parts have reached the threshold, one of them within the last cycle."""
     if words_too:
-        yield table(np.flatnonzero(fresh), 1, word)
+        yield 1, word[old:]
     if reached is None:
         return
-    h, ok, new = word, reached.has(word), recent.has(word)
+    whole, ok, new = word, reached.has(word), recent.has(word)
     for k in range(2, LONGEST + 1):
-        n = len(h) - 1
-        if n < 1:
+        if len(whole) < 2:
             return
-        # a phrase of k words begins where both its phrases of k - 1 words have reached the threshold, one of them within the last cycle
-        at = np.flatnonzero(ok[:-1] & ok[1:] & (new[:-1] | new[1:]) & fresh[k - 1 :] & _all(joined, k - 1, n))
-        whole = mix(h[:-1] * _STEP + word[k - 1 :])
-        if len(at):
-            yield table(at, k, whole)
-        h, ok, new = whole, reached.has(whole), recent.has(whole)
-
-
-def _all(joined: np.ndarray, k: int, n: int) -> np.ndarray:
-    """True where ``k`` neighbours in a row are joined."""
-    return np.logical_and.reduce([joined[i : i + n] for i in range(k)])
-
-
-def summed(counts: pa.Table) -> pa.Table:
-    out = counts.group_by(["lang", "phrase", "k", "h"], use_threads=False).aggregate([("c", "sum")])
-    return out.rename_columns(["lang", "phrase", "k", "h", "c"])
+        longer, fits = windows(word, joined, old, k, whole)
+        yield k, longer[fits & ok[:-1] & ok[1:] & (new[:-1] | new[1:])]
+        whole, ok, new = longer, reached.has(longer), recent.has(longer)
 
 
 def count_shard(shard: DataFrame, words_too: bool, reached: Bits | None, recent: Bits | None) -> DataFrame:
-    """Counts of a shard's active phrases, one row for each."""
+    """(k, h, c): counts of a shard's active phrases, summed within tasks."""
     shared = shard.sparkSession.sparkContext.broadcast((reached, recent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached, recent = shared.value
-        held: list[pa.Table] = []
+        held: dict[int, list[np.ndarray]] = {}
         size = 0
 
-        def sent(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
-            whole = summed(pa.concat_tables(tables))
-            yield from whole.set_column(1, "phrase", whole["phrase"].cast(pa.large_string())).to_batches(1 << 16)
+        def sent() -> Iterator[pa.RecordBatch]:
+            for k, parts in held.items():
+                h, c = np.unique(np.concatenate(parts), return_counts=True)
+                table = pa.table({"k": pa.array(np.full(len(h), k, np.int32)), "h": pa.array(h.view(np.int64)), "c": pa.array(c)})
+                yield from table.to_batches(1 << 17)
 
         for batch in batches:
-            offsets, data = utf8(column(batch, "text"))
-            data = LOWER[data[offsets[0] : offsets[-1]]]
-            lang = column(batch, "lang")
-            for fresh, starts, ends, row in blocks(offsets - offsets[0], data):
-                for table in count_block(lang, data, fresh, starts, ends, row, words_too, reached, recent):
-                    held.append(table)
-                    size += len(table)
+            for words, joined, old in zip(batch.column("words"), batch.column("joined"), batch.column("old").to_pylist(), strict=True):
+                word = np.frombuffer(words.as_buffer(), U64)
+                bits = np.unpackbits(np.frombuffer(joined.as_buffer(), np.uint8), count=len(word) - 1).astype(bool)
+                for k, h in active(word, bits, old, words_too, reached, recent):
+                    held.setdefault(k, []).append(h)
+                    size += len(h)
                 if size > HELD:
-                    held = [summed(pa.concat_tables(held))]
-                    if len(held[0]) > HELD // 2:
-                        yield from sent(held)
-                        held = []
-                    size = sum(map(len, held))
-        if held:
-            yield from sent(held)
+                    yield from sent()
+                    held, size = {}, 0
+        yield from sent()
+
+    return shard.mapInArrow(run, COUNTS)
+
 
-    return shard.select("lang", "text").mapInArrow(run, COUNTS).groupBy("lang", "phrase", "k", "h").agg(F.sum("c").alias("c"))
+def count_words(text: DataFrame, found: Bits) -> DataFrame:
+    """(lang, phrase, k, f): exact counts of the phrases whose hash is in ``found``; k = 0 has a language's number of words."""
+    shared = text.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = shared.value
+        held: list[pa.Table] = []
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if held:
+                whole = pa.concat_tables(held).group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "k", "f"])
+                yield from whole.set_column(1, "phrase", whole["phrase"].cast(pa.large_string())).to_batches(1 << 16)
+
+        def table(lang: pa.Array, row: np.ndarray, phrase: pa.Array, k: int, f: np.ndarray) -> pa.Table:
+            one = pa.table({"lang": lang.take(pa.array(row)), "phrase": phrase, "k": pa.array(np.full(len(row), k, np.int32)), "f": pa.array(f.astype(np.int64))})
+            return one.group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "k", "f"])
+
+        for batch in batches:
+            offsets, data = _texts(batch)
+            lang, seeds = column(batch, "lang"), _lang_hashes(column(batch, "lang"))
+            kinds = lang.dictionary_encode().indices.to_numpy()
+            for fresh, starts, ends, row in blocks(offsets, data):
+                w, old = Words(seeds, data, starts, ends, row), int((~fresh).sum())
+                rows, n = np.unique(row[old:], return_counts=True)
+                held.append(table(lang, rows, pa.array([b""] * len(rows), pa.large_binary()), 0, n))
+                at = np.flatnonzero(found.has(w.hash) & fresh)
+                own = kinds[row[at]].astype(np.int64) * len(w.words.dictionary) + w.code[at]  # a language and an entry of the dictionary
+                _, first, n = np.unique(own, return_index=True, return_counts=True)
+                held.append(table(lang, row[at[first]], w.words.take(pa.array(at[first])).dictionary_decode(), 1, n))
+                whole = w.hash
+                for k in range(2, LONGEST + 1):
+                    if len(whole) < 2:
+                        break
+                    whole, fits = windows(w.hash, w.joined, old, k, whole)
+                    at = np.flatnonzero(fits & found.has(whole))
+                    if len(at):
+                        spans = [w.words.take(pa.array(at + i)).dictionary_decode() for i in range(k)]
+                        held.append(table(lang, row[at], pc.binary_join_element_wise(*spans, pa.scalar(b" ", pa.large_binary())), k, np.ones(len(at))))
+            if sum(map(len, held)) > HELD:
+                yield from sent()
+                held = []
+        yield from sent()
+
+    return text.mapInArrow(run, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
 def bitmap(reached: DataFrame, size: int) -> Bits:
@@ -168,45 +226,51 @@ def bitmap(reached: DataFrame, size: int) -> Bits:
     return Bits({r["at"]: bytes(r["bits"]) for r in chunks.collect()}, size)
 
 
-def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, f) of every phrase of up to LONGEST words that occurs ``least`` times or more, and (lang, n)."""
-    spark = docs.sparkSession
+def frequent(text: DataFrame, least: int, shards: int) -> tuple[DataFrame | None, int]:
+    """(h of every phrase that may occur ``least`` times or more, their number), by cyclic scans."""
+    spark = text.sparkSession
     base = new_path(spark, "phrases")
-    text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    text.withColumn("shard", F.pmod(F.xxhash64("lang", "text", F.monotonically_increasing_id()), F.lit(shards)).cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(f"{base}/text")
-    columns, empty = "lang string, text string", spark.createDataFrame([], COUNTS)
-    there = {r["shard"] for r in spark.read.schema(f"{columns}, shard int").parquet(f"{base}/text").select("shard").distinct().collect()}
-
-    def facts(steps: range) -> DataFrame:
-        return reduce(DataFrame.unionByName, [spark.read.schema(COUNTS).parquet(f"{base}/facts/{t}").withColumn("shard", F.lit(t % shards)) for t in steps])
+    encode(text).withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)).cast("int")).write.partitionBy("shard").option("compression", "zstd").parquet(f"{base}/words")
+    columns = "words binary, joined binary, old int"
+    there = {r["shard"] for r in spark.read.schema(f"{columns}, shard int").parquet(f"{base}/words").select("shard").distinct().collect()}
 
-    def phrases(steps: range) -> DataFrame:
-        return reduce(DataFrame.unionByName, [spark.read.schema(COUNTS).parquet(f"{base}/reached/{t}") for t in steps])
+    def tables(name: str, kind: str, steps: range) -> DataFrame:
+        return spark.read.schema(kind).parquet(*[f"{base}/{name}/{t}" for t in steps])
 
     step, total, sizes = 0, 0, []
     while step < shards or any(sizes[max(0, step - shards) :]):
+        size = bits_for(total)
+        reached = bitmap(tables("reached", "h long, k int", range(step)), size) if total else None
+        recent = bitmap(tables("reached", "h long, k int", range(max(0, step - shards), step)), size) if total else None
         shard = step % shards
-        known, size = total, LEAST_BITS
-        while size < min(known * FILL, MOST_BITS):
-            size *= 2
-        reached = bitmap(phrases(range(step)), size) if known else None
-        recent = bitmap(phrases(range(max(0, step - shards), step)), size) if known else None
-        here = spark.read.schema(columns).parquet(f"{base}/text/shard={shard}") if shard in there else spark.createDataFrame([], columns)
+        here = spark.read.schema(columns).parquet(f"{base}/words/shard={shard}") if shard in there else spark.createDataFrame([], columns)
         count_shard(here, step < shards, reached, recent).write.option("compression", "zstd").parquet(f"{base}/facts/{step}")
         # the last ``shards`` steps have met every shard once
-        sums = facts(range(max(0, step - shards + 1), step + 1)).groupBy("lang", "phrase", "k", "h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        if known:
-            sums = sums.join(phrases(range(step)).select("lang", "phrase"), ["lang", "phrase"], "left_anti")
-        sums.write.option("compression", "zstd").parquet(f"{base}/reached/{step}")
-        new = spark.read.schema(COUNTS).parquet(f"{base}/reached/{step}")
-        total += (found := new.count())
-        sizes.append(found and new.where(F.col("k") < LONGEST).count())
+        sums = tables("facts", COUNTS, range(max(0, step - shards + 1), step + 1)).groupBy("h").agg(F.sum("c").alias("c"), F.max("k").alias("k")).where(F.col("c") >= least)
+        if total:
+            sums = sums.join(tables("reached", "h long, k int", range(step)).select("h"), "h", "left_anti")
+        sums.select("h", "k").write.option("compression", "zstd").parquet(f"{base}/reached/{step}")
+        new = tables("reached", "h long, k int", range(step, step + 1)).agg(F.count("*").alias("n"), F.count_if(F.col("k") < LONGEST).alias("open")).first()
+        total += new["n"]
+        sizes.append(new["open"])
         step += 1
-    every = phrases(range(step)).select("lang", "phrase").join(facts(range(step)), ["lang", "phrase"])
-    each = every.groupBy("lang", "phrase", "k").agg(*[F.max(F.when(F.col("shard") == s, F.col("c"))).alias(f"c{s}") for s in range(shards)])
-    each = each.select("lang", "phrase", "k", reduce(Column.__add__, [F.coalesce(f"c{s}", F.lit(0)) for s in range(shards)]).alias("f"))
-    words = facts(range(shards)).where("k = 1").groupBy("lang").agg(F.sum("c").alias("n"))
-    return each.unionByName(empty.select("lang", "phrase", "k", F.col("c").alias("f"))), words
+    return (tables("reached", "h long, k int", range(step)), total) if total else (None, 0)
+
+
+def bits_for(phrases: int) -> int:
+    size = LEAST_BITS
+    while size < min(phrases * FILL, MOST_BITS):
+        size *= 2
+    return size
+
+
+def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, k, f) of every phrase of up to LONGEST words that occurs ``least`` times or more, and (lang, n)."""
+    text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found, total = frequent(text, least, shards)
+    exact = count_words(text, bitmap(found, bits_for(total)) if total else Bits({}, LEAST_BITS))
+    exact = written(exact.where((F.col("f") >= least) | (F.col("k") == 0)), "phrase-counts")
+    return exact.where("k > 0"), exact.where("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def rank(counts: DataFrame, words: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
