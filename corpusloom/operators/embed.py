@@ -27,13 +27,17 @@ def hashed(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
+#: What a model raises for a passing trouble; anything else isn't asked again.
+PASSING = (OSError, TimeoutError)
+
+
 def call(model: Embedder, texts: list[str], retries: int = 2, backoff: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> list[list[float]]:
-    """One batch: retried with growing pauses; a reply with one vector for several texts is asked one by one."""
+    """One batch: retried with growing pauses after a passing trouble; a reply with one vector for several texts is asked one by one."""
     for attempt in range(retries + 1):
         try:
             out = model(texts)
             break
-        except Exception:
+        except PASSING:
             if attempt == retries:
                 raise
             sleep(backoff * (attempt + 1))
@@ -61,6 +65,25 @@ def embed(df: DataFrame, text: str, model: Embedder, dim: int, batch: int = 16,
     return _batched(df, lambda part: part[text].fillna("").tolist(), model, dim, batch, to)
 
 
+def try_embed(df: DataFrame, text: str, model: Embedder, dim: int, batch: int = 16, to: str = "embedding") -> DataFrame:
+    """As ``embed``, with a column ``error`` and no vector where the model refuses a text; one refused text costs no other."""
+
+    def tried(texts: list[str]) -> list[tuple]:
+        try:
+            return [(v, None) for v in call(model, texts)]
+        except Exception as e:  # noqa: BLE001  what the model says is the file's error
+            return [(None, str(e) or type(e).__name__)] if len(texts) == 1 else [r for t in texts for r in tried([t])]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            texts = frame[text].fillna("").tolist()
+            out = [r for k in range(0, len(texts), batch) for r in tried(texts[k : k + batch])]
+            yield frame.assign(**{to: [None if v is None else list(map(float, v[:dim])) for v, _ in out], "error": [e for _, e in out]})
+
+    schema = T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.DoubleType())), T.StructField("error", T.StringType())])
+    return df.mapInPandas(run, schema).withColumn(to, vec.l2_normalize(F.col(to)))
+
+
 def embed_images(df: DataFrame, prompt: str, image: str, model: Callable[[list[tuple[str, str]]], list[list[float]]], dim: int, to: str = "embedding") -> DataFrame:
     """Adds unit vectors of at most ``dim`` components for (prompt, image URL) columns; the model takes one pair a call.
     A missing image is an error of the model's, a missing prompt is empty."""

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunk, clean, flow
+from corpusloom.operators import chunk, clean, embed, flow
 from corpusloom.plans import views as v
 from corpusloom.plans.records import _METRICS
 from corpusloom.plans.views import sql
 from corpusloom.sources.files import new_folder, write_by_bucket
 from corpusloom.streaming import events as ev
+from corpusloom.streaming import ingest
+from corpusloom.streaming import stateful as st
 
 
 def _lines(spark, d):
@@ -126,23 +128,63 @@ def _stream(spark, d, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(f"{d}/")
 
 
+def _arrivals(spark, rows, parts, name):
+    """``rows`` as a stream of one file after the other, by the number in their column ``part``."""
+    path = new_folder(spark, name)
+    for k in range(parts):
+        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _events(spark, d):
+    """Events dealt to four arrivals by time, every seventh up to six hours late; a fifth has one row, by which the watermark
+    passes all others."""
+    e = v.table(spark, d, "events").select("event_id", "user_id", "event_type", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("us"))
+    ends = e.agg(F.min("us").alias("low"), F.max("us").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    late = F.when(F.col("event_id") % 7 == 0, 6 * 3600 * 1_000_000).otherwise(0)
+    e = e.withColumn("part", F.least(F.lit(3), F.expr(f"(us - {low}) * 4 div {high - low + 1}") + (F.expr(f"(us - {low}) * 4 % {high - low + 1}") / 4 + late > (high - low + 1) / 4).cast("int")).cast("int"))
+    last = spark.createDataFrame([(-1, None, None, high + 4 * 86_400_000_000, 4)], e.schema)
+    return e.unionByName(last).withColumn("at", F.timestamp_micros("us"))
+
+
 def trace_metrics_stream(spark, d):
-    """Every event of the file stream as a step of its user's session; the metrics are written batch by batch and read back."""
+    """Every event as a step of its user's session, over five batches with late rows; idle sessions start anew after a day."""
+    st.use_rocksdb(spark)
     sink, checkpoint = new_folder(spark, "trace-metrics"), new_folder(spark, "trace-checkpoint")
     act = F.col("event_type") != "view"
-    steps = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("session_id"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("seq"), act.alias("has_activity"), F.when(act, F.col("event_type")).alias("tool_name"), F.lit("{}").alias("tool_args"))
-    out = ev.trace_metrics_stream(steps, ttl_ms=None).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    steps = _arrivals(spark, _events(spark, d), 5, "trace-arrivals").select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("session_id"), "at", F.col("us").alias("seq"), act.alias("has_activity"), F.when(act, F.col("event_type")).alias("tool_name"), F.lit("{}").alias("tool_args"))
+    out = st.step_metrics(steps).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     _finished(out)
-    return spark.read.schema("session_id string, seq long, empty_steps long, repeated_actions long").parquet(sink)
+    return spark.read.schema("session_id string, seq long, empty_steps long, repeated_actions long").parquet(sink).where("session_id <> ''")
 
 
 def last_n_stream(spark, d):
-    """The newest 50 events of every user by the stateful operator; the last list of each user is what stays in the table."""
+    """The newest 50 events of every user since a pause of a day, over five batches with late rows; the last list of each user
+    is what stays in the table."""
+    st.use_rocksdb(spark)
     sink, checkpoint = new_folder(spark, "last-n"), new_folder(spark, "last-n-checkpoint")
-    rows = _stream(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
-    out = ev.last_n_stream(rows, ttl_ms=None).writeStream.foreachBatch(lambda batch, _: write_by_bucket(batch, sink, "key")).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    rows = _arrivals(spark, _events(spark, d), 5, "last-n-arrivals").select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("key"), "at", F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
+    out = st.last_n(rows).writeStream.foreachBatch(lambda batch, _: write_by_bucket(batch, sink, "key")).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    _finished(out)
+    return spark.read.parquet(sink).select("key", "pos", "seq", "value").where("key <> ''")
+
+
+def assembly_stream(spark, d):
+    """Replies and their tool calls put together from fragments that come in any order over four batches and a closing one;
+    every tenth stream has no done event and is given up."""
+    st.use_rocksdb(spark)
+    sink, checkpoint = new_folder(spark, "assembly"), new_folder(spark, "assembly-checkpoint")
+    f = _deltas(spark, d).select("stream_id", "seq", F.lit(False).alias("done"), F.when(F.col("seq") % 4 != 3, F.col("delta")).alias("delta"), F.when(F.col("seq") % 3 == 2, -1).otherwise(F.col("seq") % 3).alias("index"), F.when(F.col("seq") % 2 == 0, F.concat(F.lit("id"), F.col("seq").cast("string"))).alias("id"), F.when(F.col("seq") < 3, "f").alias("name"), F.substring("delta", 1, 2).alias("arguments"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in f.dtypes[3:]]
+    ends = f.groupBy("stream_id").agg(F.count("*").cast("int").alias("seq")).where(~F.col("stream_id").endswith("0")).select("stream_id", "seq", F.lit(True).alias("done"), *nothing)
+    every = f.unionByName(ends).withColumn("part", F.pmod(F.xxhash64("stream_id", "seq"), F.lit(4)).cast("int")).withColumn("us", F.lit(0).cast("long"))
+    last = spark.range(1).select(F.lit("").alias("stream_id"), F.lit(0).alias("seq"), F.lit(False).alias("done"), *nothing, F.lit(4).alias("part"), F.lit(4 * 86_400_000_000).alias("us"))
+    rows = _arrivals(spark, every.unionByName(last).withColumn("at", F.timestamp_micros(F.col("us") + 1_700_000_000_000_000)).drop("us"), 5, "fragments")
+    out = st.assemble(rows).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     _finished(out)
-    return spark.read.parquet(sink).select("key", "pos", "seq", "value")
+    found = spark.read.schema("stream_id string, finished boolean, index int, id string, name string, body string").parquet(sink)
+    return found.where("stream_id <> ''").select("stream_id", "finished", "index", "id", "name", F.md5("body").alias("body_md5"))
 
 
 def _finished(query):
@@ -163,7 +205,27 @@ def ingest_stream(spark, d):
     return spark.read.parquet(sink).select("file_id", "small_chunk_index", "small_chunk_text", "page_start")
 
 
-QUERIES = {f.__name__: f for f in (flow_sections, flow_edges, flow_graph, flow_titles, flow_candidates, import_graph, import_edges, node_info, last_n_events, short_memory, assemble_deltas, assemble_calls, visible_deltas, parse_sse, check_events, ingest_stream, trace_metrics_stream, last_n_stream)}
+def ingest_status(spark, d):
+    """Documents arrive in three batches, every seventh again in the last; thirteenths can't be read and texts with an asterisk
+    are refused by the model. One row a file: its last status, error, and what the chunk table has of it."""
+    path, checkpoint = new_folder(spark, "ingest"), new_folder(spark, "ingest-checkpoint")
+    docs = v.table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").alias("file_id"))
+    parts = docs.withColumn("part", (F.col("doc_id") % 2).cast("int"))
+    again = docs.where("doc_id % 7 = 0").withColumn("part", F.lit(2))
+    problem = F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("unreadable file "), F.col("doc_id").cast("string")))
+
+    def model(texts):
+        if any("*" in t for t in texts):
+            raise ValueError("refused")
+        return embed.hashed(texts, 16)
+
+    chunked = lambda rows: chunk.small_chunks(clean.clean_segments(v.cut_segments(rows))).select("file_id", "small_chunk_index", "small_chunk_text")
+    _finished(ingest.ingest(_arrivals(spark, parts.unionByName(again), 3, "uploads"), path, checkpoint, problem, chunked, model, 16))
+    held = spark.read.parquet(f"{path}/chunks").groupBy("file_id").agg(F.count("embedding").alias("n_vectors"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("small_chunk_index", "small_chunk_text"))), lambda x: x["small_chunk_text"]), "|")).alias("text_md5"))
+    return ingest.statuses(spark, path).join(held, "file_id", "left").select("file_id", "status", "error", "n_chunks", F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"), "text_md5")
+
+
+QUERIES = {f.__name__: f for f in (flow_sections, flow_edges, flow_graph, flow_titles, flow_candidates, import_graph, import_edges, node_info, last_n_events, short_memory, assemble_deltas, assemble_calls, visible_deltas, parse_sse, check_events, ingest_stream, trace_metrics_stream, last_n_stream, assembly_stream, ingest_status)}
 
 _W = "regexp_extract(line, '([A-Za-z]+)', 1)"
 _FLOW = {
@@ -187,7 +249,13 @@ def _f(body: str) -> str:
 
 
 _LAST = "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM events WHERE {}) WHERE b <= {}".format
+#: Events with the number of pauses of more than a day before them, and the step metrics that start anew after each.
+_PAUSES = "SELECT *, sum(CASE WHEN epoch_us(ts) - before > 86400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pause FROM (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)"
+_AFTER_PAUSES = {"tr": f"SELECT *, user_id || ':' || pause AS session_id, epoch_us(ts) AS step_index, event_type <> 'view' AS act, CASE WHEN event_type <> 'view' THEN event_type END AS tool FROM ({_PAUSES})"} | {k: x for k, x in _METRICS.items() if k != "tr"}
 ORACLES = {
+    "ingest_status": sql("""SELECT doc_id AS file_id, CASE WHEN e IS NULL THEN 'VECTORIZED' ELSE 'FAILED' END AS status, e AS error, CASE WHEN e IS NULL THEN n ELSE 0 END AS n_chunks, CASE WHEN e IS NULL THEN n ELSE 0 END AS n_vectors, CASE WHEN e IS NULL THEN t END AS text_md5 FROM
+        (SELECT doc_id, n, t, CASE WHEN doc_id % 13 = 0 THEN 'unreadable file ' || doc_id WHEN n IS NULL THEN 'No text content extracted for vectorization' WHEN star THEN 'refused' END AS e FROM documents LEFT JOIN
+        (SELECT file_id, count(*) AS n, md5(string_agg(small_chunk_text, '|' ORDER BY small_chunk_index)) AS t, bool_or(contains(small_chunk_text, '*')) AS star FROM small GROUP BY file_id) s ON doc_id = s.file_id)""", "small"),
     "ingest_stream": sql("SELECT file_id, small_chunk_index, small_chunk_text, page_start FROM small", "small"),
     "flow_sections": _f(f"SELECT file_id, section_id, section_code, title, role, coalesce(replace(duty, '；', ','), '') AS duties, md5(body) AS content_md5, md5({_CUT}) AS summary_md5, next_id FROM sec"),
     "flow_edges": _f("SELECT file_id, 'edge-' || section_id || '-' || next_id AS edge_id, section_id AS source, next_id AS target FROM sec WHERE next_id IS NOT NULL"),
@@ -201,11 +269,15 @@ ORACLES = {
     "node_info": _f(f"""SELECT file_id, 'chapter-' || chapter_no AS raw_id, 'lane' AS kind, title, md5('') AS content_md5, '' AS role, '' AS duty, '泳道,AI 导入' AS tags, '章节序号=' || chapter_no AS metric FROM chap
         UNION ALL SELECT file_id, section_id, 'node', title, md5({_CUT}), coalesce(role, ''), coalesce(duty, ''), '活动,AI 导入', CASE WHEN duty <> '' THEN '职责=' || duty END FROM sec"""),
     "last_n_events": _LAST("true", 50),
-    "trace_metrics_stream": sql("SELECT CAST(met.session_id AS VARCHAR) AS session_id, epoch_us(e.ts) AS seq, empty_steps, repeated_actions FROM met JOIN events e ON met.event_id = e.event_id", **_METRICS),
-    "last_n_stream": f"SELECT CAST(l.user_id AS VARCHAR) AS key, l.pos, l.event_id AS seq, e.event_type AS value FROM ({_LAST('true', 50)}) l JOIN events e ON l.event_id = e.event_id",
+    "trace_metrics_stream": sql("SELECT CAST(met.user_id AS VARCHAR) AS session_id, epoch_us(ts) AS seq, empty_steps, repeated_actions FROM met", **_AFTER_PAUSES),
+    "last_n_stream": f"""WITH p AS ({_PAUSES}), last AS (SELECT * FROM p QUALIFY pause = max(pause) OVER (PARTITION BY user_id)), back AS (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50)
+        SELECT CAST(user_id AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS pos, event_id AS seq, event_type AS value FROM back""",
+    "assembly_stream": sql("""SELECT stream_id, NOT ends_with(stream_id, '0') AS finished, CAST(NULL AS INTEGER) AS index, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS name, md5(string_agg(delta, '' ORDER BY seq)) AS body_md5 FROM dl WHERE seq % 4 <> 3 GROUP BY stream_id
+        UNION ALL SELECT stream_id, NOT ends_with(stream_id, '0'), CAST(i AS INTEGER), arg_max(id, seq) FILTER (WHERE id IS NOT NULL), nullif(string_agg(CASE WHEN seq < 3 THEN 'f' ELSE '' END, '' ORDER BY seq), ''), md5(string_agg(left(delta, 2), '' ORDER BY seq)) FROM
+        (SELECT *, CASE seq % 3 WHEN 1 THEN 1 ELSE 0 END AS i, CASE WHEN seq % 2 = 0 THEN 'id' || seq END AS id FROM dl) GROUP BY stream_id, i""", dl=_DELTAS),
     "short_memory": _LAST("event_type <> 'view'", 5),
     "assemble_deltas": sql("SELECT stream_id, count(*) AS n_deltas, md5(string_agg(delta, '' ORDER BY seq)) AS text_md5 FROM dl GROUP BY stream_id", dl=_DELTAS),
-    "assemble_calls": sql("SELECT stream_id, CAST(i AS INTEGER) AS index, arg_max(id, seq) FILTER (WHERE id IS NOT NULL) AS id, string_agg(CASE WHEN seq < 3 THEN 'f' ELSE '' END, '' ORDER BY seq) AS name, md5(string_agg(left(delta, 2), '' ORDER BY seq)) AS arguments_md5 FROM (SELECT *, CASE WHEN seq % 3 = 2 THEN 0 ELSE seq % 3 END AS i, CASE WHEN seq % 2 = 0 THEN 'id' || seq END AS id FROM dl) GROUP BY stream_id, i", dl=_DELTAS),
+    "assemble_calls": sql("SELECT stream_id, CAST(i AS INTEGER) AS index, arg_max(id, seq) FILTER (WHERE id IS NOT NULL) AS id, nullif(string_agg(CASE WHEN seq < 3 THEN 'f' ELSE '' END, '' ORDER BY seq), '') AS name, md5(string_agg(left(delta, 2), '' ORDER BY seq)) AS arguments_md5 FROM (SELECT *, CASE WHEN seq % 3 = 2 THEN 0 ELSE seq % 3 END AS i, CASE WHEN seq % 2 = 0 THEN 'id' || seq END AS id FROM dl) GROUP BY stream_id, i", dl=_DELTAS),
     "visible_deltas": sql("SELECT stream_id, count(*) AS n FROM dl WHERE seq % 5 NOT IN (1, 2) AND trim(delta) <> '' GROUP BY stream_id", dl=_DELTAS),
     "parse_sse": sql("SELECT stream_id, seq AS event_no, CASE seq % 5 WHEN 0 THEN 'assistant_delta' WHEN 1 THEN 'debug' WHEN 3 THEN 'message' ELSE 'assistant_done' END AS event, seq % 5 = 1 AS bad FROM dl WHERE seq % 5 <> 2", dl=_DELTAS),
     "check_events": sql("SELECT stream_id, count(*) FILTER (WHERE seq % 5 <> 2) AS n_events, count(*) FILTER (WHERE seq % 5 = 1) AS n_ignored, 0::BIGINT AS n_errors, bool_or(seq % 5 = 4) AS valid FROM dl GROUP BY stream_id", dl=_DELTAS),

@@ -39,19 +39,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """True if the path is there, asked of the path's own file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_by_bucket(rows: DataFrame, path: str, key: str = "file_id", buckets: int = 16) -> None:
-    """Replaces the rows of every incoming key in a table partitioned by key bucket: only the touched buckets are
-    read and rewritten, each through a table of its own first, so a failed job leaves the old rows."""
-    spark = rows.sparkSession
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    try:
-        current = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        rows.write.partitionBy("bucket").parquet(path)
+    """Replaces the rows of every incoming key in a table partitioned by key bucket.
+
+    Incoming rows are computed once, into a stage of this call's own; only the touched buckets are read, and what takes their
+    place is written beside the table before the first of them is exchanged, so a job that fails before leaves the old rows."""
+    spark, stage = rows.sparkSession, f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
+    rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.parquet(f"{stage}/new")
+    new = spark.read.parquet(f"{stage}/new")
+    if not exists(spark, path):
+        new.write.partitionBy("bucket").parquet(path)
         return
-    touched = rows.select("bucket").distinct()
-    kept = current.join(touched, "bucket", "left_semi").join(rows.select(key).distinct(), key, "left_anti")
-    kept.unionByName(rows, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path}.staged")
-    spark.read.parquet(f"{path}.staged").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)
+    current = spark.read.parquet(path)
+    kept = current.join(new.select("bucket").distinct(), "bucket", "left_semi").join(new.select(key).distinct(), key, "left_anti")
+    kept.unionByName(new, allowMissingColumns=True).write.parquet(f"{stage}/whole")
+    spark.read.parquet(f"{stage}/whole").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("bucket").parquet(path)

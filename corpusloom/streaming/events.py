@@ -1,16 +1,11 @@
-"""Event streams: last-n state, delta assembly, SSE text, contract checks, incremental ingest and trace metrics.
-
-Every stateful operator has a batch twin with the same result.
-"""
+"""Event rows: last n, delta assembly, SSE text, contract checks and incremental ingest. ``stateful`` has the stream twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MARKS = ["Thought:", "Action:", "Final Answer:"]
 REQUIRED = {"assistant_delta": ["delta"], "assistant_done": ["message"], "error": ["message"], "reasoning": ["text"], "debug": ["text"]}
@@ -24,59 +19,6 @@ def last_n_batch(events: DataFrame, key: str, order: list[str], n: int = 50) ->
     return rows.withColumn("pos", F.row_number().over(w.orderBy(*order))).drop("back")
 
 
-def _timeout(ttl_ms: int | None) -> str:
-    """A time limit keeps batches coming to look for idle keys, so a run over what is there now only ends without one."""
-    return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-
-
-def last_n_stream(events: DataFrame, n: int = 50, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
-    """The current list of each touched (key, at, seq, value) key, in update mode: (key, pos, seq, value), oldest first. A
-    key that is idle for ``ttl_ms`` is forgotten."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        old = list(zip(*state.get, strict=True)) if state.exists else []
-        new = [r for f in frames for r in zip(f["at"], f["seq"], f["value"], strict=True)]
-        kept = sorted([*old, *new], key=lambda r: (r[0], r[1]))[-n:]
-        at, seq, value = (list(x) for x in zip(*kept, strict=True))
-        state.update(([int(x) for x in at], [int(x) for x in seq], value))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame({"key": [key[0]] * len(kept), "pos": range(1, len(kept) + 1), "seq": seq, "value": value})
-
-    rows = events.withColumn("at", F.unix_micros(F.col("at").cast("timestamp")))
-    return rows.groupBy("key").applyInPandasWithState(run, "key string, pos int, seq long, value string", "at array<long>, seq array<long>, value array<string>", "update", _timeout(ttl_ms))
-
-
-def trace_metrics_stream(trace: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
-    """(session_id, seq, empty_steps, repeated_actions) for each new step of (session_id, seq, has_activity, tool_name, tool_args).
-
-    Running empty steps and repeats of (tool, args), kept step by step; within a batch steps are taken in order of ``seq``,
-    and batches must follow it. A session that is idle for ``ttl_ms`` starts anew."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        empty, tool, args, repeats = state.get if state.exists else (0, None, None, 0)
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for seq, active, name, given in zip(rows["seq"], rows["has_activity"], rows["tool_name"], rows["tool_args"], strict=True):
-            empty = 0 if active else empty + 1
-            if name is not None:
-                repeats = repeats + 1 if (name, given) == (tool, args) else 0
-                tool, args = name, given
-            out.append((key[0], seq, empty, repeats))
-        state.update((int(empty), tool, args, int(repeats)))
-        if ttl_ms:
-            state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=["session_id", "seq", "empty_steps", "repeated_actions"])
-
-    return trace.groupBy("session_id").applyInPandasWithState(run, "session_id string, seq long, empty_steps long, repeated_actions long", "empty long, tool string, args string, repeats long", "append", _timeout(ttl_ms))
-
-
 def visible(delta: Column) -> Column:
     """False for blank deltas and those with protocol marks."""
     out = F.trim(F.coalesce(delta, F.lit(""))) != ""
@@ -98,7 +40,7 @@ def assemble_calls(fragments: DataFrame) -> DataFrame:
     rows = fragments.withColumn("index", F.coalesce(idx, F.lit(0)))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce(c, F.lit("")).alias("t")))), lambda x: x["t"]), "")
     last = F.max_by("id", F.when(F.col("id").isNotNull(), F.col("seq")))
-    return rows.groupBy("stream_id", "index").agg(last.alias("id"), joined("name").alias("name"), joined("arguments").alias("arguments"))
+    return rows.groupBy("stream_id", "index").agg(last.alias("id"), F.nullif(joined("name"), F.lit("")).alias("name"), joined("arguments").alias("arguments"))
 
 
 def parse_sse(raw: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.sources import files
 from corpusloom.streaming import events as ev
+from corpusloom.streaming import ingest
+from corpusloom.streaming import stateful as st
 
 
 def test_uploads_are_read_with_their_metadata(spark, tmp_path):
@@ -31,24 +33,72 @@ def test_incremental_ingest_runs_each_file_once(spark, tmp_path):
     assert sorted((r.file_id, r.t) for r in spark.read.parquet(sink).collect()) == [(1, "A"), (2, "C")]
 
 
-def test_trace_metrics_go_on_over_batches(spark, tmp_path):
-    src = str(tmp_path / "steps")
-    schema = "session_id string, seq long, has_activity boolean, tool_name string, tool_args string"
-    rows = [("s", 1, True, "a", "{}"), ("s", 2, True, "a", "{}"), ("t", 1, False, None, None), ("s", 3, False, None, None), ("s", 4, False, None, None), ("s", 5, True, "a", "{}"), ("s", 6, True, "b", "{}"), ("t", 2, True, None, None)]
-    got = {}
-    for k, part in enumerate((rows[:4], rows[4:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
-        out = ev.trace_metrics_stream(spark.readStream.schema(schema).parquet(src), ttl_ms=None).writeStream.foreachBatch(lambda b, _: got.update({(r.session_id, r.seq): (r.empty_steps, r.repeated_actions) for r in b.collect()}))
-        out.outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-        assert len(got) == (4, 8)[k]
-    assert got == {("s", 1): (0, 0), ("s", 2): (0, 1), ("s", 3): (1, 1), ("s", 4): (2, 1), ("s", 5): (0, 2), ("s", 6): (0, 0), ("t", 1): (1, 0), ("t", 2): (0, 0)}
-
-
-def test_last_n_keeps_the_newest_over_batches(spark, tmp_path):
-    src, got = str(tmp_path / "events"), {}
-    for part in (range(0, 4), range(4, 7)):
-        spark.createDataFrame([("k", i, str(i)) for i in part], "key string, seq long, value string").withColumn("at", F.timestamp_seconds("seq")).coalesce(1).write.mode("append").parquet(src)
-        rows = spark.readStream.schema("key string, seq long, value string, at timestamp").parquet(src)
-        out = ev.last_n_stream(rows, n=3, ttl_ms=None).writeStream.foreachBatch(lambda b, _: got.update({r.pos: (r.seq, r.value) for r in b.collect()}))
-        out.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    assert got == {1: (4, "4"), 2: (5, "5"), 3: (6, "6")}
+HOUR = 3600
+
+
+def arrivals(spark, path, schema, *parts):
+    """A stream of one file after the other, with ``at`` from ``t`` in hours."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).withColumn("at", F.timestamp_seconds(F.col("t") * HOUR))
+
+
+def collected(stream, mode, checkpoint, take):
+    batches = []
+    stream.writeStream.foreachBatch(lambda b, i: batches.append([take(r) for r in b.collect()])).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return batches
+
+
+def test_step_metrics_take_late_steps_in_order_and_start_anew_after_a_pause(spark, tmp_path):
+    st.use_rocksdb(spark)
+    schema = "session_id string, t long, seq long, has_activity boolean, tool_name string, tool_args string"
+    a = ("a", "{}")
+    parts = [("s", 1, 1, True, *a), ("s", 3, 3, False, None, None), ("t", 1, 1, False, None, None)], [("s", 2, 2, True, *a), ("s", 5, 5, True, *a), ("s", 4, 4, False, None, None)], [("s", 60, 6, True, *a)], [("", 400, 0, True, None, None)]
+    rows = arrivals(spark, str(tmp_path / "in"), schema, *parts)
+    got = collected(st.step_metrics(rows), "append", str(tmp_path / "cp"), lambda r: (r.session_id, r.seq, r.empty_steps, r.repeated_actions))
+    want = {("s", 1, 0, 0), ("s", 2, 0, 1), ("s", 3, 1, 1), ("s", 4, 2, 1), ("s", 5, 0, 2), ("s", 6, 0, 0), ("t", 1, 1, 0)}  # step 6 comes after a day
+    assert {r for b in got for r in b} == want and sum(map(len, got)) == len(want) and got[0] == []
+
+
+def test_last_n_over_batches_with_late_rows_and_a_pause(spark, tmp_path):
+    st.use_rocksdb(spark)
+    rows = arrivals(spark, str(tmp_path / "in"), "key string, t long, seq long, value string", [("k", 1, 1, "a"), ("k", 3, 3, "c"), ("l", 1, 9, "x")], [("k", 2, 2, "b"), ("k", 4, 4, "d")], [("k", 90, 5, "e")], [("k", 70, 6, "late")])
+    got = collected(st.last_n(rows, 3), "update", str(tmp_path / "cp"), lambda r: (r.key, r.pos, r.seq, r.value))
+    assert set(got[0]) == {("k", 1, 1, "a"), ("k", 2, 3, "c"), ("l", 1, 9, "x")}
+    assert got[1] == [("k", 1, 2, "b"), ("k", 2, 3, "c"), ("k", 3, 4, "d")] and got[2] == [("k", 1, 5, "e")]
+    assert not any(got[3:])  # twenty hours late: behind the watermark
+
+
+def test_assembly_waits_for_every_fragment(spark, tmp_path):
+    st.use_rocksdb(spark)
+    schema = "stream_id string, t long, seq long, done boolean, delta string, index int, id string, name string, arguments string"
+    none = (None,) * 5
+    parts = [("x", 1, 1, False, "b", -1, "id1", "f", "1"), ("x", 2, 3, True, *none), ("y", 1, 0, False, "yy", 1, "k", None, "{")], [("x", 1, 0, False, "a", None, None, None, None)], [("x", 2, 2, False, None, 1, None, "g", "2")], [("", 400, 0, False, *none)]
+    got = collected(st.assemble(arrivals(spark, str(tmp_path / "in"), schema, *parts)), "append", str(tmp_path / "cp"), lambda r: (r.stream_id, r.finished, r["index"], r.id, r.name, r.body))
+    assert got[:2] == [[], []] and set(got[2]) == {("x", True, None, None, None, "ab"), ("x", True, 0, "id1", "f", "1"), ("x", True, 1, None, "g", "2")}
+    assert {r for b in got[3:] for r in b} == {("y", False, None, None, None, "yy"), ("y", False, 1, "k", None, "{")}
+
+
+def test_ingest_isolates_failures_and_skips_finished_batches(spark, tmp_path):
+    path, calls = f"file://{tmp_path}/tables", tmp_path / "calls"
+    chunked = lambda rows: rows.where("text <> ''").select("file_id", F.lit(0).alias("small_chunk_index"), F.col("text").alias("small_chunk_text"))
+
+    def model(texts):
+        with open(calls, "a") as f:
+            f.write(f"{len(texts)}\n")
+        if "bad" in texts:
+            raise ValueError("x" * 900)
+        return [[1.0, 0.0] for _ in texts]
+
+    rows = lambda *x: spark.createDataFrame(list(x), "file_id long, text string")
+    run = lambda rows, batch: ingest.run_batch(rows, batch, path, F.when(F.col("text").isNull(), "no content"), chunked, model, 2)
+    run(rows((1, "a"), (2, "bad"), (3, None), (4, "")), 0)
+    got = {r.file_id: (r.status, r.error, r.n_chunks) for r in ingest.statuses(spark, path).collect()}
+    assert got == {1: ("VECTORIZED", None, 1), 2: ("FAILED", "x" * 500, 0), 3: ("FAILED", "no content", 0), 4: ("FAILED", "No text content extracted for vectorization", 0)}
+    before = calls.read_text()
+    run(rows((1, "again")), 0)
+    assert calls.read_text() == before and ingest.finished_batches(spark, path) == {0}
+    run(rows((2, "good"), (1, "bad")), 1)
+    got = {r.file_id: r.status for r in ingest.statuses(spark, path).collect()}
+    assert got == {1: "FAILED", 2: "VECTORIZED", 3: "FAILED", 4: "FAILED"}
+    assert sorted((r.file_id, r.small_chunk_text) for r in spark.read.parquet(f"{path}/chunks").collect()) == [(1, "a"), (2, "good")]
