@@ -29,7 +29,7 @@ TOP = 2000
 #: Shards of a cycle.
 SHARDS = 2
 #: Bits of a bitmap for each phrase that has reached the threshold, at least, and at most (16 MB).
-FILL, LEAST_BITS, MOST_BITS = 32, 1 << 15, 1 << 27
+FILL, LEAST_BITS, MOST_BITS = 64, 1 << 15, 1 << 27
 #: Bytes that a task looks at together, and counts that it holds before it sums and sends them.
 BLOCK, HELD = 1 << 20, 1 << 21
 #: Groups that a language's phrases are ranked in before the groups' best are ranked together.
@@ -37,7 +37,9 @@ RANKS = 64
 #: Fixed values of the contract: characters that part pieces, and those that part words.
 PIECE = np.isin(np.arange(256), [*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D])
 BETWEEN = PIECE | np.isin(np.arange(256), [0x20, 0x09])
-COUNTS = "k int, h long, c long"
+COUNTS = "h long, c int"
+#: Shifts of a hash to its two places in a bitmap.
+PROBES = (3, 31)
 _STEP = U64(0x9FB21C651E98DF25)
 
 
@@ -61,7 +63,7 @@ def blocks(offsets: np.ndarray, data: np.ndarray, most: int = BLOCK) -> Iterator
 
 
 class Bits:
-    """A bitmap of phrase hashes: chunks of 32,768 bits by their number."""
+    """A bitmap of phrase hashes, two bits for each: chunks of 32,768 bits by their number."""
 
     def __init__(self, chunks: dict[int, bytes], size: int):
         self.size = size
@@ -71,10 +73,17 @@ class Bits:
             self.bytes[at * 4096 : at * 4096 + len(part)] = part
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        at = h & U64(self.size - 1)
+        return np.logical_and(*(self._set((h >> U64(shift)) & U64(self.size - 1)) for shift in PROBES))
+
+    def _set(self, at: np.ndarray) -> np.ndarray:
         return (self.bytes[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+def tagged(h: np.ndarray, k: int) -> np.ndarray:
+    """A phrase's hash with its number of words in the last three bits."""
+    return (h & ~U64(7)) | U64(k)
+
+
 class Words:
     """The words of a block: a dictionary of their bytes, hashes that tell languages apart, and which go on a piece."""
 
@@ -89,7 +98,7 @@ class Words:
         self.words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(text)]).dictionary_encode()
         self.code = self.words.indices.to_numpy()
         known = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words.dictionary.to_pylist()), U64, len(self.words.dictionary))
-        self.hash = mix(known[self.code] + lang[row])
+        self.hash = tagged(mix(known[self.code] + lang[row]), 1)
         marks = np.concatenate([[0], np.cumsum(PIECE[part])])
         self.joined = (row[1:] == row[:-1]) & (marks[starts[1:] - low] == marks[ends[:-1] - low])
 
@@ -125,13 +134,13 @@ def windows(word: np.ndarray, joined: np.ndarray, old: int, k: int, whole: np.nd
     n = len(whole) - 1
     fits = np.logical_and.reduce([joined[i : i + n] for i in range(k - 1)])
     fits[: max(0, old - k + 1)] = False
-    return mix(whole[:-1] * _STEP + word[k - 1 :]), fits
+    return tagged(mix(whole[:-1] * _STEP + word[k - 1 :]), k), fits
 
 
-def active(word: np.ndarray, joined: np.ndarray, old: int, words_too: bool, reached: Bits | None, recent: Bits | None) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, hashes of the occurrences of active phrases): both parts have reached the threshold, one of them within the last cycle."""
+def active(word: np.ndarray, joined: np.ndarray, old: int, words_too: bool, reached: Bits | None, recent: Bits | None) -> Iterator[np.ndarray]:
+    """Hashes of the occurrences of active phrases: both parts have reached the threshold, one of them within the last cycle."""
     if words_too:
-        yield 1, word[old:]
+        yield word[old:]
     if reached is None:
         return
     whole, ok, new = word, reached.has(word), recent.has(word)
@@ -139,35 +148,34 @@ def active(word: np.ndarray, joined: np.ndarray, old: int, words_too: bool, reac
         if len(whole) < 2:
             return
         longer, fits = windows(word, joined, old, k, whole)
-        yield k, longer[fits & ok[:-1] & ok[1:] & (new[:-1] | new[1:])]
+        yield longer[fits & ok[:-1] & ok[1:] & (new[:-1] | new[1:])]
         whole, ok, new = longer, reached.has(longer), recent.has(longer)
 
 
 def count_shard(shard: DataFrame, words_too: bool, reached: Bits | None, recent: Bits | None) -> DataFrame:
-    """(k, h, c): counts of a shard's active phrases, summed within tasks."""
+    """(h, c): counts of a shard's active phrases, summed within tasks."""
     shared = shard.sparkSession.sparkContext.broadcast((reached, recent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached, recent = shared.value
-        held: dict[int, list[np.ndarray]] = {}
+        held: list[np.ndarray] = []
         size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for k, parts in held.items():
-                h, c = np.unique(np.concatenate(parts), return_counts=True)
-                table = pa.table({"k": pa.array(np.full(len(h), k, np.int32)), "h": pa.array(h.view(np.int64)), "c": pa.array(c)})
-                yield from table.to_batches(1 << 17)
+            if held:
+                h, c = np.unique(np.concatenate(held), return_counts=True)
+                yield from pa.table({"h": pa.array(h.view(np.int64)), "c": pa.array(c.astype(np.int32))}).to_batches(1 << 17)
 
         for batch in batches:
             for words, joined, old in zip(batch.column("words"), batch.column("joined"), batch.column("old").to_pylist(), strict=True):
                 word = np.frombuffer(words.as_buffer(), U64)
                 bits = np.unpackbits(np.frombuffer(joined.as_buffer(), np.uint8), count=len(word) - 1).astype(bool)
-                for k, h in active(word, bits, old, words_too, reached, recent):
-                    held.setdefault(k, []).append(h)
+                for h in active(word, bits, old, words_too, reached, recent):
+                    held.append(h)
                     size += len(h)
                 if size > HELD:
                     yield from sent()
-                    held, size = {}, 0
+                    held, size = [], 0
         yield from sent()
 
     return shard.mapInArrow(run, COUNTS)
@@ -219,11 +227,23 @@ def count_words(text: DataFrame, found: Bits) -> DataFrame:
     return text.mapInArrow(run, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
-def bitmap(reached: DataFrame, size: int) -> Bits:
-    """The phrases' bits, gathered in chunks: ``size`` bits whatever the number of phrases."""
-    at = F.col("h").bitwiseAND(F.lit(size - 1))
-    chunks = reached.groupBy(F.shiftright(at, 15).cast("int").alias("at")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits"))
-    return Bits({r["at"]: bytes(r["bits"]) for r in chunks.collect()}, size)
+def bitmap(hashes: DataFrame, size: int) -> Bits:
+    """The bits of the column h, gathered in chunks: ``size`` bits whatever the number of phrases."""
+    places = F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(size - 1)) for shift in PROBES])
+    at = hashes.select(F.explode(places).alias("at"))
+    chunks = at.groupBy(F.shiftright("at", 15).cast("int").alias("chunk")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
+    return Bits({r["chunk"]: bytes(r["bits"]) for r in chunks.collect()}, size)
+
+
+def among(counts: DataFrame, hashes: Bits) -> DataFrame:
+    """The counts whose hash may be in a bitmap."""
+    shared = counts.sparkSession.sparkContext.broadcast(hashes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column("h").to_numpy().view(U64))))
+
+    return counts.mapInArrow(run, COUNTS)
 
 
 def frequent(text: DataFrame, least: int, shards: int) -> tuple[DataFrame | None, int]:
@@ -240,21 +260,25 @@ def frequent(text: DataFrame, least: int, shards: int) -> tuple[DataFrame | None
     step, total, sizes = 0, 0, []
     while step < shards or any(sizes[max(0, step - shards) :]):
         size = bits_for(total)
-        reached = bitmap(tables("reached", "h long, k int", range(step)), size) if total else None
-        recent = bitmap(tables("reached", "h long, k int", range(max(0, step - shards), step)), size) if total else None
+        reached = bitmap(tables("reached", "h long", range(step)), size) if total else None
+        recent = bitmap(tables("reached", "h long", range(max(0, step - shards), step)), size) if total else None
         shard = step % shards
         here = spark.read.schema(columns).parquet(f"{base}/words/shard={shard}") if shard in there else spark.createDataFrame([], columns)
         count_shard(here, step < shards, reached, recent).write.option("compression", "zstd").parquet(f"{base}/facts/{step}")
-        # the last ``shards`` steps have met every shard once
-        sums = tables("facts", COUNTS, range(max(0, step - shards + 1), step + 1)).groupBy("h").agg(F.sum("c").alias("c"), F.max("k").alias("k")).where(F.col("c") >= least)
+        # the last ``shards`` steps have met every shard once; only what this step has counted can reach the threshold now
+        now = tables("facts", COUNTS, range(step, step + 1))
+        if step and shards > 1:
+            before, seen = tables("facts", COUNTS, range(max(0, step - shards + 1), step)), now.count()
+            now = now.unionByName(before if seen * FILL > MOST_BITS else among(before, bitmap(now, bits_for(seen))))
+        sums = now.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
         if total:
-            sums = sums.join(tables("reached", "h long, k int", range(step)).select("h"), "h", "left_anti")
-        sums.select("h", "k").write.option("compression", "zstd").parquet(f"{base}/reached/{step}")
-        new = tables("reached", "h long, k int", range(step, step + 1)).agg(F.count("*").alias("n"), F.count_if(F.col("k") < LONGEST).alias("open")).first()
+            sums = sums.join(tables("reached", "h long", range(step)), "h", "left_anti")
+        sums.write.option("compression", "zstd").parquet(f"{base}/reached/{step}")
+        new = tables("reached", "h long", range(step, step + 1)).agg(F.count("*").alias("n"), F.count_if(F.col("h").bitwiseAND(F.lit(7)) < LONGEST).alias("open")).first()
         total += new["n"]
         sizes.append(new["open"])
         step += 1
-    return (tables("reached", "h long, k int", range(step)), total) if total else (None, 0)
+    return (tables("reached", "h long", range(step)), total) if total else (None, 0)
 
 
 def bits_for(phrases: int) -> int:
