@@ -17,12 +17,27 @@ FILE_TYPE_WORDS = {
 }
 TOKEN = r"[a-z0-9_\-]+|[一-鿿]+"
 WORD = r"[\p{L}\p{N}_-]+"
+#: Every character that counts as white space at the ends of a text.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def strip(text: Column | str) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.btrim(text, F.lit(WHITE))
+
+
+def rstrip(text: Column | str) -> Column:
+    return F.rtrim(text, F.lit(WHITE))
+
+
+def canonical_json(text: Column | str) -> Column:
+    """JSON with the keys of every object sorted, no spaces and decimals without trailing zeros; other texts stay."""
+    return F.coalesce(F.to_json(F.try_parse_json(text)), F.col(text) if isinstance(text, str) else text)
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space as one space, ends trimmed."""
     """Runs of white space as one space, none at the ends. Single spaces don't match, so plain text isn't rebuilt."""
-    return F.trim(F.regexp_replace(text, r"(?U) \s+|[^\S ]\s*", " "))
+    return strip(F.regexp_replace(text, r"(?U) \s+|[^\S ]\s*", " "))
 
 
 def strip_html(text: Column) -> Column:
@@ -47,11 +62,11 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.trim(text)), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(strip(text)), F.lit(TOKEN), F.lit(0))
 
 
 def _edges(text: Column) -> Column:
-    return F.btrim(F.trim(text), F.lit(EDGE_NOISE))
+    return F.btrim(strip(text), F.lit(EDGE_NOISE))
 
 
 def expand_cjk(token: Column) -> Column:
@@ -75,9 +90,9 @@ def keywords(found: Column) -> Column:
 
 def query_features(queries: DataFrame, text: str = "text") -> DataFrame:
     """Adds normalized, tokens, keywords, identifiers, rule_tokens, wants_recent, wants_pdf, wants_document, wants_image."""
-    out = queries.withColumn("normalized", F.lower(F.trim(F.col(text)))).withColumn("tokens", tokens(F.col("normalized")))
+    out = queries.withColumn("normalized", F.lower(strip(F.col(text)))).withColumn("tokens", tokens(F.col("normalized")))
     out = out.withColumn("keywords", keywords(F.col("tokens"))).withColumn("identifiers", F.filter("tokens", lambda t: t.rlike(r"^[a-z0-9_\-]+$")))
-    rule = F.array_distinct(F.filter(F.transform(F.concat("identifiers", "keywords"), lambda t: F.lower(F.trim(t))), lambda t: F.length(t) >= 2))
+    rule = F.array_distinct(F.filter(F.transform(F.concat("identifiers", "keywords"), lambda t: F.lower(strip(t))), lambda t: F.length(t) >= 2))
     out = out.withColumn("rule_tokens", rule)
     out = out.withColumn("wants_recent", F.exists(F.array(*map(F.lit, RECENT_WORDS)), lambda w: F.contains(F.col("normalized"), w)))
     for kind, found in FILE_TYPE_WORDS.items():

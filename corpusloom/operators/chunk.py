@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 
 def small_chunks(segments: DataFrame, size: int = 700, overlap: int = 120) -> DataFrame:
     """(file_id, seg_no, page_start, page_end, source_type, small_chunk_index, small_chunk_text), numbered through a file.
 
     Windows explode inside their row; numbering is one window over short rows of a file."""
     step = max(1, size - overlap)
-    text = F.trim("text")
+    text = strip("text")
     n = F.when(F.length(text) <= size, 1).otherwise(1 + F.ceil((F.length(text) - size) / F.lit(step)))
     rows = segments.where(text != "").select("file_id", "seg_no", "page_start", "page_end", "source_type", text.alias("text"), F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("w"))
-    rows = rows.withColumn("small_chunk_text", F.trim(F.substring("text", F.col("w") * step + 1, F.lit(size)))).where("small_chunk_text <> ''")
+    rows = rows.withColumn("small_chunk_text", strip(F.substring("text", F.col("w") * step + 1, F.lit(size)))).where("small_chunk_text <> ''")
     number = F.row_number().over(Window.partitionBy("file_id").orderBy("seg_no", "w")) - 1
     return rows.select("file_id", "seg_no", "page_start", "page_end", "source_type", number.alias("small_chunk_index"), "small_chunk_text")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import collapse, lines_of, page_text
+from corpusloom.functions.text import collapse, lines_of, page_text, strip
 
 
 def pages_to_segments(pages: DataFrame) -> DataFrame:
@@ -16,15 +16,15 @@ def pages_to_segments(pages: DataFrame) -> DataFrame:
 
 def coalesce_ocr(native: DataFrame, ocr: DataFrame) -> DataFrame:
     """(file_id, page, text, source_type): native text of a page, or the recognised text where it is blank."""
-    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    blank = strip(F.coalesce("text", F.lit(""))) == ""
     found = native.join(ocr.withColumnRenamed("text", "ocr_text"), ["file_id", "page"], "left")
-    use = blank & (F.trim(F.coalesce("ocr_text", F.lit(""))) != "")
+    use = blank & (strip(F.coalesce("ocr_text", F.lit(""))) != "")
     return found.select("file_id", "page", F.when(use, F.col("ocr_text")).otherwise(F.coalesce("text", F.lit(""))).alias("text"), F.when(use, "pdf_ocr").otherwise("pdf_text").alias("source_type"))
 
 
 def table_rows_to_segments(cells: DataFrame) -> DataFrame:
     """(file_id, row_no, text): a table row's cells, trimmed, blank and repeated ones dropped, joined by ' | '."""
-    ordered = F.array_sort(F.collect_list(F.struct("col_no", F.trim("text").alias("text"))))
+    ordered = F.array_sort(F.collect_list(F.struct("col_no", strip("text").alias("text"))))
     joined = F.array_join(F.array_distinct(F.filter(F.transform(ordered, lambda x: x["text"]), lambda t: t != "")), " | ")
     return cells.groupBy("file_id", "row_no").agg(joined.alias("text")).where("text <> ''")
 

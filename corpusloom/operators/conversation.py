@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 
 def latest_conversation(conversations: DataFrame) -> DataFrame:
     """One row a user: the conversation with the last message, ties by age, then id."""
@@ -49,7 +51,7 @@ def parse_payload(messages: DataFrame, payload: str = "payload_json") -> DataFra
 
 
 def content_fallback(messages: DataFrame) -> DataFrame:
-    blank = lambda c: F.when(F.trim(c) != "", F.col(c))
+    blank = lambda c: F.nullif(strip(c), F.lit(""))
     return messages.withColumn("content", F.coalesce(blank("answer"), blank("message"), F.lit("已完成检索。")))
 
 
@@ -58,8 +60,8 @@ def prompt_rows(messages: DataFrame, queries: DataFrame, memory: DataFrame, syst
     ones (dropped after the cut; any role but assistant is user), then the query."""
     sys_rows = queries.select("query_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.lit(system).alias("content"))
     mem = queries.join(memory, "conversation_id").select("query_id", F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), F.concat(F.lit("记住："), "summary").alias("content")).where("content <> '记住：'")
-    past = recent_messages(messages, n).where("trim(content) <> ''")
-    hist = queries.select("query_id", "conversation_id").join(past, "conversation_id").select("query_id", F.lit(2).alias("part"), F.col("pos").cast("long").alias("at"), F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), F.trim("content").alias("content"))
+    past = recent_messages(messages, n).where(strip("content") != "")
+    hist = queries.select("query_id", "conversation_id").join(past, "conversation_id").select("query_id", F.lit(2).alias("part"), F.col("pos").cast("long").alias("at"), F.when(F.col("role") == "assistant", "assistant").otherwise("user").alias("role"), strip("content").alias("content"))
     ask = queries.select("query_id", F.lit(3).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("user").alias("role"), F.col("text").alias("content"))
     every = sys_rows.unionByName(mem).unionByName(hist).unionByName(ask)
     return every.select("query_id", F.row_number().over(Window.partitionBy("query_id").orderBy("part", "at")).alias("pos"), "role", "content")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 CHAPTER = r"^(?:\d+\.\s*)?(第[一二三四五六七八九十百千]+章\s+.+)$"
 SECTION = r"^(\d+\.\d+)\s+(.+)$"
 FIELDS = {"岗位": "role", "部门": "department", "责任人": "owner", "职责": "duty"}
@@ -19,7 +21,7 @@ def _by_file() -> Window:
 
 def classify(lines: DataFrame) -> DataFrame:
     """Adds kind (chapter, section, text), title and section_code; blank lines go."""
-    t = F.trim(F.regexp_replace("line", r"(?U)\s+", " "))
+    t = strip(F.regexp_replace("line", r"(?U)\s+", " "))
     rows = lines.withColumn("line", t).where(t != "")
     chapter, code = F.regexp_extract("line", CHAPTER, 1), F.regexp_extract("line", SECTION, 1)
     return rows.withColumn("kind", F.when(chapter != "", "chapter").when(code != "", "section").otherwise("text")).withColumn("title", F.when(chapter != "", chapter).when(code != "", F.regexp_extract("line", SECTION, 2))).withColumn("section_code", F.nullif(code, F.lit("")))
@@ -42,8 +44,8 @@ def document_title(lines: DataFrame, files: DataFrame) -> DataFrame:
 
 def summary(text: Column) -> Column:
     """The first sentence with its delimiter, by delimiter priority; else 80 characters."""
-    text = F.trim(text)
-    first = lambda d: F.trim(F.split_part(text, F.lit(d), F.lit(1)))
+    text = strip(text)
+    first = lambda d: strip(F.split_part(text, F.lit(d), F.lit(1)))
     cuts = [F.when((F.instr(text, d) > 1) & (first(d) != ""), F.concat(first(d), F.lit(d))) for d in DELIMITERS]
     return F.coalesce(*cuts, F.substring(text, 1, 80))
 
@@ -54,8 +56,8 @@ def sections(lines: DataFrame) -> DataFrame:
     ``name：value`` lines set fields (the last one wins, blank is null); the rest is content, or all lines if none is."""
     body = lines.where("section_no is not null")
     at = F.instr("line", "：")
-    key = F.when(at > 0, F.trim(F.split_part("line", F.lit("："), F.lit(1))))
-    value = F.trim(F.expr("substring(line, instr(line, '：') + 1)"))
+    key = F.when(at > 0, strip(F.split_part("line", F.lit("："), F.lit(1))))
+    value = strip(F.expr("substring(line, instr(line, '：') + 1)"))
     rows = body.withColumn("key", key).withColumn("value", value)
     pick = lambda k: F.nullif(F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("line_no"))), F.lit(""))
     plain = (F.col("kind") == "text") & (F.col("key").isNull() | ~F.col("key").isin(*FIELDS)) & ~((F.col("key") == "内容") & (F.col("value") == "")).eqNullSafe(True)
@@ -66,7 +68,7 @@ def sections(lines: DataFrame) -> DataFrame:
         *[pick(k).alias(n) for k, n in FIELDS.items()], ordered(plain, content).alias("content"), ordered(F.col("kind") == "text", F.col("line")).alias("raw"), F.min("line_no").alias("first_line"),
     )
     out = out.withColumn("content", F.when(F.col("content") == "", F.col("raw")).otherwise(F.col("content"))).drop("raw")
-    out = out.withColumn("responsibilities", F.filter(F.transform(F.split(F.coalesce("duty", F.lit("")), "[；;]"), lambda x: F.trim(x)), lambda x: x != "")).drop("duty")
+    out = out.withColumn("responsibilities", F.filter(F.transform(F.split(F.coalesce("duty", F.lit("")), "[；;]"), lambda x: strip(x)), lambda x: x != "")).drop("duty")
     out = out.withColumn("section_id", F.col("section_code")).withColumn("chapter_id", F.concat(F.lit("chapter-"), F.col("chapter_no").cast("string")))
     order = Window.partitionBy("file_id", "chapter_no").orderBy("section_no")
     return out.withColumn("summary", summary(F.col("content"))).withColumn("next_id", F.lead("section_id").over(order))
@@ -100,12 +102,12 @@ def flow_requests(queries: DataFrame) -> DataFrame:
 def match_terms(queries: DataFrame) -> DataFrame:
     """Adds terms, without repeats: what is left of the text without stop terms (longest first) and other signs, the named
     document, and the text's tokens, all of two characters or more but stop terms (the named one may be shorter)."""
-    t = F.lower(F.trim("text"))
+    t = F.lower(strip("text"))
     focus = F.col("text")
     for w in sorted(STOP_TERMS, key=len, reverse=True):
         focus = F.replace(focus, F.lit(w), F.lit(""))
     focus = F.lower(F.regexp_replace(focus, r"[^0-9a-zA-Z\u4e00-\u9fff]+", ""))
-    named = F.trim(F.regexp_extract("text", "根据(.+?)(文件|文档)", 1))
+    named = strip(F.regexp_extract("text", "根据(.+?)(文件|文档)", 1))
     long = lambda x: F.length(x) >= 2
     other = lambda x: ~x.isin(*STOP_TERMS)
     tokens = F.filter(F.regexp_extract_all(t, F.lit(r"[0-9a-zA-Z\u4e00-\u9fff]+"), F.lit(0)), lambda x: long(x) & other(x))
@@ -114,8 +116,9 @@ def match_terms(queries: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, files: DataFrame, k: int = 5, newest: int = 200) -> DataFrame:
-    """(query_id, file_id, score, rank): docx files by the length of the terms in their names; all zero: the newest."""
-    docx = files.where("file_ext = 'docx'").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_epoch"), F.desc("file_id")))).where(F.col("n") <= newest)
+    """(query_id, file_id, score, rank): the docx files among a user's ``newest`` uploads by the length of the terms in their
+    names; all zero: the newest."""
+    docx = files.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created_epoch"), F.desc("file_id")))).where(F.col("n") <= newest).where("file_ext = 'docx'")
     rows = queries.where(F.size("terms") > 0).select("query_id", "user_id", "terms").join(docx, "user_id")
     name = F.lower("file_name")
     stem = F.regexp_replace(name, r"\.docx$", "")
@@ -128,25 +131,38 @@ def candidates(queries: DataFrame, files: DataFrame, k: int = 5, newest: int = 2
 
 
 def slug(raw: Column) -> Column:
-    s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(raw)), r"[^a-z0-9一-鿿]+", "-"), "^-+|-+$", "")
+    s = F.regexp_replace(F.regexp_replace(F.lower(strip(raw)), r"[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(s == "", "item").otherwise(s)
 
 
-def import_ids(nodes: DataFrame, prefix: str) -> DataFrame:
-    """Adds canvas_id to (file_id, raw_id, pos): prefix and slug, the second and later of one slug numbered from 2. Reserved
-    ids can't arise, since the prefix is never empty."""
+def issue_ids(rows: DataFrame, to: str, prefix: str, raw: str, order: str) -> DataFrame:
+    """Adds ids that are unique within a file: prefix and slug, or the first of -2, -3, ... behind it that no earlier row was
+    given. A file's rows are folded in their order, with the ids issued so far; a file is an upload of bounded size."""
     if not prefix:
         raise ValueError("a prefix keeps ids apart from the reserved 0 and 1")
-    rows = nodes.withColumn("s", F.concat(F.lit(prefix), slug(F.col("raw_id"))))
-    nth = F.row_number().over(Window.partitionBy("file_id", "s").orderBy("pos"))
-    return rows.withColumn("canvas_id", F.when(nth == 1, F.col("s")).otherwise(F.concat("s", F.lit("-"), nth.cast("string")))).drop("s")
+    fields = rows.columns
+    listed = rows.withColumn("base", F.concat(F.lit(prefix), slug(F.col(raw)))).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), F.struct(*fields).alias("_row"), "base"))).alias("all"))
+
+    def free(issued: Column, base: Column) -> Column:
+        numbered = F.transform(F.sequence(F.lit(2), F.size(issued) + 2), lambda i: F.concat(base, F.lit("-"), i.cast("string")))
+        return F.when(~F.array_contains(issued, base), base).otherwise(F.element_at(F.array_except(numbered, issued), 1))
+
+    ids = F.aggregate("all", F.array().cast("array<string>"), lambda issued, r: F.concat(issued, F.array(free(issued, r["base"]))))
+    out = listed.select(F.inline(F.arrays_zip(F.col("all._row").alias("row"), ids.alias("id"))))
+    return out.select(*[F.col(f"row.{c}").alias(c) for c in fields], F.col("id").alias(to))
+
+
+def import_ids(nodes: DataFrame, prefix: str) -> DataFrame:
+    """Adds canvas_id to (file_id, raw_id, pos), issued in order of pos."""
+    return issue_ids(nodes, "canvas_id", prefix, "raw_id", "pos")
 
 
 def import_edges(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose both ends are imported, by the first node of a raw id."""
+    """Edges whose both ends are imported, by the first node of a raw id; ids are issued in order of pos, or of the raw id where links have none."""
     first = nodes.groupBy("file_id", "raw_id").agg(F.min_by("canvas_id", "pos").alias("id"))
     a, b = first.select("file_id", F.col("raw_id").alias("source"), F.col("id").alias("source_id")), first.select("file_id", F.col("raw_id").alias("target"), F.col("id").alias("target_id"))
-    return links.join(a, ["file_id", "source"]).join(b, ["file_id", "target"]).select("file_id", F.concat(F.lit("ai-edge-"), slug(F.col("edge_id"))).alias("edge_id"), "source_id", "target_id")
+    both = links.join(a, ["file_id", "source"]).join(b, ["file_id", "target"]).withColumnRenamed("edge_id", "raw_edge")
+    return issue_ids(both, "edge_id", "ai-edge-", "raw_edge", "pos" if "pos" in links.columns else "raw_edge").select("file_id", "edge_id", "source_id", "target_id")
 
 
 def node_info(found_chapters: DataFrame, found: DataFrame) -> DataFrame:

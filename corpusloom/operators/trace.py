@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import canonical_json, rstrip, strip
+
 MAX_STEPS, MAX_REPEATS, MAX_EMPTY = 6, 3, 2
 # Categories of error codes; any other code is a service error.
 CATEGORIES = {
@@ -21,7 +26,7 @@ def trace_rows(steps: DataFrame) -> DataFrame:
     """One trace row for each phase of (conversation_id, session_id, step_index, tool_name, args map, reason, observation, status,
     created_at): reason, action, observation and, where a status ends the session, termination. Steps without a
     conversation are skipped; times are UTC."""
-    base = steps.where("conversation_id is not null and trim(conversation_id) <> ''")
+    base = steps.where(strip("conversation_id") != "")
     part = lambda phase, keep, **c: base.where(keep).select("conversation_id", "session_id", "step_index", F.lit(phase).alias("phase"), *[x.alias(n) for n, x in {"tool_name": F.lit(None).cast("string"), "tool_args_json": F.lit(None).cast("string"), "observation_json": F.lit(None).cast("string"), "reason_summary": F.lit(None).cast("string"), **c}.items()], "status", "created_at")
     return (
         part("reason", "true", reason_summary=F.col("reason"))
@@ -40,7 +45,7 @@ def step_metrics(steps: DataFrame) -> DataFrame:
     empties = F.sum((~F.col("has_activity")).cast("int")).over(Window.partitionBy("session_id", "island").orderBy("step_index"))
     rows = rows.withColumn("empty_steps", F.when(F.col("has_activity"), 0).otherwise(empties).cast("long")).drop("island")
     key = F.struct("tool_name", "tool_args")
-    calls = rows.where("tool_name is not null").select("session_id", "step_index", "tool_name", "tool_args")
+    calls = rows.where("tool_name is not null").select("session_id", "step_index", "tool_name", canonical_json("tool_args").alias("tool_args"))
     changed = F.coalesce((F.lag(key).over(_order()) != key), F.lit(True)).cast("int")
     calls = calls.withColumn("changed", changed).withColumn("run", F.sum("changed").over(_order()))
     repeats = calls.select("session_id", "step_index", (F.row_number().over(Window.partitionBy("session_id", "run").orderBy("step_index")) - 1).alias("r"))
@@ -65,8 +70,8 @@ def terminations(metrics: DataFrame) -> DataFrame:
 
 
 def tool_reuse(calls: DataFrame) -> DataFrame:
-    """Adds reused: an equal call succeeded in the session before."""
-    before = Window.partitionBy("session_id", "tool_name", "tool_args").orderBy("step_index").rowsBetween(Window.unboundedPreceding, -1)
+    """Adds reused: an equal call succeeded in the session before; arguments in JSON are equal whatever the order of their keys."""
+    before = Window.partitionBy("session_id", "tool_name", canonical_json("tool_args")).orderBy("step_index").rowsBetween(Window.unboundedPreceding, -1)
     return calls.withColumn("reused", F.coalesce(F.sum((F.col("status") == "ok").cast("int")).over(before), F.lit(0)) > 0)
 
 
@@ -111,7 +116,7 @@ def guardrails(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Adds verdict for (user_id, tool_name, args map, confirmed): the first problem, or ok. Tools are a small table."""
     rows = calls.join(F.broadcast(tools), "tool_name", "left")
     missing = F.array_except("required", F.coalesce(F.map_keys("args"), F.array().cast("array<string>")))
-    verdict = F.when(F.col("user_id").isNull(), "UNAUTHENTICATED").when(F.col("params").isNull(), "TOOL_MISMATCH").when(F.size(missing) > 0, "MISSING_ARGUMENTS").when(F.col("confirm") & ~F.col("confirmed"), "CONFIRMATION_REQUIRED").otherwise("ok")
+    verdict = F.when(F.coalesce(F.col("user_id").cast("string"), F.lit("")) == "", "UNAUTHENTICATED").when(F.col("params").isNull(), "TOOL_MISMATCH").when(F.size(missing) > 0, "MISSING_ARGUMENTS").when(F.col("confirm") & ~F.col("confirmed"), "CONFIRMATION_REQUIRED").otherwise("ok")
     return rows.withColumn("verdict", verdict).drop("params", "required", "confirm", "retryable", "max_attempts", "scopes")
 
 
@@ -119,13 +124,17 @@ def check_arguments(calls: DataFrame, parameters: DataFrame) -> DataFrame:
     """(call_id, problem): a missing required argument, else the first given one that breaks its parameter's rule (unexpected,
     null where required, type, minimum, enum). A null of an optional parameter is fine.
 
-    ``parameters``: tool_name, param, pos, kind, required, minimum, allowed; few rows a tool."""
-    given = calls.select("call_id", "tool_name", F.posexplode("args").alias("at", "param", "value"))
+    ``args`` is a JSON object, whose values keep their types: a number is no string, and neither ``true`` nor 1.0 an integer. What
+    isn't an object has no arguments. ``parameters``: tool_name, param, pos, kind, required, minimum, allowed; few rows a tool."""
+    calls = calls.withColumn("args", F.from_json("args", "map<string,variant>"))
+    given = calls.select("call_id", "tool_name", F.posexplode("args").alias("at", "param", "v"))
+    given = given.select("call_id", "tool_name", "at", "param", F.coalesce(F.schema_of_variant("v"), F.lit("VOID")).alias("is"), F.try_variant_get("v", "$", "string").alias("value"))
     known = given.join(parameters, ["tool_name", "param"], "left")
-    value, whole = F.col("value"), F.col("value").rlike(r"^[+-]?\d+$")
+    kind, given_as = F.col("kind"), F.col("is")
     bad = (
-        F.when(F.col("pos").isNull(), "unexpected").when(value.isNull(), F.when(F.col("required"), "null")).when((F.col("kind") == "integer") & ~whole, "type")
-        .when((F.col("kind") == "integer") & (value.try_cast("double") < F.col("minimum")), "minimum").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", value), "enum")
+        F.when(F.col("pos").isNull(), "unexpected").when(given_as == "VOID", F.when(F.col("required"), "null"))
+        .when(((kind == "integer") & (given_as != "BIGINT")) | ((kind == "string") & (given_as != "STRING")), "type")
+        .when((given_as == "BIGINT") & (F.col("value").try_cast("double") < F.col("minimum")), "minimum").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("value")), "enum")
     )
     wrong = known.withColumn("bad", bad).where("bad is not null").select("call_id", F.lit(1).alias("part"), "at", "param", "bad")
     need = calls.join(parameters.where("required"), "tool_name").where(~F.coalesce(F.map_contains_key("args", F.col("param")), F.lit(False))).select("call_id", F.lit(0).alias("part"), F.col("pos").alias("at"), "param", F.lit("missing").alias("bad"))
@@ -148,40 +157,70 @@ def call_metrics(calls: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def _text_of(content: object) -> str:
+    """Texts of a parsed content in order, whatever its depth."""
+    out, left = [], [content]
+    while left:
+        x = left.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif isinstance(x, list):
+            left += reversed(x)
+        elif isinstance(x, dict):
+            text = x.get("text")
+            value = text.get("value") if isinstance(text, dict) else text
+            left.append(value if isinstance(value, str) else x.get("content"))
+    return "".join(out)
+
+
 def content_text(content: Column) -> Column:
-    """Text of a message's content in JSON: a string, or parts with text, text.value or nested content, joined and trimmed."""
-    v = F.try_parse_json(content)
-    get = lambda x, p: F.try_variant_get(x, p, "string")
-    parts = F.from_json(content, "array<string>")
-    one = lambda p: F.coalesce(F.get_json_object(p, "$.text.value"), F.get_json_object(p, "$.text"), F.array_join(F.transform(F.from_json(F.get_json_object(p, "$.content"), "array<string>"), lambda q: F.coalesce(F.get_json_object(q, "$.text.value"), F.get_json_object(q, "$.text"), F.when(~q.startswith("{"), q))), ""), F.when(~p.startswith("{"), p))
-    is_list = F.trim(content).startswith("[")
-    return F.trim(F.when(is_list, F.array_join(F.transform(parts, one), "")).when(F.trim(content).startswith('"'), get(v, "$")).otherwise(content))
+    """Text of a message's content, stripped. JSON strings, lists and objects (text, text.value or nested content, at any
+    depth) are read by a small Arrow-batched function; a text that is no JSON is itself, and a null is empty."""
+
+    @F.pandas_udf("string")
+    def parsed(values: pd.Series) -> pd.Series:
+        def one(v: str) -> str:
+            try:
+                return _text_of(json.loads(v))
+            except (ValueError, RecursionError):
+                return v
+
+        return values.map(one)
+
+    text = F.coalesce(content, F.lit(""))
+    return strip(F.when(strip(text).rlike(r'^[\[{"]'), parsed(text)).when(strip(text) == "null", "").otherwise(text))
+
+
+# What is wrong with a call's arguments.
+BAD_JSON, NO_OBJECT = "Tool arguments must be valid JSON object.", "Tool arguments must be a JSON object."
 
 
 def tool_calls(completions: DataFrame) -> DataFrame:
-    """(message_id, call_no, tool_name, args, error): calls in a completion's tool_calls. Nameless calls are skipped; one
-    with bad JSON arguments turns the whole message into an error without calls."""
+    """(message_id, call_no, tool_name, args, error): calls in a completion's tool_calls. Calls with an empty name are skipped; one
+    with bad arguments turns the whole message into an error without calls, the first call's."""
     kind = "array<struct<id:string,function:struct<name:string,arguments:string>>>"
     rows = completions.select("message_id", F.posexplode(F.from_json(F.get_json_object("completion", "$.tool_calls"), kind)).alias("call_no", "c"))
-    rows = rows.where(F.trim(F.coalesce("c.function.name", F.lit(""))) != "")
+    rows = rows.where(F.coalesce("c.function.name", F.lit("")) != "")
     args = F.col("c.function.arguments")
-    blank = F.trim(F.coalesce(args, F.lit(""))) == ""
-    rows = rows.withColumn("args", F.when(blank, "{}").otherwise(args)).withColumn("bad", F.try_parse_json("args").isNull() | ~F.trim("args").startswith("{"))
-    broken = F.max("bad").over(Window.partitionBy("message_id"))
-    rows = rows.withColumn("broken", broken).where(~F.col("broken") | F.col("bad"))
+    blank = strip(F.coalesce(args, F.lit(""))) == ""
+    rows = rows.withColumn("args", F.when(blank, "{}").otherwise(args))
+    bad = F.when(F.try_parse_json("args").isNull(), BAD_JSON).when(~strip("args").startswith("{"), NO_OBJECT)
+    rows = rows.withColumn("bad", bad)
+    broken = F.max(F.col("bad").isNotNull()).over(Window.partitionBy("message_id"))
+    rows = rows.withColumn("broken", broken).where(~F.col("broken") | F.col("bad").isNotNull())
     first = F.row_number().over(Window.partitionBy("message_id").orderBy("call_no"))
     rows = rows.withColumn("n", first).where(~F.col("broken") | (F.col("n") == 1))
-    return rows.select("message_id", "call_no", F.when(~F.col("broken"), F.col("c.function.name")).alias("tool_name"), F.when(~F.col("broken"), F.col("args")).alias("args"), F.when(F.col("broken"), "invalid arguments").alias("error"))
+    return rows.select("message_id", "call_no", F.when(~F.col("broken"), F.col("c.function.name")).alias("tool_name"), F.when(~F.col("broken"), F.col("args")).alias("args"), F.when(F.col("broken"), F.col("bad")).alias("error"))
 
 
 def decisions(texts: DataFrame) -> DataFrame:
     """(message_id, thought, action, args, final_answer, decision_type) of the text protocol, the first line of each kind:
     ``Thought: ...``, ``Action: {"tool_name": ..., "tool_args": {...}}`` and ``Final Answer: ...``. An action that isn't such an
     object is none; a text without an action or a final answer is itself the final answer."""
-    t = F.trim("text")
-    line = lambda name, what: F.nullif(F.trim(F.regexp_extract(t, rf"(?mi)^\s*{name}:\s*({what})\s*$", 1)), F.lit(""))
+    t = strip("text")
+    line = lambda name, what: F.nullif(strip(F.regexp_extract(t, rf"(?mi)^\s*{name}:\s*({what})\s*$", 1)), F.lit(""))
     action, final = line("Action", r"\{.*\}"), line("Final Answer", ".+?")
-    name, args = F.trim(F.get_json_object(action, "$.tool_name")), F.get_json_object(action, "$.tool_args")
+    name, args = strip(F.get_json_object(action, "$.tool_name")), F.get_json_object(action, "$.tool_args")
     call = F.coalesce(F.try_parse_json(action).isNotNull() & (name != "") & args.startswith("{"), F.lit(False))
     return texts.select("message_id", line("Thought", ".+?").alias("thought"), F.when(call, name).alias("action"), F.when(call, args).alias("args"), F.when(~call, F.coalesce(final, t)).alias("final_answer"), F.when(call, "tool_call").otherwise("final_answer").alias("decision_type"))
 
@@ -189,11 +228,11 @@ def decisions(texts: DataFrame) -> DataFrame:
 def observation_summary(obs: DataFrame) -> DataFrame:
     """Adds summary (success, or failure with code and message cut at 157 characters; never the payload) and short (result
     cut at 255 and '...' when over 256)."""
-    name = F.coalesce(F.nullif(F.trim("tool_name"), F.lit("")), F.lit("unknown_tool"))
-    message = F.trim(F.coalesce("error_message", F.lit("")))
+    name = F.coalesce(F.nullif(strip("tool_name"), F.lit("")), F.lit("unknown_tool"))
+    message = strip(F.coalesce("error_message", F.lit("")))
     message = F.when(F.length(message) > 160, F.concat(F.substring(message, 1, 157), F.lit("..."))).otherwise(message)
     code = F.coalesce(F.nullif("error_code", F.lit("")), F.lit("ERROR"))
     failed = F.concat(F.lit("工具 "), name, F.lit(" 调用失败: "), code, F.when(message != "", F.concat(F.lit(" ("), message, F.lit(")"))).otherwise(""))
-    body = F.trim(F.coalesce("result", F.lit("")))
-    short = F.when(F.length(body) > 256, F.concat(F.rtrim(F.substring(body, 1, 255)), F.lit("..."))).otherwise(body)
+    body = strip(F.coalesce("result", F.lit("")))
+    short = F.when(F.length(body) > 256, F.concat(rstrip(F.substring(body, 1, 255)), F.lit("..."))).otherwise(body)
     return obs.withColumn("summary", F.when(F.col("status") == "ok", F.concat(F.lit("工具 "), name, F.lit(" 调用成功"))).otherwise(failed)).withColumn("short", short)

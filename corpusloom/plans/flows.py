@@ -54,7 +54,8 @@ def flow_candidates(spark, d):
 def import_graph(spark, d):
     rows = _lines(spark, d)
     s = flow.sections(rows)
-    nodes = flow.import_ids(s.select("file_id", F.col("title").alias("raw_id"), (F.col("chapter_no") * 1000 + F.col("section_no")).alias("pos")), "ai-node-")
+    raw = F.concat(F.substring("title", 1, 3), F.when(F.col("section_no") % 3 == 0, "-2").when(F.col("section_no") % 5 == 0, " 图").otherwise(""))
+    nodes = flow.import_ids(s.select("file_id", raw.alias("raw_id"), (F.col("chapter_no") * 1000 + F.col("section_no")).alias("pos")), "ai-node-")
     return nodes.select("file_id", "raw_id", "pos", "canvas_id")
 
 
@@ -240,7 +241,7 @@ _FLOW = {
     "chap": "SELECT file_id, chapter_no, title FROM al WHERE kind = 'chapter' UNION ALL SELECT DISTINCT file_id, chapter_no, '未分章内容' FROM al WHERE c = 0 AND kind = 'section'",
 }
 _CUT = "coalesce(" + ", ".join(f"CASE WHEN strpos(body, '{c}') > 1 AND trim(split_part(body, '{c}', 1)) <> '' THEN trim(split_part(body, '{c}', 1)) || '{c}' END" for c in flow.DELIMITERS) + ", left(body, 80))"
-_SLUG = "CASE WHEN trim(regexp_replace(lower(trim(x)), '[^a-z0-9一-鿿]+', '-', 'g'), '-') = '' THEN 'item' ELSE trim(regexp_replace(lower(trim(x)), '[^a-z0-9一-鿿]+', '-', 'g'), '-') END"
+_SLUG = "CASE WHEN trim(regexp_replace(lower(trim(x)), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'item' ELSE trim(regexp_replace(lower(trim(x)), '[^a-z0-9]+', '-', 'g'), '-') END"
 _DELTAS = "SELECT stream_id, CAST(k AS INTEGER) AS seq, substring(text, CAST(k * 20 + 1 AS BIGINT), 20) AS delta FROM (SELECT conv_id || ':' || turn AS stream_id, text FROM conversations WHERE text <> ''), LATERAL (SELECT unnest(range(CAST(floor((length(text) - 1) / 20) AS BIGINT) + 1)) AS k)"
 
 
@@ -262,9 +263,12 @@ ORACLES = {
     "flow_graph": _f("SELECT c.file_id, 'chapter-' || c.chapter_no AS chapter_id, c.title, CAST(c.chapter_no AS INTEGER) AS lane_no, CAST(count(s.section_id) AS INTEGER) AS n_nodes, string_agg(s.section_id, ',' ORDER BY s.section_no) AS nodes FROM chap c LEFT JOIN sec s ON c.file_id = s.file_id AND c.chapter_no = s.chapter_no GROUP BY c.file_id, c.chapter_no, c.title"),
     "flow_titles": _f("SELECT f.file_id, md5(coalesce(t, file_name)) AS title_md5 FROM files f LEFT JOIN (SELECT file_id, arg_min(line, line_no) AS t FROM al WHERE kind = 'text' AND s = 0 GROUP BY file_id) x ON f.file_id = x.file_id"),
     "flow_candidates": sql("""SELECT query_id, file_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_epoch DESC, file_id DESC) AS rank FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM
-        (SELECT q.query_id, f.file_id, f.created_epoch, CAST(list_sum(list_transform(q.terms, lambda t: CASE WHEN contains(lower(f.file_name), t) THEN length(t) ELSE 0 END + CASE WHEN contains(regexp_replace(lower(f.file_name), '\\.docx$', ''), t) THEN length(t) ELSE 0 END)) AS INTEGER) AS score FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_epoch DESC, file_id DESC) AS n FROM files WHERE file_ext = 'docx') f ON q.user_id = f.user_id AND n <= 200))
+        (SELECT q.query_id, f.file_id, f.created_epoch, CAST(list_sum(list_transform(q.terms, lambda t: CASE WHEN contains(lower(f.file_name), t) THEN length(t) ELSE 0 END + CASE WHEN contains(regexp_replace(lower(f.file_name), '\\.docx$', ''), t) THEN length(t) ELSE 0 END)) AS INTEGER) AS score FROM q JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_epoch DESC, file_id DESC) AS n FROM files) f ON q.user_id = f.user_id AND n <= 200 AND f.file_ext = 'docx'))
         WHERE score > 0 OR best = 0) WHERE rank <= 5""", "files", q="SELECT file_id AS query_id, user_id, CASE WHEN file_id % 4 = 1 THEN list_distinct([regexp_extract(file_name, '^([a-z]+)_', 1) || '_' || user_id, regexp_extract(file_name, '^([a-z]+)_', 1) || user_id, '请根据' || regexp_extract(file_name, '^([a-z]+)_', 1), user_id || '文件生成流程图']) ELSE ['没有的', '请根据没有的文件生成流程图'] END AS terms FROM files"),
-    "import_graph": _f(f"SELECT file_id, x AS raw_id, pos, CASE WHEN n = 1 THEN g ELSE g || '-' || n END AS canvas_id FROM (SELECT *, row_number() OVER (PARTITION BY file_id, g ORDER BY pos) AS n FROM (SELECT file_id, title AS x, CAST(chapter_no * 1000 + section_no AS BIGINT) AS pos, 'ai-node-' || {_SLUG.replace('(x)', '(title)')} AS g FROM sec))"),
+    "import_graph": _f(f"""SELECT file_id, unnest(xs) AS raw_id, unnest(ps) AS pos, unnest(list_reduce(list_transform(gs, lambda g: [g]), lambda acc, g: list_append(acc, CASE WHEN NOT list_contains(acc, g[1]) THEN g[1]
+        ELSE list_filter(list_transform(range(2, len(acc) + 3), lambda n: g[1] || '-' || n), lambda c: NOT list_contains(acc, c))[1] END))) AS canvas_id
+        FROM (SELECT file_id, list(x ORDER BY pos) AS xs, list(pos ORDER BY pos) AS ps, list('ai-node-' || {_SLUG} ORDER BY pos) AS gs
+        FROM (SELECT file_id, left(title, 3) || CASE WHEN section_no % 3 = 0 THEN '-2' WHEN section_no % 5 = 0 THEN ' 图' ELSE '' END AS x, CAST(chapter_no * 1000 + section_no AS BIGINT) AS pos FROM sec) GROUP BY file_id)"""),
     "import_edges": _f("SELECT file_id, 'ai-edge-edge-' || replace(section_id, '.', '-') || '-' || replace(next_id, '.', '-') AS edge_id, 'ai-node-' || replace(section_id, '.', '-') AS source_id, 'ai-node-' || replace(next_id, '.', '-') AS target_id FROM sec WHERE next_id IS NOT NULL"),
     "node_info": _f(f"""SELECT file_id, 'chapter-' || chapter_no AS raw_id, 'lane' AS kind, title, md5('') AS content_md5, '' AS role, '' AS duty, '泳道,AI 导入' AS tags, '章节序号=' || chapter_no AS metric FROM chap
         UNION ALL SELECT file_id, section_id, 'node', title, md5({_CUT}), coalesce(role, ''), coalesce(duty, ''), '活动,AI 导入', CASE WHEN duty <> '' THEN '职责=' || duty END FROM sec"""),

@@ -16,13 +16,13 @@ def html_segments(spark, d):
 
 def ocr_coalesce(spark, d):
     rows = v.lines(spark, d)
-    native = rows.select("file_id", F.col("line_no").alias("page"), F.when(F.col("line_no") % 3 == 0, "  ").otherwise(F.col("line")).alias("text"))
+    native = rows.select("file_id", F.col("line_no").alias("page"), F.when(F.col("line_no") % 3 == 0, " \n\t").otherwise(F.col("line")).alias("text"))
     ocr = rows.where("line_no % 2 = 0").select("file_id", F.col("line_no").alias("page"), F.concat(F.lit("ocr "), F.col("line")).alias("text"))
     return clean.coalesce_ocr(native, ocr)
 
 
 def table_row_segments(spark, d):
-    cells = v.lines(spark, d).where("contains(line, '|')").select("file_id", F.col("line_no").alias("row_no"), F.posexplode(F.split("line", "\\|")).alias("col_no", "text"))
+    cells = v.lines(spark, d).where("contains(line, '|')").select("file_id", F.col("line_no").alias("row_no"), F.posexplode(F.split("line", "\\|")).alias("col_no", "text")).withColumn("text", F.when(F.col("col_no") % 2 == 1, F.concat(F.lit("\t"), "text", F.lit("\n\u3000"))).otherwise(F.col("text")))
     return clean.table_rows_to_segments(cells)
 
 
@@ -85,7 +85,7 @@ ORACLES = {
     "html_segments": r"""SELECT page_id, CAST(k AS BIGINT) AS seg_no, l[k + 1] AS text FROM (SELECT page_id, list_filter(list_transform(string_split(CASE WHEN contains(t, '<') AND contains(t, '>') THEN regexp_replace(t, '<[^>]+>', ' ', 'g') ELSE t END, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l
         FROM (SELECT page_id, regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g') AS t FROM pages)), LATERAL (SELECT unnest(range(len(l))) AS k)""",
     "ocr_coalesce": sql("""SELECT file_id, line_no AS page, CASE WHEN b AND trim(ocr) <> '' THEN ocr ELSE t END AS text, CASE WHEN b AND trim(ocr) <> '' THEN 'pdf_ocr' ELSE 'pdf_text' END AS source_type FROM
-        (SELECT *, trim(t) = '' AS b, CASE WHEN line_no % 2 = 0 THEN 'ocr ' || line ELSE '' END AS ocr FROM (SELECT *, CASE WHEN line_no % 3 = 0 THEN '  ' ELSE line END AS t FROM lines))""", "lines"),
+        (SELECT *, trim(t, ' ' || chr(10) || chr(9)) = '' AS b, CASE WHEN line_no % 2 = 0 THEN 'ocr ' || line ELSE '' END AS ocr FROM (SELECT *, CASE WHEN line_no % 3 = 0 THEN ' ' || chr(10) || chr(9) ELSE line END AS t FROM lines))""", "lines"),
     "table_row_segments": sql("""SELECT file_id, line_no AS row_no, text FROM (SELECT file_id, line_no, array_to_string(list_filter(p, lambda x, i: x <> '' AND list_position(p, x) = i), ' | ') AS text
         FROM (SELECT file_id, line_no, list_transform(string_split(line, '|'), lambda x: trim(x)) AS p FROM lines WHERE contains(line, '|'))) WHERE text <> ''""", "lines"),
     "normalize_segments": sql("SELECT file_id, seg_no, array_to_string(l, chr(10)) AS text FROM normal", "normal"),

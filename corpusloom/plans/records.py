@@ -8,7 +8,7 @@ from corpusloom.operators import catalog as cat
 from corpusloom.operators import conversation as conv
 from corpusloom.operators import trace as tr
 from corpusloom.plans import views as v
-from corpusloom.plans.views import sql
+from corpusloom.plans.views import WHITE, sql
 
 NOW = 1704067200 + 3600 * 2000
 
@@ -166,12 +166,12 @@ def payload_parts(spark, d):
 
 
 def content_fallback(spark, d):
-    m = _messages(spark, d).withColumn("answer", F.when(F.col("created_at") % 3 == 0, "  ").when(F.col("created_at") % 3 == 1, F.col("content"))).withColumn("message", F.when(F.col("created_at") % 2 == 0, F.col("role")))
+    m = _messages(spark, d).withColumn("answer", F.when(F.col("created_at") % 3 == 0, " \n\t").when(F.col("created_at") % 3 == 1, F.concat(F.lit("\n"), "content", F.lit("\t ")))).withColumn("message", F.when(F.col("created_at") % 2 == 0, F.col("role")))
     return conv.content_fallback(m).select("message_id", F.md5("content").alias("content_md5"))
 
 
 def prompt_rows(spark, d):
-    m = _messages(spark, d).withColumn("content", F.when(F.col("created_at") % 4 == 2, " ").otherwise(F.col("content")))
+    m = _messages(spark, d).withColumn("content", F.when(F.col("created_at") % 4 == 2, "\n\t").otherwise(F.concat(F.lit("\t"), "content", F.lit("\n"))))
     q = m.select("conversation_id").distinct().select(F.col("conversation_id").alias("query_id"), "conversation_id", F.concat(F.lit("ask "), F.col("conversation_id").cast("string")).alias("text"))
     memory = conv.memory_summary(_memory(spark, d), 2).select(F.col("session_id").alias("conversation_id"), "summary").where("session_id % 2 = 0")
     return conv.prompt_rows(m, q, memory, "rules").select("query_id", "pos", "role", F.md5("content").alias("content_md5"))
@@ -221,7 +221,7 @@ def terminations(spark, d):
 
 
 def tool_reuse(spark, d):
-    calls = _trace(spark, d).where("tool_name is not null").withColumn("tool_args", F.expr("event_id % 3").cast("string"))
+    calls = _trace(spark, d).where("tool_name is not null").withColumn("tool_args", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"a": '), F.expr("string(event_id % 3)"), F.lit(', "b": {"y": 1.50, "x": [2]}}'))).otherwise(F.concat(F.lit('{"b":{"x":[2],"y":1.5},"a":'), F.expr("string(event_id % 3)"), F.lit("}"))))
     return tr.tool_reuse(calls).select("session_id", "step_index", "reused")
 
 
@@ -234,14 +234,20 @@ def retry_outcome(spark, d):
 
 
 def guardrails(spark, d):
-    calls = _trace(spark, d).where("tool_name is not null").select("event_id", F.when(F.col("event_id") % 13 != 0, F.col("session_id")).alias("user_id"), "tool_name", F.when(F.col("event_id") % 5 != 0, F.create_map(F.lit("k"), F.lit("1"))).otherwise(F.create_map(F.lit("z"), F.lit("1"))).alias("args"), (F.col("event_id") % 2 == 0).alias("confirmed"))
+    calls = _trace(spark, d).where("tool_name is not null").select("event_id", F.when(F.col("event_id") % 17 == 0, "").when(F.col("event_id") % 13 != 0, F.col("session_id").cast("string")).alias("user_id"), "tool_name", F.when(F.col("event_id") % 5 != 0, F.create_map(F.lit("k"), F.lit("1"))).otherwise(F.create_map(F.lit("z"), F.lit("1"))).alias("args"), (F.col("event_id") % 2 == 0).alias("confirmed"))
     tools = [("click", ["k"], ["k"], False, True, 2, []), ("purchase", ["k"], ["k"], True, False, 1, []), ("signup", ["k"], ["k"], False, True, 2, []), ("search", ["query", "top_k"], ["query"], False, True, 2, []), ("error", ["k"], ["k", "code"], False, False, 1, [])]
     return tr.guardrails(calls, tr.tool_table(spark, tools)).select("event_id", "verdict")
 
 
 def check_arguments(spark, d):
     e = _trace(spark, d).where("tool_name is not null").select(F.col("event_id").alias("call_id"), F.lit("search").alias("tool_name"), F.col("event_id").alias("i"))
-    args = F.map_filter(F.create_map(F.lit("query"), F.when(F.col("i") % 7 == 0, F.lit(None)).otherwise(F.lit("q")), F.lit("top_k"), F.when(F.col("i") % 5 == 0, F.lit("many")).otherwise((F.col("i") % 4).cast("string")), F.lit("mode"), F.when(F.col("i") % 8 == 1, F.lit(None)).when(F.col("i") % 3 == 0, F.lit("fast")).otherwise(F.lit("odd")), F.lit("extra"), F.lit("1")), lambda k, _: ~(((k == "query") & (F.col("i") % 11 == 0)) | ((k == "extra") & (F.col("i") % 2 == 0)) | ((k == "mode") & (F.col("i") % 9 == 4))))
+    i = F.col("i")
+    given = {
+        "query": F.when(i % 11 == 0, None).when(i % 7 == 0, "null").when(i % 6 == 0, "5").otherwise('"q"'),
+        "top_k": F.when(i % 5 == 0, '"3"').when(i % 10 == 3, "true").when(i % 9 == 2, "1.0").otherwise((i % 4).cast("string")),
+        "mode": F.when(i % 9 == 4, None).when(i % 8 == 1, "null").when(i % 3 == 0, '"fast"').otherwise('"odd"'), "extra": F.when(i % 2 != 0, "1"),
+    }
+    args = F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{k}": '), x) for k, x in given.items()]), F.lit("}"))
     rules = spark.createDataFrame([("search", "query", 1, "string", True, None, None), ("search", "top_k", 2, "integer", True, 1.0, None), ("search", "mode", 3, "string", False, None, ["fast", "slow"])], "tool_name string, param string, pos int, kind string, required boolean, minimum double, allowed array<string>")
     return tr.check_arguments(e.withColumn("args", args), rules)
 
@@ -260,7 +266,7 @@ def call_metrics(spark, d):
 
 def tool_calls(spark, d):
     m = _messages(spark, d)
-    args = F.when(F.col("created_at") % 4 == 0, "{bad").when(F.col("created_at") % 4 == 1, "").otherwise('{"k":1}')
+    args = F.when(F.col("created_at") % 8 == 0, "{bad").when(F.col("created_at") % 8 == 4, " [1]").when(F.col("created_at") % 8 == 5, " \n\t").when(F.col("created_at") % 4 == 1, "").otherwise('{"k":1}')
     call = lambda name, a: F.struct(F.lit("i").alias("id"), F.struct(name.alias("name"), a.alias("arguments")).alias("function"))
     body = F.to_json(F.struct(F.array(call(F.col("role"), args), call(F.lit(""), F.lit("{}")), call(F.lit("two"), F.lit("{}"))).alias("tool_calls")))
     return tr.tool_calls(m.withColumn("completion", body)).select("message_id", "call_no", "tool_name", "args", "error")
@@ -269,20 +275,22 @@ def tool_calls(spark, d):
 def decisions(spark, d):
     m = _messages(spark, d)
     k = F.col("created_at") % 4
-    text = F.when(k == 0, F.concat(F.lit('Thought: look\naction: {"tool_name": "search", "tool_args": {"q": "'), "role", F.lit('"}}\n'))).when(k == 1, "Thought: end\nFinal Answer: done \nmore").when(k == 2, "Action: {bad}").otherwise("plain words")
+    text = F.when(k == 0, F.concat(F.lit('Thought: look\naction: {"tool_name": "search", "tool_args": {"q": "'), "role", F.lit('"}}\n'))).when(k == 1, "Thought: end\nFinal Answer: done \t\nmore").when(k == 2, "Action: {bad}").otherwise("\n\tplain words\n")
     return tr.decisions(m.select("message_id", text.alias("text")))
 
 
 def observation_summary(spark, d):
-    m = _messages(spark, d).select("message_id", F.col("role").alias("tool_name"), F.when(F.col("created_at") % 2 == 0, "ok").otherwise("error").alias("status"), F.col("content").alias("result"), F.when(F.col("created_at") % 3 == 0, F.concat(F.lit(" "), "content")).alias("error_message"), F.when(F.col("created_at") % 5 != 0, "TIMEOUT").alias("error_code"))
+    m = _messages(spark, d).select("message_id", F.col("role").alias("tool_name"), F.when(F.col("created_at") % 2 == 0, "ok").otherwise("error").alias("status"), F.concat(F.lit("\t"), "content", F.lit("\n")).alias("result"), F.when(F.col("created_at") % 3 == 0, F.concat(F.lit(" \n"), "content", F.lit("\r\n"))).alias("error_message"), F.when(F.col("created_at") % 5 != 0, "TIMEOUT").alias("error_code"))
     return tr.observation_summary(m).select("message_id", F.md5("summary").alias("summary_md5"), F.md5("short").alias("short_md5"))
 
 
 def content_text(spark, d):
     m = _messages(spark, d)
-    k = F.col("created_at") % 3
-    parts = F.concat(F.lit('[{"text":"a "},{"text":{"value":"'), "role", F.lit('"}},{"content":[{"text":" c"}]}]'))
-    return m.select("message_id", tr.content_text(F.when(k == 0, F.concat(F.lit(" plain "), "role")).when(k == 1, parts).otherwise(F.concat(F.lit('"quoted '), "role", F.lit('"')))).alias("text"))
+    k, role = F.col("created_at") % 6, F.col("role")
+    parts = F.concat(F.lit('[{"text":"a "},{"text":{"value":"'), role, F.lit('"}},{"content":[{"text":" c"}]}]'))
+    deep = F.concat(F.lit('{"content":[{"content":[{"content":[{"text":"deep "},["'), role, F.lit('"]]},{"text":7,"content":" x"}]},null,3," y\\n"]}'))
+    text = F.when(k == 0, F.concat(F.lit("\t plain "), role, F.lit("\n"))).when(k == 1, parts).when(k == 2, F.concat(F.lit('"quoted '), role, F.lit('\\n"'))).when(k == 3, F.concat(F.lit('{"text":" '), role, F.lit('"}'))).when(k == 4, deep).otherwise("{no json")
+    return m.select("message_id", tr.content_text(text).alias("text"))
 
 
 QUERIES = {
@@ -337,7 +345,7 @@ ORACLES = {
     "recent_messages": sql(f"SELECT conversation_id, {_POS('PARTITION BY conversation_id ORDER BY created_at')} AS pos, message_id, role FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC) AS b FROM m) WHERE b <= 4", m=_MSG),
     "nested_refs": sql("SELECT message_id, CASE WHEN created_at % 2 = 1 THEN 2 ELSE 0 END AS n, CASE WHEN created_at % 2 = 1 THEN '0/' || conversation_id || '/' || role || ',1/' || conversation_id || '/' || role ELSE '' END AS refs FROM m", m=_MSG),
     "payload_parts": sql("SELECT message_id, CASE WHEN created_at % 3 = 1 THEN 1 ELSE 0 END AS n_snippets, 0 AS n_files, 0 AS n_trace, CASE WHEN created_at % 3 = 1 THEN conversation_id END AS first_upload FROM m", m=_MSG),
-    "content_fallback": sql("SELECT message_id, md5(coalesce(CASE WHEN created_at % 3 = 1 AND trim(content) <> '' THEN content END, CASE WHEN created_at % 2 = 0 THEN role END, '已完成检索。')) AS content_md5 FROM m", m=_MSG),
+    "content_fallback": sql(f"SELECT message_id, md5(coalesce(CASE WHEN created_at % 3 = 1 THEN nullif(trim(content, {WHITE}), '') END, CASE WHEN created_at % 2 = 0 THEN role END, '已完成检索。')) AS content_md5 FROM m", m=_MSG),
     "prompt_rows": sql(
         f"SELECT query_id, {_POS('PARTITION BY query_id ORDER BY part, o')} AS pos, role, md5(content) AS content_md5 FROM parts", m=_MSG, mem=_MEM(2),
         parts="""SELECT DISTINCT conversation_id AS query_id, 0 AS part, 0 AS o, 'system' AS role, 'rules' AS content FROM m
@@ -360,12 +368,13 @@ ORACLES = {
     "tool_reuse": sql("SELECT session_id, CAST(step_index AS INTEGER) AS step_index, coalesce(sum(CASE WHEN status = 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, tool, event_id % 3 ORDER BY step_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS reused FROM tr WHERE tool IS NOT NULL", tr=_TRACE),
     "session_outcome": sql("SELECT session_id, arg_max(status, step_index) AS final_status, count(tool) AS n_calls, md5(coalesce(string_agg(tool || ':' || status, ',' ORDER BY step_index) FILTER (WHERE tool IS NOT NULL), '')) AS trace_md5 FROM tr GROUP BY session_id", tr=_TRACE),
     "retry_outcome": sql("SELECT session_id, CAST(min(step_index) AS INTEGER) AS failed_at FROM (SELECT *, sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY step_index) AS used FROM tr) WHERE status = 'error' AND (event_id % 4 = 0 OR used > 1) GROUP BY session_id", tr=_TRACE),
-    "guardrails": sql("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'UNAUTHENTICATED' WHEN tool NOT IN ('click', 'purchase', 'signup', 'search', 'error') THEN 'TOOL_MISMATCH' WHEN event_id % 5 = 0 OR tool IN ('search', 'error') THEN 'MISSING_ARGUMENTS' WHEN tool = 'purchase' AND event_id % 2 = 1 THEN 'CONFIRMATION_REQUIRED' ELSE 'ok' END AS verdict FROM tr WHERE tool IS NOT NULL", tr=_TRACE),
-    "check_arguments": sql("""SELECT i AS call_id, CASE WHEN i % 11 = 0 THEN 'query:missing' WHEN i % 7 = 0 THEN 'query:null' WHEN i % 5 = 0 THEN 'top_k:type' WHEN i % 4 < 1 THEN 'top_k:minimum' WHEN i % 9 <> 4 AND i % 8 <> 1 AND i % 3 <> 0 THEN 'mode:enum' WHEN i % 2 <> 0 THEN 'extra:unexpected' END AS problem FROM (SELECT event_id AS i FROM tr WHERE tool IS NOT NULL)""", tr=_TRACE),
+    "guardrails": sql("SELECT event_id, CASE WHEN event_id % 13 = 0 OR event_id % 17 = 0 THEN 'UNAUTHENTICATED' WHEN tool NOT IN ('click', 'purchase', 'signup', 'search', 'error') THEN 'TOOL_MISMATCH' WHEN event_id % 5 = 0 OR tool IN ('search', 'error') THEN 'MISSING_ARGUMENTS' WHEN tool = 'purchase' AND event_id % 2 = 1 THEN 'CONFIRMATION_REQUIRED' ELSE 'ok' END AS verdict FROM tr WHERE tool IS NOT NULL", tr=_TRACE),
+    "check_arguments": sql("""SELECT i AS call_id, CASE WHEN i % 11 = 0 THEN 'query:missing' WHEN i % 7 = 0 THEN 'query:null' WHEN i % 6 = 0 THEN 'query:type' WHEN i % 5 = 0 OR i % 10 = 3 OR i % 9 = 2 THEN 'top_k:type' WHEN i % 4 < 1 THEN 'top_k:minimum'
+        WHEN i % 9 <> 4 AND i % 8 <> 1 AND i % 3 <> 0 THEN 'mode:enum' WHEN i % 2 <> 0 THEN 'extra:unexpected' END AS problem FROM (SELECT event_id AS i FROM tr WHERE tool IS NOT NULL)""", tr=_TRACE),
     "error_category": sql("SELECT CASE event_id % 4 WHEN 0 THEN 'service' WHEN 1 THEN 'validation' WHEN 2 THEN 'permission' ELSE 'unknown' END AS category, count(*) AS n FROM tr WHERE status = 'error' GROUP BY 1", tr=_TRACE),
     "call_metrics": "SELECT event_type AS endpoint, count(*) AS calls, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) FILTER (WHERE event_id % 3 <> 0) AS hits, round(count(*) FILTER (WHERE event_id % 3 <> 0)::DOUBLE / count(*), 6) AS hit_rate, round(avg(value), 4) AS avg_elapsed_ms FROM events GROUP BY event_type",
-    "tool_calls": sql("""SELECT message_id, 0 AS call_no, CASE WHEN created_at % 4 <> 0 THEN role END AS tool_name, CASE created_at % 4 WHEN 0 THEN NULL WHEN 1 THEN '{}' ELSE '{"k":1}' END AS args, CASE WHEN created_at % 4 = 0 THEN 'invalid arguments' END AS error FROM m UNION ALL SELECT message_id, 2, 'two', '{}', NULL FROM m WHERE created_at % 4 <> 0""", m=_MSG),
+    "tool_calls": sql("""SELECT message_id, 0 AS call_no, CASE WHEN created_at % 4 <> 0 THEN role END AS tool_name, CASE created_at % 4 WHEN 0 THEN NULL WHEN 1 THEN '{}' ELSE '{"k":1}' END AS args, CASE created_at % 8 WHEN 0 THEN 'Tool arguments must be valid JSON object.' WHEN 4 THEN 'Tool arguments must be a JSON object.' END AS error FROM m UNION ALL SELECT message_id, 2, 'two', '{}', NULL FROM m WHERE created_at % 4 <> 0""", m=_MSG),
     "decisions": sql("""SELECT message_id, CASE created_at % 4 WHEN 0 THEN 'look' WHEN 1 THEN 'end' END AS thought, CASE WHEN created_at % 4 = 0 THEN 'search' END AS action, CASE created_at % 4 WHEN 0 THEN '{"q":"' || role || '"}' END AS args, CASE created_at % 4 WHEN 1 THEN 'done' WHEN 2 THEN 'Action: {bad}' WHEN 3 THEN 'plain words' END AS final_answer, CASE created_at % 4 WHEN 0 THEN 'tool_call' ELSE 'final_answer' END AS decision_type FROM m""", m=_MSG),
     "observation_summary": sql("SELECT message_id, md5(CASE WHEN created_at % 2 = 0 THEN '工具 ' || role || ' 调用成功' ELSE '工具 ' || role || ' 调用失败: ' || CASE WHEN created_at % 5 <> 0 THEN 'TIMEOUT' ELSE 'ERROR' END || CASE WHEN created_at % 3 = 0 AND trim(content) <> '' THEN ' (' || CASE WHEN length(trim(content)) > 160 THEN left(trim(content), 157) || '...' ELSE trim(content) END || ')' ELSE '' END END) AS summary_md5, md5(CASE WHEN length(trim(content)) > 256 THEN rtrim(left(trim(content), 255)) || '...' ELSE trim(content) END) AS short_md5 FROM m", m=_MSG),
-    "content_text": sql("SELECT message_id, CASE created_at % 3 WHEN 0 THEN 'plain ' || role WHEN 1 THEN 'a ' || role || ' c' ELSE 'quoted ' || role END AS text FROM m", m=_MSG),
+    "content_text": sql("SELECT message_id, CASE created_at % 6 WHEN 0 THEN 'plain ' || role WHEN 1 THEN 'a ' || role || ' c' WHEN 2 THEN 'quoted ' || role WHEN 3 THEN role WHEN 4 THEN 'deep ' || role || ' x y' ELSE '{no json' END AS text FROM m", m=_MSG),
 }

@@ -38,7 +38,11 @@ def query_features(spark, d):
 
 def _rewrites(q):
     """A rewriting model's replies: a third of them fenced JSON, a third no JSON, a third an empty list."""
-    reply = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit("```json\n"), F.to_json(F.struct(F.array(F.concat(F.lit("more "), F.col("text")), F.concat(F.lit(" "), F.col("text")), F.col("text")).alias("queries"))), F.lit("\n```"))).when(F.col("query_id") % 3 == 1, "not json").otherwise('{"queries": []}')
+    listed = F.to_json(F.array(F.concat(F.lit("more "), F.col("text")), F.concat(F.lit(" \t"), F.col("text"), F.lit("\n")), F.col("text")))
+    body = F.concat(F.lit('{"queries": [1, {"x": 2}, '), F.expr("substring(listed, 2)"), F.lit("}"))
+    fenced = F.concat(F.lit("\n```json\n"), body, F.lit("\n```\t"))
+    q = q.withColumn("listed", listed)
+    reply = F.when(F.col("query_id") % 3 == 0, fenced).when(F.col("query_id") % 3 == 1, "not json").otherwise('{"queries": [null, " \\n"]}')
     return r.parse_rewrites(q.withColumn("reply", reply))
 
 
@@ -102,7 +106,7 @@ def answers(spark, d):
 def context_blocks(spark, d):
     q, ranked = _ranked(spark, d)
     s = r.snippets(ranked)
-    history = v.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), "role", F.col("text").alias("content")).join(q.select("query_id"), "query_id", "left_semi")
+    history = v.table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("pos"), "role", F.concat(F.lit("\n"), "text", F.lit("\t")).alias("content")).join(q.select("query_id"), "query_id", "left_semi")
     return r.context_blocks(q, s, r.related_files(s), history).select("query_id", "n_blocks", F.md5("context").alias("context_md5"))
 
 
@@ -193,7 +197,7 @@ def _over_rewrites() -> dict[str, str]:
     return {k: out[k] for k in (*first, *(k for k in _EXPR if k not in first))}
 
 
-_REWRITES = "CASE WHEN query_id % 3 = 0 THEN ['more ' || rtrim(text), trim(text)] ELSE [text] END"
+_REWRITES = "CASE WHEN query_id % 3 = 0 THEN ['more ' || rtrim(text), trim(text)] ELSE [trim(text)] END"
 _BLOCKS = """SELECT query_id, part, ord, block FROM h UNION ALL SELECT query_id, 1, ord, block FROM s WHERE nth <= greatest(1, 4 - nh)
     UNION ALL SELECT r.query_id, 2, r.rank, '[文件] ' || r.file_name FROM related r LEFT JOIN nh USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS ns FROM s WHERE nth <= greatest(1, 4 - nh) GROUP BY query_id) USING (query_id) WHERE r.rank <= 4 - coalesce(nh, 0) - coalesce(ns, 0)"""
 ORACLES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.operators import chunk, clean
 
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
@@ -59,6 +60,8 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("user_id"))
 
 
+#: White space as a DuckDB string, for trim.
+WHITE = " || ".join(f"chr({ord(c)})" for c in text.WHITE)
 #: DuckDB twins, in an order in which each may use those before it.
 CTE = {
     "files": f"""SELECT doc_id AS file_id, source AS user_id, ext AS file_ext, lang || '_' || source || '_' || doc_id || '.' || ext AS file_name,

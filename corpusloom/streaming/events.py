@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip
+
 MARKS = ["Thought:", "Action:", "Final Answer:"]
 REQUIRED = {"assistant_delta": ["delta"], "assistant_done": ["message"], "error": ["message"], "reasoning": ["text"], "debug": ["text"]}
 LENIENT = ("reasoning", "debug")
@@ -21,7 +23,7 @@ def last_n_batch(events: DataFrame, key: str, order: list[str], n: int = 50) ->
 
 def visible(delta: Column) -> Column:
     """False for blank deltas and those with protocol marks."""
-    out = F.trim(F.coalesce(delta, F.lit(""))) != ""
+    out = strip(F.coalesce(delta, F.lit(""))) != ""
     for m in MARKS:
         out = out & ~delta.contains(m)
     return out
@@ -48,7 +50,7 @@ def parse_sse(raw: DataFrame) -> DataFrame:
     go, data that isn't JSON is marked."""
     blocks = F.split(F.regexp_replace("raw", "\r\n", "\n"), "\n\n+")
     rows = raw.select("stream_id", F.posexplode(blocks).alias("event_no", "block")).withColumn("lines", F.split("block", "\n"))
-    of = lambda p: F.transform(F.filter("lines", lambda x: x.startswith(p)), lambda x: F.trim(F.substring(x, len(p) + 1, 1 << 30)))
+    of = lambda p: F.transform(F.filter("lines", lambda x: x.startswith(p)), lambda x: strip(F.substring(x, len(p) + 1, 1 << 30)))
     rows = rows.withColumn("data", F.array_join(of("data:"), "\n")).where(F.size(of("data:")) > 0)
     name = F.coalesce(F.get(of("event:"), -1 + F.size(of("event:"))), F.lit("message"))
     return rows.select("stream_id", "event_no", name.alias("event"), "data", F.try_parse_json("data").isNull().alias("bad"))

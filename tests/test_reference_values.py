@@ -1,11 +1,13 @@
 """Hand-checked values for the retrieval, ingest and record operators."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.functions import vectors as vec
-from corpusloom.operators import catalog, chunk, clean, embed, flow, retrieve, trace
+from corpusloom.operators import catalog, chunk, clean, conversation, embed, flow, retrieve, trace
 
 SEGMENTS = "file_id long, seg_no int, text string, page_start int, page_end int, source_type string"
 
@@ -169,8 +171,8 @@ def test_known_tools_and_their_parameters(spark):
     assert tools["get_file_detail"] == (["upload_id"], ["upload_id"], ["uploads:read"], 1)
     assert tools["query_users"] == ([], [], ["workspace:read_users"], 2)
     calls = spark.createDataFrame(
-        [(1, "list_recent_files", {"limit": "0"}), (2, "list_recent_files", {"file_type": "video"}), (3, "list_recent_files", {"limit": "3", "file_type": "pdf"}), (4, "search_knowledge_base", {"top_k": "2"}), (5, "get_file_detail", {"upload_id": "x"})],
-        "call_id long, tool_name string, args map<string,string>",
+        [(1, "list_recent_files", '{"limit": 0}'), (2, "list_recent_files", '{"file_type": "video"}'), (3, "list_recent_files", '{"limit": 3, "file_type": "pdf"}'), (4, "search_knowledge_base", '{"top_k": 2}'), (5, "get_file_detail", '{"upload_id": "x"}')],
+        "call_id long, tool_name string, args string",
     )
     got = {r.call_id: r.problem for r in trace.check_arguments(calls, trace.tool_parameters(spark)).collect()}
     assert got == {1: "limit:minimum", 2: "file_type:enum", 3: None, 4: "query:missing", 5: "upload_id:type"}
@@ -208,3 +210,67 @@ def test_white_space_is_collapsed(spark):
     texts = ["a b", " a  b ", "a\t b", "a \tb", "\u3000a\u3000\u3000b\n", "  ", ""]
     got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "s string").select(tx.collapse(F.col("s")).alias("t")).collect()]
     assert got == [" ".join(t.split()) for t in texts]
+
+
+def one(spark, column, *values, kind="string"):
+    return [r[0] for r in spark.createDataFrame([(v,) for v in values], f"v {kind}").select(column(F.col("v"))).collect()]
+
+
+def test_white_space_of_every_kind_is_stripped(spark):
+    assert one(spark, tx.strip, "\t　a b\x1f\n", "\n", None, "\x85 x\xa0") == ["a b", "", None, "x"]
+    cells = spark.createDataFrame([(1, 1, 0, "a\n"), (1, 1, 1, "a"), (1, 1, 2, "\t")], "file_id long, row_no int, col_no int, text string")
+    assert [r.text for r in clean.table_rows_to_segments(cells).collect()] == ["a"]
+    native = spark.createDataFrame([(1, 1, "\n")], "file_id long, page int, text string")
+    ocr = spark.createDataFrame([(1, 1, "seen")], "file_id long, page int, text string")
+    assert clean.coalesce_ocr(native, ocr).first().source_type == "pdf_ocr"
+    assert tx.query_features(spark.createDataFrame([("\treport.pdf\n",)], "text string")).first().normalized == "report.pdf"
+    texts = spark.createDataFrame([(1, "\n", " m\n"), (2, None, "\t")], "id int, answer string, message string")
+    assert [r.content for r in conversation.content_fallback(texts).sort("id").collect()] == ["m", "已完成检索。"]
+
+
+def test_rewrites_keep_strings_only(spark):
+    replies = ['{"queries":[1,"a",{"x":2}," b\\n","a"]}', '```json\n{"queries":["c"]}\n```', '```python\n{"queries":["d"]}\n```', '["e"]', '{"queries":"f"}', "", None, '```\n{"queries":["g"]}```']
+    rows = spark.createDataFrame([(i, "\tq ", x) for i, x in enumerate(replies)], "query_id int, text string, reply string")
+    assert [r.rewrites for r in retrieve.parse_rewrites(rows).sort("query_id").collect()] == [["a", "b"], ["c"], ["q"], ["q"], ["q"], ["q"], ["q"], ["g"]]
+
+
+def test_content_is_read_at_any_depth(spark):
+    got = one(spark, trace.content_text, '[{"content":"abc"}]', '{"text":"x"}', '"s\\n"', '[["a",[["b"]]],{"text":{"value":"c"}},{"text":{"v":1},"content":[{"content":{"text":"d"}}]},null,4]', "plain", None, "null", "[broken", "[" * 5000 + "]" * 5000)
+    assert got[:8] == ["abc", "x", "s", "abcd", "plain", "", "", "[broken"] and len(got) == 9
+
+
+def test_equal_arguments_have_one_key(spark):
+    assert one(spark, tx.canonical_json, '{"b":2,"a":{"y":[1.50],"x":"é"}}', '{ "a" : {"x":"é","y":[1.5]}, "b":2}', "no json", None) == ['{"a":{"x":"é","y":[1.5]},"b":2}'] * 2 + ["no json", None]
+    calls = spark.createDataFrame([("s", 1, "t", '{"a":1,"b":2}', "ok", True), ("s", 2, "t", '{"b":2,"a":1}', "ok", True), ("s", 3, "t", '{"b":3,"a":1}', "ok", True)], "session_id string, step_index int, tool_name string, tool_args string, status string, has_activity boolean")
+    assert [r.reused for r in trace.tool_reuse(calls).sort("step_index").collect()] == [False, True, False]
+    assert [r.repeated_actions for r in trace.step_metrics(calls).sort("step_index").collect()] == [0, 1, 0]
+
+
+def test_arguments_keep_their_types(spark):
+    given = {
+        '{"query":"q"}': None, '{"query":1}': "query:type", '{"query":"q","top_k":"3"}': "top_k:type", '{"query":"q","top_k":true}': "top_k:type", '{"query":"q","top_k":1.0}': "top_k:type",
+        '{"query":"q","top_k":0}': "top_k:minimum", '{"query":null}': "query:null", '{"top_k":1}': "query:missing", '{"query":"q","x":1}': "x:unexpected", '{"query":"q","top_k":null}': None, "[1]": "query:missing",
+    }
+    calls = spark.createDataFrame([(i, "search_knowledge_base", a) for i, a in enumerate(given)], "call_id int, tool_name string, args string")
+    assert [r.problem for r in trace.check_arguments(calls, trace.tool_parameters(spark)).sort("call_id").collect()] == list(given.values())
+    enum = spark.createDataFrame([(1, "list_recent_files", '{"file_type":"odd"}')], "call_id int, tool_name string, args string")
+    assert trace.check_arguments(enum, trace.tool_parameters(spark)).first().problem == "file_type:enum"
+
+
+def test_calls_without_a_user_or_with_bad_arguments(spark):
+    calls = spark.createDataFrame([(u, "query_users", {}, False) for u in (None, "", "u")], "user_id string, tool_name string, args map<string,string>, confirmed boolean")
+    assert sorted(r.verdict for r in trace.guardrails(calls, trace.tool_table(spark)).collect()) == ["UNAUTHENTICATED", "UNAUTHENTICATED", "ok"]
+    body = lambda name, args: json.dumps({"tool_calls": [{"id": "i", "function": {"name": name, "arguments": args}}]})
+    rows = spark.createDataFrame([(1, body("t", "{bad")), (2, body("t", "[1]")), (3, body("t", " \n")), (4, body(" ", "{}")), (5, body("", "{}"))], "message_id int, completion string")
+    got = [(r.message_id, r.tool_name, r.args, r.error) for r in trace.tool_calls(rows).sort("message_id").collect()]
+    assert got == [(1, None, None, "Tool arguments must be valid JSON object."), (2, None, None, "Tool arguments must be a JSON object."), (3, "t", "{}", None), (4, " ", "{}", None)]
+
+
+def test_ids_are_issued_once_and_newest_uploads_come_first(spark):
+    nodes = spark.createDataFrame([(1, x, i) for i, x in enumerate(["a", "a", "a-2", "图", "A!", "item"])], "file_id long, raw_id string, pos int")
+    assert [r.canvas_id for r in flow.import_ids(nodes, "n-").sort("pos").collect()] == ["n-a", "n-a-2", "n-a-2-2", "n-item", "n-a-3", "n-item-2"]
+    links = spark.createDataFrame([(1, "e", "a", "a-2", 2), (1, "e", "a-2", "a", 1), (1, "f", "a", "none", 0)], "file_id long, edge_id string, source string, target string, pos int")
+    assert [(r.edge_id, r.source_id) for r in flow.import_edges(links, flow.import_ids(nodes, "n-")).sort("edge_id").collect()] == [("ai-edge-e", "n-a-2-2"), ("ai-edge-e-2", "n-a")]
+    files = spark.createDataFrame([(i, "u", "docx" if i < 2 else "pdf", f"plan{i}.docx", i) for i in range(4)], "file_id long, user_id string, file_ext string, file_name string, created_epoch long")
+    asked = spark.createDataFrame([(1, "u", ["plan"])], "query_id long, user_id string, terms array<string>")
+    assert [r.file_id for r in flow.candidates(asked, files, newest=3).collect()] == [1]
