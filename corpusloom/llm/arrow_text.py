@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: Bytes between words in every contract of this subpackage: space and \t..\r.
@@ -51,17 +52,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
+#: Spans over so many bytes are hashed by XXH64. A polynomial modulo 2**64 maps some texts of 1,024 bytes and more (Thue-Morse
+#: words and their complements) to one value, whatever its base.
+LONG_SPAN = 256
+
+
+class Sums(np.ndarray):
+    """Prefix hashes that know the bytes they are of."""
+
+    text: np.ndarray
+
+
+def prefix_sums(data: np.ndarray) -> Sums:
     """Polynomial prefix hashes modulo 2**64; ``span_hash`` reads any substring's hash from them."""
     up, _ = powers(len(data))
     out = np.zeros(len(data) + 1, U64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
+    out = out.view(Sums)
+    out.text = data
     return out
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(sums: Sums, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     _, down = powers(len(sums) - 1)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    plain = sums.view(np.ndarray)
+    out = mix((plain[ends] - plain[starts]) * down[starts] + (ends - starts).astype(U64))
+    for i in np.flatnonzero(ends - starts > LONG_SPAN):
+        out[i] = xxhash.xxh64_intdigest(sums.text[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:

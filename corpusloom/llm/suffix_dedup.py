@@ -205,7 +205,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     room = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data)) >= LENGTH
     for s in range(0, max(len(data) - LENGTH + 1, 0), _SEGMENT):
         part = data[s : s + _SEGMENT + LENGTH - 1]
-        sums = prefix_sums(part)
+        sums = prefix_sums(part).view(np.ndarray)
         h = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * powers(len(part))[1][: len(part) - ANCHOR + 1])
         m = (h & ~U64((1 << 22) - 1)) | np.arange(len(h), dtype=U64)
         for step in (1, 2, 4, 8):

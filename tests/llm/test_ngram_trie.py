@@ -76,3 +76,14 @@ def test_elias_fano(n, tmp_path):
         q = np.concatenate([x, x + U64(1), rng.integers(0, 1 << 48, 100).astype(U64)])
         at, hit = ef.find(q)
         assert (at == np.searchsorted(x, q)).all() and (hit == np.isin(q, x)).all()
+
+
+def test_long_words_that_collide_under_polynomial_hashes_are_unknown(spark):
+    x, y = "a", "b"
+    while len(x) < 2048:
+        x, y = x + y, y + x
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10]
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = spark.createDataFrame([(ids[0], x), (held, f"{y} z")], "doc_id long, text string")
+    got = {r.doc_id: r.n_known for r in lm.score(rows).collect()}
+    assert got == {ids[0]: 2, held: 1}
