@@ -11,6 +11,7 @@ hash or a bit that two phrases share costs work, never a wrong count.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow_text import LOWER, U64, column, mix, utf8
+from corpusloom.llm.arrow_text import LOWER, U64, column, mix, prefix_sums, span_hash, utf8
 from corpusloom.llm.shared import new_path, written
 
 LEAST = 100
@@ -85,22 +86,22 @@ def tagged(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Words:
-    """The words of a block: a dictionary of their bytes, hashes that tell languages apart, and which go on a piece."""
+    """The words of a block: hashes that tell languages apart, and which words go on a piece."""
 
     def __init__(self, lang: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray):
         low = starts[0]
-        part = data[low : ends[-1]]
-        used = np.zeros(len(part) + 1, np.int8)
-        used[starts - low] += 1
-        used[ends - low] -= 1
-        lengths = np.concatenate([[0], np.cumsum(ends - starts)])
-        text = part[np.cumsum(used[:-1], dtype=np.int8) > 0]
-        self.words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(text)]).dictionary_encode()
-        self.code = self.words.indices.to_numpy()
-        known = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words.dictionary.to_pylist()), U64, len(self.words.dictionary))
-        self.hash = tagged(mix(known[self.code] + lang[row]), 1)
-        marks = np.concatenate([[0], np.cumsum(PIECE[part])])
-        self.joined = (row[1:] == row[:-1]) & (marks[starts[1:] - low] == marks[ends[:-1] - low])
+        self.part, self.starts, self.ends = data[low : ends[-1]], starts - low, ends - low
+        self.hash = tagged(mix(span_hash(prefix_sums(self.part), self.starts, self.ends) + lang[row]), 1)
+        marks = np.concatenate([[0], np.cumsum(PIECE[self.part])])
+        self.joined = (row[1:] == row[:-1]) & (marks[self.starts[1:]] == marks[self.ends[:-1]])
+
+    def strings(self) -> pa.Array:
+        used = np.zeros(len(self.part) + 1, np.int8)
+        used[self.starts] += 1
+        used[self.ends] -= 1
+        text = self.part[np.cumsum(used[:-1], dtype=np.int8) > 0]
+        lengths = np.concatenate([[0], np.cumsum(self.ends - self.starts)]).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(lengths), pa.py_buffer(text)])
 
 
 def _lang_hashes(lang: pa.Array) -> np.ndarray:
@@ -189,14 +190,16 @@ def count_words(text: DataFrame, found: Bits) -> DataFrame:
         found = shared.value
         held: list[pa.Table] = []
 
+        def summed(counts: pa.Table) -> pa.Table:
+            return counts.group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "k", "f"])
+
         def sent() -> Iterator[pa.RecordBatch]:
             if held:
-                whole = pa.concat_tables(held).group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "k", "f"])
+                whole = summed(pa.concat_tables(held))
                 yield from whole.set_column(1, "phrase", whole["phrase"].cast(pa.large_string())).to_batches(1 << 16)
 
         def table(lang: pa.Array, row: np.ndarray, phrase: pa.Array, k: int, f: np.ndarray) -> pa.Table:
-            one = pa.table({"lang": lang.take(pa.array(row)), "phrase": phrase, "k": pa.array(np.full(len(row), k, np.int32)), "f": pa.array(f.astype(np.int64))})
-            return one.group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "k", "f"])
+            return summed(pa.table({"lang": lang.take(pa.array(row)), "phrase": phrase, "k": pa.array(np.full(len(row), k, np.int32)), "f": pa.array(f.astype(np.int64))}))
 
         for batch in batches:
             offsets, data = _texts(batch)
@@ -206,10 +209,11 @@ def count_words(text: DataFrame, found: Bits) -> DataFrame:
                 w, old = Words(seeds, data, starts, ends, row), int((~fresh).sum())
                 rows, n = np.unique(row[old:], return_counts=True)
                 held.append(table(lang, rows, pa.array([b""] * len(rows), pa.large_binary()), 0, n))
-                at = np.flatnonzero(found.has(w.hash) & fresh)
-                own = kinds[row[at]].astype(np.int64) * len(w.words.dictionary) + w.code[at]  # a language and an entry of the dictionary
+                at, strings = np.flatnonzero(found.has(w.hash) & fresh), w.strings()
+                coded = strings.take(pa.array(at)).dictionary_encode()  # by their bytes, not by their hashes
+                own = kinds[row[at]].astype(np.int64) * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
                 _, first, n = np.unique(own, return_index=True, return_counts=True)
-                held.append(table(lang, row[at[first]], w.words.take(pa.array(at[first])).dictionary_decode(), 1, n))
+                held.append(table(lang, row[at[first]], strings.take(pa.array(at[first])), 1, n))
                 whole = w.hash
                 for k in range(2, LONGEST + 1):
                     if len(whole) < 2:
@@ -217,11 +221,13 @@ def count_words(text: DataFrame, found: Bits) -> DataFrame:
                     whole, fits = windows(w.hash, w.joined, old, k, whole)
                     at = np.flatnonzero(fits & found.has(whole))
                     if len(at):
-                        spans = [w.words.take(pa.array(at + i)).dictionary_decode() for i in range(k)]
+                        spans = [strings.take(pa.array(at + i)) for i in range(k)]
                         held.append(table(lang, row[at], pc.binary_join_element_wise(*spans, pa.scalar(b" ", pa.large_binary())), k, np.ones(len(at))))
             if sum(map(len, held)) > HELD:
-                yield from sent()
-                held = []
+                held = [summed(pa.concat_tables(held))]
+                if len(held[0]) > HELD // 2:
+                    yield from sent()
+                    held = []
         yield from sent()
 
     return text.mapInArrow(run, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
@@ -235,17 +241,6 @@ def bitmap(hashes: DataFrame, size: int) -> Bits:
     return Bits({r["chunk"]: bytes(r["bits"]) for r in chunks.collect()}, size)
 
 
-def among(counts: DataFrame, hashes: Bits) -> DataFrame:
-    """The counts whose hash may be in a bitmap."""
-    shared = counts.sparkSession.sparkContext.broadcast(hashes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.has(batch.column("h").to_numpy().view(U64))))
-
-    return counts.mapInArrow(run, COUNTS)
-
-
 def frequent(text: DataFrame, least: int, shards: int) -> tuple[DataFrame | None, int]:
     """(h of every phrase that may occur ``least`` times or more, their number), by cyclic scans."""
     spark = text.sparkSession
@@ -257,20 +252,24 @@ def frequent(text: DataFrame, least: int, shards: int) -> tuple[DataFrame | None
     def tables(name: str, kind: str, steps: range) -> DataFrame:
         return spark.read.schema(kind).parquet(*[f"{base}/{name}/{t}" for t in steps])
 
-    step, total, sizes = 0, 0, []
+    step, total, sizes, names = 0, 0, [], []
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     while step < shards or any(sizes[max(0, step - shards) :]):
         size = bits_for(total)
         reached = bitmap(tables("reached", "h long", range(step)), size) if total else None
         recent = bitmap(tables("reached", "h long", range(max(0, step - shards), step)), size) if total else None
         shard = step % shards
         here = spark.read.schema(columns).parquet(f"{base}/words/shard={shard}") if shard in there else spark.createDataFrame([], columns)
-        count_shard(here, step < shards, reached, recent).write.option("compression", "zstd").parquet(f"{base}/facts/{step}")
+        # a step's counts are dealt by hash once and stored so; steps meet without another shuffle
+        counts = count_shard(here, step < shards, reached, recent).groupBy("h").agg(F.sum("c").alias("c"))
+        names.append(f"phrases_{uuid.uuid4().hex}")
+        counts.write.option("path", f"{base}/facts/{step}").option("compression", "zstd").bucketBy(buckets, "h").sortBy("h").saveAsTable(names[-1])
         # the last ``shards`` steps have met every shard once; only what this step has counted can reach the threshold now
-        now = tables("facts", COUNTS, range(step, step + 1))
-        if step and shards > 1:
-            before, seen = tables("facts", COUNTS, range(max(0, step - shards + 1), step)), now.count()
-            now = now.unionByName(before if seen * FILL > MOST_BITS else among(before, bitmap(now, bits_for(seen))))
-        sums = now.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
+        now = spark.table(names[-1])
+        for before in names[max(0, step - shards + 1) : -1]:
+            earlier = spark.table(before).select("h", F.col("c").alias("before"))
+            now = now.join(earlier, "h", "left").select("h", (F.col("c") + F.coalesce("before", F.lit(0))).alias("c"))
+        sums = now.where(F.col("c") >= least).select("h")
         if total:
             sums = sums.join(tables("reached", "h long", range(step)), "h", "left_anti")
         sums.write.option("compression", "zstd").parquet(f"{base}/reached/{step}")
@@ -278,6 +277,8 @@ def frequent(text: DataFrame, least: int, shards: int) -> tuple[DataFrame | None
         total += new["n"]
         sizes.append(new["open"])
         step += 1
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")  # the name in the catalog; the files are the shared folder's
     return (tables("reached", "h long", range(step)), total) if total else (None, 0)
 
 
