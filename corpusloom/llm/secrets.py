@@ -5,13 +5,17 @@ Positions come without a Python loop: ``split`` by a pattern gives the text betw
 
 The Markov stage scores every other token of twelve characters or more by the log-likelihood ratio of two
 character-bigram models, one of random strings and one of ordinary identifiers. Both are counted over labelled samples:
-the values inside the base matches are random strings, mixed with uniform ones since most of them are digits or hex;
-words of twelve letters or more are ordinary identifiers. A fifth of the distinct samples is held out and sets the
-threshold of each length.
+the values inside the base matches are random strings, mixed with uniform ones since most of them are digits or hex.
+Ordinary identifiers are the words of twelve letters or more outside them, each by its hash in one of nine forms: as it is, as a
+path, with hyphens, underscores, capitals, an equals sign or numbers, or as a time stamp. Character pairs that no sample
+has fall back on pairs of character classes, so foreign words aren't random. A fifth of the distinct samples is held out
+and sets the threshold of each length, for letters alone and for mixed tokens. Tokens without a letter are never reported.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +40,8 @@ THRESHOLD = 0.5
 SMOOTHING = 0.5
 #: Weight of uniform strings in the random model, and the share of a length's held-out words that may be reported.
 UNIFORM = 0.5
+#: Weight of character classes in the ordinary model.
+CLASSES = 0.15
 FALSE_SHARE = 0.001
 HELD_OUT = 100
 
@@ -81,34 +87,74 @@ def _score(token: Column, model: Column) -> Column:
     return total / (F.length(token) - 1)
 
 
+def _forms(word: Column) -> Column:
+    """One of the forms of an ordinary identifier made of ``word``, chosen by its hash."""
+    h = F.pmod(F.xxhash64(word), F.lit(1 << 40))
+    part = lambda i, n=None: F.substring(word, i, F.lit(n or 1 << 20))
+    digits = lambda n, shift: F.lpad((F.shiftright(h, shift) % 10**n).cast("string"), n, "0")
+    upper = lambda i, n=None: F.initcap(part(i, n))
+    forms = [
+        word, F.concat(part(1, 4), F.lit("/"), part(5, 5), F.lit("/"), part(10)), F.concat(part(1, 5), F.lit("-"), part(6, 5), F.lit("-"), part(11)), F.concat(part(1, 5), F.lit("_"), part(6)),
+        F.concat(part(1, 5), upper(6, 5), upper(11)), F.concat(part(1, 5), F.lit("="), part(6)), F.concat(part(1, 8), F.when(h % 2 == 0, "-v").otherwise(""), digits(1, 5), F.when(h % 3 == 0, digits(3, 9)).otherwise("")),
+        F.concat(F.lit("20"), digits(2, 3), F.lit("-"), digits(2, 11), F.lit("-"), digits(2, 17), F.when(h % 2 == 0, F.concat(F.lit("T"), digits(2, 23), F.lit("-"), digits(2, 5))).otherwise(F.concat(F.lit("_"), part(1, 6)))),
+        F.concat(part(1, 5), digits(2, 4), upper(6, 3), upper(9, 4), digits(3, 13)),
+    ]
+    return F.element_at(F.array(*forms), (F.pmod(F.xxhash64(word, F.lit(7)), F.lit(len(forms))) + 1).cast("int"))
+
+
+def _mixed(token: Column) -> Column:
+    """1 for tokens with other characters than letters, else 0."""
+    return (~token.rlike("^[A-Za-z]+$")).cast("int")
+
+
 def train(hits: DataFrame, threshold: float = THRESHOLD) -> tuple[list[float], list[float]]:
     """Log-likelihood ratios (random against ordinary) of all character bigrams, as one flat table, and the least
-    score of a reported token by its length from IDENTIFIER to LONG.
+    score of a reported token by its length from IDENTIFIER to LONG, first of letters alone, then of mixed tokens.
 
-    The samples are all base values (random) and all tokens of letters outside them (ordinary) of ``hits``. The
+    The samples are all base values (random) and all words of letters outside them, in their forms (ordinary), of ``hits``. The
     counts are combined before the shuffle; the result has a fixed size, whatever the input. Without samples of a
     class its model is uniform. A length's least score leaves FALSE_SHARE of its held-out ordinary samples above it
-    and is never below even odds (0); without HELD_OUT such samples it is ``threshold``.
+    and is never below even odds (0); without HELD_OUT such samples it is that of all lengths, and ``threshold`` at least.
     """
     n = len(ALPHABET) + 1
     base = F.flatten(F.array(*[F.transform(F.col(k), lambda x: F.regexp_replace(x["hit"], ASSIGN_HEAD, "")) for k in KINDS[:3]]))
-    plain = F.transform(F.filter("tokens", lambda x: x["hit"].rlike("^[A-Za-z_]+$") & _free(x)), lambda x: x["hit"])
+    plain = F.transform(F.filter("tokens", lambda x: x["hit"].rlike("^[A-Za-z_]+$") & _free(x)), lambda x: _forms(x["hit"]))
     samples = hits.select(F.explode(F.concat(F.transform(base, lambda v: F.struct(v.alias("v"), F.lit(1).alias("random"))), F.transform(plain, lambda v: F.struct(v.alias("v"), F.lit(0).alias("random"))))).alias("s")).select("s.v", "s.random").where(F.length("v") >= IDENTIFIER)
     samples = samples.withColumn("held", F.pmod(F.xxhash64("v"), F.lit(5)) == 0)
     cells = samples.where("not held").select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("v") - 1), lambda i: _bigram(F.col("v"), i))).alias("cell"))
     counts = {(r["random"], r["cell"]): r["count"] for r in cells.groupBy("random", "cell").count().collect()}
-    table = []
-    sums = {(c, a): sum(counts.get((c, a * n + b), 0) for b in range(n)) for c in (0, 1) for a in range(n)}
-    from math import log
+    table = ratios(counts)
+    scored = samples.where("held and random = 0").select(F.least(F.length("v"), F.lit(LONG)).alias("size"), _mixed(F.col("v")).alias("mixed"), _score(F.col("v"), F.lit(table)).alias("score"))
+    ends = scored.unionByName(scored.withColumn("size", F.lit(0))).groupBy("size", "mixed").agg(F.count("*").alias("n"), F.percentile_approx("score", 1 - FALSE_SHARE, 10_000).alias("high")).collect()
+    high = {(r["mixed"], r["size"]): max(0.0, r["high"]) for r in ends if r["n"] >= HELD_OUT}
+    return table, [high.get((m, k), max(threshold, high.get((m, 0), 0.0))) for m in (0, 1) for k in range(IDENTIFIER, LONG + 1)]
+
 
+def _kind(at: int) -> str:
+    """Class of the character at a place of ALPHABET (from 1; 0 is any other)."""
+    c = ALPHABET[at - 1] if at else ""
+    return "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else c or "other"
+
+
+def ratios(counts: dict[tuple[int, int], int]) -> list[float]:
+    """Log-likelihood ratios of all bigrams from the counts by (random, cell)."""
+    n = len(ALPHABET) + 1
+    kinds = [_kind(a) for a in range(n)]
+    size = Counter(kinds)
+    of = lambda c, a, b: counts.get((c, a * n + b), 0)
+    sums = {(c, a): sum(of(c, a, b) for b in range(n)) for c in (0, 1) for a in range(n)}
+    pairs, heads = Counter(), Counter()
+    for a in range(n):
+        for b in range(n):
+            pairs[kinds[a], kinds[b]] += of(0, a, b)
+            heads[kinds[a]] += of(0, a, b)
+    table = []
     for a in range(n):
         for b in range(n):
-            p, q = ((counts.get((c, a * n + b), 0) + SMOOTHING) / (sums[c, a] + SMOOTHING * n) for c in (1, 0))
-            table.append(log((UNIFORM / n + (1 - UNIFORM) * p) / q))
-    scored = samples.where("held and random = 0").select(F.least(F.length("v"), F.lit(LONG)).alias("size"), _score(F.col("v"), F.lit(table)).alias("score"))
-    ends = scored.groupBy("size").agg(F.count("*").alias("n"), F.percentile_approx("score", 1 - FALSE_SHARE, 10_000).alias("high")).collect()
-    high = {r["size"]: max(0.0, r["high"]) for r in ends if r["n"] >= HELD_OUT}
-    return table, [high.get(k, threshold) for k in range(IDENTIFIER, LONG + 1)]
+            p, q = ((of(c, a, b) + SMOOTHING) / (sums[c, a] + SMOOTHING * n) for c in (1, 0))
+            by_kind = (pairs[kinds[a], kinds[b]] + SMOOTHING * size[kinds[b]]) / (heads[kinds[a]] + SMOOTHING * n) / size[kinds[b]]
+            table.append(math.log((UNIFORM / n + (1 - UNIFORM) * p) / ((1 - CLASSES) * q + CLASSES * by_kind)))
+    return table
 
 
 def _free(x: Column) -> Column:
@@ -119,8 +165,8 @@ def _free(x: Column) -> Column:
 def with_markov(hits: DataFrame, table: list[float], limits: list[float]) -> DataFrame:
     """Adds ``markov``: the token spans outside every base span whose mean log-likelihood ratio reaches their length's limit."""
     model, least = F.lit(table), F.lit(limits)
-    limit = lambda x: F.get(least, F.least(F.length(x["hit"]), F.lit(LONG)) - IDENTIFIER)
-    return hits.withColumn("markov", F.filter("tokens", lambda x: _free(x) & (_score(x["hit"], model) >= limit(x))))
+    limit = lambda x: F.get(least, F.least(F.length(x["hit"]), F.lit(LONG)) - IDENTIFIER + (LONG - IDENTIFIER + 1) * _mixed(x["hit"]))
+    return hits.withColumn("markov", F.filter("tokens", lambda x: x["hit"].rlike("[A-Za-z]") & _free(x) & (_score(x["hit"], model) >= limit(x))))
 
 
 def _tags(kind: str) -> Column:

@@ -69,7 +69,7 @@ def test_ordinary_model_is_trained_on_words_of_12_letters(spark):
     rows = [(i, f"{w}ification password={'0123456789ab'}") for i, w in enumerate(["class", "ident", "spec", "just", "modif", "qual"] * 5)]
     table, limits = secrets.train(secrets.found(spark.createDataFrame(rows, "doc_id long, text string")))
     cell = lambda a, b: table[(secrets.ALPHABET.index(a) + 1) * (len(secrets.ALPHABET) + 1) + secrets.ALPHABET.index(b) + 1]
-    assert cell("f", "i") < -1 < cell("f", "q") and len(limits) == secrets.LONG - secrets.IDENTIFIER + 1
+    assert cell("f", "i") < -1 < cell("f", "q") and len(limits) == 2 * (secrets.LONG - secrets.IDENTIFIER + 1)
 
 
 def test_redaction_keeps_rows_and_columns(spark):
@@ -91,3 +91,56 @@ def test_redact_keeps_columns_with_clashing_names(spark):
     df = spark.createDataFrame([(1, "password = abcdefghijkl123", 9, "x", None), (2, None, 0, "y", "z")], "doc_id long, text string, assign int, __hex string, row string")
     got = sorted(tuple(r) for r in secrets.redact(df).collect())
     assert got == [(1, "[SECRET]", 9, "x", None), (2, None, 0, "y", "z")]
+
+
+ORDINARY = """src/main/java/App 2024-01-15T10-30-00 kubernetes-deployment-v2 utf-8-validation iPhone14ProMax128 com/example/service /usr/local/bin/python3 http//example/path
+0123456789012 getUserNameFromDatabase application/json node_modules/react-dom internationalization max_shuffle_partitions=200 v2025-11-28-build-17 README_first-draft
+Content-Type/text-html com/google/android/gms customer_id_000123 ISO-8859-1-encoding windows-1252-codepage PostgreSQL15database requests_per_second ThreadPoolExecutor
+x86_64-unknown-linux-gnu Donaudampfschifffahrt covid19vaccination report-2023-final-v3""".split()
+
+
+def test_ordinary_strings_with_digits_and_signs_stay(spark):
+    """Models of the given documents: ordinary strings aren't reported or overwritten, random ones are."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rng = random.Random(1)
+    own = [(10**9 + i, f"see {t} here") for i, t in enumerate(ORDINARY)]
+    keys = [(2 * 10**9 + i, f"see {sample(rng, 12 + i % 20)} here") for i in range(100)]
+    both = docs.unionByName(spark.createDataFrame(own + keys, "doc_id long, text string"))
+    clean = {r.doc_id: r.text for r in secrets.redact(both).where("doc_id >= 1000000000").collect()}
+    assert {t for i, t in own if clean[i] != t} <= {"see iPhone14ProMax128 here"}  # one of 28
+    assert sum(clean[i] == "see [SECRET] here" for i, _ in keys) >= 95
+
+
+def test_scores_and_limits_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["".join(rng.choice("etaoin") for _ in range(rng.randrange(12, 24))) for _ in range(20)] + [f"token={sample(rng, 20)}", sample(rng, 15), "a-1-b-2-c-3-d-4"])) for i in range(60)]
+    hits = secrets.found(spark.createDataFrame(rows, "doc_id long, text string"))
+    table, limits = secrets.train(hits)
+    place = lambda c: secrets.ALPHABET.find(c) + 1
+    got = {r.doc_id: {(x.start, x.end) for x in r.markov} for r in secrets.with_markov(hits, table, limits).collect()}
+    for i, text in rows:
+        base = [m.span() for k, (p, ok) in PATTERNS.items() for m in p.finditer(text) if ok(m)]
+        want = set()
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text):
+            t = m[0]
+            mean = sum(table[place(a) * (len(secrets.ALPHABET) + 1) + place(b)] for a, b in zip(t, t[1:])) / (len(t) - 1)
+            least = limits[min(len(t), secrets.LONG) - secrets.IDENTIFIER + (0 if t.isalpha() else secrets.LONG - secrets.IDENTIFIER + 1)]
+            if mean >= least and re.search("[A-Za-z]", t) and not any(s < m.end() and m.start() < e for s, e in base):
+                want.add(m.span())
+        assert got[i] == want
+    assert sum(map(len, got.values())) >= 10
+
+
+def test_ratios_equal_a_plain_count():
+    import math
+    from collections import Counter
+
+    n = len(secrets.ALPHABET) + 1
+    cell = lambda a, b: (secrets.ALPHABET.index(a) + 1) * n + secrets.ALPHABET.index(b) + 1
+    counts = Counter({(0, cell("a", "b")): 6, (0, cell("a", "-")): 2, (0, cell("b", "c")): 4, (1, cell("a", "7")): 3})
+    table = secrets.ratios(counts)
+    q = (6 + 0.5) / (8 + 0.5 * n)
+    kind = (10 + 0.5 * 26) / (12 + 0.5 * n) / 26  # lower case after lower case
+    p = 0.5 / (3 + 0.5 * n)
+    want = math.log((0.5 / n + 0.5 * p) / ((1 - secrets.CLASSES) * q + secrets.CLASSES * kind))
+    assert abs(table[cell("a", "b")] - want) < 1e-12 and table[cell("q", "z")] < 0 < table[cell("a", "7")]
