@@ -16,7 +16,8 @@ FILE_TYPE_WORDS = {
     "image": ["image", "images", "picture", "pictures", "图", "图片", "架构图", "png", "jpg", "jpeg", "photo", "photos"],
 }
 TOKEN = r"[a-z0-9_\-]+|[一-鿿]+"
-WORD = r"[\p{L}\p{N}_-]+"
+CJK = "一-鿿"
+WORD = rf"[{CJK}]|[\p{{L}}\p{{N}}_\-&&[^{CJK}]]+"
 #: Every character that counts as white space at the ends of a text.
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -57,8 +58,12 @@ def lines_of(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-case runs of letters, digits, underscores and hyphens, in order, for lexical scoring."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Terms for lexical scoring: lower-case runs of letters, digits, underscores and hyphens; of runs of Chinese characters
+    every character and, after all these, every two neighbours."""
+    lower = F.lower(text)
+    pairs = F.regexp_extract_all(lower, F.lit(f"(?=([{CJK}]{{2}}))"), F.lit(1))
+    plain = F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return F.when(lower.rlike(f"[{CJK}]"), F.concat(plain, pairs)).otherwise(plain)
 
 
 def tokens(text: Column) -> Column:

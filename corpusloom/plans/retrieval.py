@@ -36,6 +36,18 @@ def query_features(spark, d):
     return out.select("query_id", "normalized", F.array_join("tokens", " ").alias("tokens"), F.array_join("keywords", " ").alias("keywords"), F.array_join("identifiers", " ").alias("identifiers"), F.array_join("rule_tokens", " ").alias("rule_tokens"), "wants_recent", "wants_pdf", "wants_document", "wants_image")
 
 
+def cjk_features(spark, d):
+    """``query_features`` of benchmark texts in mixed script."""
+    out = tx.query_features(v.cjk(v.text_queries(spark, d), "text"))
+    return out.select("query_id", F.md5("normalized").alias("normalized_md5"), *[F.array_join(c, " ").alias(c) for c in ("tokens", "keywords", "identifiers", "rule_tokens")], "wants_recent", "wants_pdf", "wants_document", "wants_image")
+
+
+def cjk_bm25(spark, d):
+    """BM25 of benchmark texts over chunks, both in mixed script."""
+    out = r.bm25_topk(v.cjk(v.text_queries(spark, d), "text"), v.cjk(_chunks(spark, d), "small_chunk_text"))
+    return out.select("query_id", "file_id", "small_chunk_index", "rank", F.round("bm25_raw", 5).alias("bm25_raw"))
+
+
 def _rewrites(q):
     """A rewriting model's replies: a third of them fenced JSON, a third no JSON, a third an empty list."""
     listed = F.to_json(F.array(F.concat(F.lit("more "), F.col("text")), F.concat(F.lit(" \t"), F.col("text"), F.lit("\n")), F.col("text")))
@@ -127,7 +139,7 @@ def hybrid_rewrites(spark, d):
     return out.select("query_id", "rank", "file_id", "small_chunk_index", "file_name", "page_start", F.round("bm25_score", 5).alias("bm25_score"), "rule_score", F.round("final_score", 5).alias("final_score"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieve, hybrid_rewrites, vector_topk, ivf_topk, query_features, parse_rewrites, bm25_topk, fulltext_match, fulltext_topk, rule_topk, rerank, related_files, references, answers, context_blocks)}
+QUERIES = {f.__name__: f for f in (hybrid_retrieve, hybrid_rewrites, vector_topk, ivf_topk, query_features, cjk_features, cjk_bm25, parse_rewrites, bm25_topk, fulltext_match, fulltext_topk, rule_topk, rerank, related_files, references, answers, context_blocks)}
 
 _RECENT = "(" + " OR ".join(f"contains(normalized, '{w}')" for w in tx.RECENT_WORDS) + ")"
 
@@ -152,6 +164,29 @@ _EXPR = {
 }
 
 
+def _mixed(text: str) -> str:
+    return f"translate(lower({text}), '{v.LETTERS}', '{v.SCRIPT}')"
+
+
+def _terms(text: str) -> str:
+    """Terms of a text with Chinese characters: words and single characters, then pairs."""
+    return f"list_concat(regexp_extract_all(regexp_replace({text}, '([{tx.CJK}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}_-]+'), list_filter(list_transform(range(1, length({text})), lambda i: substring({text}, i, 2)), lambda p: regexp_full_match(p, '[{tx.CJK}]{{2}}')))"
+
+
+def _edges(x: str) -> str:
+    return f"trim(trim({x}), '{tx.EDGE_NOISE}')"
+
+
+def _expanded(t: str) -> str:
+    """The parts of a token of four or more Chinese characters."""
+    cut = t
+    for m in tx.SPLIT_MARKERS:
+        cut = f"replace({cut}, '{m}', ' ')"
+    parts = f"list_filter(list_transform(regexp_split_to_array({cut}, ' +'), lambda x: {_edges('x')}), lambda x: length(x) >= 2)"
+    parts = f"flatten(list_transform({parts}, lambda x: CASE WHEN length(x) >= 4 THEN [x, left(x, 2), right(x, 2)] ELSE [x] END))"
+    return f"CASE WHEN regexp_full_match({t}, '[{tx.CJK}]{{4,}}') THEN list_transform(list_concat({parts}, [left({t}, 2), right({t}, 2)]), lambda x: {_edges('x')}) ELSE []::VARCHAR[] END"
+
+
 def _weight(docs: str) -> str:
     return f"ln(1 + ((SELECT count(*) FROM {docs}) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT avg(len(ws)) FROM {docs})))"
 
@@ -200,10 +235,25 @@ def _over_rewrites() -> dict[str, str]:
 _REWRITES = "CASE WHEN query_id % 3 = 0 THEN ['more ' || rtrim(text), trim(text)] ELSE [trim(text)] END"
 _BLOCKS = """SELECT query_id, part, ord, block FROM h UNION ALL SELECT query_id, 1, ord, block FROM s WHERE nth <= greatest(1, 4 - nh)
     UNION ALL SELECT r.query_id, 2, r.rank, '[文件] ' || r.file_name FROM related r LEFT JOIN nh USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS ns FROM s WHERE nth <= greatest(1, 4 - nh) GROUP BY query_id) USING (query_id) WHERE r.rank <= 4 - coalesce(nh, 0) - coalesce(ns, 0)"""
+_STOP = "(" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + ")"
+_CJK = {
+    "g0": f"SELECT query_id, trim({_mixed('text')}, {v.WHITE}) AS normalized FROM text_queries",
+    "g1": f"SELECT *, regexp_extract_all(normalized, '[a-z0-9_\\-]+|[{tx.CJK}]+') AS tokens FROM g0",
+    "g2": f"SELECT *, list_filter(tokens, lambda t: regexp_full_match(t, '[a-z0-9_\\-]+')) AS identifiers, list_filter(flatten(list_transform(tokens, lambda t: list_concat([t], {_expanded('t')}))), lambda x: length(x) >= 2 AND x NOT IN {_STOP}) AS k0 FROM g1",
+    "g3": "SELECT *, list_filter(k0, lambda x, i: list_position(k0, x) = i) AS keywords, list_filter(list_concat(identifiers, k0), lambda x: length(x) >= 2) AS r0 FROM g2",
+    "g4": f"SELECT *, list_filter(r0, lambda x, i: list_position(r0, x) = i) AS rule_tokens, {_RECENT} AS wants_recent, {_wants('pdf')} AS wants_pdf, {_wants('document')} AS wants_document, {_wants('image')} AS wants_image FROM g3",
+}
+_CJK_BM25 = {k: x for k, x in _EXPR.items() if k in ("ok", "names", "np", "bp", "bs", "ns", "raw", "bm")} | {
+    "terms": f"SELECT DISTINCT query_id, user_id, unnest({_terms('t')}) AS token FROM (SELECT *, {_mixed('text')} AS t FROM text_queries)",
+    "body": f"SELECT file_id, small_chunk_index, user_id, {_terms('t')} AS ws FROM (SELECT *, {_mixed('small_chunk_text')} AS t FROM ok)",
+}
+_CJK_BM25 = {k: _CJK_BM25[k] for k in ("ok", "terms", "body", "names", "bp", "np", "bs", "ns", "raw", "bm")}
 ORACLES = {
     "vector_topk": _sql("""SELECT query_id, file_id, small_chunk_index, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance, round(greatest(0, least(1, 1 - distance)), 6) AS vector_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, file_id, small_chunk_index) AS rank FROM
         (SELECT query_id, c.file_id, small_chunk_index, 1 - list_cosine_similarity(embedding, query_vector) AS distance FROM vq q JOIN okv c ON q.user_id = c.user_id)) WHERE rank <= 18""", "okv").replace("WITH ", "WITH vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector, d.source AS user_id FROM embeddings e JOIN documents d ON e.vec_id // 5 = d.doc_id WHERE vec_id % 50 = 0),\n", 1),
     "query_features": _sql("SELECT query_id, normalized, array_to_string(tokens, ' ') AS tokens, array_to_string(keywords, ' ') AS keywords, array_to_string(identifiers, ' ') AS identifiers, array_to_string(rule_tokens, ' ') AS rule_tokens, wants_recent, wants_pdf, wants_document, wants_image FROM features", "features"),
+    "cjk_features": sql("SELECT query_id, md5(normalized) AS normalized_md5, array_to_string(tokens, ' ') AS tokens, array_to_string(keywords, ' ') AS keywords, array_to_string(identifiers, ' ') AS identifiers, array_to_string(rule_tokens, ' ') AS rule_tokens, wants_recent, wants_pdf, wants_document, wants_image FROM g4", "text_queries", **_CJK),
+    "cjk_bm25": sql("SELECT query_id, file_id, small_chunk_index, rank, round(bm25_raw, 5) AS bm25_raw FROM bm", "chunks", "text_queries", **_CJK_BM25),
     "parse_rewrites": sql(f"""SELECT query_id, CAST(k AS BIGINT) AS rewrite_no, l[k + 1] AS text FROM (SELECT query_id, {_REWRITES} AS l FROM text_queries), LATERAL (SELECT unnest(range(len(l))) AS k)""", "text_queries"),
     "hybrid_rewrites": sql("SELECT query_id, rank, file_id, small_chunk_index, file_name, page_start, CAST(round(b, 5) AS DOUBLE) AS bm25_score, CAST(r AS DOUBLE) AS rule_score, round(final_score, 5) AS final_score FROM snips", "chunks", "chunk_vectors", "text_queries", **_over_rewrites()),
     "bm25_topk": _sql("SELECT query_id, file_id, small_chunk_index, rank, round(bm25_raw, 5) AS bm25_raw, round(bm25_score, 5) AS bm25_score FROM bm", "bm"),

@@ -60,6 +60,15 @@ def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("user_id"))
 
 
+#: Letters and the Chinese characters that stand for them in queries over mixed script; neighbours make words like 怎么 and 报告.
+LETTERS, SCRIPT = "theanorids", "文件系统怎么报告的如"
+
+
+def cjk(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with ten letters of a column as Chinese characters."""
+    return df.withColumn(column, F.translate(F.lower(column), LETTERS, SCRIPT))
+
+
 #: White space as a DuckDB string, for trim.
 WHITE = " || ".join(f"chr({ord(c)})" for c in text.WHITE)
 #: DuckDB twins, in an order in which each may use those before it.
