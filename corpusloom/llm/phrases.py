@@ -5,8 +5,8 @@ its phrases of k words have reached the threshold, is counted from the next shar
 lengths interleave, so several are counted in one scan.
 
 The scans read shards of 64-bit word hashes and count phrase hashes, so a count is never too small and no phrase is lost; what is
-active is told to tasks by two bitmaps of bounded size. A last scan counts the phrases found by their words: a
-hash or a bit that two phrases share costs work, never a wrong count.
+active is told to tasks by two bitmaps of bounded size. Two last scans count the phrases found, and the words in them, by
+their words: a hash or a bit that two phrases share costs work, never a wrong count.
 """
 
 from __future__ import annotations
@@ -182,8 +182,9 @@ def count_shard(shard: DataFrame, words_too: bool, reached: Bits | None, recent:
     return shard.mapInArrow(run, COUNTS)
 
 
-def count_words(text: DataFrame, found: Bits) -> DataFrame:
-    """(lang, phrase, k, f): exact counts of the phrases whose hash is in ``found``; k = 0 has a language's number of words."""
+def count_words(text: DataFrame, found: Bits, single: bool) -> DataFrame:
+    """(lang, phrase, k, f): exact counts of what has its hash in ``found``: single words, or else the phrases of several words,
+    with a language's number of words as k = 0."""
     shared = text.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,19 +208,23 @@ def count_words(text: DataFrame, found: Bits) -> DataFrame:
             kinds = lang.dictionary_encode().indices.to_numpy()
             for fresh, starts, ends, row in blocks(offsets, data):
                 w, old = Words(seeds, data, starts, ends, row), int((~fresh).sum())
+                strings, ok = w.strings(), found.has(w.hash)
+                if single:
+                    at = np.flatnonzero(ok & fresh)
+                    coded = strings.take(pa.array(at)).dictionary_encode()  # by their bytes, not by their hashes
+                    own = kinds[row[at]].astype(np.int64) * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
+                    _, first, n = np.unique(own, return_index=True, return_counts=True)
+                    held.append(table(lang, row[at[first]], strings.take(pa.array(at[first])), 1, n))
+                    continue
                 rows, n = np.unique(row[old:], return_counts=True)
                 held.append(table(lang, rows, pa.array([b""] * len(rows), pa.large_binary()), 0, n))
-                at, strings = np.flatnonzero(found.has(w.hash) & fresh), w.strings()
-                coded = strings.take(pa.array(at)).dictionary_encode()  # by their bytes, not by their hashes
-                own = kinds[row[at]].astype(np.int64) * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
-                _, first, n = np.unique(own, return_index=True, return_counts=True)
-                held.append(table(lang, row[at[first]], strings.take(pa.array(at[first])), 1, n))
                 whole = w.hash
                 for k in range(2, LONGEST + 1):
                     if len(whole) < 2:
                         break
                     whole, fits = windows(w.hash, w.joined, old, k, whole)
-                    at = np.flatnonzero(fits & found.has(whole))
+                    ok = ok[:-1] & ok[1:] & found.has(whole)  # a phrase is there only if both its parts are
+                    at = np.flatnonzero(fits & ok)
                     if len(at):
                         spans = [strings.take(pa.array(at + i)) for i in range(k)]
                         held.append(table(lang, row[at], pc.binary_join_element_wise(*spans, pa.scalar(b" ", pa.large_binary())), k, np.ones(len(at))))
@@ -282,6 +287,19 @@ def frequent(text: DataFrame, least: int, shards: int) -> tuple[DataFrame | None
     return (tables("reached", "h long", range(step)), total) if total else (None, 0)
 
 
+def word_hashes(words: DataFrame) -> DataFrame:
+    """(h) of the words (lang, text), as the scans have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, data = _texts(batch)
+            if batch.num_rows:
+                h = tagged(mix(span_hash(prefix_sums(data), offsets[:-1], offsets[1:]) + _lang_hashes(column(batch, "lang"))), 1)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return words.select("lang", "text").mapInArrow(run, "h long")
+
+
 def bits_for(phrases: int) -> int:
     size = LEAST_BITS
     while size < min(phrases * FILL, MOST_BITS):
@@ -293,9 +311,14 @@ def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[Da
     """(lang, phrase, k, f) of every phrase of up to LONGEST words that occurs ``least`` times or more, and (lang, n)."""
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found, total = frequent(text, least, shards)
-    exact = count_words(text, bitmap(found, bits_for(total)) if total else Bits({}, LEAST_BITS))
+    exact = count_words(text, bitmap(found, bits_for(total)) if total else Bits({}, LEAST_BITS), False)
     exact = written(exact.where((F.col("f") >= least) | (F.col("k") == 0)), "phrase-counts")
-    return exact.where("k > 0"), exact.where("k = 0").select("lang", F.col("f").alias("n"))
+    # of the words only those that a phrase holds are counted: nothing else is asked for
+    needed = exact.where("k > 1").select("lang", F.explode(F.split("phrase", " ", -1)).alias("text")).distinct()
+    needed = written(word_hashes(needed), "phrase-words")
+    words = count_words(text, bitmap(needed, bits_for(needed.count())), True)
+    words = written(words.where(F.col("f") >= least), "word-counts")
+    return exact.where("k > 1").unionByName(words), exact.where("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def rank(counts: DataFrame, words: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:
