@@ -27,6 +27,11 @@ def vector_topk(spark, d):
     return r.vector_topk(*_vectors(spark, d), min_similarity=0.0).select("query_id", "file_id", "small_chunk_index", "rank", F.round("distance", 6).alias("distance"), F.round("vector_score", 6).alias("vector_score"))
 
 
+def vector_matches(spark, d):
+    """``vector_topk`` with the route's own least similarity."""
+    return r.vector_topk(*_vectors(spark, d)).select("query_id", "file_id", "small_chunk_index", "rank", F.round("vector_score", 6).alias("vector_score"))
+
+
 def ivf_topk(spark, d):
     return r.ivf_topk(*_vectors(spark, d)).select("query_id", "file_id", "small_chunk_index", "rank", "vector_score")
 
@@ -139,7 +144,7 @@ def hybrid_rewrites(spark, d):
     return out.select("query_id", "rank", "file_id", "small_chunk_index", "file_name", "page_start", F.round("bm25_score", 5).alias("bm25_score"), "rule_score", F.round("final_score", 5).alias("final_score"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_retrieve, hybrid_rewrites, vector_topk, ivf_topk, query_features, cjk_features, cjk_bm25, parse_rewrites, bm25_topk, fulltext_match, fulltext_topk, rule_topk, rerank, related_files, references, answers, context_blocks)}
+QUERIES = {f.__name__: f for f in (hybrid_retrieve, hybrid_rewrites, vector_topk, vector_matches, ivf_topk, query_features, cjk_features, cjk_bm25, parse_rewrites, bm25_topk, fulltext_match, fulltext_topk, rule_topk, rerank, related_files, references, answers, context_blocks)}
 
 _RECENT = "(" + " OR ".join(f"contains(normalized, '{w}')" for w in tx.RECENT_WORDS) + ")"
 
@@ -251,6 +256,8 @@ _CJK_BM25 = {k: _CJK_BM25[k] for k in ("ok", "terms", "body", "names", "bp", "np
 ORACLES = {
     "vector_topk": _sql("""SELECT query_id, file_id, small_chunk_index, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance, round(greatest(0, least(1, 1 - distance)), 6) AS vector_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, file_id, small_chunk_index) AS rank FROM
         (SELECT query_id, c.file_id, small_chunk_index, 1 - list_cosine_similarity(embedding, query_vector) AS distance FROM vq q JOIN okv c ON q.user_id = c.user_id)) WHERE rank <= 18""", "okv").replace("WITH ", "WITH vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector, d.source AS user_id FROM embeddings e JOIN documents d ON e.vec_id // 5 = d.doc_id WHERE vec_id % 50 = 0),\n", 1),
+    "vector_matches": _sql("""SELECT query_id, file_id, small_chunk_index, CAST(rank AS INTEGER) AS rank, round(1 - distance, 6) AS vector_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, file_id, small_chunk_index) AS rank FROM
+        (SELECT query_id, c.file_id, small_chunk_index, 1 - list_cosine_similarity(embedding, query_vector) AS distance FROM vq q JOIN okv c ON q.user_id = c.user_id)) WHERE rank <= 18 AND 1 - distance >= 0.4""", "okv").replace("WITH ", "WITH vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query_vector, d.source AS user_id FROM embeddings e JOIN documents d ON e.vec_id // 5 = d.doc_id WHERE vec_id % 50 = 0),\n", 1),
     "query_features": _sql("SELECT query_id, normalized, array_to_string(tokens, ' ') AS tokens, array_to_string(keywords, ' ') AS keywords, array_to_string(identifiers, ' ') AS identifiers, array_to_string(rule_tokens, ' ') AS rule_tokens, wants_recent, wants_pdf, wants_document, wants_image FROM features", "features"),
     "cjk_features": sql("SELECT query_id, md5(normalized) AS normalized_md5, array_to_string(tokens, ' ') AS tokens, array_to_string(keywords, ' ') AS keywords, array_to_string(identifiers, ' ') AS identifiers, array_to_string(rule_tokens, ' ') AS rule_tokens, wants_recent, wants_pdf, wants_document, wants_image FROM g4", "text_queries", **_CJK),
     "cjk_bm25": sql("SELECT query_id, file_id, small_chunk_index, rank, round(bm25_raw, 5) AS bm25_raw FROM bm", "chunks", "text_queries", **_CJK_BM25),
