@@ -89,3 +89,28 @@ def test_fitting_sample_is_bounded(spark):
     for most in (50, 470):  # far fewer than the labelled rows, and nearly all of them
         got = quality.score(frame, marks, most=most).collect()
         assert np.mean([r.predicted == truth[r.doc_id][0] for r in got]) > 0.9
+
+
+def test_dual_coordinate_descent_solves_the_hinge_loss_problem():
+    """Against projected gradient ascent on the same dual: one optimum, no duality gap."""
+    rng = np.random.default_rng(6)
+    n, d, cost = 40, 12, 0.7
+    rows = [np.flatnonzero(rng.random(d) < 0.5) for _ in range(n)]
+    rows = [r if len(r) else np.array([0]) for r in rows]
+    scale = rng.normal(size=d)
+    y = (rng.random(n) < 0.3).astype(float)
+    w = quality.dual_coordinate_descent(rows, scale, y, cost=cost, epochs=4000)
+    x = np.zeros((n, d + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.sqrt((scale[r] ** 2).sum() + 1e-12)
+    x[:, d] = 1
+    sign = np.where(y > 0, 1.0, -1.0)
+    bound = np.where(y > 0, cost / (2 * y.mean()), cost / (2 * (1 - y.mean())))
+    z = x * sign[:, None]
+    alpha = np.zeros(n)
+    for _ in range(60_000):
+        alpha = np.clip(alpha + 0.02 * (1 - z @ (z.T @ alpha)), 0, bound)
+    primal = lambda w: w @ w / 2 + (bound * np.maximum(0, 1 - z @ w)).sum()
+    best = z.T @ alpha
+    dual = alpha.sum() - best @ best / 2
+    assert abs(primal(best) - dual) < 1e-6 * dual and abs(primal(w) - dual) < 1e-6 * dual and np.abs(w - best).max() < 1e-3
