@@ -113,8 +113,8 @@ def tool_parameters(spark) -> DataFrame:
 
 
 def guardrails(calls: DataFrame, tools: DataFrame) -> DataFrame:
-    """Adds verdict for (user_id, tool_name, args map, confirmed): the first problem, or ok. Tools are a small table."""
-    rows = calls.join(F.broadcast(tools), "tool_name", "left")
+    """Adds verdict for (user_id, tool_name, args map, confirmed): the first problem, or ok."""
+    rows = calls.join(tools, "tool_name", "left")
     missing = F.array_except("required", F.coalesce(F.map_keys("args"), F.array().cast("array<string>")))
     verdict = F.when(F.coalesce(F.col("user_id").cast("string"), F.lit("")) == "", "UNAUTHENTICATED").when(F.col("params").isNull(), "TOOL_MISMATCH").when(F.size(missing) > 0, "MISSING_ARGUMENTS").when(F.col("confirm") & ~F.col("confirmed"), "CONFIRMATION_REQUIRED").otherwise("ok")
     return rows.withColumn("verdict", verdict).drop("params", "required", "confirm", "retryable", "max_attempts", "scopes")

@@ -18,7 +18,7 @@ NOW = 1704067200 + 3600 * 2000
 
 def validate_uploads(spark, d):
     files = v.files(spark, d).withColumn("file_name", F.when(F.col("file_id") % 7 == 0, F.concat("file_name", F.lit(".exe"))).otherwise(F.col("file_name"))).withColumn("file_size", F.when(F.col("file_id") % 11 == 0, F.lit(0)).otherwise(F.col("file_size") * 2000))
-    return cat.validate_uploads(files).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
+    return cat.validate_uploads(files).select("file_id", F.coalesce("reject_reason", F.lit("accepted")).alias("reason"), F.col("file_size").cast("long").alias("bytes"))
 
 
 def object_keys(spark, d):
@@ -36,7 +36,7 @@ def aggregate_status(spark, d):
 
 
 def initial_channels(spark, d):
-    return cat.initial_channels(v.files(spark, d)).groupBy("file_ext", "text_status", "image_status", "aggregate_status").agg(F.count("*").alias("n"))
+    return cat.initial_channels(v.files(spark, d)).select("file_id", "file_ext", "text_status", "image_status", "aggregate_status")
 
 
 def apply_ingest_result(spark, d):
@@ -77,12 +77,20 @@ def cascade_delete(spark, d):
     files, chunks = v.files(spark, d), v.chunk_vectors(spark, d)
     gone = files.where("file_id % 6 = 0").select("file_id")
     a, b = cat.cascade_delete(gone, "file_id", (files, "file_id", "file_id"), (chunks, "file_id", None))
-    return a.select("file_id", F.lit("file").alias("kind")).unionByName(b.select("file_id", F.lit("chunk").alias("kind"))).groupBy("file_id", "kind").agg(F.count("*").alias("n"))
+    left = a.select(F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("key")).unionByName(b.select(F.lit("chunk").alias("kind"), F.concat_ws(":", F.col("file_id").cast("string"), F.col("small_chunk_index").cast("string")).alias("key")))
+    messages = _messages(spark, d)
+    conversations = messages.select("conversation_id").distinct()
+    refs = messages.select(F.col("message_id").alias("of"), F.explode(F.sequence(F.lit(0), F.col("created_at").cast("int") % 3)).alias("ref_no"))
+    kept = cat.cascade_delete(conversations.where("conversation_id % 4 = 1"), "conversation_id", (conversations, "conversation_id", "conversation_id"), (messages, "conversation_id", "message_id"), (refs, "of", None))
+    keys = F.col("conversation_id").cast("string"), F.col("message_id"), F.concat_ws("#", "of", F.col("ref_no").cast("string"))
+    for kind, rows, key in zip(("conversation", "message", "reference"), kept, keys, strict=True):
+        left = left.unionByName(rows.select(F.lit(kind).alias("kind"), key.alias("key")))
+    return left
 
 
 def conform_schema(spark, d):
     out = cat.conform_schema(v.table(spark, d, "customer").select("c_custkey"), {"c_custkey": ("long", 0), "status": ("string", "PENDING"), "chunk_count": ("int", 0), "node_id": ("long", F.col("c_custkey"))})
-    return out.groupBy("status", "chunk_count").agg(F.count("*").alias("n"), F.sum("node_id").alias("ids"))
+    return out.select("c_custkey", "status", "chunk_count", "node_id")
 
 
 def _nodes(spark, d):
@@ -122,7 +130,7 @@ def list_tenants(spark, d):
 def route_tenants(spark, d):
     tenants = v.table(spark, d, "region").select(F.col("r_name").alias("tenant_id"), (F.col("r_regionkey") != 4).alias("enabled"))
     requests = v.table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", "default", "NOWHERE"])), (F.col("c_custkey") % 7 + 1).cast("int")).alias("tenant_id"))
-    return cat.route_tenants(requests, tenants).groupBy("tenant_id", "routed", "reject_reason").agg(F.count("*").alias("n"))
+    return cat.route_tenants(requests, tenants).select("c_custkey", "tenant_id", "routed", "reject_reason")
 
 
 # ---------------------------------------------------------------------------------------------------- conversations
@@ -319,11 +327,11 @@ _POS = "CAST(row_number() OVER ({}) AS INTEGER)".format
 _MEM = "SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY at_) AS INTEGER) AS pos FROM (SELECT conv_id AS session_id, turn AS at_, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user') WHERE back <= {}".format
 
 ORACLES = {
-    "validate_uploads": sql("SELECT reason, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT size, CASE WHEN file_id % 7 = 0 THEN 'extension' WHEN size <= 0 THEN 'empty' WHEN size > 10485760 THEN 'too large' ELSE 'accepted' END AS reason FROM (SELECT file_id, CASE WHEN file_id % 11 = 0 THEN 0 ELSE file_size * 2000 END AS size FROM files)) GROUP BY reason", "files"),
+    "validate_uploads": sql("SELECT file_id, reason, CAST(size AS BIGINT) AS bytes FROM (SELECT file_id, size, CASE WHEN file_id % 7 = 0 THEN 'extension' WHEN size <= 0 THEN 'empty' WHEN size > 10485760 THEN 'too large' ELSE 'accepted' END AS reason FROM (SELECT file_id, CASE WHEN file_id % 11 = 0 THEN 0 ELSE file_size * 2000 END AS size FROM files))", "files"),
     "object_keys": sql("SELECT file_id, 'uploads/' || strftime(to_timestamp(created_epoch) AT TIME ZONE 'UTC', '%Y/%m/%d') || '/' || file_id || '.' || file_ext AS object_key FROM files", "files"),
     "aggregate_status": sql(f"""SELECT file_id, CASE WHEN file_ext <> 'png' THEN t WHEN t = 'FAILED' OR i = 'FAILED' THEN 'FAILED' WHEN t = 'VECTORIZED' AND i = 'VECTORIZED' THEN 'VECTORIZED' WHEN t IN ('PROCESSING', 'VECTORIZED') OR i IN ('PROCESSING', 'VECTORIZED') THEN 'PROCESSING' ELSE 'PENDING' END AS status,
         CASE WHEN t = 'FAILED' THEN 'text failed' WHEN file_ext = 'png' AND i = 'FAILED' THEN 'image failed' END AS error FROM (SELECT *, {_STATUS('file_id % 5')} AS t, {_STATUS('file_id % 3')} AS i FROM files)""", "files"),
-    "initial_channels": sql("SELECT file_ext, 'PENDING' AS text_status, CASE WHEN file_ext = 'png' THEN 'PENDING' END AS image_status, 'PENDING' AS aggregate_status, count(*) AS n FROM files GROUP BY ALL", "files"),
+    "initial_channels": sql("SELECT file_id, file_ext, 'PENDING' AS text_status, CASE WHEN file_ext = 'png' THEN 'PENDING' END AS image_status, 'PENDING' AS aggregate_status FROM files", "files"),
     "apply_ingest_result": sql(f"SELECT file_id, CASE file_id % 3 WHEN 0 THEN text_vector_status WHEN 1 THEN 'VECTORIZED' ELSE 'FAILED' END AS new_status, CASE WHEN file_id % 3 = 2 THEN md5(left(repeat(file_name, 80), 1024)) END AS error_md5, CASE WHEN file_id % 3 = 1 THEN file_size % 17 ELSE 0 END AS chunk_count, CASE WHEN file_id % 3 = 1 THEN {NOW}::BIGINT END AS vectorized_epoch FROM files", "files"),
     "recent_uploads": sql(f"""SELECT user_id, file_type, file_id, rank FROM (SELECT user_id, file_type, file_id, n, {_POS('PARTITION BY user_id, file_type ORDER BY created_epoch DESC, file_id DESC')} AS rank FROM
         (SELECT f.*, k.*, row_number() OVER (PARTITION BY user_id, file_type ORDER BY created_epoch DESC, file_id DESC) AS w FROM files f, (VALUES ('pdf', 3), ('image', 15), ('document', 5), ('all', 4)) AS k(file_type, n))
@@ -332,14 +340,16 @@ ORACLES = {
     "list_by_user": sql(f"SELECT user_id, file_id, {_POS('PARTITION BY user_id ORDER BY created_epoch DESC, file_id DESC')} AS pos FROM files", "files"),
     "replace_by_key": sql("SELECT file_id, small_chunk_index FROM chunk_vectors WHERE file_id % 4 <> 0 UNION ALL SELECT file_id, small_chunk_index + 100 FROM chunk_vectors WHERE file_id % 4 = 0 AND small_chunk_index < 2 UNION ALL SELECT file_id, small_chunk_index FROM chunk_vectors WHERE file_id % 4 = 0 AND file_id NOT IN (SELECT file_id FROM chunk_vectors WHERE small_chunk_index < 2)", "chunk_vectors"),
     "upsert": sql("SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 'moved' ELSE user_id END AS user_id, CASE WHEN file_id % 5 = 0 THEN created_epoch + 10 ELSE created_epoch END AS created_epoch FROM files", "files"),
-    "cascade_delete": sql("SELECT file_id, 'file' AS kind, 1::BIGINT AS n FROM files WHERE file_id % 6 <> 0 UNION ALL SELECT file_id, 'chunk', count(*) FROM chunk_vectors WHERE file_id NOT IN (SELECT file_id FROM files WHERE file_id % 6 = 0) GROUP BY file_id", "files", "chunk_vectors"),
-    "conform_schema": "SELECT 'PENDING' AS status, 0 AS chunk_count, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS ids FROM customer",
+    "cascade_delete": sql("""SELECT 'file' AS kind, CAST(file_id AS VARCHAR) AS key FROM files WHERE file_id % 6 <> 0 UNION ALL SELECT 'chunk', file_id || ':' || small_chunk_index FROM chunk_vectors WHERE file_id NOT IN (SELECT file_id FROM files WHERE file_id % 6 = 0)
+        UNION ALL SELECT DISTINCT 'conversation', CAST(conversation_id AS VARCHAR) FROM m WHERE conversation_id % 4 <> 1 UNION ALL SELECT 'message', message_id FROM m WHERE conversation_id % 4 <> 1
+        UNION ALL SELECT 'reference', message_id || '#' || unnest(range(created_at % 3 + 1)) FROM m WHERE conversation_id % 4 <> 1""", "files", "chunk_vectors", m=_MSG),
+    "conform_schema": "SELECT c_custkey, 'PENDING' AS status, 0 AS chunk_count, c_custkey AS node_id FROM customer",
     "tree_nodes": sql(f"SELECT node_id, {_POS('ORDER BY parent_id ASC NULLS LAST, sort_order, node_id')} AS pos FROM nodes", nodes=_NODES),
     "next_sort_order": sql("SELECT 'u' AS user_id, p.parent_id, coalesce(m, 0) AS next FROM (SELECT node_id AS parent_id FROM nodes UNION ALL SELECT NULL) p LEFT JOIN (SELECT parent_id, max(sort_order) + 1 AS m FROM nodes GROUP BY parent_id) t ON p.parent_id IS NOT DISTINCT FROM t.parent_id", nodes=_NODES),
     "ensure_roots": sql("SELECT DISTINCT user_id, 'n' || user_id AS node_id, 'x' AS name FROM files WHERE user_id < 'src15' UNION ALL SELECT u.user_id, coalesce(CAST(m AS VARCHAR), 'root-' || u.user_id), '默认节点' FROM (SELECT DISTINCT user_id FROM files WHERE user_id >= 'src15') u LEFT JOIN (SELECT user_id, max(file_id) AS m FROM files WHERE file_id % 2 = 0 GROUP BY user_id) c USING (user_id)", "files"),
     "canvas_lookup": sql("SELECT user_id, file_id AS node_id, file_id % 3 = 0 AS exists, CASE WHEN file_id % 3 = 0 THEN file_name ELSE '' END AS name, CASE WHEN file_id % 3 = 0 THEN '<x>' || file_ext ELSE '' END AS xml_content FROM files", "files"),
     "list_tenants": "SELECT n_name AS tenant_id, n_regionkey <> 4 AS enabled, CAST(row_number() OVER (PARTITION BY n_regionkey <> 4 ORDER BY n_nationkey % 7 DESC, n_name) AS INTEGER) AS pos, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS name FROM nation",
-    "route_tenants": "SELECT tenant_id, routed, CASE WHEN NOT routed THEN CASE WHEN tenant_id = 'NOWHERE' THEN 'unknown' ELSE 'disabled' END END AS reject_reason, count(*) AS n FROM (SELECT t.tenant_id, t.tenant_id = 'default' OR coalesce(r.r_regionkey <> 4, false) AS routed FROM (SELECT ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST', 'default', 'NOWHERE'][CAST(c_custkey % 7 + 1 AS INTEGER)] AS tenant_id FROM customer) t LEFT JOIN region r ON r.r_name = t.tenant_id) GROUP BY ALL",
+    "route_tenants": "SELECT c_custkey, tenant_id, routed, CASE WHEN NOT routed THEN CASE WHEN tenant_id = 'NOWHERE' THEN 'unknown' ELSE 'disabled' END END AS reject_reason FROM (SELECT t.c_custkey, t.tenant_id, t.tenant_id = 'default' OR coalesce(r.r_regionkey <> 4, false) AS routed FROM (SELECT ['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST', 'default', 'NOWHERE'][CAST(c_custkey % 7 + 1 AS INTEGER)] AS tenant_id, c_custkey FROM customer) t LEFT JOIN region r ON r.r_name = t.tenant_id)",
     "latest_conversation": "SELECT user_id, conversation_id, last_message_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC, conversation_id DESC) AS n FROM (SELECT conv_id % 20 AS user_id, conv_id AS conversation_id, max(turn) AS last_message_at FROM conversations GROUP BY conv_id)) WHERE n = 1",
     "messages_of": sql(f"SELECT conversation_id, message_id, {_POS('PARTITION BY conversation_id ORDER BY created_at, message_id')} AS pos FROM m WHERE conversation_id % 3 <> 0", m=_MSG),
     "recent_messages": sql(f"SELECT conversation_id, {_POS('PARTITION BY conversation_id ORDER BY created_at')} AS pos, message_id, role FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC) AS b FROM m) WHERE b <= 4", m=_MSG),

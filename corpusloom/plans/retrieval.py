@@ -8,14 +8,15 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import embed, retrieve as r
 from corpusloom.plans import views as v
 from corpusloom.plans.views import sql
+from corpusloom.sources.stored import stored
 
 #: The time that recent bonuses are counted from: two days after the hour of file 900.
 NOW = 1704067200 + 3600 * 948
 
 
 def _chunks(spark, d):
-    """The chunk table of searchable files. All routes read it, so it is kept; in production it is a stored table."""
-    return r.eligible(v.chunks(spark, d), v.files(spark, d)).persist()
+    """The chunk table of searchable files, stored, since all routes read it."""
+    return stored(r.eligible(v.chunks(spark, d), v.files(spark, d)), "chunks")
 
 
 def _vectors(spark, d):
