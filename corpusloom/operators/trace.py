@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import canonical_json, rstrip, strip
+from corpusloom.functions.text import WHITE, canonical_json, strip
 
 MAX_STEPS, MAX_REPEATS, MAX_EMPTY = 6, 3, 2
 # Categories of error codes; any other code is a service error.
@@ -225,14 +225,14 @@ def decisions(texts: DataFrame) -> DataFrame:
     return texts.select("message_id", line("Thought", ".+?").alias("thought"), F.when(call, name).alias("action"), F.when(call, args).alias("args"), F.when(~call, F.coalesce(final, t)).alias("final_answer"), F.when(call, "tool_call").otherwise("final_answer").alias("decision_type"))
 
 
-def observation_summary(obs: DataFrame) -> DataFrame:
+def observation_summary(obs: DataFrame, white: str = WHITE) -> DataFrame:
     """Adds summary (success, or failure with code and message cut at 157 characters; never the payload) and short (result
-    cut at 255 and '...' when over 256)."""
+    cut at 255 and '...' when over 256). The characters of ``white`` go from the ends of message and result, and from a cut end."""
     name = F.coalesce(F.nullif(strip("tool_name"), F.lit("")), F.lit("unknown_tool"))
-    message = strip(F.coalesce("error_message", F.lit("")))
+    message = F.btrim(F.coalesce("error_message", F.lit("")), F.lit(white))
     message = F.when(F.length(message) > 160, F.concat(F.substring(message, 1, 157), F.lit("..."))).otherwise(message)
     code = F.coalesce(F.nullif("error_code", F.lit("")), F.lit("ERROR"))
     failed = F.concat(F.lit("工具 "), name, F.lit(" 调用失败: "), code, F.when(message != "", F.concat(F.lit(" ("), message, F.lit(")"))).otherwise(""))
-    body = strip(F.coalesce("result", F.lit("")))
-    short = F.when(F.length(body) > 256, F.concat(rstrip(F.substring(body, 1, 255)), F.lit("..."))).otherwise(body)
+    body = F.btrim(F.coalesce("result", F.lit("")), F.lit(white))
+    short = F.when(F.length(body) > 256, F.concat(F.rtrim(F.substring(body, 1, 255), F.lit(white)), F.lit("..."))).otherwise(body)
     return obs.withColumn("summary", F.when(F.col("status") == "ok", F.concat(F.lit("工具 "), name, F.lit(" 调用成功"))).otherwise(failed)).withColumn("short", short)

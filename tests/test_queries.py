@@ -36,3 +36,15 @@ def test_query(spark, duck, name):
     names = [c[0] for c in found.description]
     assert sorted(names) == cols
     assert sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall()), key=repr) == got
+
+
+def test_observation_summary_cut_before_a_line_end(spark, tmp_path):
+    """A cut result that ends in a line end, and texts with line ends around them, as the SQL has them."""
+    texts = ["a" * 254 + "\n" + "b" * 20, "a" * 253 + " \n" + "b" * 20, "a" * 250 + "     " + "b" * 20, "\n two \r\n", " \t", "m" * 156 + "\n" + "b" * 20]
+    rows = [(c, turn, "tool", t) for c, t in enumerate(texts) for turn in range(4)]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLES["observation_summary"]).fetchall())
+    assert sorted(map(tuple, registry.QUERIES["observation_summary"](spark, path).collect())) == want
