@@ -32,6 +32,8 @@ LENGTH, ANCHOR = 50, 24
 SHARD_BYTES, CHUNK_BYTES = 6 << 20, 3 << 20
 #: Positions for each kind of symbol below which suffixes are placed one by one, above by stretches of a bucket.
 FEW = 40
+#: Bytes between the spans around an anchor by which contexts are told to be alike.
+STEP = 4
 _KEY = U64((1 << 48) - 1)
 _SEGMENT = 128 << 10
 
@@ -104,25 +106,24 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, begin: np.ndarr
 
 def _induce_singly(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """``_induce`` for large alphabets, whose buckets hold few suffixes each."""
-    n, text, small = len(t), t.tolist(), smaller.tolist()
-    sa, tail, head = [-1] * n, end.tolist(), begin.tolist()
-    for p in lms[::-1].tolist():
-        c = text[p]
-        tail[c] -= 1
-        sa[tail[c]] = p
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not small[p]:
-            c = text[p]
-            sa[head[c]] = p
+    n, tail, head = len(t), end.tolist(), begin.tolist()
+    # the symbol before each position if its suffix is placed in this direction, else -1; free places hold 0, which has none before it
+    larger, lesser, before = np.full(n, -1, np.int64), np.full(n, -1, np.int64), t[:-1].astype(np.int64)
+    larger[1:], lesser[1:] = np.where(smaller[:-1], -1, before), np.where(smaller[:-1], before, -1)
+    sa, symbol = np.zeros(n, np.int64), larger.tolist()
+    _place(sa, end.copy(), lms[::-1], t[lms[::-1]], False)
+    sa = sa.tolist()
+    for p in sa:  # grows ahead of the loop
+        c = symbol[p]
+        if c >= 0:
+            sa[head[c]] = p - 1
             head[c] += 1
-    tail = end.tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and small[p]:
-            c = text[p]
+    symbol = lesser.tolist()
+    for p in reversed(sa):
+        c = symbol[p]
+        if c >= 0:
             tail[c] -= 1
-            sa[tail[c]] = p
+            sa[tail[c]] = p - 1
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
@@ -339,6 +340,18 @@ def _distinct(data: np.ndarray, bounds: np.ndarray, size: np.ndarray, h: np.ndar
     return np.unique(which, return_index=True)[1], which
 
 
+def _alike(sums: np.ndarray, lo: np.ndarray, at: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which contexts (start, anchor, end) may have an L-byte string of another one: it reaches from the anchor over some multiple
+    of ``STEP`` bytes before it and the rest, but for less than ``STEP`` bytes, behind it, and both contexts have that span."""
+    alike, reach = np.zeros(len(at), bool), LENGTH - ANCHOR
+    for left in range(0, reach + 1, STEP):
+        a, b = at - left, at + ANCHOR + max(0, reach - STEP + 1 - left)
+        there = np.flatnonzero((a >= lo) & (b <= hi))
+        _, which, times = np.unique(span_hash(sums, a[there], b[there]), return_inverse=True, return_counts=True)
+        alike[there[times[which] > 1]] = True
+    return alike
+
+
 def _classes(data: np.ndarray, at: np.ndarray, own: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each context (position, length, least doc_id) and each of its L-byte strings the least doc_id of the string's
     class, by the suffix array of all contexts."""
@@ -382,9 +395,10 @@ def _earlier(table: pa.Table) -> pa.Table:
         # only strings of one anchor can be equal: a context that is alone with its anchor meets no other
         at = bounds[:-1][first] + np.concatenate([m[3] for m in asked])[first]
         _, anchor, times = np.unique(span_hash(sums, at, at + ANCHOR), return_inverse=True, return_counts=True)
+        several = np.flatnonzero(times[anchor] > 1)
+        several = several[_alike(sums, bounds[:-1][first[several]], at[several], bounds[1:][first[several]])]
         del sums
         before = np.repeat(least[:, None], 32, axis=1)
-        several = np.flatnonzero(times[anchor] > 1)
         if len(several):
             before[several] = _classes(data, bounds[:-1][first[several]], size[first[several]], least[several])
         for a in range(0, len(size), 1 << 16):

@@ -88,3 +88,21 @@ def test_empty_and_null_ids(spark):
     rows = spark.createDataFrame([(None, "q" * 60), (5, "q" * 60), (5, "q" * 60)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_removed) for r in sd.deduplicate(rows).collect()), key=str)
     assert got == [(5, 0), (5, 0), (None, 60)]
+
+
+def test_only_contexts_that_may_share_a_string_are_sorted():
+    """Contexts with one anchor: those that share 50 bytes around it are kept whatever the side, those that share 45 aren't."""
+    rng = random.Random(9)
+    letters = lambda n, of="abcdefghij": "".join(rng.choice(of) for _ in range(n))
+    anchor, spans, want = letters(sd.ANCHOR), [], []
+    for left in range(27):
+        for shared in (26, 21):
+            if left <= shared:
+                near, far = letters(left), letters(shared - left)
+                for other in ("klmnop", "qrstuv"):
+                    spans.append(letters(26 - len(near), other) + near + anchor + far + letters(26 - len(far), other))
+                    want.append(shared == 26)
+    data = np.frombuffer("".join(spans).encode(), np.uint8)
+    lo = np.cumsum([0, *map(len, spans)])
+    at = np.array([s.index(anchor) for s in spans]) + lo[:-1]
+    assert sd._alike(sd.prefix_sums(data), lo[:-1], at, lo[1:]).tolist() == want
