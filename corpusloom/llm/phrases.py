@@ -5,8 +5,8 @@ its phrases of k words have reached the threshold, is counted from the next shar
 lengths interleave, so several are counted in one scan.
 
 The scans read shards of 64-bit word hashes and count phrase hashes, so a count is never too small and no phrase is lost; what is
-active is told to tasks by two bitmaps of bounded size. Two last scans count the phrases found, and the words in them, by
-their words: a hash or a bit that two phrases share costs work, never a wrong count.
+active is told to tasks by two bitmaps of bounded size. A last scan counts the words and phrases found by their words: a hash
+or a bit that two phrases share costs work, never a wrong count. Tasks send these counts packed.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SHARDS = 2
 FILL, LEAST_BITS, MOST_BITS = 64, 1 << 15, 1 << 27
 #: Bytes that a task looks at together, and counts that it holds before it sums and sends them.
 BLOCK, HELD = 1 << 20, 1 << 21
+#: Phrases for which there is one part of the last counts.
+EACH = 50_000
 #: Groups that a language's phrases are ranked in before the groups' best are ranked together.
 RANKS = 64
 #: Fixed values of the contract: characters that part pieces, and those that part words.
@@ -182,25 +184,45 @@ def count_shard(shard: DataFrame, words_too: bool, reached: Bits | None, recent:
     return shard.mapInArrow(run, COUNTS)
 
 
-def count_words(text: DataFrame, found: Bits, single: bool) -> DataFrame:
-    """(lang, phrase, k, f): exact counts of what has its hash in ``found``: single words, or else the phrases of several words,
-    with a language's number of words as k = 0."""
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    """One row for each phrase, told apart by its bytes."""
+    whole = pa.concat_tables(counts).group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("f", "sum")])
+    return whole.rename_columns(["lang", "phrase", "k", "f"]).combine_chunks()
+
+
+def packed(counts: pa.Table, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, compressed table) of the counts, dealt by the hash of language and phrase."""
+    found = []
+    for batch in counts.to_batches(1 << 16):
+        offsets, data = utf8(batch.column("phrase").cast(pa.large_string()))
+        low, offsets = offsets[0], offsets - offsets[0]
+        h = span_hash(prefix_sums(data[low : low + offsets[-1]]), offsets[:-1], offsets[1:]) + _lang_hashes(batch.column("lang"))
+        found.append((mix(h) % U64(parts)).astype(np.int64))
+    part = np.concatenate(found)
+    order = np.argsort(part, kind="stable")
+    counts, cut = counts.take(pa.array(order)).combine_chunks(), np.searchsorted(part[order], np.arange(parts + 1))
+    for at in np.flatnonzero(np.diff(cut)).tolist():
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, counts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_table(counts.slice(cut[at], cut[at + 1] - cut[at]))
+        yield at, out.getvalue().to_pybytes()
+
+
+def count_words(text: DataFrame, found: Bits, parts: int, least: int) -> DataFrame:
+    """(lang, phrase, k, f): exact counts, of ``least`` or more, of the words and phrases that have their hash in ``found``, with
+    every language's number of words as k = 0. A task's counts go to the ``parts`` as compressed tables: no phrase of a task is a row."""
     shared = text.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = shared.value
         held: list[pa.Table] = []
 
-        def summed(counts: pa.Table) -> pa.Table:
-            return counts.group_by(["lang", "phrase", "k"], use_threads=False).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "k", "f"])
-
         def sent() -> Iterator[pa.RecordBatch]:
-            if held:
-                whole = summed(pa.concat_tables(held))
-                yield from whole.set_column(1, "phrase", whole["phrase"].cast(pa.large_string())).to_batches(1 << 16)
+            for at, counts in packed(_summed(held), parts) if held else ():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([counts], pa.binary())], names=["part", "counts"])
 
         def table(lang: pa.Array, row: np.ndarray, phrase: pa.Array, k: int, f: np.ndarray) -> pa.Table:
-            return summed(pa.table({"lang": lang.take(pa.array(row)), "phrase": phrase, "k": pa.array(np.full(len(row), k, np.int32)), "f": pa.array(f.astype(np.int64))}))
+            return _summed([pa.table({"lang": lang.take(pa.array(row)), "phrase": phrase, "k": pa.array(np.full(len(row), k, np.int32)), "f": pa.array(f.astype(np.int64))})])
 
         for batch in batches:
             offsets, data = _texts(batch)
@@ -209,15 +231,13 @@ def count_words(text: DataFrame, found: Bits, single: bool) -> DataFrame:
             for fresh, starts, ends, row in blocks(offsets, data):
                 w, old = Words(seeds, data, starts, ends, row), int((~fresh).sum())
                 strings, ok = w.strings(), found.has(w.hash)
-                if single:
-                    at = np.flatnonzero(ok & fresh)
-                    coded = strings.take(pa.array(at)).dictionary_encode()  # by their bytes, not by their hashes
-                    own = kinds[row[at]].astype(np.int64) * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
-                    _, first, n = np.unique(own, return_index=True, return_counts=True)
-                    held.append(table(lang, row[at[first]], strings.take(pa.array(at[first])), 1, n))
-                    continue
                 rows, n = np.unique(row[old:], return_counts=True)
                 held.append(table(lang, rows, pa.array([b""] * len(rows), pa.large_binary()), 0, n))
+                at = np.flatnonzero(ok & fresh)
+                coded = strings.take(pa.array(at)).dictionary_encode()  # by their bytes, not by their hashes
+                own = kinds[row[at]].astype(np.int64) * (len(coded.dictionary) + 1) + coded.indices.to_numpy()
+                _, first, n = np.unique(own, return_index=True, return_counts=True)
+                held.append(table(lang, row[at[first]], strings.take(pa.array(at[first])), 1, n))
                 whole = w.hash
                 for k in range(2, LONGEST + 1):
                     if len(whole) < 2:
@@ -229,13 +249,30 @@ def count_words(text: DataFrame, found: Bits, single: bool) -> DataFrame:
                         spans = [strings.take(pa.array(at + i)) for i in range(k)]
                         held.append(table(lang, row[at], pc.binary_join_element_wise(*spans, pa.scalar(b" ", pa.large_binary())), k, np.ones(len(at))))
             if sum(map(len, held)) > HELD:
-                held = [summed(pa.concat_tables(held))]
+                held = [_summed(held)]
                 if len(held[0]) > HELD // 2:
                     yield from sent()
                     held = []
         yield from sent()
 
-    return text.mapInArrow(run, "lang string, phrase string, k int, f long").groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size, most = 0, HELD
+        for batch in batches:
+            for counts in batch.column("counts"):
+                held.append(pa.ipc.open_stream(counts.as_buffer()).read_all())
+                size += len(held[-1])
+                if size > most:
+                    held = [_summed(held)]
+                    size = len(held[0])
+                    most = max(HELD, 2 * size)
+        if held:
+            whole = _summed(held)
+            whole = whole.filter(pc.or_(pc.greater_equal(whole["f"], least), pc.equal(whole["k"], 0)))
+            yield from whole.set_column(1, "phrase", whole["phrase"].cast(pa.large_string())).to_batches(1 << 16)
+
+    # all counts of a phrase are in one part, and a part is in one task
+    return text.mapInArrow(run, "part int, counts binary").repartition(parts, "part").mapInArrow(total, "lang string, phrase string, k int, f long")
 
 
 def bitmap(hashes: DataFrame, size: int) -> Bits:
@@ -287,19 +324,6 @@ def frequent(text: DataFrame, least: int, shards: int) -> tuple[DataFrame | None
     return (tables("reached", "h long", range(step)), total) if total else (None, 0)
 
 
-def word_hashes(words: DataFrame) -> DataFrame:
-    """(h) of the words (lang, text), as the scans have them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = _texts(batch)
-            if batch.num_rows:
-                h = tagged(mix(span_hash(prefix_sums(data), offsets[:-1], offsets[1:]) + _lang_hashes(column(batch, "lang"))), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
-
-    return words.select("lang", "text").mapInArrow(run, "h long")
-
-
 def bits_for(phrases: int) -> int:
     size = LEAST_BITS
     while size < min(phrases * FILL, MOST_BITS):
@@ -311,14 +335,9 @@ def count(docs: DataFrame, least: int = LEAST, shards: int = SHARDS) -> tuple[Da
     """(lang, phrase, k, f) of every phrase of up to LONGEST words that occurs ``least`` times or more, and (lang, n)."""
     text = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found, total = frequent(text, least, shards)
-    exact = count_words(text, bitmap(found, bits_for(total)) if total else Bits({}, LEAST_BITS), False)
-    exact = written(exact.where((F.col("f") >= least) | (F.col("k") == 0)), "phrase-counts")
-    # of the words only those that a phrase holds are counted: nothing else is asked for
-    needed = exact.where("k > 1").select("lang", F.explode(F.split("phrase", " ", -1)).alias("text")).distinct()
-    needed = written(word_hashes(needed), "phrase-words")
-    words = count_words(text, bitmap(needed, bits_for(needed.count())), True)
-    words = written(words.where(F.col("f") >= least), "word-counts")
-    return exact.where("k > 1").unionByName(words), exact.where("k = 0").select("lang", F.col("f").alias("n"))
+    parts = max(text.sparkSession.sparkContext.defaultParallelism, -(-total // EACH))
+    exact = written(count_words(text, bitmap(found, bits_for(total)) if total else Bits({}, LEAST_BITS), parts, least), "phrase-counts")
+    return exact.where("k > 0"), exact.where("k = 0").select("lang", F.col("f").alias("n"))
 
 
 def rank(counts: DataFrame, words: DataFrame, top: int = TOP, least: int = LEAST) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from corpusloom.llm import phrases
@@ -84,3 +85,16 @@ def test_long_text_and_empty_table(spark):
     got = mined(spark, docs)
     assert got == brute(docs, 100, 2000) != []
     assert mined(spark, []) == [] and mined(spark, [("en", None)]) == []
+
+
+def test_last_counts_are_packed_and_summed_by_words(spark, monkeypatch):
+    """However many phrases a task holds, it sends one row for each part; small limits and bits that all are set give the same counts."""
+    docs = sample(5, 200)
+    monkeypatch.setattr(phrases, "HELD", 50)
+    monkeypatch.setattr(phrases, "EACH", 7)
+    assert mined(spark, docs, least=10, top=1000) == brute(docs, 10, 1000) != []
+    counts = pa.table({"lang": ["en", "de"] * 5000, "phrase": pa.array([b"p%d" % (i // 2) for i in range(10_000)], pa.large_binary()), "k": pa.array([1] * 10_000, pa.int32()), "f": list(range(10_000))})
+    parts = {at: pa.ipc.open_stream(t).read_all() for at, t in phrases.packed(counts, 13)}
+    assert len(parts) == 13 and sum(map(len, parts.values())) == 10_000
+    again = {at: pa.ipc.open_stream(t).read_all() for at, t in phrases.packed(counts.slice(4000, 10), 13)}
+    assert all(set(t["f"].to_pylist()) <= set(parts[at]["f"].to_pylist()) for at, t in again.items())
