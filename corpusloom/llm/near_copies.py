@@ -1,16 +1,19 @@
 """Near copies by similarity: the Jaccard index of the sets of word shingles, exact for every candidate pair.
 
 1. Texts with equal shingle sets are one class, so a thousand copies are one row.
-2. A class's set gets ``BANDS * ROWS`` minimum hashes; classes that agree in all rows of a band share a bucket. At a
-   similarity of 0.8 a pair misses all buckets once in 1,000 times or less.
-3. All members of a bucket are compared with its least class. What isn't joined by these links meets the members of
-   other components block by block: tasks get two blocks of texts and give links, so no row is a pair.
-4. A compared pair is linked if the Jaccard index of the shingle sets reaches the similarity.
+2. SimHash fingerprints of the same shingles are joined by the binary trie (``simhash``): fingerprints at ``RADIUS`` or fewer
+   differing bits are candidates.
+3. Fingerprints miss many pairs of this similarity, so a class's set also gets ``BANDS * ROWS`` minimum hashes; classes that
+   agree in all rows of a band share a bucket. At a similarity of 0.8 a pair misses all buckets once in 1,000 times or less.
+4. Members of a bucket that the fingerprints don't join with its least class are compared with it. What isn't joined by these
+   links meets the members of other components block by block: tasks get two blocks of texts and give links, so no row is a pair.
+5. A compared pair, of fingerprints or of a bucket, is linked if the Jaccard index of the shingle sets reaches the similarity.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +23,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_text import LOWER, U64, column, combine, mix, pieces, prefix_sums, span_hash, words
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.shared import written
+from corpusloom.llm.shared import new_path, written
+from corpusloom.llm.simhash import fingerprints, hamming_links
 
 SHINGLE = 5
+#: Differing bits of fingerprints that the trie joins.
+RADIUS = 2
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 _PAIRS = 256
@@ -86,8 +92,9 @@ def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return whole.select("row", "mark.class", "mark.size", "mark.bands")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose texts (class, text) have shingle sets of at least this Jaccard index."""
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, hubs: DataFrame | None = None) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose texts (class, text) have shingle sets of at least this Jaccard index. ``hubs`` are the same
+    texts for a, which may be in many pairs: not stored by class, so that Spark can split such a join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -107,7 +114,7 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
                 union = np.bincount(row, minlength=n) - both
                 yield batch.select(["a", "b"]).filter(pa.array(both >= similarity * union - 1e-9))
 
-    near = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    near = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join((texts if hubs is None else hubs).select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
     return near.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -122,24 +129,41 @@ def near_classes(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
     entries = written(classes.select("class", "size", F.explode("bands").alias("key")), "band-keys")
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size")).alias("least")).where("n > 1").select("key", F.col("least.class").alias("pivot"), F.col("least.size").alias("pivot_size"))
     members = written(entries.join(shared, "key"), "bucket-members")
-    wanted = members.select("class").distinct()
-    texts = written(rows.select("class", F.col("row.text").alias("text")).join(wanted, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text")), "bucket-texts")
-
-    # first one comparison a class: with the least of all its buckets' pivots
-    first = members.where("class <> pivot").where(_near("size", "pivot_size", similarity)).groupBy(F.col("class").alias("b")).agg(F.min("pivot").alias("a"))
-    links = written(similar(first, texts, similarity, shingle), "similar")
+    near = written(by_fingerprint(rows, shingle), "near-fingerprints")
+    wanted = members.select("class").unionByName(near.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
+    texts = rows.select("class", F.col("row.text").alias("text")).join(wanted, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    # stored by class: texts are dealt once, the joins below deal names only
+    spark, table = rows.sparkSession, f"texts_{uuid.uuid4().hex}"
+    stored = new_path(spark, "bucket-texts")
+    texts.write.option("path", stored).option("compression", "zstd").bucketBy(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "class").sortBy("class").saveAsTable(table)
+    texts, plain = spark.table(table), spark.read.schema("class long, text string").parquet(stored)
+
+    # first the links of the fingerprints, then one comparison a class that they don't join: with the least of all its buckets' pivots
+    links = written(similar(near, texts, similarity, shingle, plain), "similar")
+    first = _unlike(members, connected_components(links)).where(_near("size", "pivot_size", similarity)).groupBy(F.col("class").alias("b")).agg(F.min("pivot").alias("a"))
+    first = written(first, "first-pairs")
+    links = written(links.unionByName(similar(first, texts, similarity, shingle, plain)), "similar")
     members = members.select("key", "class", "size", "pivot", "pivot_size")
     # then with the pivots of those buckets that it isn't joined with yet
     parts = connected_components(links)
-    named = _parted(members, parts)
-    own = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_part"))
-    second = named.where("class <> pivot").join(own, "pivot", "left").where(F.col("part") != F.coalesce("pivot_part", "pivot"))
-    second = second.where(_near("size", "pivot_size", similarity)).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = written(links.unionByName(similar(second, texts, similarity, shingle)), "similar")
+    second = _unlike(members, parts).where(_near("size", "pivot_size", similarity)).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    links = written(links.unionByName(similar(second, texts, similarity, shingle, plain)), "similar")
     named = written(_parted(members, connected_components(links)), "bucket-parts")
     # a pivot has met every member or is joined with it; the members outside a bucket's largest part meet those of all other parts
     every = links.unionByName(similar_in_blocks(named.where("class <> pivot"), texts, similarity, shingle))
-    return connected_components(every).select(F.col("node").alias("class"), "component")
+    parts = connected_components(every)
+    spark.sql(f"DROP TABLE {table}")  # the name in the catalog; the files are the shared folder's
+    return parts.select(F.col("node").alias("class"), "component")
+
+
+def by_fingerprint(rows: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Candidate links (a, b) of classes by the trie join of their fingerprints: each class with the least one of its fingerprint, and
+    the forest that joins fingerprints by steps of at most ``radius`` bits."""
+    texts = rows.where("size > 0").select("class", F.col("row.text").alias("text"))
+    prints = written(fingerprints(texts, shingle, key="class").groupBy("doc_id").agg(F.min("fp").alias("fp")), "class-fingerprints")
+    kinds = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
+    equal = prints.join(kinds, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return equal.unionByName(hamming_links(kinds, radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).where("a <> b").distinct()
 
 
 def similar_in_blocks(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -194,6 +218,12 @@ def similar_in_blocks(members: DataFrame, texts: DataFrame, similarity: float =
     return sent.groupBy("pair").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
+def _unlike(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of buckets that aren't in the component of their pivot."""
+    own = parts.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_part"))
+    return _parted(members, parts).where("class <> pivot").join(own, "pivot", "left").where(F.col("part") != F.coalesce("pivot_part", "pivot"))
+
+
 def _parted(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of buckets with the component that they are in so far."""
     return members.join(parts, members["class"] == parts["node"], "left").select("key", "class", "size", "pivot", "pivot_size", F.coalesce("component", "class").alias("part"))

@@ -106,3 +106,22 @@ def test_words_that_collide_under_polynomial_hashes_are_told_apart(spark):
     x, y = thue_morse(2048, "a", "b")
     rows = [(1, f"{x} one two three four five six"), (2, f"{y} one two three four five six"), (3, x), (4, y)]
     assert kept(spark, rows) == [1, 2, 3, 4]
+
+
+def test_fingerprints_propose_and_the_shingles_decide(spark, monkeypatch):
+    """The trie join links classes by itself, its wrong links are dropped, and what it misses comes from the buckets."""
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1])), (3, copies(rng, base, 40)), (4, "other " * 9), (5, "a b c d e f"), (6, "a b c d e f a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = near_copies.marked(docs).cache()
+    names = {r["class"]: r.id for r in marked.select("class", "row.doc_id").toDF("class", "id").collect()}
+    links = {tuple(sorted((names[r.a], names[r.b]))) for r in near_copies.by_fingerprint(marked).collect()}
+    assert (1, 2) in links and not any(4 in pair for pair in links)
+    asked = []
+    whole = near_copies.hamming_links
+    monkeypatch.setattr(near_copies, "hamming_links", lambda kinds, radius: asked.append(radius) or whole(kinds, radius))
+    assert set(kept(spark, rows)) == brute(rows) and asked == [near_copies.RADIUS]
+    monkeypatch.setattr(near_copies, "RADIUS", 2)
+    monkeypatch.setattr(near_copies, "hamming_links", lambda kinds, radius: whole(kinds, 64))  # every fingerprint seems near
+    assert set(kept(spark, rows)) == brute(rows)
