@@ -8,6 +8,9 @@
 4. Members of a bucket that the fingerprints don't join with its least class are compared with it. What isn't joined by these
    links meets the members of other components block by block: tasks get two blocks of texts and give links, so no row is a pair.
 5. A compared pair, of fingerprints or of a bucket, is linked if the Jaccard index of the shingle sets reaches the similarity.
+
+Most texts are like no other. A bitmap of the names that a join asks for is broadcast, bounded in size, so that texts and band keys
+which it rules out aren't shuffled; the exact join follows over the rest.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ RADIUS = 2
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 _PAIRS = 256
+#: Bits of a bitmap for each name, and the logarithm of its bits at most: 8 MB; with more names it only rules out less.
+NAME_BITS, BITMAP = 16, 26
 #: Members and shingles of a block at most (on average), and shingles whose holders are multiplied at once.
 BLOCK_CLASSES, BLOCK_SHINGLES, TOGETHER = 512, 300_000, 2048
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -92,6 +97,26 @@ def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return whole.select("row", "mark.class", "mark.size", "mark.bands")
 
 
+def flagged(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """``rows`` with ``asked``: false only if ``key`` (long) is none of ``names`` (one column of distinct longs)."""
+    width = min(BITMAP, max(10, (NAME_BITS * names.count()).bit_length()))
+
+    def place(name: str):
+        at = F.xxhash64(name).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+        return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+
+    slot, bit = place(names.columns[0])
+    bitmap = names.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    slot, bit = place(key)
+    found = rows.join(F.broadcast(bitmap), slot == bitmap["slot"], "left")
+    return found.select(*rows.columns, F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False)).alias("asked"))
+
+
+def possible(rows: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is none of ``names``; none whose key is one of them is missing."""
+    return flagged(rows, key, names).where("asked").drop("asked")
+
+
 def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, hubs: DataFrame | None = None) -> DataFrame:
     """The rows of ``pairs`` (a, b) whose texts (class, text) have shingle sets of at least this Jaccard index. ``hubs`` are the same
     texts for a, which may be in many pairs: not stored by class, so that Spark can split such a join."""
@@ -114,7 +139,8 @@ def similar(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
                 union = np.bincount(row, minlength=n) - both
                 yield batch.select(["a", "b"]).filter(pa.array(both >= similarity * union - 1e-9))
 
-    near = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join((texts if hubs is None else hubs).select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    held = texts if hubs is None else possible(hubs, "class", pairs.select("a").distinct())
+    near = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").join(held.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
     return near.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
@@ -127,11 +153,14 @@ def near_classes(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
     """(class, component) of the classes in ``marked`` rows that have a similar class."""
     classes = rows.where("size > 0").groupBy("class", "size").agg(F.first("bands").alias("bands"))
     entries = written(classes.select("class", "size", F.explode("bands").alias("key")), "band-keys")
+    # nearly all keys are one class's: they are counted by name, and only what may be shared is dealt with its class
+    several = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
+    entries = written(possible(entries, "key", several), "shared-entries")
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class", "size")).alias("least")).where("n > 1").select("key", F.col("least.class").alias("pivot"), F.col("least.size").alias("pivot_size"))
     members = written(entries.join(shared, "key"), "bucket-members")
     near = written(by_fingerprint(rows, shingle), "near-fingerprints")
-    wanted = members.select("class").unionByName(near.select(F.explode(F.array("a", "b")).alias("class"))).distinct()
-    texts = rows.select("class", F.col("row.text").alias("text")).join(wanted, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
+    wanted = written(members.select("class").unionByName(near.select(F.explode(F.array("a", "b")).alias("class"))).distinct(), "wanted")
+    texts = possible(rows.select("class", F.col("row.text").alias("text")), "class", wanted).join(wanted, "class", "left_semi").groupBy("class").agg(F.first("text").alias("text"))
     # stored by class: texts are dealt once, the joins below deal names only
     spark, table = rows.sparkSession, f"texts_{uuid.uuid4().hex}"
     stored = new_path(spark, "bucket-texts")
@@ -147,6 +176,7 @@ def near_classes(rows: DataFrame, similarity: float = SIMILARITY, shingle: int =
     # then with the pivots of those buckets that it isn't joined with yet
     parts = connected_components(links)
     second = _unlike(members, parts).where(_near("size", "pivot_size", similarity)).select(F.col("pivot").alias("a"), F.col("class").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = written(second, "second-pairs")
     links = written(links.unionByName(similar(second, texts, similarity, shingle, plain)), "similar")
     named = written(_parted(members, connected_components(links)), "bucket-parts")
     # a pivot has met every member or is joined with it; the members outside a bucket's largest part meet those of all other parts
@@ -240,8 +270,11 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHI
     rows = written(marked(docs.where("doc_id is not null"), shingle), "shingled")
     parts = near_classes(rows, similarity, shingle)
     key = F.col("row.doc_id").cast("long")
-    ids = rows.groupBy("class").agg(F.min(key).alias("id"))
-    groups = ids.join(parts, "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min(F.struct("id", "class")).alias("kept"))
+    ids = written(rows.groupBy("class").agg(F.min(key).alias("id"), F.count("*").alias("n")).join(parts, "class", "left"), "classes")
+    groups = ids.groupBy(F.coalesce("component", "class").alias("component")).agg(F.min(F.struct("id", "class")).alias("kept"))
     kept = groups.select("kept.id", "kept.class")
-    stay = rows.select("row", key.alias("id"), "class").join(kept, ["id", "class"], "left_semi").dropDuplicates(["id", "class"])
+    # the only row of a class without links stays as it is read; the others are looked up
+    split = flagged(rows.select("row", key.alias("id"), "class"), "class", ids.where("n > 1 or component is not null").select("class"))
+    asked = split.where("asked").join(kept, ["id", "class"], "left_semi").dropDuplicates(["id", "class"])
+    stay = split.where("not asked").select("row").unionByName(asked.select("row"))
     return stay.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))

@@ -125,3 +125,34 @@ def test_fingerprints_propose_and_the_shingles_decide(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "RADIUS", 2)
     monkeypatch.setattr(near_copies, "hamming_links", lambda kinds, radius: whole(kinds, 64))  # every fingerprint seems near
     assert set(kept(spark, rows)) == brute(rows)
+
+
+def shuffled(spark):
+    """Bytes that the session has written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_that_are_like_no_other_are_not_shuffled(spark):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"{rng.randrange(16**6):x}" for _ in range(3000))) for i in range(200)]
+    rows += [(1000, rows[3][1]), (1001, copies(rng, rows[4][1].split(), 9)), (1001, rows[5][1]), (7, rows[7][1].upper())]
+    before = shuffled(spark)
+    assert kept(spark, rows) == list(range(200))
+    moved = shuffled(spark) - before
+    assert 0 < moved < 0.5 * sum(len(t) // 2 for _, t in rows)  # a hexadecimal digit holds half a byte
+
+
+def test_bitmaps_rule_out_only_what_is_not_asked_for(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("id * id - 7 as class", "id")
+    for n in (0, 1, 300, 5000):
+        names = spark.range(n).selectExpr("id * id * 9 - 7 as name")
+        for most in (26, 8):  # of 8: nearly every bit is set
+            monkeypatch.setattr(near_copies, "BITMAP", most)
+            want = {i * i * 9 - 7 for i in range(n)}
+            got = near_copies.flagged(rows, "class", names).collect()
+            assert len(got) == 5000 and all(r.asked for r in got if r["class"] in want)
+            assert most == 8 or sum(r.asked for r in got) <= len(want) + 600
+            assert near_copies.possible(rows, "class", names).count() == sum(r.asked for r in got)
