@@ -48,3 +48,29 @@ def test_observation_summary_cut_before_a_line_end(spark, tmp_path):
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{path}/conversations.parquet/*.parquet'")
     want = sorted(con.execute(registry.ORACLES["observation_summary"]).fetchall())
     assert sorted(map(tuple, registry.QUERIES["observation_summary"](spark, path).collect())) == want
+
+
+def equal_to_sql(spark, path, name, **tables):
+    """A query over tables of (rows, schema) gives its SQL's rows."""
+    con = duckdb.connect()
+    for t, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    df = registry.QUERIES[name](spark, str(path))
+    cols = sorted(df.columns)
+    found = con.execute(registry.ORACLES[name])
+    names = [c[0] for c in found.description]
+    want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall()), key=repr)
+    assert sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr) == want
+    return want
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", ["fulltext_match"])
+def test_full_text_takes_or_as_a_word_and_finds_all(spark, tmp_path, name):
+    """A word ``or`` between two others, and more than a thousand chunks with all words."""
+    docs = [(i, "red pie" if i % 7 == 0 else f"more red {i} or pie", "en", "src1", 300) for i in range(1500)]
+    found = equal_to_sql(spark, tmp_path, name, documents=(docs, DOCUMENTS), benchmark=([(1, "red or.\nPie more")], "item_id long, text string"))
+    assert len(found) > 1000 or name != "fulltext_match"
