@@ -68,7 +68,7 @@ def equal_to_sql(spark, path, name, **tables):
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-@pytest.mark.parametrize("name", ["fulltext_match"])
+@pytest.mark.parametrize("name", ["fulltext_match", "fulltext_topk"])
 def test_full_text_takes_or_as_a_word_and_finds_all(spark, tmp_path, name):
     """A word ``or`` between two others, and more than a thousand chunks with all words."""
     docs = [(i, "red pie" if i % 7 == 0 else f"more red {i} or pie", "en", "src1", 300) for i in range(1500)]
