@@ -8,7 +8,7 @@ from corpusloom.operators import chunk, clean, embed, flow
 from corpusloom.plans import views as v
 from corpusloom.plans.records import _METRICS
 from corpusloom.plans.views import sql
-from corpusloom.sources.files import new_folder, write_by_bucket
+from corpusloom.sources.files import exists, is_folder, new_folder, write_by_bucket
 from corpusloom.streaming import events as ev
 from corpusloom.streaming import ingest
 from corpusloom.streaming import stateful as st
@@ -124,8 +124,10 @@ def check_events(spark, d):
 
 
 def _stream(spark, d, name):
-    """A table's file as a file stream."""
-    schema = v.table(spark, d, name).schema
+    """A table as a file stream: a folder of files, or one file picked out of its folder."""
+    schema, path = v.table(spark, d, name).schema, f"{d}/{name}.parquet"
+    if is_folder(spark, path):
+        return spark.readStream.schema(schema).parquet(path)
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(f"{d}/")
 
 
@@ -203,7 +205,9 @@ def ingest_stream(spark, d):
         return chunk.small_chunks(clean.clean_segments(segs)).select("file_id", "small_chunk_index", "small_chunk_text", "page_start")
 
     _finished(ev.ingest_stream(_stream(spark, d, "documents"), to_chunks, lambda rows: write_by_bucket(rows, sink), checkpoint))
-    return spark.read.parquet(sink).select("file_id", "small_chunk_index", "small_chunk_text", "page_start")
+    held = spark.read.schema("file_id long, small_chunk_index int, small_chunk_text string, page_start int")
+    held = held.parquet(sink) if exists(spark, sink) else held.load([], format="parquet")
+    return held.select("file_id", "small_chunk_index", "small_chunk_text", "page_start")
 
 
 def ingest_status(spark, d):

@@ -74,3 +74,9 @@ def test_full_text_takes_or_as_a_word_and_finds_all(spark, tmp_path, name):
     docs = [(i, "red pie" if i % 7 == 0 else f"more red {i} or pie", "en", "src1", 300) for i in range(1500)]
     found = equal_to_sql(spark, tmp_path, name, documents=(docs, DOCUMENTS), benchmark=([(1, "red or.\nPie more")], "item_id long, text string"))
     assert len(found) > 1000 or name != "fulltext_match"
+
+
+@pytest.mark.parametrize("n", [0, 40])
+def test_ingest_stream_over_a_folder_of_files(spark, tmp_path, n):
+    docs = [(i, "\n".join(f"line {k} of {i} with some words" for k in range(i)), "en", "src1", 300) for i in range(n)]
+    assert len(equal_to_sql(spark, tmp_path, "ingest_stream", documents=(docs, DOCUMENTS))) >= n
