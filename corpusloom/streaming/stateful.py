@@ -54,10 +54,11 @@ class _LastN(_Processor):
             return
         found = [*map(tuple, self.rows.get()), *new] if self.rows.exists() else new
         found.sort(key=lambda r: r[:2])
+        found = found[-self.n :]
+        self.rows.put(found)  # with what is before a pause: a late row may still come into it
+        self.keep_one_timer(found[-1][0] // 1000 + self.ttl_ms + 1)
         gaps = [i for i in range(1, len(found)) if found[i][0] - found[i - 1][0] > self.ttl_ms * 1000]
-        kept = found[gaps[-1] if gaps else 0 :][-self.n :]
-        self.rows.put(kept)
-        self.keep_one_timer(kept[-1][0] // 1000 + self.ttl_ms + 1)
+        kept = found[gaps[-1] if gaps else 0 :]
         yield pd.DataFrame({"key": key[0], "pos": range(1, len(kept) + 1), "seq": [r[1] for r in kept], "value": [r[2] for r in kept]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

@@ -69,6 +69,13 @@ def test_last_n_over_batches_with_late_rows_and_a_pause(spark, tmp_path):
     assert not any(got[3:])  # twenty hours late: behind the watermark
 
 
+def test_last_n_takes_up_the_rows_before_a_pause_that_a_late_row_fills(spark, tmp_path):
+    st.use_rocksdb(spark)
+    rows = arrivals(spark, str(tmp_path / "in"), "key string, t long, seq long, value string", [("k", 1, 1, "a"), ("k", 2, 2, "b"), ("k", 30, 4, "d")], [("k", 20, 3, "c")], [("k", 31, 5, "e")])
+    got = collected(st.last_n(rows, 4), "update", str(tmp_path / "cp"), lambda r: (r.pos, r.seq))
+    assert got[0] == [(1, 4)] and got[1] == [(1, 1), (2, 2), (3, 3), (4, 4)] and got[2] == [(1, 2), (2, 3), (3, 4), (4, 5)]
+
+
 def test_assembly_waits_for_every_fragment(spark, tmp_path):
     st.use_rocksdb(spark)
     schema = "stream_id string, t long, seq long, done boolean, delta string, index int, id string, name string, arguments string"
