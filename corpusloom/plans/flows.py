@@ -9,6 +9,7 @@ from corpusloom.plans import views as v
 from corpusloom.plans.records import _METRICS
 from corpusloom.plans.views import sql
 from corpusloom.sources.files import exists, is_folder, new_folder, write_by_bucket
+from corpusloom.sources.stored import stored
 from corpusloom.streaming import events as ev
 from corpusloom.streaming import ingest
 from corpusloom.streaming import stateful as st
@@ -132,10 +133,11 @@ def _stream(spark, d, name):
 
 
 def _arrivals(spark, rows, parts, name):
-    """``rows`` as a stream of one file after the other, by the number in their column ``part``."""
-    path = new_folder(spark, name)
+    """``rows`` as a stream of one file after the other, by the number in their column ``part``. They are computed once, by all
+    tasks; only the finished rows of a part go through one task."""
+    path, found = new_folder(spark, name), stored(rows, f"{name}-dealt")
     for k in range(parts):
-        rows.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
+        found.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 

@@ -1,6 +1,6 @@
 """Stateful stream operators in event time: newest n, step metrics and delta assembly.
 
-All are ``transformWithStateInPandas`` processors. Rows may come late by up to the watermark's delay and in any order (events
+All are ``transformWithState`` processors, over rows or pandas frames. Rows may come late by up to the watermark's delay and in any order (events
 and steps behind the watermark are dropped); a key
 that is idle for longer than ``ttl_ms`` of event time starts anew, and a timer drops its state. Timers follow the watermark,
 so a run over what is there now ends.
@@ -8,10 +8,11 @@ so a run over what is there now ends.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -132,62 +133,103 @@ def step_metrics(trace: DataFrame, ttl_ms: int = DAY_MS, delay: str = "12 hours"
     return rows.groupBy("session_id").transformWithStateInPandas(_StepMetrics(ttl_ms), "session_id string, seq long, empty_steps long, repeated_actions long", "Append", "EventTime")
 
 
+#: Streams that are put together share the state of their bucket, since a key costs milliseconds a batch, and their fragments
+#: come as one column of text, since every cell costs as well.
+BUCKETS = 1024
+_REPLY = Row("stream_id", "finished", "index", "id", "name", "body")
+
+
 class _Assembly(_Processor):
+    """The streams of a bucket. The state has counts of each open stream and one text for each batch that brought fragments; the texts are
+    only read when a stream ends. The timer is at or before the first stream's time to be given up."""
+
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.deltas = handle.getListState("deltas", "seq long, delta string")
-        self.calls = handle.getMapState("calls", "index int", "id string, id_seq long, parts array<struct<seq:long,name:string,arguments:string>>")
-        self.meta = handle.getValueState("meta", "n long, size long, us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, size, last = self.meta.get() if self.meta.exists() else (0, -1, 0)
+        self.parts = handle.getListState("parts", "fragments string")
+        self.open = handle.getValueState("open", "streams string, timer long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        state = self.open.get()
+        streams, timer = self.streams(state)
+        new = []
+        for _, packed in rows:
+            f = json.loads(packed)
+            stream = f.get("stream_id")
+            n, size, last = streams.get(stream, (0, -1, 0))
+            if not f["done"]:
+                new.append(packed)
+            streams[stream] = (n, f["seq"], max(last, f["us"])) if f["done"] else (n + 1, size, max(last, f["us"]))
+        ended = {stream for stream, (n, size, _) in streams.items() if 0 <= size <= n}
+        if ended:
+            yield from self.take(ended, True, streams, self.held() if state else [], new)
+        elif new:
+            self.parts.appendList([("\n".join(new),)])
+        self.keep(streams, timer, min(map(self.due, streams.values()), default=None))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        streams, _ = self.streams(self.open.get())
+        mark = timerValues.getCurrentWatermarkInMs()
+        if late := {stream for stream, s in streams.items() if self.due(s) < mark}:
+            yield from self.take(late, False, streams, self.held(), [])
+        self.keep(streams, None, min(map(self.due, streams.values()), default=None))
+
+    def due(self, stream: tuple) -> int:
+        return stream[2] // 1000 + self.ttl_ms + 1
+
+    def streams(self, state: tuple | None) -> tuple[dict, int | None]:
+        return ({stream: tuple(counts) for stream, *counts in json.loads(state[0])}, state[1]) if state else ({}, None)
+
+    def held(self) -> list[str]:
+        return [f for (lines,) in self.parts.get() for f in lines.split("\n")] if self.parts.exists() else []
+
+    def keep(self, streams: dict, timer: int | None, first: int | None) -> None:
+        """Stores the counts of open streams. A timer is moved only if it would be too late."""
+        if first is None or timer is not None and first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = None
+        if first is None:
+            self.open.clear()
+            return
+        if timer is None:
+            self.handle.registerTimer(timer := first)
+        self.open.update((json.dumps([(stream, *counts) for stream, counts in streams.items()]), timer))
+
+    def take(self, ended: set, finished: bool, streams: dict, held: list, new: list) -> Iterator[Row]:
+        """The rows of streams that end; they leave the state."""
+        taken, rest = {stream: [] for stream in ended}, []
+        for packed in (*held, *new):
+            f = json.loads(packed)
+            if (stream := f.get("stream_id")) in ended:
+                taken[stream].append(f)
+            else:
+                rest.append(packed)
+        for stream, fragments in taken.items():
+            yield from self.result(stream, finished, fragments)
+            del streams[stream]
+        if rest:
+            self.parts.put([("\n".join(rest),)])
+        elif held:
+            self.parts.clear()
+
+    def result(self, stream: str | None, finished: bool, fragments: list[dict]) -> Iterator[Row]:
+        """The text and the calls of the fragments."""
         deltas, calls = [], {}
-        text = lambda x: None if pd.isna(x) else x
-        for f in rows:
-            for seq, us, done, delta, index, i, name, args in zip(*(f[c] for c in ("seq", "us", "done", "delta", "index", "id", "name", "arguments")), strict=True):
-                last = max(last, int(us))
-                if done:
-                    size = int(seq)
-                    continue
-                n += 1
-                if text(delta):
-                    deltas.append((int(seq), delta))
-                if not pd.isna(index) or any(map(text, (i, name, args))):
-                    calls.setdefault(max(int(index), 0) if not pd.isna(index) else 0, []).append((int(seq), text(i), text(name), text(args)))
+        for f in fragments:
+            if f.get("delta"):
+                deltas.append((f["seq"], f["delta"]))
+            call = f.get("id"), f.get("name"), f.get("arguments")
+            if "index" in f or any(call):
+                calls.setdefault(max(f.get("index", 0), 0), []).append((f["seq"], *call))
         if deltas:
-            self.deltas.appendList(deltas)
-        for index, parts in calls.items():
-            i, at, old = self.calls.getValue((index,)) if self.calls.containsKey((index,)) else (None, -1, [])
-            at, i = max([(at, i), *((seq, j) for seq, j, _, _ in parts if j)], key=lambda x: x[0])
-            self.calls.updateValue((index,), (i, at, [*map(tuple, old), *((seq, name, args) for seq, _, name, args in parts)]))
-        self.meta.update((n, size, last))
-        if size >= 0 and n >= size:
-            yield self.result(key, True)
-        else:
-            self.keep_one_timer(last // 1000 + self.ttl_ms + 1)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.meta.exists():
-            yield self.result(key, False)
-
-    def result(self, key, finished: bool) -> pd.DataFrame:
-        """The text and the calls so far; the state goes."""
-        out = []
-        parts = sorted(self.deltas.get()) if self.deltas.exists() else []
-        if parts:
-            out.append((key[0], finished, None, None, None, "".join(p[1] for p in parts)))
-        for (index,), (i, _, found) in sorted(self.calls.iterator(), key=lambda x: x[0][0]):
-            found = sorted(found, key=lambda p: p[0])
-            out.append((key[0], finished, index, i, "".join(p[1] or "" for p in found) or None, "".join(p[2] or "" for p in found)))
-        for state in (self.deltas, self.calls, self.meta):
-            state.clear()
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        frame = pd.DataFrame(out, columns=["stream_id", "finished", "index", "id", "name", "body"])
-        return frame.astype({"index": "Int32"})
+            yield _REPLY(stream, finished, None, None, None, "".join(d for _, d in sorted(deltas)))
+        for index, found in sorted(calls.items()):
+            found.sort(key=lambda p: p[0])
+            _, last = max([(-1, None), *((seq, i) for seq, i, _, _ in found if i)], key=lambda x: x[0])
+            yield _REPLY(stream, finished, index, last, "".join(p[2] or "" for p in found) or None, "".join(p[3] or "" for p in found))
 
 
 def assemble(fragments: DataFrame, ttl_ms: int = DAY_MS, delay: str = "12 hours") -> DataFrame:
@@ -197,6 +239,8 @@ def assemble(fragments: DataFrame, ttl_ms: int = DAY_MS, delay: str = "12 hours"
     event, whose seq is the number of fragments before it, once all of these are there; without one they come unfinished
     after ``ttl_ms``. The row without an index is the text, the others are tool calls: ids overwrite, names and arguments
     append, a missing or negative index is 0."""
-    rows = _timed(fragments, delay)
-    return rows.groupBy("stream_id").transformWithStateInPandas(_Assembly(ttl_ms), "stream_id string, finished boolean, index int, id string, name string, body string", "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("stream_id"), F.lit(BUCKETS)).alias("bucket")
+    packed = F.to_json(F.struct("stream_id", "us", "seq", "done", "delta", "index", "id", "name", "arguments"), {"ignoreNullFields": "true"}).alias("fragment")
+    rows = _timed(fragments, delay).select(bucket, packed)
+    return rows.groupBy("bucket").transformWithState(_Assembly(ttl_ms), "stream_id string, finished boolean, index int, id string, name string, body string", "Append", "EventTime")
 

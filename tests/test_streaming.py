@@ -86,6 +86,27 @@ def test_assembly_waits_for_every_fragment(spark, tmp_path):
     assert {r for b in got[3:] for r in b} == {("y", False, None, None, None, "yy"), ("y", False, 1, "k", None, "{")}
 
 
+def test_assembly_keeps_a_bucket_s_streams_under_one_key(spark, tmp_path, monkeypatch):
+    """Streams that end in the first, second or no batch, with line ends and quotes; a key for each stream took 12 ms a batch."""
+    st.use_rocksdb(spark)
+    monkeypatch.setattr(st, "BUCKETS", 16)
+    schema = "stream_id string, t long, seq long, done boolean, delta string, index int, id string, name string, arguments string"
+    one, two, none = (lambda i: f'{i}\n"a"'), (lambda i: f"\\b{i}\u2028"), (None,) * 5
+    parts = [[], [], [("", 400, 0, False, *none)]]
+    for i in range(400):
+        parts[0] += [(f"s{i}", i % 5, 0, False, one(i), None, None, None, None)]
+        parts[i % 2] += [(f"s{i}", 6, 1, False, two(i), 0, "k", None, "{")]
+        parts[i % 2] += [(f"s{i}", 7, 2, True, *none)] if i % 3 else []
+    rows = arrivals(spark, str(tmp_path / "in"), schema, *parts)
+    batches = []
+    query = st.assemble(rows).writeStream.foreachBatch(lambda b, _: batches.append({tuple(r) for r in b.collect()})).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    whole = lambda some, finished: {x for i in some for x in ((f"s{i}", finished, None, None, None, one(i) + two(i)), (f"s{i}", finished, 0, "k", None, "{"))}
+    assert batches[0] == whole((i for i in range(0, 400, 2) if i % 3), True) and batches[1] == whole((i for i in range(1, 400, 2) if i % 3), True)
+    assert set().union(*batches[2:]) == whole(range(0, 400, 3), False)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 16 * 4
+
+
 def test_ingest_isolates_failures_and_skips_finished_batches(spark, tmp_path):
     path, calls = f"file://{tmp_path}/tables", tmp_path / "calls"
     chunked = lambda rows: rows.where("text <> ''").select("file_id", F.lit(0).alias("small_chunk_index"), F.col("text").alias("small_chunk_text"))
